@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, line_dedup, simhash
+from quern.llm import exact_dedup, line_dedup, mixing, sharding, simhash
+from quern.llm.shared import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The mixing tree of ``documents``: a domain read off the source's name, then language, then source.
+LEVELS = {
+    "domain": F.when(F.length("source") <= 4, "primary").otherwise("secondary"),
+    "lang": F.col("lang"),
+    "source": F.col("source"),
+}
+#: Target weights of tree nodes; a node that is not named weighs 1.
+WEIGHTS = {
+    ("primary",): 3,
+    ("secondary",): 2,
+    ("primary", "en"): 4,
+    ("primary", "de"): 2,
+    ("secondary", "en"): 3,
+    ("primary", "en", "src0"): 5,
+}
+
+
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(_table(spark, sf_dir, "documents"), LEVELS, WEIGHTS, share=(3, 5), max_epochs=4, seed=7)
+    return rows.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "epoch", "taken", "order_key")
+
+
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -24,13 +47,25 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of 4096 ids each, appended and compacted once; where every document ends up."""
+    docs = _table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
+    store.append(docs, F.floor(F.col("doc_id") / 4096))
+    store.compact(docs.schema)
+    store.vacuum()
+    return store.read(docs.schema).select("doc_id", "shard_id", "shard_tier", "shard_rows", "shard_bytes", "shard_version")
+
+
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": mixing_query,
     "op2_line_dedup": line_dedup_query,
     "op6_simhash_near_dedup": simhash_query,
+    "op7_sharding": sharding_query,
     "op8_exact_dedup": exact_dedup_query,
 }

@@ -30,7 +30,99 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+
+
+def _share_out(name: str, parents: str, children: str) -> str:
+    """CTEs that water-fill the budget of each parent over its children."""
+    by = f"PARTITION BY {parents}" if parents else ""
+    keys = f"{parents}, {name}" if parents else name
+    tight = f"{by} ORDER BY cap / weight, {name}"
+    return f"""
+{name}_filled AS (
+    SELECT *, cap::HUGEINT * rest <= (budget::HUGEINT - before) * weight AS full_up FROM (
+        SELECT *, coalesce(sum(cap) OVER ({tight} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(weight) OVER ({tight} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+        FROM ({children})
+    )
+), {name}_shared AS (
+    SELECT *, CASE WHEN full_up THEN cap ELSE (remaining::HUGEINT * weight) // open_weight END AS share FROM (
+        SELECT *, budget - coalesce(sum(CASE WHEN full_up THEN cap END) OVER ({by}), 0) AS remaining,
+               sum(CASE WHEN NOT full_up THEN weight END) OVER ({by}) AS open_weight
+        FROM {name}_filled
+    )
+), {name}_budget AS (
+    SELECT {keys}, share + CASE WHEN NOT full_up AND turn <= odd THEN 1 ELSE 0 END AS budget FROM (
+        SELECT *, remaining - sum(CASE WHEN NOT full_up THEN share ELSE 0 END) OVER ({by}) AS odd,
+               row_number() OVER ({by} ORDER BY full_up, weight DESC, {name}) AS turn
+        FROM {name}_shared
+    )
+)"""
+
+
+MIXING = f"""
+WITH doc AS (
+    SELECT doc_id, CASE WHEN length(source) <= 4 THEN 'primary' ELSE 'secondary' END AS domain,
+           coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+    FROM documents
+), leaf AS (
+    SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * 4 AS cap FROM doc GROUP BY ALL
+), {_share_out("domain", "", """
+    SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'primary' THEN 3 WHEN 'secondary' THEN 2 ELSE 1 END AS weight,
+           (SELECT sum(tokens)::BIGINT * 3 // 5 FROM leaf) AS budget FROM leaf GROUP BY domain""")
+}, {_share_out("lang", "domain", """
+    SELECT domain, lang, cap, budget,
+           CASE domain || '/' || lang WHEN 'primary/en' THEN 4 WHEN 'primary/de' THEN 2 WHEN 'secondary/en' THEN 3 ELSE 1 END AS weight
+    FROM (SELECT domain, lang, sum(cap)::BIGINT AS cap FROM leaf GROUP BY ALL) JOIN domain_budget USING (domain)""")
+}, {_share_out("source", "domain, lang", """
+    SELECT domain, lang, source, cap, budget,
+           CASE domain || '/' || lang || '/' || source WHEN 'primary/en/src0' THEN 5 ELSE 1 END AS weight
+    FROM leaf JOIN lang_budget USING (domain, lang)""")
+}, plan AS (
+    SELECT domain, lang, source, (budget // tokens)::BIGINT AS passes, (budget % tokens)::BIGINT AS prefix
+    FROM source_budget JOIN leaf USING (domain, lang, source) WHERE budget > 0
+), drawn AS (
+    SELECT * FROM doc JOIN plan USING (domain, lang, source) WHERE n_tokens > 0
+), whole AS (
+    SELECT *, unnest(range(0, passes)) AS epoch FROM drawn
+), tail AS (
+    SELECT *, passes AS epoch, md5('7:' || passes || ':' || doc_id) AS order_key FROM drawn WHERE prefix > 0
+), placed AS (
+    SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY order_key, doc_id) - n_tokens AS spent FROM tail
+)
+SELECT doc_id, domain, lang, source, n_tokens, epoch, n_tokens AS taken, md5('7:' || epoch || ':' || doc_id) AS order_key FROM whole
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, epoch, least(n_tokens, prefix - spent)::BIGINT, order_key FROM placed WHERE spent < prefix
+"""
+
+SHARDING = """
+WITH arrival AS (
+    SELECT doc_id, coalesce(floor(doc_id / 4096), -1)::BIGINT AS run, strlen(coalesce(text, '')) AS size FROM documents
+), runs AS (
+    SELECT run, 'v1-run' || run AS shard_id, count(*) AS n_rows, sum(size)::BIGINT AS n_bytes,
+           length(bin(sum(size)::BIGINT // 65536)) // 2 AS tier, floor(run / 1024)::BIGINT AS part
+    FROM arrival GROUP BY run
+), small AS (
+    SELECT *, count(*) OVER (PARTITION BY tier, part) AS mates,
+           (sum(n_bytes) OVER (PARTITION BY tier, part ORDER BY n_bytes, run, shard_id) - n_bytes)::BIGINT // 67108864 AS file
+    FROM runs WHERE n_bytes * 2 < 67108864
+), placed AS (
+    SELECT run, n_rows, n_bytes, tier, CASE WHEN mates >= 4 AND count(*) OVER (PARTITION BY tier, part, file) > 1
+           THEN 'v2-tier' || tier || '-part' || part || '-file' || file END AS merged, shard_id
+    FROM small
+    UNION ALL SELECT run, n_rows, n_bytes, tier, NULL, shard_id FROM runs WHERE n_bytes * 2 >= 67108864
+), shard AS (
+    SELECT run, coalesce(merged, shard_id) AS shard_id, sum(n_rows) OVER same AS shard_rows, sum(n_bytes) OVER same AS shard_bytes
+    FROM placed WINDOW same AS (PARTITION BY coalesce(merged, shard_id))
+)
+SELECT doc_id, shard_id, (length(bin(shard_bytes::BIGINT // 65536)) // 2)::INTEGER AS shard_tier, shard_rows::BIGINT AS shard_rows,
+       shard_bytes::BIGINT AS shard_bytes, 2 AS shard_version
+FROM arrival JOIN shard USING (run)
+"""
+
 SQL: dict[str, str] = {
+    "op1_source_mixing": MIXING,
     "op2_line_dedup": LINE_DEDUP,
+    "op7_sharding": SHARDING,
     "op8_exact_dedup": EXACT_DEDUP,
 }

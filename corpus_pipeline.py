@@ -4,27 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, simhash
+from quern.llm import exact_dedup, gam, mixing, packing, simhash
+from quern.llm.queries import LEVELS, WEIGHTS
 from quern.llm.shared import land
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return gam.drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest id stays."""
     return exact_dedup.drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
     return simhash.drop_near(docs)
 
 
-STAGES = [("exact dedup", exact), ("SimHash near-dedup", near)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw 60 % of the tokens by the target weights; a document comes once for each pass that draws on it."""
+    return mixing.draw(docs, LEVELS, WEIGHTS, share=(3, 5), max_epochs=4, seed=7)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes among the training sequences."""
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing to target weights", mixed),
+    ("best-fit packing", packed),
+]
 
-#: The classifier and the packer are beyond SQL.
+#: The classifier, the fingerprints and the packing are beyond SQL; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = land(docs, f"stage{k}")

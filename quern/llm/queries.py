@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, line_dedup, mixing, sharding, simhash
+from quern.llm import exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash
 from quern.llm.shared import scratch_path
 
 
@@ -42,6 +42,23 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = isolation.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "anomaly", "threshold")
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select(
+        F.col("id").alias("doc_id"), (~gam.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,7 +82,10 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": mixing_query,
     "op2_line_dedup": line_dedup_query,
+    "op3_quality_rules": quality_rules_query,
+    "op4_best_fit_packing": packing_query,
     "op6_simhash_near_dedup": simhash_query,
     "op7_sharding": sharding_query,
     "op8_exact_dedup": exact_dedup_query,
+    "op9_quality_classifier": quality_classifier_query,
 }

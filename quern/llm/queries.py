@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash
+from quern.llm import chat, exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash, token_files
 from quern.llm.shared import scratch_path
 
 
@@ -59,6 +59,18 @@ def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_files_query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer``: path of the tokenizer's file; by default the public one of the contract."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    docs = _table(spark, sf_dir, "documents")
+    # 49,408 ids fit two bytes
+    manifest = token_files.write_files(docs, str(tokenizer), scratch_path(spark, "tokens"), end_id=2, by_word=True, item=2)
+    return token_files.read_digests(manifest).withColumnRenamed("id", "doc_id")
+
+
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -79,13 +91,21 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.repair(_table(spark, sf_dir, "conversations"))
+    digest = F.sha2("rendered", 256).alias("rendered_sha256")
+    return rows.select("conv_id", "turn", "role", "role_out", "action", "inserted", "cost", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": mixing_query,
     "op2_line_dedup": line_dedup_query,
     "op3_quality_rules": quality_rules_query,
     "op4_best_fit_packing": packing_query,
+    "op5_token_files": token_files_query,
     "op6_simhash_near_dedup": simhash_query,
     "op7_sharding": sharding_query,
     "op8_exact_dedup": exact_dedup_query,
     "op9_quality_classifier": quality_classifier_query,
+    "op10_chat_formatting": chat_query,
 }

@@ -83,7 +83,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Weights, total: i
 
 def mix(
     docs: DataFrame,
-    levels: Mapping[str, Column],
+    levels: Mapping[str, str],
     weights: Weights,
     share: tuple[int, int] = (3, 5),
     total: int | None = None,
@@ -95,6 +95,7 @@ def mix(
 ) -> DataFrame:
     """(id, levels..., n_tokens, epoch, taken, order_key): a row for each pass that takes from a row of ``docs``.
 
+    ``levels`` names the tree's levels, root first, with the SQL expression of each label.
     ``total`` tokens are drawn, by default ``share`` (a fraction) of the corpus. ``taken`` is below
     ``n_tokens`` only for the document in which a leaf's prefix ends. Sorting a leaf by (epoch,
     order_key, id) gives its token stream.
@@ -102,7 +103,7 @@ def mix(
     names = list(levels)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        *[F.coalesce(c.cast("string"), F.lit(_NULL)).alias(n) for n, c in levels.items()],
+        *[F.coalesce(F.expr(c).cast("string"), F.lit(_NULL)).alias(n) for n, c in levels.items()],
         word_count(text_col).alias("n_tokens"),
     )
     rows = land(rows, "tokens")
@@ -137,7 +138,7 @@ def prefix_text(text: Column, taken: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[^{BLANKS}]+"), F.lit(0)), F.lit(1), taken.cast("int")), " ")
 
 
-def draw(docs: DataFrame, levels: Mapping[str, Column], weights: Weights, id_col: str = "doc_id", **options) -> DataFrame:
+def draw(docs: DataFrame, levels: Mapping[str, str], weights: Weights, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` as mixed: a document once for each pass that draws on it, whole (also where a prefix ends in it)."""
     rows = mix(docs, levels, weights, id_col=id_col, **options)
     # repeated rows of an id are drawn together

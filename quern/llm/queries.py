@@ -17,9 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The mixing tree of ``documents``: a domain read off the source's name, then language, then source.
 LEVELS = {
-    "domain": F.when(F.length("source") <= 4, "primary").otherwise("secondary"),
-    "lang": F.col("lang"),
-    "source": F.col("source"),
+    "domain": "CASE WHEN length(source) <= 4 THEN 'primary' ELSE 'secondary' END",
+    "lang": "lang",
+    "source": "source",
 }
 #: Target weights of tree nodes; a node that is not named weighs 1.
 WEIGHTS = {

@@ -181,11 +181,12 @@ def test_token_files_round_trip(spark, tokenizer, by_word, item):
         assert len(plain.read()) == f.n_tokens * item
 
 
-def test_word_memory_equals_whole_texts():
+def test_word_units_equal_whole_texts():
     rng = random.Random(1)
     alphabet = "aAzZ0 9'sté́ΣσİıßN  　\t\n\r\x0b\x0c\x1c\x85.,!<|>ﬁ漢字🙂‍"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|> x<|startoftext|>", None]
-    plain, memo = token_files.Encoder(WORD_BPE, 2, False), token_files.Encoder(WORD_BPE, 2, True, memory=200)
+    texts += [" ".join("".join(rng.choice("abcABCéß") for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", ",", "!!", "'s", "'", ").", "…", "9."]) for _ in range(60)) for _ in range(400)]
+    plain, memo = token_files.Encoder(WORD_BPE, 2, False), token_files.Encoder(WORD_BPE, 2, True)
     for k in range(0, len(texts), 250):
         part = pa.array(texts[k : k + 250], pa.string())
         for a, b in zip(plain.encode(part), memo.encode(part), strict=True):

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.plans.answering import ANSWERING
+from quern.plans.evaluation import EVALUATION
+from quern.plans.operations import OPERATIONS
+from quern.plans.search import SEARCH
+from quern.plans.text import TEXT
+
+_ALL = (TEXT, SEARCH, ANSWERING, EVALUATION, OPERATIONS)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for catalog in _ALL for name, run in catalog.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for catalog in _ALL for name, sql in catalog.sql.items()}

@@ -2,7 +2,7 @@
 
 Lines are exploded as narrow rows (id, position, 128-bit hash of the normalised line); a hash is
 shared if the smallest and the largest id that hold it differ, which one map-side combined
-aggregation answers; the positions to drop are gathered for each document and the text is
+aggregation answers; lines that are very frequent are dropped by a broadcast, the others in a join; the positions to drop are gathered for each document and the text is
 reassembled by position from the original row. Texts move once, to meet their positions.
 
 Edge cases: a null text is one empty line; lines whose key is shorter than ``min_chars`` always
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import BLANKS, ascii_lower, hash128, whole
+from quern.llm.shared import BLANKS, ascii_lower, hash128, join_spread, land, whole
 
 
 def line_key(line: Column) -> Column:
@@ -35,13 +35,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line found in at least ``min_docs`` documents stays only in the document with the smallest id.
     """
-    lines = line_hashes(docs, id_col, text_col, min_chars)
+    lines = land(line_hashes(docs, id_col, text_col, min_chars), "lines")
     if min_docs == 2:
-        shared = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+        shared = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).where("first < last")
     else:
-        holders = lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
-        shared = holders.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.sum("one").alias("docs")).where(F.col("docs") >= min_docs)
-    dropped = lines.join(shared.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("id") != F.col("first"))
+        holders = lines.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("n"))
+        shared = holders.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    shared = land(shared.select("h1", "h2", "first", "rows"), "shared")
+    dropped = join_spread(lines, shared, ["h1", "h2"], "rows").where(F.col("id") != F.col("first"))
     places = dropped.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__drop"))
     split = F.split(whole(text_col), "\n")
     last = (F.size(split) - 1).cast("int")

@@ -25,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 16 << 20
 
 #: Arrow batches are worked on in slices of at most this many bytes of text (or one document).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[ord(c) for c in BLANKS]] = True
@@ -81,6 +81,26 @@ def small_enough(keys: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(keys) if keys.limit(limit // row_bytes + 1).count() * row_bytes <= limit else keys
 
 
+#: Keys that hold at least this part of all rows count as heavy, so there are at most so many of them.
+HEAVY = 2048
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """Inner join of many rows with a table that has one row a key, without gathering a frequent key's rows.
+
+    ``table[weight]`` says how many of the ``total`` rows have the key. Keys with a 2048th of the
+    rows or more, of which there can only be 2048, are broadcast and their rows stay where they are;
+    all others meet in a shuffle. Both inputs are read twice, so they should be scratch tables.
+    """
+    total = rows.count() if total is None else total
+    heavy = F.col(weight) * HEAVY >= max(total, 1)
+    few, rest = table.where(heavy).drop(weight), table.where(~heavy).drop(weight)
+    if few.isEmpty():
+        return rows.join(rest, keys)
+    spread = rows.join(F.broadcast(few), keys)
+    return spread.unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 # ---------------------------------------------------------------- expressions
 
 
@@ -90,7 +110,8 @@ def whole(column: str) -> Column:
 
 
 def ascii_lower(column: Column) -> Column:
-    return F.translate(column, UPPER, LOWER)
+    """A-Z lower-cased and nothing else; texts that are ASCII throughout take the fast way."""
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
 def word_count(column: str) -> Column:

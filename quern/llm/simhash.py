@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Words, land, slices, small_enough
+from quern.llm.shared import Words, join_spread, land, slices, small_enough
 
 
 def _fingerprints(texts: pa.Array, width: int, seed: int) -> np.ndarray:
@@ -111,12 +111,12 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """One row for each row of ``docs``: id, fp, component_id (the smallest id that links reach)."""
     rows = land(fingerprints(docs, id_col, text_col, width, seed), "prints")
-    prints = land(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    prints = land(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     found = components(hamming_links(prints.select("fp"), distance))
     least = prints.join(found, prints["fp"] == found["node"]).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    named = prints.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))
+    return join_spread(rows, land(named, "named"), ["fp"], "rows").select("id", "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -18,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import remove, scratch_path, small_enough, whole
+from quern.llm.shared import join_spread, land, remove, scratch_path, small_enough, whole
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": _ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # a store is closed when its task has committed: open ones hold memory and preallocated files
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -126,7 +126,7 @@ def exact_groups(
     log = DedupLog(spark, root or scratch_path(spark, "exact"), files_per_batch, digest)
     log.append(docs, id_col, text_col)
     log.update()
-    rows = log.log().join(log.state(), "digest").select(
+    rows = join_spread(log.log(), land(log.state().withColumn("rows", F.col("n")), "state"), ["digest"], "rows").select(
         "id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept")
     )
     clashes = log.clashes(docs, id_col, text_col)

@@ -41,9 +41,16 @@ def where_metadata(rows: DataFrame, conditions: Mapping[str, object] | None) ->
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk_id, terms, dl) of the texts with a token at least."""
+    """(chunk_id, terms, dl). Texts without a token stay: a filter on the size would tokenise every text twice."""
     rows = docs.select(F.col(id_col).alias("chunk_id"), T.tokens(F.col(text_col)).alias("terms"))
-    return rows.withColumn("dl", F.size("terms")).where("dl > 0")
+    return rows.withColumn("dl", F.size("terms"))
+
+
+def corpus_statistics(docs: DataFrame, text_col: str) -> Column:
+    """n_docs and avgdl over the texts with a token, as a scalar subquery."""
+    sizes = docs.select(F.coalesce(F.regexp_count(F.lower(text_col), F.lit("[a-z0-9]+")), F.lit(0)).alias("dl"))
+    n = F.count_if(F.col("dl") > 0)
+    return sizes.agg(F.struct(n.alias("n_docs"), F.try_divide(F.sum("dl"), n).alias("avgdl"))).scalar()
 
 
 def term_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,13 +69,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", que
     """(query_id, chunk_id, score) of every pair that shares a term."""
     wanted = query_terms(queries, query_id, query_text)
     rows = tokenized(docs, doc_id, doc_text)
-    corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))).scalar()
+    corpus = corpus_statistics(docs, doc_text)
     distinct = wanted.select("term").distinct()
     # only postings of query terms leave the scan; the term list is broadcast when it is known to be short
     short = distinct.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     side = F.broadcast(distinct) if short else distinct
-    postings = rows.select("chunk_id", "dl", F.explode("terms").alias("term")).join(side, "term", "left_semi")
-    postings = postings.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    matched = rows.select("chunk_id", "dl", F.explode("terms").alias("term")).join(side, "term", "left_semi")
+    # one shuffle by text serves the term counts and, as the weights are broadcast, the scores too
+    postings = matched.repartition("chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = wanted.join(df, "term")
     weights = F.broadcast(weights) if short and wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else weights

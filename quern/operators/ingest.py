@@ -233,3 +233,41 @@ def count_by(rows: DataFrame, column: str, since: str | None = None, at: str = "
 def not_corrupt(payloads: DataFrame) -> DataFrame:
     """Payload columns alone, without what a permissive scan adds."""
     return payloads.drop("_corrupt_record")
+
+
+# ---------------------------------------------------------------- lookups
+
+
+def document(documents: DataFrame, document_id: str | None = None, source_uri: str | None = None) -> DataFrame:
+    """A document by id or by address."""
+    rows = documents if document_id is None else documents.where(F.col("document_id") == document_id)
+    return rows if source_uri is None else rows.where(F.col("source_uri") == source_uri)
+
+
+def active_version(versions: DataFrame, document_id: str) -> DataFrame:
+    return active_versions(versions.where(F.col("document_id") == document_id))
+
+
+def latest_payload(payloads: DataFrame, document_id: str) -> DataFrame:
+    return payloads.where(F.col("document_id") == document_id).orderBy(F.desc("received_at")).limit(1)
+
+
+def exists(rows: DataFrame, key: str, value: str) -> bool:
+    return not rows.where(F.col(key) == value).isEmpty()
+
+
+def chunks_of_document(chunks: DataFrame, versions: DataFrame, document_id: str, active_only: bool = True) -> DataFrame:
+    """A document's chunks in order, by default those of its active version."""
+    rows = chunks.where(F.col("document_id") == document_id)
+    if active_only:
+        rows = rows.join(versions.where("is_active").select("version_id"), "version_id", "left_semi")
+    return rows.orderBy("version_id", "chunk_index")
+
+
+def delete_version_chunks(chunks: DataFrame, version_id: str) -> DataFrame:
+    return chunks.where(~F.col("version_id").eqNullSafe(F.lit(version_id)))
+
+
+def retry_after(code: Column, attempt: Column, delay: int = 60, most: int = 3) -> Column:
+    """Seconds until the next attempt, null if the error is not worth one or the attempts are used up."""
+    return F.when(is_retryable(code) & (attempt < most), F.lit(delay))

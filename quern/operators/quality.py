@@ -37,22 +37,23 @@ def relevance(samples: DataFrame, corpus: DataFrame, min_chars: int = 1) -> Data
 
 
 def _held(inner: DataFrame, outer: DataFrame, small: str, large: str) -> DataFrame:
-    """Pairs whose ``small`` text lies in the ``large`` one.
+    """Pairs whose ``small`` text lies in the ``large`` one, found through a key that both must have.
 
     An inner token (one between two other tokens of the small text, so cut at both ends as in the
-    large text) must be a token of the large text: the pair is joined on the longest such token;
-    small texts with fewer than three tokens are compared with all.
+    large text) must be a token of the large text: the pair is joined on the longest such token.
+    Small texts with fewer than three tokens are joined on their first characters, three at most,
+    with the large texts' runs of as many characters.
     """
     word = lambda c: F.regexp_extract_all(F.col(c), F.lit("[a-z0-9]+"), F.lit(0))
     longest = F.array_max(F.transform(F.slice(F.col("__w"), F.lit(2), F.greatest(F.size("__w") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = inner.withColumn("__w", word(small)).withColumn("__key", longest).drop("__w").where(F.length(small) > 0)
     holders = outer.select("*", F.explode(F.array_distinct(word(large))).alias("__key"))
-    by_word = keyed.where("__key is not null").join(holders, "__key").where(F.contains(large, small)).select("query_id", "chunk_id")
-    short = keyed.where("__key is null").drop("__key")
-    # texts of one or two words: few, and compared only after they are known to be few
-    if short.isEmpty():
-        return by_word
-    return by_word.unionByName(outer.join(F.broadcast(short), F.contains(F.col(large), F.col(small))).select("query_id", "chunk_id"))
+    out = keyed.where("__key is not null").join(holders, "__key").where(F.contains(large, small)).select("query_id", "chunk_id")
+    short = keyed.where("__key is null").withColumn("__n", F.least(F.length(small), F.lit(3))).withColumn("__key", F.substring(small, 1, 3))
+    for n in [r[0] for r in short.select("__n").distinct().collect()]:  # of 1, 2 and 3 those that occur
+        runs = outer.select("*", F.explode(F.array_distinct(F.regexp_extract_all(large, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("__key"))
+        out = out.unionByName(short.where(F.col("__n") == n).join(runs, "__key").where(F.contains(large, small)).select("query_id", "chunk_id"))
+    return out
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, queries: DataFrame | None = None) -> DataFrame:

@@ -190,10 +190,15 @@ def reciprocal_rank_fusion(dense: DataFrame, keyword: DataFrame, k: int = 10, co
     return rank(fused, k, F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("keyword_rank"), F.asc("chunk_id"))
 
 
+def _as_candidates(rows: DataFrame) -> DataFrame:
+    """Rank and score become the original ones, those of an earlier reranking go."""
+    return rows.drop("original_rank", "original_score", "rerank_score").withColumnsRenamed({"rank": "original_rank", "score": "original_score"})
+
+
 def lexical_rerank(candidates: DataFrame, k: int = 5) -> DataFrame:
     """Rerank (query_id, query, chunk_id, text, score, rank) by Jaccard overlap; a query without tokens keeps its order."""
     q, c = T.token_set(F.col("query")), T.token_set(F.col("text"))
-    kept = candidates.withColumnsRenamed({"rank": "original_rank", "score": "original_score"})
+    kept = _as_candidates(candidates)
     kept = kept.withColumn("score", F.when(F.size(q) == 0, F.col("original_score")).otherwise(T.jaccard(q, c))).withColumn("rerank_score", F.col("score"))
     kept = kept.withColumn("__by", F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.col("score")))
     return rank(kept, k, F.desc("__by"), F.asc("original_rank"), F.asc("chunk_id")).drop("__by")
@@ -201,7 +206,7 @@ def lexical_rerank(candidates: DataFrame, k: int = 5) -> DataFrame:
 
 def scored_rerank(candidates: DataFrame, scorer, k: int = 5, normalize: bool = True) -> DataFrame:
     """Rerank by a scorer, a function of two columns (query, text) such as a pandas UDF around a cross-encoder."""
-    kept = candidates.withColumnsRenamed({"rank": "original_rank", "score": "original_score"}).withColumn("score", scorer(F.col("query"), F.col("text")))
+    kept = _as_candidates(candidates).withColumn("score", scorer(F.col("query"), F.col("text")))
     if normalize:
         kept = min_max(kept)
     return rank(kept.withColumn("rerank_score", F.col("score")), k, F.desc("score"), F.asc("original_rank"), F.asc("chunk_id"))
@@ -253,15 +258,15 @@ class RetrievalService:
 def tfidf_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 768) -> DataFrame:
     """(term, df, bucket, idf): the bucket is the term's place in sorted order modulo the dimensions, the idf smoothed.
 
-    The global place comes from range-partitioned terms: counts before each range plus the place inside.
+    The global place needs no global sort: terms are counted by their first three characters, of
+    which there are 47,988 at most, and numbered inside such a group.
     """
     n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    terms = term_statistics(docs, id_col, text_col).repartitionByRange("term").withColumn("range", F.spark_partition_id())
-    terms = terms.persist()
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = terms.groupBy("range").agg(F.count(F.lit(1)).alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("term")) - 1
-    placed = terms.withColumn("place", place).join(F.broadcast(starts.select("range", "start")), "range")  # a row for each partition
+    terms = term_statistics(docs, id_col, text_col).withColumn("head", F.substring("term", 1, 3))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    starts = terms.groupBy("head").agg(F.count(F.lit(1)).alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("term")) - 1
+    placed = terms.withColumn("place", place).join(F.broadcast(starts.select("head", "start")), "head")
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1.0
     return placed.select("term", "df", F.pmod(F.col("start") + F.col("place"), F.lit(dimensions)).cast("int").alias("bucket"), idf.alias("idf"))
 

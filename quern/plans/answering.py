@@ -113,7 +113,6 @@ def answer_relevancy(spark, sf_dir):
     return rows.select("query_id", "chunk_id", rounded(answers.answer_relevancy(F.col("query"), F.col("text"))).alias("relevancy"))
 
 
-# In the made-up answers every claim's first matching sentence is its own, which keeps the SQL to one pass.
 _JUDGED = rf"""cleaned AS (SELECT query_id, answer, trim(regexp_replace(answer, '(?i)\[Source\s+\d+\]', '', 'g'), {BLANKS}) AS t FROM normal),
 part AS (SELECT query_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT query_id, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM cleaned)),
 claim AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS claim_index, c AS claim FROM (SELECT query_id, i, trim(regexp_replace(s, '\s+', ' ', 'g'), {BLANKS}) AS c FROM part) WHERE length(c) >= 10)"""
@@ -130,14 +129,34 @@ def judged(spark, sf_dir):
     return rows, answers.judge_claims(rows, candidates(spark, sf_dir, 3))
 
 
-@ANSWERING.add()
+_LINKED = rf"""sent AS (SELECT query_id, i, s FROM (SELECT query_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT query_id, string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM normal)) WHERE trim(s, {BLANKS}) <> ''),
+mark AS (SELECT *, regexp_full_match(trim(s, {BLANKS}), '(?i)(\[Source\s+\d+\]\s*)+') AND row_number() OVER (PARTITION BY query_id ORDER BY i) > 1 AS lone FROM sent),
+grp AS (SELECT *, sum(CASE WHEN lone THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY i) AS g FROM mark),
+whole AS (SELECT query_id, g, string_agg(rtrim(s, {BLANKS}), ' ' ORDER BY i) AS s FROM grp GROUP BY ALL),
+bare AS (SELECT query_id, g, s, rtrim(trim(regexp_replace(regexp_replace(s, '(?i)\[Source\s+\d+\]', '', 'g'), '\s+', ' ', 'g'), {BLANKS}), '.') AS b FROM whole),
+linked AS (SELECT c.query_id, c.claim_index, c.claim, arg_min(b.s, b.g) AS s FROM claim c JOIN bare b ON b.query_id = c.query_id AND (contains(b.b, rtrim(c.claim, '.')) OR contains(rtrim(c.claim, '.'), b.b)) GROUP BY ALL),
+cite AS (SELECT query_id, claim_index, claim, unnest(regexp_extract_all(s, '(?i)\[Source\s+(\d+)\]', 1))::INTEGER AS rank FROM linked),
+labelled AS (SELECT i.query_id, i.claim_index, {{entailment}} AS label FROM cite i JOIN chunk k ON k.query_id = i.query_id AND k.rank = i.rank),
+counted AS (SELECT query_id, claim_index, count(*) AS n, bool_or(label = 'SUPPORTS') AS yes, bool_or(label = 'CONTRADICTS') AS no FROM labelled GROUP BY ALL),
+judged AS (SELECT c.query_id, c.claim_index::INTEGER AS claim_index, c.claim, coalesce(n, 0) AS n_citations,
+    CASE WHEN n IS NULL THEN 'NO_CITATION' WHEN yes THEN 'SUPPORTS' WHEN no THEN 'CONTRADICTS' ELSE 'NEUTRAL' END AS label FROM claim c LEFT JOIN counted USING (query_id, claim_index))"""
+_CLAIMS = f"WITH {bm25_ctes()}, few AS ({top('bm25', 3)}), chunk AS (SELECT f.*, d.text FROM few f JOIN documents d ON d.doc_id = f.chunk_id), {_ANSWERS}, {_JUDGED}, " + _LINKED.format(entailment=entailment_sql("i.claim", "k.text"))
+
+
+@ANSWERING.add(f"{_CLAIMS} SELECT query_id, claim_index, sha256(claim) AS digest, n_citations, label FROM judged")
 def claim_labels(spark, sf_dir):
-    return judged(spark, sf_dir)[1]
+    return judged(spark, sf_dir)[1].select("query_id", "claim_index", F.sha2("claim", 256).alias("digest"), "n_citations", "label")
 
 
-@ANSWERING.add()
+@ANSWERING.add(
+    f"""{_CLAIMS}, c AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE label = 'SUPPORTS') AS yes, count(*) FILTER (WHERE label = 'NO_CITATION') AS none, sum(n_citations) AS cites FROM judged GROUP BY query_id)
+    SELECT a.query_id, coalesce(n, 0) AS total_claims, coalesce(yes, 0) AS supported_claims, round(coalesce(yes / n, 0), 6) AS faithfulness, round(coalesce(yes / nullif(cites, 0), 0), 6) AS citation_precision,
+    round(CASE WHEN n IS NULL THEN 1 ELSE (n - yes) / n END, 6) AS hallucination_rate, round(coalesce((n - none) / n, 0), 6) AS citation_coverage, round({coverage_sql('a.query', 'a.answer')}, 6) AS answer_relevancy FROM normal a LEFT JOIN c USING (query_id)"""
+)
 def faithfulness_summary(spark, sf_dir):
-    return answers.faithfulness(*judged(spark, sf_dir))
+    rows = answers.faithfulness(*judged(spark, sf_dir))
+    ratios = ("faithfulness", "citation_precision", "hallucination_rate", "citation_coverage", "answer_relevancy")
+    return rows.select("query_id", "total_claims", "supported_claims", *(rounded(c).alias(c) for c in ratios))
 
 
 _EXTRACT = rf"""cover AS (SELECT c.query_id, c.rank, c.text, b.text AS query, {coverage_sql('b.text', 'c.text')} AS cover FROM chunk c JOIN benchmark b ON b.item_id = c.query_id),

@@ -115,10 +115,8 @@ def ascii_lower(column: Column) -> Column:
 
 
 def word_count(column: str) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` words: JVM-side, one pass, nothing materialised but the blanks."""
-    marked = F.concat(F.lit(" "), F.translate(whole(column), BLANKS[1:], " " * (len(BLANKS) - 1)))
-    # a word starts where a blank is followed by a non-blank
-    return F.regexp_count(marked, F.lit(" [^ ]")).cast("long")
+    """Number of ``[^\\x20\\x09-\\x0D]+`` words, JVM-side."""
+    return F.regexp_count(whole(column), F.lit(f"[^{BLANKS}]+")).cast("long")
 
 
 def hash128(column: Column) -> list[Column]:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import join_spread, land, remove, scratch_path, small_enough, whole
+from quern.llm.shared import drop_ids, join_spread, land, remove, scratch_path, small_enough, whole
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = {
@@ -148,8 +148,8 @@ def exact_groups(
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the copies; columns and texts unchanged. Rows of an id of which one row stays, stay."""
     rows = exact_groups(docs, id_col, text_col, **options)
-    gone = rows.groupBy("id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("id").alias("__gone"))
-    return docs.join(small_enough(gone, 16), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = rows.groupBy("id").agg(F.max("kept").alias("any")).where(~F.col("any")).select("id")
+    return drop_ids(docs, gone, id_col)
 
 
 __all__ = ["DedupLog", "exact_groups", "drop_exact", "sha256", "remove"]

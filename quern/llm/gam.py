@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import features
-from quern.llm.shared import land, slices, small_enough
+from quern.llm.shared import drop_ids, land, slices
 
 #: Expected upper bound of the rows a model is fitted on.
 MAX_ROWS = 50_000
@@ -207,5 +207,5 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, **options) -> DataFrame:
     """``docs`` without those scored below ``at_least``; columns and texts unchanged, an id stays if any of its rows does."""
     scored = land(classify(docs, labels, id_col=id_col, text_col=text_col, **options), "scores")
-    gone = scored.groupBy("id").agg(F.max("score").alias("best")).where(F.col("best") < at_least).select(F.col("id").alias("__gone"))
-    return docs.join(small_enough(gone, 16), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = scored.groupBy("id").agg(F.max("score").alias("best")).where(F.col("best") < at_least).select("id")
+    return drop_ids(docs, gone, id_col)

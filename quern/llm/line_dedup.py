@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import BLANKS, ascii_lower, hash128, join_spread, land, whole
+from quern.llm.shared import BLANKS, ascii_lower, free, hash128, join_spread, land, whole
 
 
 def line_key(line: Column) -> Column:
@@ -43,13 +43,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = holders.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     shared = land(shared.select("h1", "h2", "first", "rows"), "shared")
     dropped = join_spread(lines, shared, ["h1", "h2"], "rows").where(F.col("id") != F.col("first"))
-    places = dropped.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__drop"))
+    key, drop, number, new = free([*docs.columns, "n_lines", "n_dropped"], "holder", "drop", "number", "new")
+    places = dropped.groupBy(F.col("id").alias(key)).agg(F.collect_set("pos").alias(drop))
     split = F.split(whole(text_col), "\n")
     last = (F.size(split) - 1).cast("int")
-    joined = docs.join(places, docs[id_col] == F.col("__id"), "left")
+    joined = docs.join(places, docs[id_col] == F.col(key), "left")
     # array_except works by hash set, so this is linear in the lines of a document
-    keep = F.array_except(F.sequence(F.lit(0), last), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), whole(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: split[i]), "\n"))
-    out = joined.withColumn("__n", F.size(split).cast("long")).withColumn("__text", text)
-    columns = [F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*columns, F.col("__n").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    keep = F.array_except(F.sequence(F.lit(0), last), F.col(drop))
+    text = F.when(F.col(drop).isNull(), whole(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: split[i]), "\n"))
+    out = joined.withColumn(number, F.size(split).cast("long")).withColumn(new, text)
+    columns = [F.col(new).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*columns, F.col(number).alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))

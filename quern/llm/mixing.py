@@ -23,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import BLANKS, land, small_enough, word_count
+from quern.llm.shared import BLANKS, free, land, small_enough, word_count
 
 #: How many order buckets (three hexadecimal digits) a leaf's epoch is cut into.
 BUCKET_DIGITS = 3
@@ -142,6 +142,7 @@ def draw(docs: DataFrame, levels: Mapping[str, str], weights: Weights, id_col: s
     """``docs`` as mixed: a document once for each pass that draws on it, whole (also where a prefix ends in it)."""
     rows = mix(docs, levels, weights, id_col=id_col, **options)
     # repeated rows of an id are drawn together
-    times = rows.groupBy(F.col("id").alias("__id")).agg(F.countDistinct("epoch").cast("int").alias("__times"))
-    joined = docs.join(times, docs[id_col].cast("long") == F.col("__id"))
-    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    key, times, turn = free(docs.columns, "drawn", "times", "turn")
+    often = rows.groupBy(F.col("id").alias(key)).agg(F.countDistinct("epoch").cast("int").alias(times))
+    joined = docs.join(often, docs[id_col].cast("long") == F.col(key))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -10,8 +10,8 @@ Only the runs that are merged move, each once, to the task that writes their tar
 gets more than about one target file. Everything is DataFrame code.
 
 Edge cases: a null text counts no bytes; rows with a null run key form one run; repeated rows are
-kept; an empty table commits an empty manifest; extra columns are stored as they are, except
-that a column named like the run or shard key (``__run``, ``__shard``) is refused.
+kept; an empty table commits an empty manifest; extra columns are stored as they are, whatever their
+names (a reader chooses the prefix of the manifest's columns).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import small_enough, whole
+from quern.llm.shared import free, small_enough, whole
 
 MANIFEST = "shard_id string, folder string, run long, tier int, n_rows long, n_bytes long, version int"
 
@@ -76,17 +76,16 @@ class ShardStore:
 
     def append(self, docs: DataFrame, run: Column, text_col: str = "text") -> int:
         """Write arrivals without a shuffle, each run a folder of its own, and commit them as new shards."""
-        if {"__run", "__shard"} & set(docs.columns):
-            raise ValueError("columns __run and __shard are the store's own")
         base = self.version()
         folder = f"{self.root}/data/runs-{base + 1}"
-        rows = docs.withColumn("__run", F.coalesce(run.cast("long"), F.lit(-1)))
-        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("__run").parquet(folder)
+        (key,) = free(docs.columns, "run")
+        rows = docs.withColumn(key, F.coalesce(run.cast("long"), F.lit(-1)))
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy(key).parquet(folder)
         sizes = docs.select(F.coalesce(run.cast("long"), F.lit(-1)).alias("run"), F.octet_length(whole(text_col)).alias("size"))
         sizes = sizes.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
         new = sizes.select(
             F.format_string("v%d-run%d", F.lit(base + 1), "run").alias("shard_id"),
-            F.format_string(f"data/runs-{base + 1}/__run=%d", "run").alias("folder"),
+            F.format_string(f"data/runs-{base + 1}/{key}=%d", "run").alias("folder"),
             "run",
             tier(F.col("n_bytes"), self.base_bytes).alias("tier"),
             "n_rows",
@@ -115,32 +114,38 @@ class ShardStore:
         """Merge similarly sized runs into target-sized files and commit; returns the new version."""
         base = self.version()
         plan = self.plan(base)
-        merged = plan.where("into is not null").select("folder", F.col("into").alias("__shard"))
-        files = merged.select("__shard").distinct().count()
+        names = self._names(schema)
+        shard, at, folder = free(names, "shard", "at", "folder")
+        merged = plan.where("into is not null").select(F.col("folder").alias(folder), F.col("into").alias(shard))
+        files = merged.select(shard).distinct().count()
         new = f"data/merged-{base + 1}"
         if files:
             # the folder of a row names its shard; reading the data folder keeps the file list off the plan
-            rows = self._scan(schema).join(small_enough(merged, 160), F.col("__folder") == F.col("folder")).drop("__folder", "folder")
-            rows.repartition(files, "__shard").write.mode("overwrite").option("compression", "zstd").partitionBy("__shard").parquet(f"{self.root}/{new}")
+            rows = self._scan(schema, at).join(small_enough(merged, 160), F.col(at) == F.col(folder)).drop(at, folder)
+            rows.repartition(files, shard).write.mode("overwrite").option("compression", "zstd").partitionBy(shard).parquet(f"{self.root}/{new}")
         grown = plan.where("into is not null").groupBy("into").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.min("run").alias("run"))
         grown = grown.select(
-            F.col("into").alias("shard_id"), F.format_string(f"{new}/__shard=%s", "into").alias("folder"), "run", tier(F.col("n_bytes"), self.base_bytes).alias("tier"), "n_rows", "n_bytes"
+            F.col("into").alias("shard_id"), F.format_string(f"{new}/{shard}=%s", "into").alias("folder"), "run", tier(F.col("n_bytes"), self.base_bytes).alias("tier"), "n_rows", "n_bytes"
         )
         return self._commit(plan.where("into is null").drop("into", "version").unionByName(grown), base)
 
     # -------------------------------------------------------------- reading
 
-    def _scan(self, schema) -> DataFrame:
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/data")
-        inside = F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+/__(?:run|shard)=[^/]+)/[^/]+$", 1)
-        return rows.select("*", inside.alias("__folder"))
+    @staticmethod
+    def _names(schema) -> list[str]:
+        return list(schema.names) if hasattr(schema, "names") else [f.split()[0] for f in schema.split(",")]
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """The live rows of a version with their shard's manifest columns (prefixed ``shard_``)."""
-        shards = self.manifest(version).select(
-            "shard_id", F.col("folder").alias("__at"), F.col("tier").alias("shard_tier"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), F.col("version").alias("shard_version")
-        )
-        return self._scan(schema).join(small_enough(shards, 200), F.col("__folder") == F.col("__at")).drop("__folder", "__at")
+    def _scan(self, schema, folder: str) -> DataFrame:
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/data")
+        inside = F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+/[^/=]+=[^/]+)/[^/]+$", 1)
+        return rows.select("*", inside.alias(folder))
+
+    def read(self, schema, version: int | None = None, prefix: str = "shard_") -> DataFrame:
+        """The live rows of a version with their shard's manifest columns, whose names start with ``prefix``."""
+        columns = {"id": "shard_id", "tier": "tier", "rows": "n_rows", "bytes": "n_bytes", "version": "version"}
+        at, folder = free([*self._names(schema), *(prefix + c for c in columns)], "at", "folder")
+        shards = self.manifest(version).select(F.col("folder").alias(folder), *(F.col(c).alias(prefix + n) for n, c in columns.items()))
+        return self._scan(schema, at).join(small_enough(shards, 200), F.col(at) == F.col(folder)).drop(at, folder)
 
     def vacuum(self) -> None:
         """Delete data folders that the newest manifest does not name."""

@@ -101,6 +101,24 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     return spread.unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened by underscores where a column has them already (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; rows without an id stay."""
+    (name,) = free(docs.columns, "gone")
+    gone = gone.toDF(name)
+    return docs.join(small_enough(gone, 16), docs[id_col].cast("long") == F.col(name), "left_anti")
+
+
 # ---------------------------------------------------------------- expressions
 
 

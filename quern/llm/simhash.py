@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Words, join_spread, land, slices, small_enough
+from quern.llm.shared import Words, drop_ids, join_spread, land, slices
 
 
 def _fingerprints(texts: pa.Array, width: int, seed: int) -> np.ndarray:
@@ -121,5 +121,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document (the smallest id) of each component; columns and texts unchanged."""
-    gone = near_groups(docs, id_col, text_col, **options).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(small_enough(land(gone, "gone"), 16), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = near_groups(docs, id_col, text_col, **options).where("id <> component_id").select("id").distinct()
+    return drop_ids(docs, land(gone, "gone"), id_col)

@@ -147,3 +147,22 @@ def test_exact_query(spark, documents):
 def test_classifier_query(spark):
     rows = QUERIES["op9_quality_classifier"](spark, str(SF)).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+
+
+AWKWARD = [(None, None, None, None, None), (None, "no id", "en", None, 5), (1, None, "en", "src0", None), (1, None, "en", "src0", None), (2, "", None, "src1", 0), (3, "same text " * 30, "de", "src1", 1), (4, "same text " * 30, "de", "src1", 1), (5, "w " * 9000, "xx", "", 2)]
+
+
+@pytest.mark.parametrize("rows", [[], AWKWARD], ids=["empty", "awkward"])
+def test_every_stage_takes_awkward_tables(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "fp", "n") for r in rows], f"{schema}, fp string, __id string")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(SF))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+        found = out.collect()
+        assert (len(found) == 0) if not rows else True
+    if rows:
+        assert {r.doc_id for r in corpus_pipeline.exact(spark, docs, str(SF)).collect()} == {None, 2, 4, 5}
+        near = corpus_pipeline.near(spark, docs, str(SF)).collect()
+        assert {r.doc_id for r in near} >= {None, 1, 3, 5} and 4 not in {r.doc_id for r in near}

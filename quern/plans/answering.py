@@ -44,8 +44,58 @@ def _strategy(name, **config):
     return run
 
 
+_TWENTY = f"{bm25_ctes()}, few AS ({top('bm25', 20)}), cand AS MATERIALIZED (SELECT f.*, {token_set_sql('d.text')} AS ws, CASE WHEN length(d.text) = 0 THEN 0 ELSE greatest(1, length(d.text) // 4) END::INTEGER AS t FROM few f JOIN documents d ON d.doc_id = f.chunk_id)"
+
+
+def _alike(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"coalesce({both}::DOUBLE / nullif(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len({a}) + len({b}) - {both} END, 0), 0)"
+
+
+_DEDUP = f"""{_TWENTY}, alike AS (
+        SELECT a.query_id, a.rank, list(b.rank) FILTER (WHERE {_alike("a.ws", "b.ws")} >= 0.85) AS near FROM cand a LEFT JOIN cand b ON a.query_id = b.query_id AND b.rank < a.rank GROUP BY ALL
+    ), walk AS (
+        SELECT DISTINCT query_id, 0 AS pos, []::INTEGER[] AS kept FROM cand
+        UNION ALL SELECT w.query_id, w.pos + 1, CASE WHEN len(list_intersect(coalesce(a.near, []), w.kept)) = 0 THEN list_append(w.kept, a.rank) ELSE w.kept END FROM walk w JOIN alike a ON a.query_id = w.query_id AND a.rank = w.pos + 1
+    ), last AS (SELECT query_id, kept, pos FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1)"""
+# relevance and likeness of what is left, then again and again the best of it
+_VALUES = "list_transform(range(1, len(base) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN NULL ELSE base[i] - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda j: m[i][j])), 0) END)"
+
+
+def _mmr_sql(k: int) -> str:
+    return f"""WITH RECURSIVE {_DEDUP}, item AS MATERIALIZED (
+        SELECT c.*, list_position(l.kept, c.rank) AS i, l.pos - len(l.kept) AS removed, {_alike("q.ws", "c.ws")} AS asked FROM cand c JOIN last l ON l.query_id = c.query_id AND list_contains(l.kept, c.rank) JOIN (SELECT item_id, {token_set_sql("text")} AS ws FROM benchmark) q ON q.item_id = c.query_id
+    ), base AS (SELECT query_id, list(0.7::DOUBLE * (0.5::DOUBLE * score + 0.5::DOUBLE * asked) ORDER BY i) AS base FROM item GROUP BY query_id
+    ), likeness AS (SELECT a.query_id, a.i, list({_alike("a.ws", "b.ws")} ORDER BY b.i) AS s FROM item a JOIN item b ON a.query_id = b.query_id GROUP BY ALL
+    ), matrix AS (SELECT query_id, list(s ORDER BY i) AS m FROM likeness GROUP BY query_id
+    ), pick AS (
+        SELECT query_id, []::BIGINT[] AS chosen, base, m FROM base JOIN matrix USING (query_id)
+        UNION ALL SELECT query_id, list_append(chosen, list_position({_VALUES}, list_max({_VALUES}))), base, m FROM pick WHERE len(chosen) < least(len(base), {k})
+    ), best AS (SELECT query_id, chosen FROM pick QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(chosen) DESC) = 1
+    ), picked AS (SELECT i.*, list_position(b.chosen, i.i) AS place FROM item i JOIN best b ON b.query_id = i.query_id AND list_contains(b.chosen, i.i))"""
+
+
+def _budget_sql(source: str, place: str) -> str:
+    return f"""fit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score / t DESC, {place}) AS p FROM {source} WHERE t >= 20),
+    fill AS (
+        SELECT DISTINCT query_id, 0::BIGINT AS p, 0 AS used, false AS taken FROM fit
+        UNION ALL SELECT w.query_id, f.p, w.used + CASE WHEN w.used + f.t <= 2048 THEN f.t ELSE 0 END, w.used + f.t <= 2048 FROM fill w JOIN fit f ON f.query_id = w.query_id AND f.p = w.p + 1
+    ), dropped AS (SELECT query_id, count(*) FILTER (WHERE NOT taken AND p > 0) AS n FROM fill GROUP BY query_id)
+    SELECT f.query_id, f.chunk_id, row_number() OVER (PARTITION BY f.query_id ORDER BY f.p)::INTEGER AS rank, f.score, f.t AS token_count, false AS was_compressed, f.removed::INTEGER AS duplicates_removed, d.n::INTEGER AS dropped_budget
+    FROM fit f JOIN fill w ON w.query_id = f.query_id AND w.p = f.p AND w.taken JOIN dropped d ON d.query_id = f.query_id"""
+
+
+#: The greedy steps as recursion over each query's candidates in order.
+_GREEDY = {
+    "dedup_only": f"""WITH RECURSIVE {_DEDUP}
+    SELECT c.query_id, c.chunk_id, list_position(l.kept, c.rank)::INTEGER AS rank, c.score, c.t AS token_count, false AS was_compressed, (l.pos - len(l.kept))::INTEGER AS duplicates_removed, 0 AS dropped_budget
+    FROM cand c JOIN last l ON l.query_id = c.query_id AND list_contains(l.kept, c.rank) AND list_position(l.kept, c.rank) <= 10""",
+    "budget": f"WITH RECURSIVE {_TWENTY}, all_of AS (SELECT *, 0 AS removed FROM cand), {_budget_sql('all_of', 'rank')}",
+    "mmr": f"{_mmr_sql(10)} SELECT query_id, chunk_id, place::INTEGER AS rank, score, t AS token_count, false AS was_compressed, removed::INTEGER AS duplicates_removed, 0 AS dropped_budget FROM picked",
+    "full": f"{_mmr_sql(20)}, {_budget_sql('picked', 'place')}",
+}
 for _name in ("dedup_only", "mmr", "budget", "full", "full_compressed"):
-    ANSWERING.add()(_strategy(_name))
+    ANSWERING.add(_GREEDY.get(_name))(_strategy(_name))
 
 
 @ANSWERING.add(

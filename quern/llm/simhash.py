@@ -5,7 +5,9 @@ bits, one of the segments differs in at most one. So each segment has a table ke
 value, every fingerprint asks each table for its own value and for the values one bit away (the
 small Hamming ball), and whatever the tables return is verified over all 64 bits. A pair one bit
 apart in a segment is asked for only by the fingerprint that has the bit clear, which halves the
-probes. Equal fingerprints are merged first: a group of copies is one row.
+probes. Equal fingerprints are merged first: a group of copies is one row. Table entries that hold very
+many different fingerprints, as a large group of near copies may fill, are linked through the points
+between them, so that no group is ever paired within itself.
 
 Links become components by alternating large-star and small-star steps, each written to a shared
 table; no link or component is ever collected.
@@ -21,10 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Words, drop_ids, join_spread, land, slices
+from quern.llm.shared import Words, drop_ids, join_spread, land, slices, small_enough
+
+
+#: Table entries with more distinct fingerprints than this are linked through points instead of pairs.
+DENSE = 512
 
 
 def _fingerprints(texts: pa.Array, width: int, seed: int) -> np.ndarray:
@@ -62,26 +68,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def hamming_links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b), a < b: every two distinct values of ``prints.fp`` that differ in 1 to ``distance`` (at most 3) bits."""
+def hamming_links(prints: DataFrame, distance: int = 3, dense: int | None = None) -> DataFrame:
+    """(a, b), a < b: every two distinct values of ``prints.fp`` that differ in 1 to ``distance`` (at most 3) bits.
+
+    With ``dense``, table entries that hold more fingerprints than that are not paired: see
+    ``_dense_links``. The links then are fewer, with the same components.
+    """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with a ball of radius one find distances up to 3")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     # the key holds the segment's number in bit 32
-    table = prints.select("fp", F.explode(F.array(low, high.bitwiseOR(F.lit(1 << 32)))).alias("key"))
+    own = (low, high.bitwiseOR(F.lit(_HIGH)))
+    table = prints.select("fp", F.explode(F.array(*own)).alias("key"))
     bit = [F.lit(1 << i) for i in range(32)]
 
     def ball(segment: Column, tag: int) -> Column:
         keys = [segment] + [F.when(segment.bitwiseAND(b) == 0, segment.bitwiseOR(b)) for b in bit]
         return F.transform(F.array_compact(F.array(*keys)), lambda k: k.bitwiseOR(F.lit(tag)))
 
-    probes = prints.select(
-        F.col("fp").alias("probe"),
-        F.explode(F.concat(ball(low, 0), ball(high, 1 << 32))).alias("key"),
-    )
+    probes = prints.select(F.col("fp").alias("probe"), F.explode(F.concat(ball(low, 0), ball(high, _HIGH))).alias("key"))
+    stars = None
+    if dense is not None and distance == 3:
+        full = land(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
+        if not full.isEmpty():
+            full = small_enough(full, 16)
+            stars = _dense_links(table.join(full, "key", "left_semi"), probes.join(full, "key", "left_semi"))
+            table, probes = (t.join(full, "key", "left_anti") for t in (table, probes))
     differ = F.bit_count(F.col("probe").bitwiseXOR(F.col("fp")))
     pairs = probes.join(table, "key").where((F.col("probe") != F.col("fp")) & (differ <= distance))
-    return pairs.select(F.least("probe", "fp").alias("a"), F.greatest("probe", "fp").alias("b")).distinct()
+    links = pairs.select(F.least("probe", "fp").alias("a"), F.greatest("probe", "fp").alias("b"))
+    return (links if stars is None else links.unionByName(stars)).distinct()
+
+
+_HIGH = 1 << 32
+#: Masks of at most one and at most two of 32 bits.
+_ONE = [0, *(1 << i for i in range(32))]
+_TWO = [*_ONE, *(1 << i | 1 << j for i in range(32) for j in range(i))]
+
+
+def _dense_links(table: DataFrame, probes: DataFrame) -> DataFrame:
+    """Links of table entries with many fingerprints, without pairing these: 33 to 562 rows for each of them.
+
+    Members of an entry agree in one half. Each stands at its other half and at the points one bit
+    away from it; a probe stands at the points two bits away, or one if it already differs in the
+    first half. Members at one point are within two bits of each other, and a probe at a member's
+    point is within three bits of it; conversely any link has such a point. So each point links all
+    that stand at it to the smallest member there, if there is one.
+    """
+    low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftrightunsigned(c, 32)
+    first = F.col("key") < _HIGH
+
+    def points(masks: list[int]) -> Column:
+        return F.array(*map(F.lit, masks)).cast("array<long>")
+
+    def standing(rows: DataFrame, name: str, masks: Column, member: bool) -> DataFrame:
+        other = F.when(first, high(name)).otherwise(low(name))
+        placed = rows.select("key", F.col(name).alias("fp"), other.alias("other"), F.explode(masks).alias("mask"))
+        return placed.select("key", "fp", F.col("other").bitwiseXOR(F.col("mask")).alias("point"), F.lit(member).alias("member"))
+
+    same = F.col("key") == F.when(first, low("probe")).otherwise(high("probe").bitwiseOR(F.lit(_HIGH)))
+    both = standing(table, "fp", points(_ONE), True).unionByName(standing(probes, "probe", F.when(same, points(_TWO)).otherwise(points(_ONE)), False))
+    centre = F.min(F.when(F.col("member"), F.col("fp"))).over(Window.partitionBy("key", "point"))
+    linked = both.withColumn("centre", centre).where(F.col("centre") != F.col("fp"))
+    return linked.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -112,7 +161,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``docs``: id, fp, component_id (the smallest id that links reach)."""
     rows = land(fingerprints(docs, id_col, text_col, width, seed), "prints")
     prints = land(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
-    found = components(hamming_links(prints.select("fp"), distance))
+    found = components(hamming_links(prints.select("fp"), distance, DENSE))
     least = prints.join(found, prints["fp"] == found["node"]).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     named = prints.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))

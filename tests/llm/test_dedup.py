@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -151,6 +152,31 @@ def test_links_and_components_lose_nothing(spark):
     assert {i for i, r in expected.items() if r != i} <= set(got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_dense_entries_keep_all_components(spark, seed):
+    rng = random.Random(seed)
+    values = set()
+    for _ in range(3):  # clouds around centres that agree in a half, and strays
+        centre = rng.getrandbits(64)
+        for _ in range(70):
+            v = centre
+            for b in rng.sample(range(rng.choice([0, 32]), 64), rng.randint(0, 6)):
+                v ^= 1 << b
+            values.add(v)
+    values = sorted(values | {rng.getrandbits(64) for _ in range(40)})
+    signed = [(int(np.uint64(v).astype(np.int64)),) for v in values]
+    links = simhash.hamming_links(spark.createDataFrame(signed, "fp long"), dense=2).collect()
+    near = [(a % 2**64, b % 2**64) for a, b in links]
+    assert all(1 <= bin(a ^ b).count("1") <= 3 for a, b in near)
+    place = {v: k for k, v in enumerate(values)}
+    root = dict(place)
+    for _ in values:  # components of the links
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    truth = groups_truth({place[v]: v for v in values})
+    assert {place[v]: r for v, r in root.items()} == truth and len(set(truth.values())) < len(values)
+
+
 def test_long_chain_of_links_settles(spark):
     n = 300
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")).collect()}

@@ -7,13 +7,13 @@ programming over the automaton's states finds the cheapest repair of the whole c
 which is then rendered.
 
 A conversation of more than ``chunk_turns`` turns is not gathered anywhere: it is cut by turn number
-into chunks, each chunk is summed up as a matrix of least costs from state to state, the matrices
+(and within a number that many turns share, by a hash) into chunks, each chunk is summed up as a matrix of least costs from state to state, the matrices
 of a conversation (one for each chunk) are chained to fix the states at the cuts, and every chunk is
 then repaired on its own between its two states. Rendered pieces are rows, one for each given
 turn; joined in order they are the rendered conversation.
 
 Edge cases: a null or unknown role may become any role at a small cost; a null text is empty; a null
-turn number sorts last; turns with equal numbers go by role, then text; repeated rows are turns of
+turn number sorts last; turns with equal numbers go by a hash of role and text; repeated rows are turns of
 their own; rows without a conversation id form one conversation; an empty table gives an empty
 result; other columns are ignored whatever their names.
 """
@@ -192,19 +192,25 @@ def repair(
         F.col(role_col).cast("string").alias("role"),
         F.col(text_col).cast("string").alias("text"),
     ).withColumn("code", _role_code())
+    # 31 bits, so that the cell of a tie is a product and a shift
+    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("role", "text"), 33))
 
     # long conversations and the width of their chunks in turn numbers
     sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"))
-    width = F.ceil((F.coalesce(F.col("high") - F.col("low"), F.lit(0)) + 1) / F.ceil(F.col("n") / chunk_turns))
-    long = land(sizes.where(F.col("n") > chunk_turns).select(F.col("conv_id").alias("long_id"), F.coalesce("low", F.lit(0)).alias("low"), "high", width.cast("long").alias("width")), "long")
+    # turn numbers span low .. top, where top stands for null; a chunk is ``width`` numbers, or a number is ``cells`` chunks
+    low, top = F.coalesce("low", F.lit(0)), F.coalesce(F.col("high") + 1, F.lit(0))
+    chunks = F.ceil(F.col("n") / chunk_turns)
+    long = sizes.where(F.col("n") > chunk_turns).select(F.col("conv_id").alias("long_id"), low.alias("low"), top.alias("top"), chunks.alias("chunks"))
+    span = F.col("top") - F.col("low") + 1
+    long = long.select("long_id", "low", "top", F.ceil(span / F.col("chunks")).cast("long").alias("width"), F.ceil(F.col("chunks") / span).cast("long").alias("cells"))
+    long = land(long, "long")
     some = not long.isEmpty()
-    order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    order = [F.col("turn").asc_nulls_last(), F.col("tie"), F.col("role"), F.col("text")]
     if some:
-        # a null turn number sorts last, so it belongs to the last chunk
-        chunk = F.expr("(coalesce(turn, high, low) - low) div width")
+        chunk = F.expr("((coalesce(turn, top) - low) div width) * cells + shiftright(tie * cells, 31)")
         joined = rows.join(small_enough(long, 40), F.col("conv_id").eqNullSafe(F.col("long_id")), "left")
-        rows = joined.withColumn("chunk", F.when(F.col("width").isNotNull(), chunk).otherwise(0)).drop("long_id", "low", "high", "width")
-        hot = joined.where(F.col("width").isNotNull()).withColumn("chunk", chunk).select("conv_id", "chunk", "turn", "role", F.xxhash64("text").alias("text"), "code")
+        rows = joined.withColumn("chunk", F.when(F.col("width").isNotNull(), chunk).otherwise(0)).drop("long_id", "low", "top", "width", "cells")
+        hot = joined.where(F.col("width").isNotNull()).withColumn("chunk", chunk).select("conv_id", "chunk", "turn", "tie", "role", F.xxhash64("text").alias("text"), "code")
         borders = _borders(hot, automaton, order)
         rows = rows.join(small_enough(borders, 40), rows["conv_id"].eqNullSafe(borders["at_id"]) & (rows["chunk"] == borders["at_chunk"]), "left").drop("at_id", "at_chunk")
     else:

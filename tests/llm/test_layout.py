@@ -7,7 +7,7 @@ import io
 import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -332,9 +332,11 @@ def rendered(rows):
 
 def test_long_conversations_are_cut_without_a_trace(spark):
     rows = random_turns(1, 1, 400) + random_turns(2, 2, 50) + random_turns(3, None, 90) + [(4, None, "user", "late"), (4, 1, "user", "early")]
-    rows += [(5, 7, "user", "same")] * 60 + [(6, None, "assistant", str(k)) for k in range(45)]
+    rows += [(5, 7, "user", "same")] * 60 + [(6, None, "assistant", str(k)) for k in range(300)] + [(6, 3, "user", str(k)) for k in range(90)]
     whole, cut = (chat.repair(conversations(spark, rows), chunk_turns=n).collect() for n in (4096, 37))
     assert len(whole) == len(cut) == len(rows) and {r.chunk for r in whole} == {0} and len({r.chunk for r in cut}) > 3
+    sizes = Counter((r.conv_id, r.chunk) for r in cut if r.conv_id != 5)
+    assert max(sizes.values()) < 90
     for conv in (1, 2, None, 4, 5, 6):
         a, b = ([r for r in x if r.conv_id == conv] for x in (whole, cut))
         assert sum(r.cost for r in a) == sum(r.cost for r in b)

@@ -152,11 +152,12 @@ def gate_verdicts(spark, sf_dir):
     return quality.gate_verdict(rows.select("run", verdict.alias("verdict"), F.lit(False).alias("tail_critical")), ["run"])
 
 
-_TWO = f"WITH {_RUN}, cur AS (SELECT metric, round(avg(value), 6) AS value FROM sample WHERE run = 1 GROUP BY metric), base AS (SELECT metric, round(avg(value), 6) AS baseline FROM sample WHERE run = 2 GROUP BY metric)"
+_TWO = f"WITH {_RUN}, cur AS (SELECT metric, round(avg(value), 6) AS value FROM sample WHERE run < 2 GROUP BY metric), base AS (SELECT metric, round(avg(value), 6) AS baseline FROM sample WHERE run >= 2 GROUP BY metric)"
 
 
-def _runs(spark, sf_dir, run):
-    return _run_metrics(spark, sf_dir).where(F.col("run") == run).groupBy("metric").agg(rounded(F.avg("value")).alias("value"))
+def _runs(spark, sf_dir, current):
+    """The first two runs are the current ones, the rest the baseline."""
+    return _run_metrics(spark, sf_dir).where((F.col("run") < 2) == current).groupBy("metric").agg(rounded(F.avg("value")).alias("value"))
 
 
 @EVALUATION.add(
@@ -164,7 +165,7 @@ def _runs(spark, sf_dir, run):
     CASE WHEN abs(value - baseline) < 0.01 THEN 'stable' WHEN (value > baseline) <> (metric = 'hallucination_rate') THEN 'improved' ELSE 'degraded' END AS direction FROM cur JOIN base USING (metric)"""
 )
 def baseline_delta(spark, sf_dir):
-    rows = quality.baseline_delta(_runs(spark, sf_dir, 1), _runs(spark, sf_dir, 2))
+    rows = quality.baseline_delta(_runs(spark, sf_dir, True), _runs(spark, sf_dir, False))
     return rows.select("metric", "current", "baseline", rounded("delta").alias("delta"), rounded("delta_pct", 4).alias("delta_pct"), "direction")
 
 
@@ -177,7 +178,7 @@ _UP = ", ".join(f"'{m}'" for m in quality.HIGHER_BETTER)
     count(*) FILTER (WHERE d < -0.001 AND NOT (metric = 'e2e_latency_p95_ms' AND value < 100)) = 0 AND count(*) FILTER (WHERE d > 0.001) >= 3 AS passed FROM d"""
 )
 def release_gate(spark, sf_dir):
-    return quality.release_gate(_runs(spark, sf_dir, 1), _runs(spark, sf_dir, 2))
+    return quality.release_gate(_runs(spark, sf_dir, True), _runs(spark, sf_dir, False))
 
 
 @EVALUATION.add(
@@ -196,7 +197,7 @@ _METRIC_OF = "CASE event_id % 13 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in
 
 
 @EVALUATION.add(
-    f"""WITH s AS (SELECT user_id % 40 AS task, {_METRIC_OF} AS metric, avg((event_id * 37) % 101 / 100.0::DOUBLE) AS value FROM events WHERE event_id % 3 > 0 AND (event_id * 7) % 11 > 6 GROUP BY ALL),
+    f"""WITH s AS (SELECT user_id % 40 AS task, {_METRIC_OF} AS metric, avg(CASE WHEN event_id % 3 > 0 AND (event_id * 7) % 11 > 6 THEN (event_id * 37) % 101 / 100.0::DOUBLE END) AS value FROM events GROUP BY ALL),
     w(metric, weight, other) AS (VALUES {", ".join(f"('{m}', {w}::DOUBLE, {repr({'rerank_mrr': 'retrieval_mrr', 'rerank_ndcg': 'retrieval_ndcg'}.get(m, m))})" for m, w in _W.items())}),
     v AS (SELECT t.task, w.weight, coalesce(a.value, b.value) AS value FROM (SELECT DISTINCT task FROM s) t CROSS JOIN w LEFT JOIN s a ON a.task = t.task AND a.metric = w.metric LEFT JOIN s b ON b.task = t.task AND b.metric = w.other)
     SELECT task, round(sum(weight * value) / sum(CASE WHEN value IS NOT NULL THEN weight END), 6) AS composite FROM v GROUP BY task"""
@@ -206,8 +207,9 @@ def task_composite(spark, sf_dir):
     metric = F.lit(None).cast("string")
     for k, m in enumerate(_W):
         metric = F.when(F.col("event_id") % 13 == k, F.lit(m)).otherwise(metric)
-    rows = table(spark, sf_dir, "events").where((F.col("event_id") % 3 > 0) & (F.col("event_id") * 7 % 11 > 6))
-    rows = rows.groupBy((F.col("user_id") % 40).alias("task"), metric.alias("metric")).agg(F.avg(F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0).alias("value"))
+    given = (F.col("event_id") % 3 > 0) & (F.col("event_id") * 7 % 11 > 6)
+    value = F.when(given, F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0)
+    rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("task"), metric.alias("metric")).agg(F.avg(value).alias("value"))
     return quality.composite(rows, ["task"]).withColumn("composite", rounded("composite"))
 
 
@@ -253,10 +255,10 @@ def config_ranking(spark, sf_dir):
     return quality.best_config(rows, "score", ["label"]).withColumn("margin", rounded("margin"))
 
 
-@EVALUATION.add("SELECT doc_id, round(2.0 * (doc_id % 7) * (doc_id % 5) / nullif(7.0 * (doc_id % 5) + 5.0 * (doc_id % 7), 0), 6) AS f1 FROM documents WHERE (doc_id % 5) + (doc_id % 7) > 0")
+@EVALUATION.add("SELECT doc_id, round(coalesce(2.0::DOUBLE * (doc_id % 7) * (doc_id % 5) / nullif(7.0 * (doc_id % 5) + 5.0 * (doc_id % 7), 0), 0), 6) AS f1 FROM documents")
 def f1_scores(spark, sf_dir):
     p, r = F.col("doc_id") % 7 / 7.0, F.col("doc_id") % 5 / 5.0
-    return table(spark, sf_dir, "documents").where("doc_id % 5 + doc_id % 7 > 0").select("doc_id", rounded(quality.f1(p, r)).alias("f1"))
+    return table(spark, sf_dir, "documents").select("doc_id", rounded(quality.f1(p, r)).alias("f1"))
 
 
 @EVALUATION.add("SELECT coalesce(CASE WHEN item_id % 3 > 0 THEN 'k' || item_id % 3 END, 'unknown') AS value, count(*) AS samples FROM benchmark GROUP BY 1")

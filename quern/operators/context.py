@@ -209,6 +209,7 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85, id_col: str = "doc_i
 
     A pair at the threshold shares one of the rarest tokens of each side's prefix, so only those are
     joined; equal token sets are one row while pairs are sought, represented by their smallest id.
+    ``similar_classes`` says which documents each representative stands for.
     """
     sets = rows.select(F.col(id_col).alias("id"), F.array_sort(T.token_set(F.col(text_col))).alias("words")).where(F.size("words") > 0)
     sets = sets.groupBy("words").agg(F.min("id").alias("id"))
@@ -226,3 +227,15 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85, id_col: str = "doc_i
     held = sets.select("id", "words")
     both = pairs.join(held.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(held.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
     return both.select("a", "b", T.jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def similar_classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, class_size) for each row with tokens: the smallest id with the same token set, which ``similar_pairs`` names, and the rows that have it.
+
+    Every two rows of a class have similarity 1, and each row has the pairs of its class.
+    """
+    words = F.array_sort(T.token_set(F.col(text_col)))
+    # tokens hold no blanks, so the joined words stand for the set
+    sets = rows.where(F.size(words) > 0).select(F.col(id_col).alias("id"), F.sha2(F.array_join(words, " "), 256).alias("digest"))
+    classes = sets.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return sets.join(classes, "digest").select("id", "class_id", "class_size")

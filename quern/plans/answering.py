@@ -107,6 +107,14 @@ def pairwise_jaccard_near_dups(spark, sf_dir):
     return context.similar_pairs(table(spark, sf_dir, "documents")).withColumn("similarity", rounded("similarity"))
 
 
+@ANSWERING.add(
+    f"""SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size FROM (SELECT doc_id, list_sort({token_set_sql('text')}) AS ws FROM documents) WHERE len(ws) > 0 WINDOW w AS (PARTITION BY ws)"""
+)
+def pairwise_jaccard_classes(spark, sf_dir):
+    """For every document the representative under which the pairs above name it."""
+    return context.similar_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # ---------------------------------------------------------------- answers made up from the passages
 
 _ANSWER_SQL = "substr(text, 1, 80) || '. [1] ' || substr(text, 81, 80) || '. [source 2] [Source 9]. This is not true [Source 1].' || chr(10) || chr(10) || chr(10) || chr(10) || '[Source 3] # Heading'"

@@ -211,6 +211,18 @@ def test_similar_pairs_are_complete(spark):
     assert got == {(a, b) for a, x in sets for b, y in sets if a < b and X.overlap(x, y) >= 0.7}
 
 
+def test_similar_pairs_and_classes_reach_every_document(spark):
+    texts = ["a b c d", "D c b A", "a b c d", "a b c d e", "a b c e d", "x y", "y x", "z", "", None]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, DOCS)
+    classes = {r.id: (r.class_id, r.class_size) for r in X.similar_classes(docs).collect()}
+    assert classes == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (3, 2), 4: (3, 2), 5: (5, 2), 6: (5, 2), 7: (7, 1)}
+    pairs = {(r.a, r.b) for r in X.similar_pairs(docs, 0.8).collect()}
+    linked = {(a, b) for a in classes for b in classes if a < b and (classes[a][0] == classes[b][0] or (classes[a][0], classes[b][0]) in pairs)}
+    sets = [(i, X.token_set(t or "")) for i, t in rows]
+    assert linked == {(a, b) for a, x in sets for b, y in sets if a < b and X.overlap(x, y) >= 0.8}
+
+
 # ---------------------------------------------------------------- the collection
 
 VEC = "id long, embedding array<double>, metadata map<string,string>, document string"

@@ -21,7 +21,7 @@ def payloads(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         F.when(k == 1, null.cast("long")).when(k == 2, -1).otherwise(F.col("doc_id") + 1).alias("id"),
         F.when(k == 3, "https://example.org/1").otherwise(F.concat(F.lit("https://github.com/o/r/issues/"), F.col("doc_id").cast("string"))).alias("html_url"),
-        F.when(k == 4, F.repeat(F.lit("t"), 257)).otherwise(F.substring("text", 1, 60)).alias("title"), F.substring("text", 1, 65000).alias("body"),
+        F.when(k == 4, F.repeat(F.lit("t"), 257)).otherwise(F.substring("text", 1, 60)).alias("title"), F.col("text").alias("body"),
         F.when(k == 5, "2024-01-02 10:00").otherwise("2024-01-02T10:00:00Z").alias("created_at"), F.when(k == 6, "").otherwise("2024-01-03T10:00:00+00:00").alias("updated_at"),
         F.struct(F.when(k == 7, F.repeat(F.lit("u"), 40)).when(k == 8, null).otherwise(F.col("source")).alias("login")).alias("user"), F.array(F.struct(F.col("lang").alias("name"))).alias("labels"),
         F.lit("https://api/r").alias("repository_url"), F.when(k == 9, 0).otherwise(5).alias("number"), F.when(k == 10, "merged").otherwise("open").alias("state"), null.alias("pull_request"), null.alias("issue_url"), "doc_id",

@@ -201,3 +201,14 @@ def test_operations(spark):
     assert (load.requests, load.p50_ms, load.p95_ms, load.errors) == (20, 10.5, 19.0, 0) and load.qps == pytest.approx(20 / 0.21)
     tiers = {r.tier: r for r in ops.capacity(spark).collect()}
     assert round(tiers["10K"].storage_mb, 1) == 390.6 and tiers["1M"].query_p95_ms == 205 and tiers["100K"].bottlenecks == "vector_index_size,disk_budget"
+
+
+def test_payload_queries_see_whole_texts(spark, tmp_path):
+    from quern.plans import operations
+
+    texts = {0: "a" * 65100 + "b", 12: "a" * 65100 + "c", 24: "d" * 65536}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.external_id - 1: r.hash_content for r in operations.payload_documents(spark, str(tmp_path)).collect()}
+    assert found == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in (0, 12)}
+    assert {r.doc_id: r.error_code for r in operations.validate_payloads(spark, str(tmp_path)).collect()} == {0: "", 12: "", 24: "validation_payload_too_large"}
+    assert [tuple(r) for r in operations.error_category_counts(spark, str(tmp_path)).collect()] == [("validation_payload_too_large", 1)]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import drop_ids, join_spread, land, remove, scratch_path, small_enough, whole
+from quern.llm.shared import drop_rows, join_spread, land, located, remove, scratch_path, small_enough, whole
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = {
@@ -48,9 +48,14 @@ class DedupLog:
     def __init__(self, spark: SparkSession, root: str, files_per_batch: int = 64, digest=sha256):
         self.spark, self.root, self.files_per_batch, self.digest = spark, root.rstrip("/"), files_per_batch, digest
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Log arrivals; the locator (partition and row of the log) names one row for good."""
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), self.digest(whole(text_col)).alias("digest"))
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> None:
+        """Log arrivals; the locator (partition and row of the log, or ``row_col`` in an empty log) names one row for good."""
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), self.digest(whole(text_col)).alias("digest"), *([F.col(row_col).alias("locator")] if row_col else []))
+        if row_col:
+            if self._has("log"):
+                raise ValueError("given locators need an empty log")
+            rows.write.parquet(f"{self.root}/log")
+            return
         logged = self.spark.read.schema(_LOG).parquet(f"{self.root}/log") if self._has("log") else None
         base = 0 if logged is None else (logged.agg(F.max("locator")).first()[0] or 0) + 1
         # the row's partition and place, made unique across appends
@@ -117,26 +122,36 @@ def exact_groups(
     files_per_batch: int = 64,
     digest=sha256,
     root: str | None = None,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row for each row of ``docs``: id, digest, keep_id, group_size, kept.
+    """One row for each row of ``docs``: id, digest, keep_id, group_size, kept; with ``row_col`` also locator.
 
     Of rows with equal text the one with the largest id stays (of repeated rows of that id, one).
+    ``row_col`` numbers the rows of ``docs``, so that the verdicts can be told to them.
     """
+    place = ["locator"] if row_col else []
     spark = docs.sparkSession
     log = DedupLog(spark, root or scratch_path(spark, "exact"), files_per_batch, digest)
-    log.append(docs, id_col, text_col)
+    log.append(docs, id_col, text_col, row_col)
     log.update()
     rows = join_spread(log.log(), land(log.state().withColumn("rows", F.col("n")), "state"), ["digest"], "rows").select(
-        "id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept")
+        "id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"), *place
     )
     clashes = log.clashes(docs, id_col, text_col)
     if clashes.isEmpty():
         return rows
     # Digests that stand for several texts: decide these rows by their bytes.
     digests = clashes.select("digest").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).select(
-        "id", digest(F.col("text")).alias("digest"), F.sha2("text", 512).alias("bytes")
+    given = [F.col(row_col).alias("locator")] if row_col else []
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"), *given).select(
+        "id", digest(F.col("text")).alias("digest"), F.sha2("text", 512).alias("bytes"), *place
     )
+    if row_col:
+        best = texts.join(digests, "digest", "left_semi").groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
+        apart = texts.join(best, ["digest", "bytes"]).select(
+            "id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"), "locator"
+        )
+        return rows.join(digests, "digest", "left_anti").select(*apart.columns).unionByName(apart)
     copies = texts.groupBy("digest", "bytes", "id").agg(F.count(F.lit(1)).alias("same"))
     apart = copies.join(clashes, ["digest", "bytes"]).select(
         "id", "digest", "keep_id", F.col("n").alias("group_size"), F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("copy")
@@ -146,10 +161,10 @@ def exact_groups(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the copies; columns and texts unchanged. Rows of an id of which one row stays, stay."""
-    rows = exact_groups(docs, id_col, text_col, **options)
-    gone = rows.groupBy("id").agg(F.max("kept").alias("any")).where(~F.col("any")).select("id")
-    return drop_ids(docs, gone, id_col)
+    """``docs`` without the copies, one row of each text; columns and texts unchanged."""
+    docs, row = located(docs)
+    rows = exact_groups(docs, id_col, text_col, row_col=row, **options)
+    return drop_rows(docs, rows.where(~F.col("kept")).select("locator"), row)
 
 
 __all__ = ["DedupLog", "exact_groups", "drop_exact", "sha256", "remove"]

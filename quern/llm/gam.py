@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import features
-from quern.llm.shared import drop_ids, land, slices
+from quern.llm.shared import drop_rows, land, located, slices
 
 #: Expected upper bound of the rows a model is fitted on.
 MAX_ROWS = 50_000
@@ -160,17 +160,18 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pairs: int = 10, bins:
 # ---------------------------------------------------------------- over DataFrames
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, counts of ``features.NAMES``) for each row of ``docs``, from whole texts."""
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, counts of ``features.NAMES``) for each row of ``docs``, from whole texts. With ``row_col`` also row."""
+    keys = ["id", "row"] if row_col else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = features.statistics(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(found[n].astype(np.int64)) for n in features.NAMES)], ["id", *features.NAMES])
+                yield pa.RecordBatch.from_arrays([*map(part.column, keys), *(pa.array(found[n].astype(np.int64)) for n in features.NAMES)], [*keys, *features.NAMES])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in features.NAMES))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*keys, *features.NAMES]))
 
 
 def learnable(column: str = "id"):
@@ -190,22 +191,23 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, label_col: str = "quality
     return counts, rows.column("label").to_numpy()
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, **options) -> DataFrame:
-    """(id, score) for each row of ``docs``; ``score`` is the probability of label 1."""
-    stats = land(text_statistics(docs, id_col, text_col), "statistics")
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, row_col: str | None = None, **options) -> DataFrame:
+    """(id, score) for each row of ``docs``; ``score`` is the probability of label 1. With ``row_col`` also row."""
+    keys = ["id", "row"] if row_col else ["id"]
+    stats = land(text_statistics(docs, id_col, text_col, row_col), "statistics")
     counts, y = labelled_rows(stats, labels, label_col, max_rows=max_rows)
     model = fit(features.ratios(counts), y, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features.ratios({n: batch.column(n).to_numpy() for n in features.NAMES})
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(model.score(x))], [*keys, "score"])
 
-    return stats.mapInArrow(run, "id long, score double")
+    return stats.mapInArrow(run, "".join(f"{k} long, " for k in keys) + "score double")
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, **options) -> DataFrame:
-    """``docs`` without those scored below ``at_least``; columns and texts unchanged, an id stays if any of its rows does."""
-    scored = land(classify(docs, labels, id_col=id_col, text_col=text_col, **options), "scores")
-    gone = scored.groupBy("id").agg(F.max("score").alias("best")).where(F.col("best") < at_least).select("id")
-    return drop_ids(docs, gone, id_col)
+    """``docs`` without those scored below ``at_least``; columns and texts unchanged. Each row goes by its own score."""
+    docs, row = located(docs)
+    scored = classify(docs, labels, id_col=id_col, text_col=text_col, row_col=row, **options)
+    return drop_rows(docs, scored.where(F.col("score") < at_least).select("row"), row)

@@ -112,11 +112,20 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``gone``; rows without an id stay."""
+def located(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A scratch copy of ``docs`` with a column that numbers its rows for good, and that column's name.
+
+    Repeated rows and rows without an id can only be told apart so.
+    """
+    (name,) = free(docs.columns, "row")
+    return land(docs.withColumn(name, F.monotonically_increasing_id()), "located"), name
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, row_col: str) -> DataFrame:
+    """``located`` rows without those whose number is in the one column of ``gone``; the numbers go."""
     (name,) = free(docs.columns, "gone")
-    gone = gone.toDF(name)
-    return docs.join(small_enough(gone, 16), docs[id_col].cast("long") == F.col(name), "left_anti")
+    gone = land(gone.toDF(name), "gone")
+    return docs.join(small_enough(gone, 16), docs[row_col] == F.col(name), "left_anti").drop(row_col)
 
 
 # ---------------------------------------------------------------- expressions

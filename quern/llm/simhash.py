@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Words, drop_ids, join_spread, land, slices, small_enough
+from quern.llm.shared import Words, drop_rows, join_spread, land, located, slices, small_enough
 
 
 #: Table entries with more distinct fingerprints than this are linked through points instead of pairs.
@@ -55,17 +55,18 @@ def _fingerprints(texts: pa.Array, width: int, seed: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp) with fp the 64-bit fingerprint as a signed long; one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """(id, fp) with fp the 64-bit fingerprint as a signed long; one row for each row of ``docs``. With ``row_col`` also row."""
+    keys = ["id", "row"] if row_col else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = _fingerprints(part.column("text"), width, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, keys), pa.array(fp)], [*keys, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def hamming_links(prints: DataFrame, distance: int = 3, dense: int | None = None) -> DataFrame:
@@ -157,18 +158,29 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
-    """One row for each row of ``docs``: id, fp, component_id (the smallest id that links reach)."""
-    rows = land(fingerprints(docs, id_col, text_col, width, seed), "prints")
-    prints = land(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: id, fp, component_id (the smallest id that links reach).
+
+    With ``row_col``, which numbers the rows of ``docs``, also row and kept: of each component one row
+    with its id stays, the one with the smallest number.
+    """
+    rows = land(fingerprints(docs, id_col, text_col, width, seed, row_col), "prints")
+    # a null id comes after all others
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")) if row_col else F.min("id")
+    prints = land(rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     found = components(hamming_links(prints.select("fp"), distance, DENSE))
     least = prints.join(found, prints["fp"] == found["node"]).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     named = prints.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))
-    return join_spread(rows, land(named, "named"), ["fp"], "rows").select("id", "fp", "component_id")
+    found = join_spread(rows, land(named, "named"), ["fp"], "rows")
+    if row_col is None:
+        return found.select("id", "fp", "component_id")
+    best = F.col("component_id")
+    return found.select("id", "fp", best["id"].alias("component_id"), "row", (F.col("row") == best["row"]).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each component; columns and texts unchanged."""
-    gone = near_groups(docs, id_col, text_col, **options).where("id <> component_id").select("id").distinct()
-    return drop_ids(docs, land(gone, "gone"), id_col)
+    """``docs`` with one row (of the smallest id) of each component; columns and texts unchanged."""
+    docs, row = located(docs)
+    gone = near_groups(docs, id_col, text_col, row_col=row, **options).where(~F.col("kept")).select("row")
+    return drop_rows(docs, gone, row)

@@ -181,3 +181,18 @@ def test_long_chain_of_links_settles(spark):
     n = 300
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")).collect()}
     assert got == dict.fromkeys(range(n + 1), 0)
+
+
+def test_drops_go_by_row(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long), (1, long), (1, long), (2, long), (None, "no id"), (None, "no id"), (None, "p q"), (3, "r s"), (3, "t u"), (4, "t u")]
+    docs = documents(spark, rows)
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    weak = lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 1))
+    for options in ({}, {"digest": weak}):
+        kept = exact_dedup.drop_exact(docs, **options)
+        assert kept.columns == docs.columns
+        assert found(kept) == sorted([(2, long), (None, "no id"), (None, "p q"), (3, "r s"), (4, "t u")], key=str)
+    kept = simhash.drop_near(docs)
+    assert kept.columns == docs.columns
+    assert found(kept) == sorted([(1, long), (None, "no id"), (None, "p q"), (3, "r s"), (3, "t u")], key=str)

@@ -1,24 +1,27 @@
 """Exact deduplication as a stateful stream.
 
-Arrivals are logged as narrow rows (id, SHA-256 digest, content locator). A Structured Streaming
-aggregation consumes the log; its keyed state lives in RocksDB on the executors' disks, has no
-watermark and so never expires, and holds for each digest the number of rows seen and the
-identifier and locator of the row that stays. A digest that was hit more than once has the full
-bytes of its rows compared, so a digest clash can never drop a document.
+Arrivals are logged as narrow rows (id, SHA-256 digest, arrival, content locator). A Structured
+Streaming aggregation consumes the log; its keyed state lives in RocksDB on the executors' disks,
+has no watermark and so never expires, and holds for each digest the number of rows seen and the
+identifier and locator of the row that stays. A locator is the file and the place in it where the
+row's content is stored: an arrival that is a plain file scan is located where it lies, any other is
+written to the log's folder first. A digest that was hit has the full bytes of its rows compared,
+those of earlier arrivals fetched by their locators, so a digest clash can never drop a document.
 
 Everything is DataFrame code; the stream's sink only writes a table.
 
 Edge cases: a null text counts as empty; null ids take part, and lose to any other id; repeated
 rows are separate rows of one group, of which one stays; an empty input gives an empty result;
-other columns are not looked at, whatever their names.
+other columns are not looked at, whatever their names. Files of earlier arrivals must stay where
+they were.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import drop_rows, join_spread, land, located, remove, scratch_path, small_enough, whole
+from quern.llm.shared import LOCATOR, drop_rows, exists, file_hash, join_spread, land, located, locator, scratch_path, small_enough, whole
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = {
@@ -31,13 +34,21 @@ _STORE = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
-_LOG = "id long, digest binary, locator long"
+_LOG = f"id long, digest binary, arrival int, locator {LOCATOR}"
+_KEEP = f"struct<id:bigint,arrival:int,locator:{LOCATOR}>"
+#: The texts behind a digest that stands for several: one row a text.
+_APART = f"digest binary, bytes string, n long, keep {_KEEP}, arrival int"
+_FILES = "arrival int, file long, path string, text_col string"
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _best() -> Column:
+    return F.max(F.struct("id", "arrival", "locator")).alias("keep")
+
+
 class DedupLog:
     """Digest log plus the stream's state, both in one folder that can be appended to forever.
 
@@ -45,25 +56,29 @@ class DedupLog:
     own checkpoint: a batch that is replayed overwrites the folder it wrote before.
     """
 
-    def __init__(self, spark: SparkSession, root: str, files_per_batch: int = 64, digest=sha256):
+    def __init__(self, spark, root: str, files_per_batch: int = 64, digest=sha256):
         self.spark, self.root, self.files_per_batch, self.digest = spark, root.rstrip("/"), files_per_batch, digest
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> None:
-        """Log arrivals; the locator (partition and row of the log, or ``row_col`` in an empty log) names one row for good."""
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), self.digest(whole(text_col)).alias("digest"), *([F.col(row_col).alias("locator")] if row_col else []))
-        if row_col:
-            if self._has("log"):
-                raise ValueError("given locators need an empty log")
-            rows.write.parquet(f"{self.root}/log")
-            return
-        logged = self.spark.read.schema(_LOG).parquet(f"{self.root}/log") if self._has("log") else None
-        base = 0 if logged is None else (logged.agg(F.max("locator")).first()[0] or 0) + 1
-        # the row's partition and place, made unique across appends
-        rows.withColumn("locator", F.monotonically_increasing_id() + F.lit(base)).write.mode("append").parquet(f"{self.root}/log")
-
-    def _has(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _read(self, name: str, schema: str) -> DataFrame:
+        if not exists(self.spark, f"{self.root}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def log(self, arrival: int | None = None) -> DataFrame:
+        rows = self._read("log", _LOG)
+        return rows if arrival is None else rows.where(F.col("arrival") == arrival)
+
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, str, int]:
+        """Log an arrival (``row_col``: one that ``located`` returned); returns it as ``located`` does, and its number."""
+        arrival = (self.log().agg(F.max("arrival")).first()[0] or 0) + 1
+        docs, row = (docs, row_col) if row_col else located(docs, f"{self.root}/content/{arrival}")
+        jvm = self.spark._jvm
+        files = [(arrival, address, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(address)).toString(), text_col) for address in docs.inputFiles()]
+        files = self.spark.createDataFrame(files, "arrival int, address string, path string, text_col string").withColumn("file", file_hash(F.col("address")))
+        files.select("arrival", "file", "path", "text_col").coalesce(1).write.mode("append").parquet(f"{self.root}/files")
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), self.digest(whole(text_col)).alias("digest"), F.lit(arrival).alias("arrival"), F.col(row).alias("locator"))
+        rows.write.mode("append").parquet(f"{self.root}/log")
+        return docs, row, arrival
 
     def update(self) -> None:
         """Let the stream take in what was appended since it last ran."""
@@ -73,7 +88,7 @@ class DedupLog:
             for k, v in _STORE.items():
                 conf.set(k, v)
             arrivals = self.spark.readStream.schema(_LOG).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.root}/log")
-            state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
+            state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
             query = (
                 state.writeStream.outputMode("update")
                 .option("checkpointLocation", f"{self.root}/stream")
@@ -86,33 +101,51 @@ class DedupLog:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
-
     def state(self) -> DataFrame:
-        """The newest state of each digest: digest, n, keep (id and locator)."""
-        if not self._has("updates"):
-            return self.spark.createDataFrame([], "digest binary, n long, keep struct<id:long,locator:long>")
-        schema = "digest binary, n long, keep struct<id:long,locator:long>, batch int"
-        updates = self.spark.read.schema(schema).parquet(f"{self.root}/updates")
+        """The newest state of each digest: digest, n, keep (id, arrival and locator)."""
+        updates = self._read("updates", f"digest binary, n long, keep {_KEEP}, batch int")
         return updates.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))
 
-    def clashes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Compare the full bytes behind every digest that was hit: (digest, text, n, keep_id) of clashing digests.
-
-        Grouping by the text itself combines copies before the shuffle, so a hot group costs one row a task.
+    def fetch(self, kept: DataFrame) -> DataFrame:
+        """``kept`` (with ``keep``) and the text that each locator leads to; only files that hold one are read."""
+        files = self._read("files", _FILES).join(kept.select(F.col("keep.arrival").alias("arrival"), F.col("keep.locator.file").alias("file")).distinct(), ["arrival", "file"])
+        out = None
+        for column in [r.text_col for r in files.select("text_col").distinct().toLocalIterator()]:
+            # the list of files, not of documents
+            paths = [r.path for r in files.where(F.col("text_col") == column).select("path").distinct().toLocalIterator()]
+            scan = self.spark.read.schema(f"`{column}` string").parquet(*paths)
+            texts = scan.select(whole(f"`{column}`").alias("text"), locator(scan).alias("place"))
+            found = texts.join(small_enough(kept, 120), F.col("place") == F.col("keep.locator")).drop("place")
+            out = found if out is None else out.unionByName(found)
+        return out if out is not None else kept.withColumn("text", F.lit(""))
+
+    def clashes(self, docs: DataFrame, arrival: int, row: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Compare the full bytes behind every digest that this arrival hit; the rows of ``_APART`` where they differ.
+
+        Grouping by the text itself combines copies before the shuffle, so a hot group costs one row
+        a task. Of earlier arrivals one text stands for a digest, or each of its texts if they were
+        found to differ before.
         """
-        hits = self.state().where("n > 1").select("digest")
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
-        texts = texts.withColumn("digest", self.digest(F.col("text")))
-        groups = (
-            texts.join(small_enough(hits, 64), "digest", "left_semi")
-            .groupBy("digest", "text")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"))
-        )
-        narrow = groups.select("digest", F.sha2("text", 512).alias("bytes"), "n", "keep_id")
-        several = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-        return narrow.join(several.select("digest"), "digest", "left_semi")
+        hits = land(self.state().where("n > 1").select("digest"), "hits")
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"), F.lit(arrival).alias("arrival"), F.col(row).alias("locator"))
+        rows = rows.withColumn("digest", self.digest(F.col("text"))).join(small_enough(hits, 64), "digest", "left_semi")
+        groups = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), _best())
+        groups = groups.select("digest", F.sha2("text", 512).alias("bytes"), "n", "keep")
+        if arrival > 1:
+            now = self.log(arrival).select("digest").distinct()
+            known = self._read("apart", _APART).where(F.col("arrival") < arrival)
+            newest = known.groupBy("digest").agg(F.max("arrival").alias("arrival"))
+            known = land(known.join(newest, ["digest", "arrival"]).select("digest", "bytes", "n", "keep"), "apart")
+            before = self.log().where(F.col("arrival") < arrival).join(small_enough(hits, 64), "digest", "left_semi").join(now, "digest", "left_semi")
+            before = before.join(known.select("digest").distinct(), "digest", "left_anti").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
+            before = self.fetch(land(before, "before")).select("digest", F.sha2("text", 512).alias("bytes"), "n", "keep")
+            groups = groups.unionByName(before).unionByName(known.join(now, "digest", "left_semi"))
+        groups = land(groups.groupBy("digest", "bytes").agg(F.sum("n").alias("n"), F.max("keep").alias("keep")), "groups")
+        several = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+        apart = land(groups.join(several.select("digest"), "digest", "left_semi").withColumn("arrival", F.lit(arrival)), "apart")
+        if not apart.isEmpty():
+            apart.write.mode("append").parquet(f"{self.root}/apart")
+        return apart
 
 
 def exact_groups(
@@ -124,40 +157,25 @@ def exact_groups(
     root: str | None = None,
     row_col: str | None = None,
 ) -> DataFrame:
-    """One row for each row of ``docs``: id, digest, keep_id, group_size, kept; with ``row_col`` also locator.
+    """One row for each row of ``docs``: id, digest, keep_id, group_size, kept; of ``located`` rows also locator.
 
-    Of rows with equal text the one with the largest id stays (of repeated rows of that id, one).
-    ``row_col`` numbers the rows of ``docs``, so that the verdicts can be told to them.
+    Of rows with equal text the one with the largest id stays (of repeated rows of that id, one). With
+    a ``root`` that has seen arrivals before, groups and the rows that stay count these too.
     """
-    place = ["locator"] if row_col else []
-    spark = docs.sparkSession
-    log = DedupLog(spark, root or scratch_path(spark, "exact"), files_per_batch, digest)
-    log.append(docs, id_col, text_col, row_col)
+    log = DedupLog(docs.sparkSession, root or scratch_path(docs.sparkSession, "exact"), files_per_batch, digest)
+    docs, row, arrival = log.append(docs, id_col, text_col, row_col)
     log.update()
-    rows = join_spread(log.log(), land(log.state().withColumn("rows", F.col("n")), "state"), ["digest"], "rows").select(
-        "id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"), *place
-    )
-    clashes = log.clashes(docs, id_col, text_col)
-    if clashes.isEmpty():
+    place = ["locator"] if row_col else []
+    stays = F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.struct("arrival", "locator") == F.struct("keep.arrival", "keep.locator")).alias("kept")
+    rows = join_spread(log.log(arrival), land(log.state().withColumn("rows", F.col("n")), "state"), ["digest"], "rows").select("id", "digest", *stays, *place)
+    apart = log.clashes(docs, arrival, row, id_col, text_col)
+    if apart.isEmpty():
         return rows
     # Digests that stand for several texts: decide these rows by their bytes.
-    digests = clashes.select("digest").distinct()
-    given = [F.col(row_col).alias("locator")] if row_col else []
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"), *given).select(
-        "id", digest(F.col("text")).alias("digest"), F.sha2("text", 512).alias("bytes"), *place
-    )
-    if row_col:
-        best = texts.join(digests, "digest", "left_semi").groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
-        apart = texts.join(best, ["digest", "bytes"]).select(
-            "id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"), "locator"
-        )
-        return rows.join(digests, "digest", "left_anti").select(*apart.columns).unionByName(apart)
-    copies = texts.groupBy("digest", "bytes", "id").agg(F.count(F.lit(1)).alias("same"))
-    apart = copies.join(clashes, ["digest", "bytes"]).select(
-        "id", "digest", "keep_id", F.col("n").alias("group_size"), F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("copy")
-    )
-    apart = apart.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).drop("copy")
-    return rows.join(digests, "digest", "left_anti").unionByName(apart)
+    digests = apart.select("digest").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), digest(whole(text_col)).alias("digest"), F.sha2(whole(text_col), 512).alias("bytes"), F.lit(arrival).alias("arrival"), F.col(row).alias("locator"))
+    told = texts.join(apart.drop("arrival"), ["digest", "bytes"]).select("id", "digest", *stays, *place)
+    return rows.join(digests, "digest", "left_anti").select(*told.columns).unionByName(told)
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -167,4 +185,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return drop_rows(docs, rows.where(~F.col("kept")).select("locator"), row)
 
 
-__all__ = ["DedupLog", "exact_groups", "drop_exact", "sha256", "remove"]
+__all__ = ["DedupLog", "exact_groups", "drop_exact", "sha256"]

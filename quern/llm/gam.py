@@ -8,10 +8,11 @@ best ones are boosted the same way with trees that split one feature and then th
 is the intercept plus one addition for each table, over whole Arrow batches.
 
 Fitting sees at most about ``max_rows`` labelled rows (a hash sample when there are more), of
-whose ids the fold rule allows learning; scoring covers every row and whole texts.
+whose ids the fold rule allows learning; scoring covers every row and whole texts. The features
+are thirteen counts and ratios of the text's surface (see ``features``); the model never sees words.
 
-Edge cases: null and empty texts are scored from zero counts; null labels are not used, repeated
-labels count as often as they appear; without labels every score is 0.5, with labels of one class
+Edge cases: null and empty texts are scored from zero counts; null labels are not used, equal rows
+with equal labels teach once; without labels every score is 0.5, with labels of one class
 only every score leans to it; repeated rows get equal scores; an empty table gives an empty result;
 other columns are ignored whatever their names.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import features
-from quern.llm.shared import drop_rows, land, located, slices
+from quern.llm.shared import LOCATOR, drop_rows, land, located, slices
 
 #: Expected upper bound of the rows a model is fitted on.
 MAX_ROWS = 50_000
@@ -171,7 +172,11 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*map(part.column, keys), *(pa.array(found[n].astype(np.int64)) for n in features.NAMES)], [*keys, *features.NAMES])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*keys, *features.NAMES]))
+    return rows.mapInArrow(run, f"{_keys(row_col)}, " + ", ".join(f"{n} long" for n in features.NAMES))
+
+
+def _keys(row_col: str | None) -> str:
+    return f"id long, row {LOCATOR}" if row_col else "id long"
 
 
 def learnable(column: str = "id"):
@@ -180,17 +185,27 @@ def learnable(column: str = "id"):
 
 
 def labelled_rows(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_rows: int = MAX_ROWS):
-    """Features and labels of about ``max_rows`` labelled rows at most, in the order of their ids' hashes."""
+    """Features and labels of about ``max_rows`` labelled rows at most, in the order of their ids' hashes.
+
+    The bound holds for rows, not only for ids: equal rows with equal labels count once, and what one id
+    has many different texts for is sampled too.
+    """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(learnable())
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int(max_rows / n * (1 << 31)))
-    rows = stats.join(F.broadcast(known), "id").orderBy(F.xxhash64("id"), "label").toArrow()
+    known = _sample(known.where(learnable()).distinct(), F.xxhash64("id"), max_rows)
+    rows = stats.select("id", *features.NAMES).join(F.broadcast(known), "id").distinct()
+    rows = _sample(rows, F.xxhash64("id", "label", *features.NAMES), max_rows)
+    rows = rows.orderBy(F.xxhash64("id"), "label", *features.NAMES).toArrow()
     counts = {n: rows.column(n).to_numpy() for n in features.NAMES}
     return counts, rows.column("label").to_numpy()
 
 
+def _sample(rows: DataFrame, mark, most: int) -> DataFrame:
+    """Landed rows, thinned by a hash to about ``most`` if they are more."""
+    rows = land(rows, "known")
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(mark, F.lit(1 << 31)) < int(most / n * (1 << 31)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, row_col: str | None = None, **options) -> DataFrame:
     """(id, score) for each row of ``docs``; ``score`` is the probability of label 1. With ``row_col`` also row."""
     keys = ["id", "row"] if row_col else ["id"]
@@ -203,7 +218,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
             x = features.ratios({n: batch.column(n).to_numpy() for n in features.NAMES})
             yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(model.score(x))], [*keys, "score"])
 
-    return stats.mapInArrow(run, "".join(f"{k} long, " for k in keys) + "score double")
+    return stats.mapInArrow(run, f"{_keys(row_col)}, score double")
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, **options) -> DataFrame:

@@ -6,10 +6,9 @@ loop over its characters.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
 
 _roots: dict[str, str] = {}
+#: Scratch folders in the order in which they were named.
+_named: list[str] = []
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -42,6 +43,7 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's scratch tables, under ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder; a cluster must name one.
+    The file system deletes the folder when the driver's JVM ends, also after ``spark.stop()``.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
@@ -51,22 +53,30 @@ def scratch_root(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = "file://" + tempfile.mkdtemp(prefix="quern-")
         _roots[app] = f"{shared.rstrip('/')}/quern-{app}"
-        atexit.register(_forget, spark, _roots[app])
+        where, fs = _file_system(spark, _roots[app])
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
     return _roots[app]
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        remove(spark, path)
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _file_system(spark, path)
+    return fs.exists(where)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _named.append(f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def land(df: DataFrame, tag: str) -> DataFrame:
@@ -76,6 +86,17 @@ def land(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def land_alone(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> tuple[DataFrame, str]:
+    """Land what ``make`` returns and delete all scratch folders named meanwhile; also the table's path."""
+    before = len(_named)
+    out = land(make(), tag)
+    path = _named.pop()
+    for other in _named[before:]:
+        remove(spark, other)
+    del _named[before:]
+    return out, path
+
+
 def small_enough(keys: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``keys`` for broadcast if its counted rows fit ``limit``, else leave it to a shuffle."""
     return F.broadcast(keys) if keys.limit(limit // row_bytes + 1).count() * row_bytes <= limit else keys
@@ -112,20 +133,42 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, str]:
-    """A scratch copy of ``docs`` with a column that numbers its rows for good, and that column's name.
+#: What tells a row of stored files from all others: a hash of its file's name, and its place there.
+LOCATOR = "struct<file:bigint,row:bigint>"
 
-    Repeated rows and rows without an id can only be told apart so.
+
+def located(docs: DataFrame, keep: str | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a column (of type ``LOCATOR``) that names each of its rows for good, and that column's name.
+
+    Repeated rows and rows without an id can only be told apart so. The rows of a plain file scan
+    are named by their files, without a copy; what else ``docs`` may be is landed first, in the folder
+    ``keep`` or as a scratch table.
     """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        if keep is None:
+            docs = land(docs, "located")
+        else:
+            docs.write.parquet(keep)
+            docs = docs.sparkSession.read.schema(docs.schema).parquet(keep)
     (name,) = free(docs.columns, "row")
-    return land(docs.withColumn(name, F.monotonically_increasing_id()), "located"), name
+    return docs.select("*", locator(docs).alias(name)), name
+
+
+def file_hash(path: Column) -> Column:
+    """Hash of a file's address as Spark reports it, however many slashes follow the scheme."""
+    return F.xxhash64(F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/"))
+
+
+def locator(scan: DataFrame) -> Column:
+    place = scan.metadataColumn("_metadata")
+    return F.struct(file_hash(place["file_path"]).alias("file"), place["row_index"].alias("row"))
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, row_col: str) -> DataFrame:
-    """``located`` rows without those whose number is in the one column of ``gone``; the numbers go."""
+    """``located`` rows without those whose locator is in the one column of ``gone``; the locators go."""
     (name,) = free(docs.columns, "gone")
     gone = land(gone.toDF(name), "gone")
-    return docs.join(small_enough(gone, 16), docs[row_col] == F.col(name), "left_anti").drop(row_col)
+    return docs.join(small_enough(gone, 40), docs[row_col] == F.col(name), "left_anti").drop(row_col)
 
 
 # ---------------------------------------------------------------- expressions

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Words, drop_rows, join_spread, land, located, slices, small_enough
+from quern.llm.shared import LOCATOR, Words, drop_rows, join_spread, land, located, slices, small_enough
 
 
 #: Table entries with more distinct fingerprints than this are linked through points instead of pairs.
@@ -58,6 +58,7 @@ def _fingerprints(texts: pa.Array, width: int, seed: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
     """(id, fp) with fp the 64-bit fingerprint as a signed long; one row for each row of ``docs``. With ``row_col`` also row."""
     keys = ["id", "row"] if row_col else ["id"]
+    kinds = f"id long, row {LOCATOR}, fp long" if row_col else "id long, fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*map(part.column, keys), pa.array(fp)], [*keys, "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
+    return rows.mapInArrow(run, kinds)
 
 
 def hamming_links(prints: DataFrame, distance: int = 3, dense: int | None = None) -> DataFrame:
@@ -161,8 +162,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, fp, component_id (the smallest id that links reach).
 
-    With ``row_col``, which numbers the rows of ``docs``, also row and kept: of each component one row
-    with its id stays, the one with the smallest number.
+    With ``row_col``, which names the rows of ``docs``, also row and kept: of each component one row
+    with its id stays, the one with the smallest locator.
     """
     rows = land(fingerprints(docs, id_col, text_col, width, seed, row_col), "prints")
     # a null id comes after all others

@@ -56,6 +56,27 @@ def test_exact_state_lasts_over_arrivals(spark, tmp_path):
     digest = lambda t: hashlib.sha256(t.encode()).digest()
     assert state == {digest("a"): (2, 5), digest("b"): (1, 2), digest("c"): (1, 3)}
     assert log.log().select("locator").distinct().count() == 4
+    texts = {r.keep.id: r.text for r in log.fetch(log.state()).collect()}
+    assert texts == {5: "a", 2: "b", 3: "c"}
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_bytes_are_compared_over_arrivals(spark, tmp_path, weak):
+    """Forced clashes between texts of several arrivals, some of them plain file scans."""
+    digest = (lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 1))) if weak else exact_dedup.sha256
+    rng, seen, root = random.Random(3), [], f"file://{tmp_path}/log"
+    for arrival in range(4):
+        rows = [(rng.randint(1, 10**6), rng.choice(["old text", "different", "third", "", None, f"text {rng.randint(0, 40)}"])) for _ in range(25)]
+        docs = documents(spark, rows)
+        if arrival % 2:
+            docs.write.parquet(f"file://{tmp_path}/arrival {arrival}")
+            docs = spark.read.parquet(f"file://{tmp_path}/arrival {arrival}")
+        seen += rows
+        got = exact_dedup.exact_groups(docs, root=root, digest=digest).collect()
+        by = {}
+        for i, t in seen:
+            by.setdefault(t or "", []).append(i)
+        assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == sorted((i, max(by[t or ""]), len(by[t or ""]), i == max(by[t or ""])) for i, t in rows)
 
 
 def test_exact_drop_keeps_columns_and_texts(spark):

@@ -86,7 +86,7 @@ def test_mixing_awkward_inputs(spark):
     assert sum(r.taken for r in same) == 17
     with pytest.raises(ValueError):
         mixing.mix(documents(spark, [(1, "a")]), LEVELS, {("near",): 0})
-    assert spark.range(1).select(mixing.prefix_text(F.lit(" a\tb\n c"), F.lit(2)).alias("t")).first().t == "a b"
+    assert spark.range(1).select(mixing.prefix_text(F.lit(" a\tb\n c"), F.lit(2)).alias("t")).first().t == " a\tb"
 
 
 def test_mixing_draw_keeps_columns_and_repeats(spark):
@@ -96,6 +96,22 @@ def test_mixing_draw_keeps_columns_and_repeats(spark):
     assert drawn.groupBy("doc_id").count().agg(F.max("count")).first()[0] > 1
 
 
+@pytest.mark.parametrize("share", [(1, 4), (3, 5), (1, 1), (7, 4)])
+def test_a_draw_takes_the_tokens_of_the_mix(spark, share, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 2)
+    rows = corpus(40) + [(None, "no id at  all"), (None, "nor\there")] + [(7, "x y  z w")] * 30 + [(7, f"seven {k}") for k in range(9)]
+    docs = documents(spark, rows)
+    mixed = mixing.mix(docs, LEVELS, WEIGHTS, share=share, max_epochs=2).collect()
+    drawn = mixing.draw(docs, LEVELS, WEIGHTS, share=share, max_epochs=2).collect()
+    assert sum(r.taken for r in mixed) == sum(len(words(r.text)) for r in drawn) == sum(len(words(t)) for _, t in rows) * share[0] // share[1]
+    assert Counter((r.id, r.taken) for r in mixed) == Counter((r.doc_id, len(words(r.text))) for r in drawn)
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t or "")
+    cut = [r for r in drawn if r.text not in texts[r.doc_id]]
+    assert len(cut) == sum(r.taken < r.n_tokens for r in mixed) and all(any(t.startswith(r.text) for t in texts[r.doc_id]) for r in cut)
+
+
 # ---------------------------------------------------------------- packing
 
 

@@ -3,11 +3,14 @@
 Arrivals are appended as small immutable runs. Compaction looks at the runs by size tier (powers
 of four): where a tier holds at least ``fanout`` runs, they are merged in order into files of about
 the target size. A manifest lists the live shards; a new one is written aside and renamed into
-place, so a reader sees the old or the new version and never a mixture, and a writer that lost a
-race or an executor leaves nothing but files that no manifest names.
+place, so a reader sees the old or the new version and never a mixture. Each writer's data go into a
+folder of a name of its own, so a writer that lost a race or an executor leaves nothing but files that
+no manifest names, and never touches those of another.
 
-Only the runs that are merged move, each once, to the task that writes their target file; no task
-gets more than about one target file. Everything is DataFrame code.
+Only the runs that are merged are read and moved, each once, to the task that writes their target file: target files
+are numbered and the tasks with them, so no task gets more than one (at most one and a half target
+sizes). Everything is DataFrame code. The folders of the live shards are listed on the driver, as
+the files of any scan are.
 
 Edge cases: a null text counts no bytes; rows with a null run key form one run; repeated rows are
 kept; an empty table commits an empty manifest; extra columns are stored as they are, whatever their
@@ -16,10 +19,12 @@ names (a reader chooses the prefix of the manifest's columns).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import free, small_enough, whole
+from quern.llm.shared import free, land, small_enough, whole
 
 MANIFEST = "shard_id string, folder string, run long, tier int, n_rows long, n_bytes long, version int"
 
@@ -60,8 +65,8 @@ class ShardStore:
 
     def _commit(self, shards: DataFrame, base: int) -> int:
         """Publish the version after ``base``: written aside, then renamed; the rename fails if the version exists."""
-        aside, final = self._path(f"aside/v{base + 1:09d}-{self.spark.sparkContext.applicationId}"), self._path(f"manifest/v{base + 1:09d}")
-        shards.withColumn("version", F.lit(base + 1)).coalesce(1).write.mode("overwrite").parquet(aside.toString())
+        aside, final = self._path(f"aside/{uuid.uuid4().hex}"), self._path(f"manifest/v{base + 1:09d}")
+        shards.withColumn("version", F.lit(base + 1)).coalesce(1).write.parquet(aside.toString())
         self._fs().mkdirs(final.getParent())
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         plain = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
@@ -70,22 +75,26 @@ class ShardStore:
 
     # -------------------------------------------------------------- writing
 
-    def _measure(self, folder: str, shard: Column, text_col: str, schema) -> DataFrame:
-        rows = self.spark.read.schema(schema).parquet(folder).withColumn("shard_id", shard)
-        return rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length(whole(text_col))).alias("n_bytes"))
+    def append(self, docs: DataFrame, run: Column, text_col: str = "text", gather: bool = False) -> int:
+        """Write arrivals, each run a folder of its own, and commit them as new shards.
 
-    def append(self, docs: DataFrame, run: Column, text_col: str = "text") -> int:
-        """Write arrivals without a shuffle, each run a folder of its own, and commit them as new shards."""
+        Rows stay in the tasks that read them, so a run is as many files as tasks have rows of it. Where
+        the rows of a run do not lie together, ``gather`` shuffles them first, a task for about each target size.
+        """
         base = self.version()
-        folder = f"{self.root}/data/runs-{base + 1}"
+        top = f"data/{uuid.uuid4().hex}"
         (key,) = free(docs.columns, "run")
         rows = docs.withColumn(key, F.coalesce(run.cast("long"), F.lit(-1)))
-        rows.write.mode("overwrite").option("compression", "zstd").partitionBy(key).parquet(folder)
-        sizes = docs.select(F.coalesce(run.cast("long"), F.lit(-1)).alias("run"), F.octet_length(whole(text_col)).alias("size"))
-        sizes = sizes.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
+        sizes = rows.groupBy(F.col(key).alias("run")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length(whole(text_col))).alias("n_bytes"))
+        if gather:
+            parts, number = free(rows.columns, "parts", "number")
+            wide = sizes.select(F.col("run").alias(key), F.ceil(F.col("n_bytes") / self.target_bytes).alias(parts))
+            rows = rows.join(small_enough(wide, 24), key).withColumn(number, F.pmod(F.xxhash64(whole(text_col)), F.greatest(parts, F.lit(1))))
+            rows = rows.repartition(key, number).drop(parts, number)
+        rows.write.option("compression", "zstd").partitionBy(key).parquet(f"{self.root}/{top}")
         new = sizes.select(
             F.format_string("v%d-run%d", F.lit(base + 1), "run").alias("shard_id"),
-            F.format_string(f"data/runs-{base + 1}/{key}=%d", "run").alias("folder"),
+            F.format_string(f"{top}/{key}=%d", "run").alias("folder"),
             "run",
             tier(F.col("n_bytes"), self.base_bytes).alias("tier"),
             "n_rows",
@@ -115,14 +124,16 @@ class ShardStore:
         base = self.version()
         plan = self.plan(base)
         names = self._names(schema)
-        shard, at, folder = free(names, "shard", "at", "folder")
+        shard, at, folder, number = free(names, "shard", "at", "folder", "number")
         merged = plan.where("into is not null").select(F.col("folder").alias(folder), F.col("into").alias(shard))
-        files = merged.select(shard).distinct().count()
-        new = f"data/merged-{base + 1}"
-        if files:
-            # the folder of a row names its shard; reading the data folder keeps the file list off the plan
-            rows = self._scan(schema, at).join(small_enough(merged, 160), F.col(at) == F.col(folder)).drop(at, folder)
-            rows.repartition(files, shard).write.mode("overwrite").option("compression", "zstd").partitionBy(shard).parquet(f"{self.root}/{new}")
+        # one row a target file
+        targets = merged.select(shard).distinct().withColumn(number, F.row_number().over(Window.orderBy(shard)) - 1)
+        merged = land(merged.join(targets, shard), "merged")
+        files, new = merged.agg(F.max(number)).first()[0], f"data/{uuid.uuid4().hex}"
+        if files is not None:
+            rows = self._scan(schema, at, merged.select(folder)).join(small_enough(merged, 168), F.col(at) == F.col(folder)).drop(at, folder)
+            rows = rows.repartitionById(files + 1, F.col(number)).drop(number)
+            rows.write.option("compression", "zstd").partitionBy(shard).parquet(f"{self.root}/{new}")
         grown = plan.where("into is not null").groupBy("into").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.min("run").alias("run"))
         grown = grown.select(
             F.col("into").alias("shard_id"), F.format_string(f"{new}/{shard}=%s", "into").alias("folder"), "run", tier(F.col("n_bytes"), self.base_bytes).alias("tier"), "n_rows", "n_bytes"
@@ -135,9 +146,15 @@ class ShardStore:
     def _names(schema) -> list[str]:
         return list(schema.names) if hasattr(schema, "names") else [f.split()[0] for f in schema.split(",")]
 
-    def _scan(self, schema, folder: str) -> DataFrame:
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/data")
-        inside = F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+/[^/=]+=[^/]+)/[^/]+$", 1)
+    def _scan(self, schema, folder: str, folders: DataFrame) -> DataFrame:
+        """The rows of the shards in these folders, each with its folder."""
+        paths = [f"{self.root}/{r[0]}" for r in folders.toLocalIterator()]
+        rows = self.spark.read.schema(schema)
+        if not paths:
+            kind = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            return self.spark.createDataFrame([], f"{kind}, `{folder}` string")
+        rows = rows.option("recursiveFileLookup", "true").parquet(*paths)
+        inside = F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], "(data/[^/]+/[^/=]+=[^/]+)/[^/]+$", 1)
         return rows.select("*", inside.alias(folder))
 
     def read(self, schema, version: int | None = None, prefix: str = "shard_") -> DataFrame:
@@ -145,10 +162,10 @@ class ShardStore:
         columns = {"id": "shard_id", "tier": "tier", "rows": "n_rows", "bytes": "n_bytes", "version": "version"}
         at, folder = free([*self._names(schema), *(prefix + c for c in columns)], "at", "folder")
         shards = self.manifest(version).select(F.col("folder").alias(folder), *(F.col(c).alias(prefix + n) for n, c in columns.items()))
-        return self._scan(schema, at).join(small_enough(shards, 200), F.col(at) == F.col(folder)).drop(at, folder)
+        return self._scan(schema, at, shards.select(folder)).join(small_enough(shards, 200), F.col(at) == F.col(folder)).drop(at, folder)
 
     def vacuum(self) -> None:
-        """Delete data folders that the newest manifest does not name."""
+        """Delete data folders that the newest manifest does not name; not while others write."""
         live = {r.top for r in self.manifest().select(F.substring_index("folder", "/", 2).alias("top")).distinct().toLocalIterator()}
         for entry in self._fs().listStatus(self._path("data")) if self._fs().exists(self._path("data")) else []:
             if f"data/{entry.getPath().getName()}" not in live:

@@ -6,28 +6,31 @@ its role, relabel it, merge it into the turn before, or put empty turns before i
 programming over the automaton's states finds the cheapest repair of the whole conversation,
 which is then rendered.
 
-A conversation of more than ``chunk_turns`` turns is not gathered anywhere: it is cut by turn number
-(and within a number that many turns share, by a hash) into chunks, each chunk is summed up as a matrix of least costs from state to state, the matrices
-of a conversation (one for each chunk) are chained to fix the states at the cuts, and every chunk is
-then repaired on its own between its two states. Rendered pieces are rows, one for each given
-turn; joined in order they are the rendered conversation.
+A conversation of more than ``chunk_turns`` turns is not gathered anywhere. The turns of all such
+conversations are put in order over the cluster and cut by their place in it into chunks; each chunk
+is summed up as a matrix of least costs from state to state, the matrices of a conversation (one for
+each chunk) are chained to give the costs at the cuts, from these each chunk finds which state each
+of its last states comes from, and that is chained back to the state after each chunk. Every chunk
+then takes exactly the steps that the whole conversation would take, ties included. Rendered pieces are rows,
+one for each given turn; joined in order they are the rendered conversation.
 
 Edge cases: a null or unknown role may become any role at a small cost; a null text is empty; a null
-turn number sorts last; turns with equal numbers go by a hash of role and text; repeated rows are turns of
+turn number sorts last; turns with equal numbers go by hashes of role and text; repeated rows are turns of
 their own; rows without a conversation id form one conversation; an empty table gives an empty
 result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import land, small_enough
+from quern.llm.shared import land, located, small_enough
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then "the last turn is of this role".
@@ -37,6 +40,7 @@ STATES = 4
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 FINAL = ASSISTANT
 FAR = 1 << 40
+BEGIN = [0, FAR, FAR, FAR]
 
 
 @dataclass(frozen=True)
@@ -91,38 +95,44 @@ class Automaton:
             out.append(row)
         return out
 
-    def repair(self, roles: list[int], enter: int = START, leave: int | None = None) -> tuple[int, list[tuple[int, str, tuple[int, ...], int]]]:
-        """Cost, and (role, action, turns before, cost) of each given turn; ``leave`` None: to a legal end."""
-        row, back = [0 if s == enter else FAR for s in range(STATES)], []
+    def walk(self, roles: list[int], enter: list[int]) -> tuple[list[int], list[list[int]]]:
+        """Costs of the states after the turns, given those before, and for each turn the state that each state comes from."""
+        row, back = enter, []
         for r in roles:
             step = self.steps[r]
             best = [min((row[s] + step[s][b][0], s) for s in range(STATES)) for b in range(STATES)]
             row = [x for x, _ in best]
             back.append([s for _, s in best])
-        state = min(range(STATES), key=lambda s: row[s] + self.close[s][0]) if leave is None else leave
-        total = row[state] + (self.close[state][0] if leave is None else 0)
+        return row, back
+
+    def last(self, row: list[int]) -> int:
+        """The state in which the turns end best."""
+        return min(range(STATES), key=lambda s: row[s] + self.close[s][0])
+
+    def path(self, roles: list[int], enter: list[int] | None = None, leave: int | None = None) -> list[int]:
+        """The states before and after each turn; ``enter`` holds the costs of the states before, None for the start."""
+        row, back = self.walk(roles, BEGIN if enter is None else enter)
+        out = [self.last(row) if leave is None else leave]
+        for came in reversed(back):
+            out.append(came[out[-1]])
+        return out[::-1]
+
+    def repair(self, roles: list[int]) -> tuple[int, list[tuple[int, str, tuple[int, ...], int]]]:
+        """Cost of a whole conversation, and (role, action, turns before, cost) of each given turn."""
+        states = self.path(roles)
         out = []
-        for r, came in zip(reversed(roles), reversed(back), strict=True):
-            before = came[state]
-            cost, action, added = self.steps[r][before][state]
-            out.append((state, action, added, cost))
-            state = before
-        return total, out[::-1]
+        for r, a, b in zip(roles, states, states[1:], strict=False):
+            cost, action, added = self.steps[r][a][b]
+            out.append((b, action, added, cost))
+        return sum(x[3] for x in out) + self.close[states[-1]][0], out
 
 
-def chain_chunks(matrices: list[list[list[int]]], automaton: Automaton) -> list[tuple[int, int]]:
-    """States before and after each chunk on the cheapest path through all of them."""
-    row, back = [0 if s == START else FAR for s in range(STATES)], []
+def chain_costs(matrices: list[list[list[int]]]) -> list[list[int]]:
+    """Costs of the states before each chunk, and after the last one."""
+    rows = [BEGIN]
     for m in matrices:
-        best = [min((row[s] + m[s][b], s) for s in range(STATES)) for b in range(STATES)]
-        row = [x for x, _ in best]
-        back.append([s for _, s in best])
-    state = min(range(STATES), key=lambda s: row[s] + automaton.close[s][0])
-    out = []
-    for came in reversed(back):
-        out.append((came[state], state))
-        state = came[state]
-    return out[::-1]
+        rows.append([min(rows[-1][s] + m[s][b] for s in range(STATES)) for b in range(STATES)])
+    return rows
 
 
 @dataclass(frozen=True)
@@ -133,33 +143,29 @@ class Template:
     tail: str = "<|end|>\n"
     joint: str = "\n\n"
 
-    def text(self, text: str | None) -> str:
-        return (text or "").replace("<|", "< |")
+    def text(self, text: Column) -> Column:
+        return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
     def turn(self, role: int) -> str:
         return self.head.format(role=ROLES[role - 1])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
-    """Rows of equal keys, which come together, as lists."""
-    now, held = None, {}
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole runs of equal (conv_id, chunk), and where the runs start (and the last one ends)."""
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        names = list(zip(*(columns[k] for k in keys), strict=True))
-        at = 0
-        while at < len(names):
-            end = at
-            while end < len(names) and names[end] == names[at]:
-                end += 1
-            if names[at] != now:
-                if now is not None:
-                    yield now, held
-                now, held = names[at], {n: [] for n in columns}
-            for n, values in columns.items():
-                held[n] += values[at:end]
-            at = end
-    if now is not None:
-        yield now, held
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        keys = [rows.column("conv_id").fill_null(0), rows.column("conv_id").is_null(), rows.column("chunk")]
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in (x.to_numpy(zero_copy_only=False) for x in keys)])
+        marks = np.flatnonzero(new)
+        if marks[-1]:
+            yield rows.slice(0, marks[-1]), marks
+        held = rows.slice(marks[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
 
 
 def _role_code():
@@ -167,9 +173,6 @@ def _role_code():
     return F.when(role == "system", SYSTEM).when(role == "user", USER).when(role == "assistant", ASSISTANT).otherwise(0).cast("int")
 
 
-RESULT = "conv_id long, chunk long, place int, turn long, role string, role_out string, action string, inserted string, cost int, rendered string"
-
-
 def repair(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -186,100 +189,124 @@ def repair(
     conversation). The pieces in order of (chunk, place) make up the conversation.
     """
     automaton = Automaton(costs)
+    turns, place = located(turns)
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"),
         F.col(text_col).cast("string").alias("text"),
-    ).withColumn("code", _role_code())
-    # 31 bits, so that the cell of a tie is a product and a shift
-    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("role", "text"), 33))
-
-    # long conversations and the width of their chunks in turn numbers
-    sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"))
-    # turn numbers span low .. top, where top stands for null; a chunk is ``width`` numbers, or a number is ``cells`` chunks
-    low, top = F.coalesce("low", F.lit(0)), F.coalesce(F.col("high") + 1, F.lit(0))
-    chunks = F.ceil(F.col("n") / chunk_turns)
-    long = sizes.where(F.col("n") > chunk_turns).select(F.col("conv_id").alias("long_id"), low.alias("low"), top.alias("top"), chunks.alias("chunks"))
-    span = F.col("top") - F.col("low") + 1
-    long = long.select("long_id", "low", "top", F.ceil(span / F.col("chunks")).cast("long").alias("width"), F.ceil(F.col("chunks") / span).cast("long").alias("cells"))
-    long = land(long, "long")
-    some = not long.isEmpty()
-    order = [F.col("turn").asc_nulls_last(), F.col("tie"), F.col("role"), F.col("text")]
-    if some:
-        chunk = F.expr("((coalesce(turn, top) - low) div width) * cells + shiftright(tie * cells, 31)")
-        joined = rows.join(small_enough(long, 40), F.col("conv_id").eqNullSafe(F.col("long_id")), "left")
-        rows = joined.withColumn("chunk", F.when(F.col("width").isNotNull(), chunk).otherwise(0)).drop("long_id", "low", "top", "width", "cells")
-        hot = joined.where(F.col("width").isNotNull()).withColumn("chunk", chunk).select("conv_id", "chunk", "turn", "tie", "role", F.xxhash64("text").alias("text"), "code")
-        borders = _borders(hot, automaton, order)
-        rows = rows.join(small_enough(borders, 40), rows["conv_id"].eqNullSafe(borders["at_id"]) & (rows["chunk"] == borders["at_chunk"]), "left").drop("at_id", "at_chunk")
+        F.col(place).alias("row"),
+    ).withColumns({"code": _role_code(), "tie": F.xxhash64("role", "text"), "tie2": F.xxhash64(F.lit(1), "role", "text")})
+    order = [F.col("turn").asc_nulls_last(), F.col("tie"), F.col("tie2"), F.col("row")]
+    border = F.lit(None).cast("array<bigint>").alias("enter"), F.lit(None).cast("int").alias("leave"), F.lit(True).alias("ends")
+    sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_turns)
+    long = land(sizes.select(F.col("conv_id").alias("long_id")), "long")
+    if long.isEmpty():
+        rows = rows.select("*", F.lit(0).cast("long").alias("chunk"), *border)
     else:
-        rows = rows.withColumn("chunk", F.lit(0).cast("long"))
-        rows = rows.select("*", *(F.lit(None).cast("int").alias(n) for n in ("enter", "leave", "ends")))
+        same = F.col("conv_id").eqNullSafe(F.col("long_id"))
+        hot = rows.join(small_enough(long, 16), same, "left_semi").repartitionByRange(F.col("conv_id"), *order).sortWithinPartitions("conv_id", *order)
+        # a row's number in its task, cut into chunks; tasks follow one another in order
+        number = F.monotonically_increasing_id()
+        hot = land(hot.withColumn("chunk", number - F.pmod(number, F.lit(1 << 33)) + F.floor(F.pmod(number, F.lit(1 << 33)) / chunk_turns)), "hot")
+        borders = _borders(hot.select("conv_id", "chunk", "turn", "tie", "tie2", "row", "code"), automaton, order)
+        at = hot["conv_id"].eqNullSafe(borders["at_id"]) & (hot["chunk"] == borders["at_chunk"])
+        short = rows.join(small_enough(long, 16), same, "left_anti").select("*", F.lit(0).cast("long").alias("chunk"), *border)
+        rows = short.unionByName(hot.join(small_enough(borders, 80), at).drop("at_id", "at_chunk"))
     rows = rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", *order)
 
+    # what a step means, by (given role, state before, state after), and an end, by state
+    steps = [automaton.steps[r][a][b] for r in range(STATES) for a in range(STATES) for b in range(STATES)]
+    after = [b for _ in range(STATES * STATES) for b in range(STATES)]
+    opens = [a == START for _ in range(STATES) for a in range(STATES) for _ in range(STATES)]
+    heads = [_head(template, added, action, b, first) for (_, action, added), b, first in zip(steps, after, opens, strict=True)]
+    names = lambda roles: ",".join(ROLES[r - 1] for r in roles)
+    ends = [template.tail + "".join(template.turn(r) + template.tail for r in close) for _, close in automaton.close]
+    closings = ["|" + names(close) if close else "" for _, close in automaton.close]
+    step_cost, close_cost = np.array([x[0] for x in steps], np.int64), np.array([x[0] for x in automaton.close], np.int64)
+    columns = {"role_out": [ROLES[b - 1] if b else "" for b in after], "action": [x[1] for x in steps], "put": [names(x[2]) for x in steps], "head": heads}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("place", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("role_out", pa.string()), ("action", pa.string()), ("inserted", pa.string()), ("cost", pa.int32()), ("rendered", pa.string())])
-        out: list[dict] = []
-        for (conv, part), held in _runs(batches, ["conv_id", "chunk"]):
-            enter, leave, ends = held["enter"][0], held["leave"][0], held["ends"][0]
-            whole = enter is None
-            _, steps = automaton.repair(held["code"], START if whole else enter, None if whole else leave)
-            opened = not whole and enter != START
-            last = len(steps) - 1
-            for k, (state, action, added, cost) in enumerate(steps):
-                piece = ""
-                for role in added:
-                    piece += template.tail * opened + template.turn(role)
-                    opened = True
-                if action == "merge":
-                    piece += template.joint
-                else:
-                    piece += template.tail * opened + template.turn(state)
-                opened = True
-                piece += template.text(held["text"][k])
-                names = ",".join(ROLES[r - 1] for r in added)
-                if k == last and (whole or ends):
-                    extra, close = automaton.close[state]
-                    cost += extra
-                    for role in close:
-                        piece += template.tail + template.turn(role)
-                    piece += template.tail
-                    names += "|" + ",".join(ROLES[r - 1] for r in close) if close else ""
-                out.append({"conv_id": conv, "chunk": part, "place": k, "turn": held["turn"][k], "role": held["role"][k], "role_out": ROLES[state - 1], "action": action, "inserted": names, "cost": cost, "rendered": piece})
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return rows.mapInArrow(run, RESULT)
+        tables = {n: pa.array(v, pa.string()) for n, v in columns.items()} | {"tail": pa.array([*ends, ""], pa.string()), "closing": pa.array([*closings, ""], pa.string())}
+        for batch, marks in _groups(batches):
+            codes, enter, leave = (batch.column(n).to_pylist() for n in ("code", "enter", "leave"))
+            last = batch.column("ends").to_numpy(zero_copy_only=False)
+            kind, end = np.empty(batch.num_rows, np.int64), np.full(batch.num_rows, STATES)
+            for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+                states = automaton.path(codes[a:b], enter[a], leave[a])
+                kind[a:b] = [16 * r + 4 * s + t for r, s, t in zip(codes[a:b], states, states[1:], strict=False)]
+                if last[a]:
+                    end[b - 1] = states[-1]
+            place = np.arange(batch.num_rows) - np.repeat(marks[:-1], np.diff(marks))
+            cost = step_cost[kind] + np.append(close_cost, 0)[end]
+            taken = [tables[n].take(pa.array(end if n in ("tail", "closing") else kind)) for n in tables]
+            given = [batch.column(n) for n in ("conv_id", "chunk", "turn", "role", "text")]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(place, pa.int32()), pa.array(cost, pa.int32()), *taken], ["conv_id", "chunk", "turn", "role", "text", "place", "cost", *tables])
+
+    texts = ", ".join(f"{n} string" for n in [*columns, "tail", "closing"])
+    done = rows.drop("row", "tie", "tie2").mapInArrow(run, f"conv_id long, chunk long, turn long, role string, text string, place int, cost int, {texts}")
+    rendered = F.concat("head", template.text(F.col("text")), "tail").alias("rendered")
+    return done.select("conv_id", "chunk", "place", "turn", "role", "role_out", "action", F.concat("put", "closing").alias("inserted"), "cost", rendered)
+
+
+def _head(template: Template, added: tuple[int, ...], action: str, state: int, first: bool) -> str:
+    """What is written before a turn's text: the end of the turn before, empty turns, and its own head or the joint of a merger."""
+    out = ""
+    for role in (*added, *([] if action == "merge" else [state])):
+        out += ("" if first else template.tail) + (template.turn(role) if role else "")
+        first = False
+    return out + template.joint * (action == "merge")
 
 
 def _borders(hot: DataFrame, automaton: Automaton, order: list) -> DataFrame:
     """(at_id, at_chunk, enter, leave, ends) for every chunk of the long conversations."""
+    matrix = "conv_id long, chunk long, least array<bigint>"
 
-    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, chunk), held in _runs(batches, ["conv_id", "chunk"]):
-            flat = [x for row in automaton.matrix(held["code"]) for x in row]
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([flat], pa.list_(pa.int64()))], ["conv_id", "chunk", "least"])
+    def over_chunks(rows: DataFrame, sum_up: Callable[[list[int], list[int]], list[int]], name: str) -> DataFrame:
+        """One row a chunk: what ``sum_up`` makes of its turns and of the costs before it."""
 
-    chunks = hot.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", *order)
-    chunks = chunks.mapInArrow(sum_up, "conv_id long, chunk long, least array<long>")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, marks in _groups(batches):
+                codes, enter = batch.column("code").to_pylist(), batch.column("enter").to_pylist()
+                found = [sum_up(codes[a:b], enter[a]) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
+                firsts = pa.array(marks[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(firsts), batch.column("chunk").take(firsts), pa.array(found, pa.list_(pa.int64()))], ["conv_id", "chunk", name])
 
-    def link(table: pa.Table) -> pa.Table:
+        rows = rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", *order)
+        return rows.drop("row", "turn", "tie", "tie2").mapInArrow(run, matrix.replace("least", name))
+
+    def forward(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        matrices = [[m[4 * a : 4 * a + 4] for a in range(STATES)] for m in table.column("least").to_pylist()]
-        states = chain_chunks(matrices, automaton)
-        ends = [0] * (len(states) - 1) + [1]
-        return pa.table({"at_id": table.column("conv_id"), "at_chunk": table.column("chunk"), "enter": pa.array([a for a, _ in states], pa.int32()), "leave": pa.array([b for _, b in states], pa.int32()), "ends": pa.array(ends, pa.int32())})
+        rows = chain_costs([[m[STATES * a : STATES * a + STATES] for a in range(STATES)] for m in table.column("least").to_pylist()])
+        costs = [pa.array(x, pa.list_(pa.int64())) for x in (rows[:-1], rows[1:])]
+        return pa.table({"at_id": table.column("conv_id"), "at_chunk": table.column("chunk"), "enter": costs[0], "after": costs[1]})
+
+    def backward(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at_chunk")
+        leave = [automaton.last(table.column("after")[-1].as_py())]
+        for came in reversed(table.column("came").to_pylist()[1:]):
+            leave.append(came[leave[-1]])
+        ends = [False] * (len(leave) - 1) + [True]
+        return table.select(["at_id", "at_chunk", "enter"]).append_column("leave", pa.array(leave[::-1], pa.int32())).append_column("ends", pa.array(ends))
+
+    def origins(codes: list[int], enter: list[int]) -> list[int]:
+        _, back = automaton.walk(codes, enter)
+        out = list(range(STATES))
+        for came in reversed(back):
+            out = [came[s] for s in out]
+        return out
 
-    return land(chunks.groupBy("conv_id").applyInArrow(link, "at_id long, at_chunk long, enter int, leave int, ends int"), "borders")
+    flat = lambda codes, _: [x for row in automaton.matrix(codes) for x in row]
+    least = over_chunks(hot.withColumn("enter", F.lit(None).cast("array<bigint>")), flat, "least")
+    costs = land(least.groupBy("conv_id").applyInArrow(forward, "at_id long, at_chunk long, enter array<bigint>, after array<bigint>"), "costs")
+    join = lambda rows: rows["conv_id"].eqNullSafe(costs["at_id"]) & (rows["chunk"] == costs["at_chunk"])
+    came = over_chunks(hot.join(small_enough(costs.drop("after"), 72), join(hot)).drop("at_id", "at_chunk"), origins, "came")
+    came = came.join(costs, join(came)).select("at_id", "at_chunk", "enter", "after", "came")
+    return land(came.groupBy("at_id").applyInArrow(backward, "at_id long, at_chunk long, enter array<bigint>, leave int, ends boolean"), "borders")
 
 
-def conversations(repaired: DataFrame, most: int = 100_000) -> DataFrame:
-    """(conv_id, cost, rendered) of the conversations of at most ``most`` turns; longer ones stay pieces."""
-    piece = F.struct("chunk", "place", "rendered")
-    few = repaired.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost")).where(F.col("n") <= most)
-    rows = repaired.join(few.select(F.col("conv_id").alias("few")), F.col("conv_id").eqNullSafe(F.col("few")), "left_semi")
-    return rows.groupBy("conv_id").agg(F.sum("cost").alias("cost"), F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["rendered"]), "").alias("rendered"))
+def conversations(repaired: DataFrame) -> DataFrame:
+    """(conv_id, part, cost, rendered): a conversation in one part, a long one (see ``repair``) in a part for each chunk, in order."""
+    piece = F.array_sort(F.collect_list(F.struct("place", "rendered")))
+    joined = F.array_join(F.transform(piece, lambda p: p["rendered"]), "").alias("rendered")
+    return repaired.groupBy("conv_id", F.col("chunk").alias("part")).agg(F.sum("cost").alias("cost"), joined)

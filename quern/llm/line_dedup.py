@@ -2,13 +2,15 @@
 
 Lines are exploded as narrow rows (id, position, 128-bit hash of the normalised line); a hash is
 shared if the smallest and the largest id that hold it differ, which one map-side combined
-aggregation answers; lines that are very frequent are dropped by a broadcast, the others in a join; the positions to drop are gathered for each document and the text is
-reassembled by position from the original row. Texts move once, to meet their positions.
+aggregation answers; lines that are very frequent are dropped by a broadcast, the others in a
+join; the positions to drop are gathered for each document and the text is reassembled by position
+from the original row. Texts move once, to meet their positions.
 
 Edge cases: a null text is one empty line; lines whose key is shorter than ``min_chars`` always
 stay; repeated lines of the keeping document all stay; an empty table gives an empty result;
 repeated rows of one id count as one document and get the same result each; rows with a null id
-keep all lines and hold no line for others.
+keep all lines and hold no line for others. All columns stay; where one is called ``n_lines`` or
+``n_dropped`` already, in any case, the new one gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -52,5 +54,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = F.array_except(F.sequence(F.lit(0), last), F.col(drop))
     text = F.when(F.col(drop).isNull(), whole(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: split[i]), "\n"))
     out = joined.withColumn(number, F.size(split).cast("long")).withColumn(new, text)
-    columns = [F.col(new).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*columns, F.col(number).alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))
+    columns = [F.col(new).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    n_lines, n_dropped = free(docs.columns, "n_lines", "n_dropped")
+    return out.select(*columns, F.col(number).alias(n_lines), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(n_dropped))

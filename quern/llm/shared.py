@@ -254,16 +254,20 @@ class Words:
         np.cumsum(self.ends - self.starts, out=at[1:])
         return pa.LargeStringArray.from_buffers(len(self.starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)))
 
-    def joined(self) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lower-cased words of each text with one space between; byte starts and ends of the words in it."""
         n = len(self.data)
         keep = self.solid.copy()
-        gap = self.ends[self.ends < n]
-        keep[gap] = True
+        inside = np.flatnonzero(self.ends < n)
+        gap = inside[~self.solid[self.ends[inside]]]
+        keep[self.ends[gap]] = True
         data = _LOWERED[self.data]
-        data[gap[~self.solid[gap]]] = 32
-        place = np.cumsum(keep)
-        return memoryview(np.ascontiguousarray(data[keep])), place[self.starts] - 1, place[self.ends - 1]
+        data[self.ends[gap]] = 32
+        size = self.ends - self.starts
+        step = size.copy()
+        step[gap] += 1
+        begin = np.cumsum(step) - step
+        return data[keep], begin, begin + size
 
     def totals(self, per_byte: np.ndarray) -> np.ndarray:
         """Sum of a value of each byte over each text."""

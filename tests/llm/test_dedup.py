@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -117,6 +118,10 @@ def test_line_dedup_threshold_and_awkward_rows(spark):
     again = line_dedup.dedup_lines(documents(spark, [(1, "the same line twice"), (1, "the same line twice"), (None, "the same line twice")])).collect()
     assert [(r.doc_id, r.n_dropped) for r in sorted(again, key=lambda r: r.doc_id or 0)] == [(None, 0), (1, 0), (1, 0)]
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
+    clash = documents(spark, rows).withColumns({"N_LINES": F.lit("mine"), "n_dropped": F.lit("mine too")})
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "n_lines_", "n_dropped_"]
+    assert {(r.N_LINES, r.n_dropped, r.n_dropped_) for r in out.where("doc_id = 2").collect()} == {("mine", "mine too", 1)}
 
 
 def fingerprint(text, width=3):
@@ -126,6 +131,31 @@ def fingerprint(text, width=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_hashes_of_ranges():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    size = np.concatenate([np.arange(700), rng.integers(0, 60, 2000)])
+    start = rng.integers(0, len(data) - size + 1)
+    for seed in (0, 42, 2**64 - 1):
+        expected = [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), seed) for a, n in zip(start, size, strict=True)]
+        assert simhash.xxh64(data, start, size, seed).tolist() == expected
+    assert simhash.xxh64(data, start[:0], size[:0], 1).tolist() == []
+
+
+def test_fingerprints_over_blocks(monkeypatch):
+    texts = [t for _, t in corpus()] + ["w" * 3000 + " x y", "ab " * 5000, None, ""]
+    monkeypatch.setattr(simhash, "BLOCK", 97)
+    assert simhash._fingerprints(pa.array(texts), 3, 42).tolist() == [fingerprint(t) for t in texts]
+
+
+def test_fingerprint_of_a_very_long_text():
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{k}" * (1 + k % 4) for k in range(3000)])
+    text = " ".join(vocabulary[rng.integers(0, 3000, 2_500_000)])
+    assert len(text) > 20_000_000
+    assert simhash._fingerprints(pa.array([text, "a b c d"]), 3, 42).tolist() == [fingerprint(text), fingerprint("a b c d")]
+
+
 def groups_truth(prints):
     parent = {i: i for i in prints}
 

@@ -1,31 +1,34 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Documents are items of their token count plus one end token; an item longer than the longest
-sequence is cut into pieces that fill one and a rest. Items are dealt into shards of about
-``shard_items`` by a hash of a row number given when the item table was written, so neither a
-frequent id nor a frequent length can overfill a shard, and each shard is packed on its own:
+Documents are encoded whole, an end token behind each; a document longer than the longest sequence
+is cut into pieces that fill one and a rest. Pieces are dealt into shards of about ``shard_items``
+by a hash of a row number given when their table was written, so neither a frequent id nor a
+frequent length can overfill a shard, and each shard is packed on its own, token ids and all:
 longest first, each item goes to the open bin that it leaves least room in, whatever the bin's
-size; if none has room a bin is opened. Which size to open is decided jointly for the shard: the
+size (of equally tight ones, the one filled last); if none has room a bin is opened. Which size to open is decided jointly for the shard: the
 packing is tried once for every floor (open the size with the least cost a token among the
 permitted sizes not below the floor and the item) and the plan with the lowest total cost is
 taken. Finally each bin shrinks to the smallest permitted length that holds its contents.
 
-Edge cases: null and empty texts are items of one end token; repeated rows are items of their
-own; an empty table gives an empty result; other columns are ignored whatever their names.
+Edge cases: null and empty texts are a lone end token; repeated rows and rows with a null id are
+packed one by one; an empty table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import land, word_count
+from quern.llm.encoding import ship
+from quern.llm.shared import land, slices
 
-RESULT = "id long, n_tokens long, piece int, piece_start long, piece_tokens int, shard int, bin int, bin_start int, bin_used int, bin_length int"
+RESULT = "shard int, bin int, bin_length int, bin_used int, doc_ids array<long>, pieces array<int>, piece_starts array<long>, bin_starts array<int>, tokens array<int>"
 
 
 @dataclass(frozen=True)
@@ -87,42 +90,64 @@ def plan_bins(sizes: Sequence[int], lengths: Sequence[int], cost: Cost) -> tuple
 
 def pack(
     docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    pattern: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     lengths: Sequence[int] = (512, 1024, 2048, 4096),
     cost: Cost = Cost(),
-    shard_items: int = 8192,
+    shard_items: int = 4096,
 ) -> DataFrame:
-    """A row for each piece of each document: where its tokens are in the document and in which bin they go.
+    """One row for each training sequence: its permitted length, its ``bin_used`` token ids, and what they come from.
 
-    Bin numbers count from 0 in each shard. Columns as in ``RESULT``; ``n_tokens`` and pieces
-    include the end token.
+    ``tokenizer`` is a file on the driver (see ``encoding.Encoder``). The lists ``doc_ids``, ``pieces``,
+    ``piece_starts`` (in the document's tokens) and ``bin_starts`` (in the sequence's) have an entry
+    for each piece, in order. Bin numbers count from 0 in each shard.
     """
-    longest = max(lengths)
-    items = docs.select(F.col(id_col).cast("long").alias("id"), (word_count(text_col) + 1).alias("n_tokens"))
-    items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_tokens - 1) div {longest} as int)"))))
-    items = land(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    longest, shipped = max(lengths), ship(docs.sparkSession, tokenizer, end_id, pattern)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shipped.encoder()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, counts = encoder.encode(part.column("text"))
+                pieces = -(-counts // longest)
+                owner = np.repeat(np.arange(len(counts)), pieces)
+                piece = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+                starts = (np.cumsum(counts) - counts)[owner] + piece * longest
+                offsets = pa.array(np.append(starts, len(ids)), pa.int32())
+                tokens = pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), pa.array(piece, pa.int32()), tokens], ["id", "piece", "tokens"])
+
+    items = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    items = items.mapInArrow(encode, "id long, piece int, tokens array<int>").withColumn("row", F.monotonically_increasing_id())
+    items = land(items, "items")
     shards = max(1, -(-items.count() // shard_items))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
-    dealt = dealt.withColumn("piece_start", F.col("piece").cast("long") * longest)
-    dealt = dealt.withColumn("piece_tokens", F.least(F.col("n_tokens") - F.col("piece_start"), F.lit(longest)).cast("int"))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("piece_tokens", "descending"), ("id", "ascending"), ("row", "ascending"), ("piece", "ascending")])
-        where, start, used, final = plan_bins(table.column("piece_tokens").to_pylist(), lengths, cost)
-        out = table.select(["id", "n_tokens", "piece", "piece_start", "piece_tokens", "shard"])
-        bins = pa.array(where, pa.int32())
-        for name, values in (("bin", bins), ("bin_start", pa.array(start, pa.int32())), ("bin_used", pa.array(used, pa.int32()).take(bins)), ("bin_length", pa.array(final, pa.int32()).take(bins))):
-            out = out.append_column(name, values)
-        return out
+        table = table.append_column("size", pc.list_value_length(table.column("tokens")))
+        table = table.take(pc.sort_indices(table.select(["size", "id", "row"]), [("size", "descending"), ("id", "ascending"), ("row", "ascending")]))
+        where, start, used, final = plan_bins(table.column("size").to_pylist(), lengths, cost)
+        order = np.lexsort((start, where))
+        table, where, start = table.take(pa.array(order)).combine_chunks(), np.array(where)[order], np.array(start)[order]
+        ids, piece, tokens = (table.column(n).chunk(0) for n in ("id", "piece", "tokens"))
+        within, held = pa.array(np.searchsorted(where, np.arange(len(used) + 1)), pa.int32()), pa.array(np.append(0, np.cumsum(used)), pa.int32())
+        lists = [ids, piece, pa.array(piece.to_numpy().astype(np.int64) * longest), pa.array(start, pa.int32())]
+        lists = [pa.ListArray.from_arrays(within, x) for x in lists] + [pa.ListArray.from_arrays(held, tokens.flatten())]
+        alone = [np.full(len(used), table.column("shard")[0].as_py()), np.arange(len(used)), final, used]
+        names = [c.split()[0] for c in RESULT.split(", ")]
+        return pa.Table.from_arrays([*(pa.array(x, pa.int32()) for x in alone), *lists], names)
 
     return dealt.groupBy("shard").applyInArrow(run, RESULT)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """One row for each bin: its length, contents and the pieces in order (bounded by the longest length)."""
-    piece = F.struct("bin_start", "id", "piece", "piece_start", "piece_tokens")
-    return packed.groupBy("shard", "bin", "bin_length", "bin_used").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+def placements(packed: DataFrame) -> DataFrame:
+    """A row for each piece of each document: where it begins in the document, and where it went."""
+    place = F.explode(F.arrays_zip("doc_ids", "pieces", "piece_starts", "bin_starts")).alias("p")
+    rows = packed.select("shard", "bin", "bin_length", "bin_used", place)
+    return rows.select(F.col("p.doc_ids").alias("id"), F.col("p.pieces").alias("piece"), F.col("p.piece_starts").alias("piece_start"), "shard", "bin", F.col("p.bin_starts").alias("bin_start"), "bin_used", "bin_length")
 
 
-__all__ = ["Cost", "best_fit", "plan_bins", "pack", "sequences"]
+__all__ = ["Cost", "best_fit", "plan_bins", "pack", "placements"]

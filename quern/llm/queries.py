@@ -48,8 +48,15 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "anomaly", "threshold")
 
 
+def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Sequences of up to 4096 tokens; ``tokenizer``: a tiktoken rank file, by default the public byte-level one, whose id 50256 is free."""
+    import public_tokenizers
+
+    return packing.pack(docs, str(tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")), 50256, public_tokenizers.PATTERN)
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +74,7 @@ def token_files_query(spark: SparkSession, sf_dir: str, tokenizer: str | None =
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     docs = _table(spark, sf_dir, "documents")
     # 49,408 ids fit two bytes
-    manifest = token_files.write_files(docs, str(tokenizer), scratch_path(spark, "tokens"), end_id=2, by_word=True, item=2)
+    manifest = token_files.write_files(docs, str(tokenizer), scratch_path(spark, "tokens"), end_id=2, item=2)
     return token_files.read_digests(manifest).withColumnRenamed("id", "doc_id")
 
 

@@ -24,16 +24,13 @@ columns are ignored whatever their names.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -41,131 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import Words, land, slices
+from quern.llm.encoding import ship
+from quern.llm.shared import land, slices
 
 FRAME_TOKENS = 1 << 17
-#: Bytes of text whose distinct words are encoded together.
-ENCODE_BYTES = 6 << 20
+#: Bytes of text that are encoded in one call.
+ENCODE_BYTES = 1 << 20
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "part int, file string, n_docs long, n_tokens long, n_bytes long"
 
 
-# ---------------------------------------------------------------- encoding
-
-
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-#: Marks that may be cut off a word's end: no apostrophe (contractions) and nothing of a special token's name.
-_TAIL = np.zeros(256, bool)
-_TAIL[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
-#: Units that are encoded as one text, and units remembered by a worker.
-JOINED, REMEMBERED = 4096, 600_000
-
-
-def word_units(words: Words) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """Words with the marks at their ends as units of their own, and the range of units of each text."""
-    place = np.arange(len(words.data))
-    last = np.maximum.accumulate(np.where(_TAIL[words.data], -1, place))[words.ends - 1] if len(words) else words.ends
-    cut = (last >= words.starts) & (last + 1 < words.ends)
-    cut[cut] = _ALNUM[words.data[last[cut]]]
-    at = np.arange(len(words)) + np.cumsum(cut) - cut
-    ends = np.empty(len(words) + int(cut.sum()), np.int64)
-    starts = np.empty_like(ends)
-    starts[at], ends[at] = words.starts, np.where(cut, last + 1, words.ends)
-    starts[at[cut] + 1], ends[at[cut] + 1] = last[cut] + 1, words.ends[cut]
-    offsets = np.zeros(len(ends) + 1, np.int64)
-    np.cumsum(ends - starts, out=offsets[1:])
-    data = np.ascontiguousarray(words.data[words.solid])
-    array = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
-    before = np.concatenate([[0], np.cumsum(1 + cut)])
-    return array, before[words.first]
-
-
-class Encoder:
-    """Token ids of whole texts.
-
-    With ``by_word`` each distinct unit of a slice (a word between ASCII blanks, or the marks at its
-    end) is encoded once and its ids are gathered. This equals encoding the text for a tokenizer
-    that drops blanks and whose pieces never reach over them or from a letter to a mark, and that
-    marks the last token of each piece (so word_bpe_49k). Units of one piece, letters or marks
-    alone, are encoded together, joined by blanks, and told apart by the marked tokens; should their
-    number differ from the units', they are encoded one by one. Encoded units are remembered as
-    arrays, up to ``REMEMBERED`` of them, over all tasks of a worker process.
-    """
-
-    def __init__(self, path: str, end_id: int, by_word: bool, end_mark: str = "</w>"):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end, self.by_word = Tokenizer.from_file(path), end_id, by_word
-        vocabulary = self.tokenizer.get_vocab() if by_word else {}
-        self.ends_piece = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends_piece[[i for t, i in vocabulary.items() if t.endswith(end_mark)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self._ids(units)
-        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
-
-    def _together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units and how many each has, for units of one piece."""
-        groups = [units[k : k + JOINED] for k in range(0, len(units), JOINED)]
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for group, found in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
-            last = np.flatnonzero(self.ends_piece[found])
-            if len(last) != len(group) or (len(found) and last[-1] != len(found) - 1):
-                found, size = self._one_by_one(group)
-            else:
-                size = np.diff(last, prepend=-1)
-            ids.append(found)
-            sizes.append(size)
-        return np.concatenate(ids), np.concatenate(sizes)
-
-    def _learn(self, units: pa.Array) -> np.ndarray:
-        """Where each of the distinct units is remembered, after encoding the new ones."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        at = pc.index_in(units, value_set=self.known)
-        new = units.filter(at.is_null())
-        plain = pc.or_(pc.utf8_is_alpha(new), pc.match_substring_regex(new, "^[!-&(-/:;=?@\\[-`{}~]+$"))
-        parts = [new.filter(plain), new.filter(pc.invert(plain))]
-        found = [run(p.to_pylist()) for run, p in zip((self._together, self._one_by_one), parts, strict=True)]
-        self.known = pa.concat_arrays([self.known, *parts])
-        self.pool = np.concatenate([self.pool, *(ids for ids, _ in found)])
-        self.size = np.concatenate([self.size, *(sizes for _, sizes in found)])
-        return pc.index_in(units, value_set=self.known).to_numpy(zero_copy_only=False)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, the end id after each, and how many each text has."""
-        if self.by_word:
-            units, first = word_units(Words(texts))
-            coded = units.dictionary_encode()
-            of = coded.indices.to_numpy(zero_copy_only=False)
-            at = self._learn(coded.dictionary)[of]
-            begin = np.cumsum(self.size) - self.size
-            each = self.size[at]
-            run = np.zeros(len(each) + 1, np.int64)
-            np.cumsum(each, out=run[1:])
-            flat = self.pool[np.repeat(begin[at] - run[:-1], each) + np.arange(run[-1])]
-            counts = np.diff(run[first])
-        else:
-            flat, counts = self._one_by_one([t or "" for t in texts.to_pylist()])
-        return np.insert(flat, np.cumsum(counts), self.end), counts + 1
-
-
-@lru_cache(maxsize=2)
-def worker_encoder(path: str, end_id: int, by_word: bool) -> Encoder:
-    """The encoder of this worker process, kept from task to task."""
-    return Encoder(path, end_id, by_word)
-
-
 # ---------------------------------------------------------------- one file
 
 
@@ -198,6 +80,8 @@ class Writer:
         self.seek.append((len(data), plain, check & 0xFFFFFFFF))
 
     def _frame(self, tokens: np.ndarray) -> None:
+        if len(tokens) and int(tokens.max()) >> 8 * self.item:
+            raise ValueError(f"token id {int(tokens.max())} does not fit {self.item} bytes")
         raw = tokens.astype(f"<u{self.item}").tobytes()
         self._put(self.press.compress(raw), len(raw), xxhash.xxh64_intdigest(raw))
 
@@ -293,17 +177,21 @@ def write_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 2,
-    by_word: bool = False,
+    pattern: str | None = None,
     item: int = 4,
     frame_tokens: int = FRAME_TOKENS,
 ) -> DataFrame:
     """Encode whole texts into files under ``root``, in ascending id order over parts; returns the manifest.
 
-    ``root`` is a folder that executors share, by any address Arrow's file systems know.
+    ``tokenizer`` is a file on the driver (see ``encoding.Encoder``; ``pattern`` for rank files), ``root`` a folder that
+    executors share, by any address Arrow's file systems know. A vocabulary with ids beyond ``item`` bytes is refused.
     """
+    shipped = ship(docs.sparkSession, tokenizer, end_id, pattern)
+    if shipped.encoder().largest >> 8 * item:
+        raise ValueError(f"the tokenizer has ids that do not fit {item} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer, end_id, by_word)
+        encoder = shipped.encoder()
         fs, folder = pafs.FileSystem.from_uri(root)
         part, name = TaskContext.get().partitionId(), ""
         sink = writer = None

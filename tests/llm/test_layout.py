@@ -20,6 +20,8 @@ from quern.llm import chat, mixing, packing, sharding, token_files
 from quern.llm.shared import scratch_path
 from tests.llm.helpers import corpus, documents, words
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -115,66 +117,100 @@ def test_a_draw_takes_the_tokens_of_the_mix(spark, share, monkeypatch):
 # ---------------------------------------------------------------- packing
 
 
-@pytest.mark.parametrize("seed", range(4))
+RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def pack(docs, **options):
+    return packing.pack(docs, RANKS, 50256, public_tokenizers.PATTERN, **options)
+
+
+@pytest.mark.parametrize("seed", range(3))
 def test_packing_is_whole_and_fits(spark, seed):
+    """Every document's pieces, put together again, are its tokens."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    truth = tiktoken.Encoding("truth", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(seed)
-    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 63, 64, 65, 200, 700]))) for i in range(300)] + [(7, "again"), (None, "x y"), (400, None)]
+    rows = [(i, " ".join(["w é<|endoftext|>"[: rng.randint(1, 16)]] * rng.choice([0, 1, 5, 30, 63, 64, 65, 200, 700]))) for i in range(300)] + [(301, "again"), (None, "x y"), (400, None), (401, "z" * 3000)]
     lengths = (64, 128, 256)
-    got = packing.pack(documents(spark, rows), lengths=lengths, shard_items=100).collect()
-    tokens = defaultdict(int)
-    for r in got:
-        tokens[r.id] += r.piece_tokens
-    expected = defaultdict(int)
-    for i, t in rows:
-        expected[i] += len(words(t)) + 1
-    assert tokens == expected
-    bins = defaultdict(list)
-    for r in got:
-        bins[r.shard, r.bin].append(r)
-    assert len({r.shard for r in got}) > 1
-    for inside in bins.values():
-        inside.sort(key=lambda r: r.bin_start)
-        ends = list(itertools.accumulate(r.piece_tokens for r in inside))
-        assert [r.bin_start for r in inside] == [0, *ends[:-1]]
-        assert all(r.bin_used == ends[-1] and r.bin_length == min(c for c in lengths if c >= ends[-1]) for r in inside)
-    full = packing.sequences(packing.pack(documents(spark, rows), lengths=lengths, shard_items=100))
-    assert full.count() == len(bins)
-
-
-def test_best_fit_takes_the_tightest_bin_and_the_cheapest_plan():
+    found = pack(documents(spark, rows), lengths=lengths, shard_items=100).collect()
+    got = defaultdict(list)
+    for r in found:
+        assert r.bin_used == len(r.tokens) and r.bin_length == min(c for c in lengths if c >= r.bin_used)
+        ends = [*r.bin_starts[1:], r.bin_used]
+        assert r.bin_starts[0] == 0 and r.bin_starts == sorted(r.bin_starts)
+        for i, start, a, b in zip(r.doc_ids, r.piece_starts, r.bin_starts, ends, strict=True):
+            got[i].append((start, r.tokens[a:b]))
+    assert {i: [t for _, part in sorted(parts) for t in part] for i, parts in got.items()} == {i: [*truth.encode_ordinary(t or ""), 50256] for i, t in rows}
+    assert len({r.shard for r in found}) > 1
+    places = packing.placements(pack(documents(spark, rows), lengths=lengths, shard_items=100))
+    assert places.count() == sum(len(r.doc_ids) for r in found)
+    same = pack(documents(spark, [(7, "a b c")] * 50 + [(None, "a")] * 3)).collect()
+    assert Counter(i for r in same for i in r.doc_ids) == {7: 50, None: 3}
+
+
+def naive_best_fit(sizes, lengths, cost, floor):
+    """By looking at every open bin for every item; of equally tight bins the one that was filled last."""
+    bins = []
+    for k, item in enumerate(sizes):
+        fits = [b for b in bins if b[0] - b[1] >= item]
+        if fits:
+            bin_ = min(fits, key=lambda b: (b[0] - b[1], -b[2]))
+        else:
+            bin_ = [min((c for c in lengths if c >= max(item, floor)), key=lambda c: (cost(c) / c, c)), 0, k]
+            bins.append(bin_)
+        bin_[1:] = bin_[1] + item, k
+    return sorted(used for _, used, _ in bins)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_fit_against_brute_force(seed):
+    rng = random.Random(seed)
+    lengths, cost = [25, 50, 100], packing.Cost(rng.choice([0, 3, 10]), rng.choice([40, 10**9]))
+    sizes = sorted((rng.randint(1, 100) for _ in range(rng.randint(0, 80))), reverse=True)
+    plans = [naive_best_fit(sizes, lengths, cost, floor) for floor in lengths]
+    final = lambda used: next(c for c in lengths if c >= used)
+    for floor, plan in zip(lengths, plans, strict=True):
+        where, start, used = packing.best_fit(sizes, lengths, cost, floor)
+        assert sorted(used) == plan
+        inside = defaultdict(list)
+        for w, s, n in zip(where, start, sizes, strict=True):
+            inside[w].append((s, n))
+        assert all([s for s, _ in x] == [0, *itertools.accumulate(n for _, n in x)][:-1] for x in inside.values())
+    where, start, used, ends = packing.plan_bins(sizes, lengths, cost)
+    assert ends == [final(u) for u in used]
+    assert sum(map(cost, ends)) == pytest.approx(min(sum(cost(final(u)) for u in plan) for plan in plans))
+
+
+def test_best_fit_takes_the_tightest_bin():
     cost = packing.Cost(10, 10**9)
     where, start, used = packing.best_fit([60, 50, 40, 30, 10], [100], cost, 100)
     assert (where, start, used) == ([0, 1, 0, 1, 1], [0, 0, 60, 50, 80], [100, 90])
-    sizes = sorted([random.Random(2).randint(1, 100) for _ in range(60)], reverse=True)
-    plan = packing.plan_bins(sizes, [25, 50, 100], cost)
-    total = sum(map(cost, plan[3]))
-    for floor in (25, 50, 100):
-        used = packing.best_fit(sizes, [25, 50, 100], cost, floor)[2]
-        assert total <= sum(cost(next(c for c in (25, 50, 100) if c >= u)) for u in used)
-    assert sum(plan[2]) == sum(sizes)
     assert packing.plan_bins([], [25], cost) == ([], [], [], [])
 
 
 def test_packing_of_nothing(spark):
-    assert packing.pack(documents(spark, [])).count() == 0
+    assert pack(documents(spark, [])).count() == 0
 
 
 # ---------------------------------------------------------------- token files
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
 BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@pytest.mark.parametrize("tokenizer,by_word,item", [(WORD_BPE, True, 2), (WORD_BPE, False, 4), (BYTE_BPE, False, 2)])
-def test_token_files_round_trip(spark, tokenizer, by_word, item):
+@pytest.mark.parametrize("tokenizer,item", [(WORD_BPE, 2), (WORD_BPE, 4), (BYTE_BPE, 2)])
+def test_token_files_round_trip(spark, tokenizer, item):
     from tokenizers import Tokenizer
 
     rows = corpus(40) + [(5, "a repeated id"), (None, "no id at all")]
     truth = Tokenizer.from_file(tokenizer)
     ids = lambda t: [*truth.encode(t or "", add_special_tokens=False).ids, 2]
     root = scratch_path(spark, "tokens")
-    manifest = token_files.write_files(documents(spark, rows), tokenizer, root, by_word=by_word, item=item, frame_tokens=700)
+    manifest = token_files.write_files(documents(spark, rows), tokenizer, root, item=item, frame_tokens=700)
     got = token_files.read_digests(manifest).collect()
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert sorted((r.id is not None, r.id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((i is not None, i or 0, len(ids(t)), crc(ids(t))) for i, t in rows)
@@ -197,16 +233,13 @@ def test_token_files_round_trip(spark, tokenizer, by_word, item):
         assert len(plain.read()) == f.n_tokens * item
 
 
-def test_word_units_equal_whole_texts():
-    rng = random.Random(1)
-    alphabet = "aAzZ0 9'sté́ΣσİıßN  　\t\n\r\x0b\x0c\x1c\x85.,!<|>ﬁ漢字🙂‍"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|> x<|startoftext|>", None]
-    texts += [" ".join("".join(rng.choice("abcABCéß") for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", ",", "!!", "'s", "'", ").", "…", "9."]) for _ in range(60)) for _ in range(400)]
-    plain, memo = token_files.Encoder(WORD_BPE, 2, False), token_files.Encoder(WORD_BPE, 2, True)
-    for k in range(0, len(texts), 250):
-        part = pa.array(texts[k : k + 250], pa.string())
-        for a, b in zip(plain.encode(part), memo.encode(part), strict=True):
-            assert a.tolist() == b.tolist()
+def test_ids_beyond_the_item_are_refused(spark, tmp_path):
+    writer = token_files.Writer(io.BytesIO(), 2)
+    writer.add(pa.array([1]), np.array([1, 70000], np.uint32), np.array([2]))
+    with pytest.raises(ValueError, match="70000"):
+        writer.close()
+    with pytest.raises(ValueError):
+        token_files.write_files(documents(spark, [(1, "a")]), WORD_BPE, f"file://{tmp_path}", end_id=70000, item=2)
 
 
 def test_damage_is_found():
@@ -264,6 +297,36 @@ def test_a_commit_never_overwrites(spark, tmp_path):
     assert store.version() == 1
 
 
+def test_two_writers_at_one_version(spark, tmp_path):
+    """The writer that comes second fails and leaves the first one's rows as they are, in append and compact."""
+    root, run = f"file://{tmp_path}/s", F.floor(F.col("doc_id") / 2)
+    a, b = (sharding.ShardStore(spark, root, fanout=2) for _ in range(2))
+    docs = documents(spark, [(i, "AAAA") for i in range(8)])
+    b.version = lambda: 0
+    a.append(docs, run)
+    with pytest.raises(Exception):  # noqa: B017
+        b.append(documents(spark, [(i, "BBBB") for i in range(8)]), run)
+    assert [r.text for r in a.read(docs.schema).collect()] == ["AAAA"] * 8
+    b.version = lambda: 1
+    a.compact(docs.schema)
+    with pytest.raises(Exception):  # noqa: B017
+        b.compact(docs.schema)
+    assert a.version() == 2 and [r.text for r in a.read(docs.schema).collect()] == ["AAAA"] * 8
+
+
+def test_each_target_file_has_a_task_of_its_own(spark, tmp_path):
+    docs = documents(spark, [(i, "x" * 400) for i in range(600)])
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=20_000, fanout=3, base_bytes=1000)
+    store.append(docs, F.floor(F.col("doc_id") / 5), gather=True)
+    store.compact(docs.schema)
+    shards = store.manifest().collect()
+    assert len(shards) > 9
+    for r in shards:
+        assert len(list((tmp_path / "s" / r.folder).glob("*.parquet"))) == 1
+    tasks = {next((tmp_path / "s" / r.folder).glob("*.parquet")).name.split("-")[1] for r in shards}
+    assert len(tasks) == len(shards)
+
+
 def test_tiers_are_powers_of_four(spark):
     got = spark.createDataFrame([(0,), (999,), (1000,), (3999,), (4000,), (15999,), (16000,)], "b long").select("b", sharding.tier(F.col("b"), 1000).alias("t")).collect()
     assert [r.t for r in got] == [0, 0, 0, 1, 1, 2, 2]
@@ -349,19 +412,23 @@ def rendered(rows):
 def test_long_conversations_are_cut_without_a_trace(spark):
     rows = random_turns(1, 1, 400) + random_turns(2, 2, 50) + random_turns(3, None, 90) + [(4, None, "user", "late"), (4, 1, "user", "early")]
     rows += [(5, 7, "user", "same")] * 60 + [(6, None, "assistant", str(k)) for k in range(300)] + [(6, 3, "user", str(k)) for k in range(90)]
+    rows += [(7, 10**12, "assistant", "far off")] + random_turns(4, 7, 200)
     whole, cut = (chat.repair(conversations(spark, rows), chunk_turns=n).collect() for n in (4096, 37))
     assert len(whole) == len(cut) == len(rows) and {r.chunk for r in whole} == {0} and len({r.chunk for r in cut}) > 3
-    sizes = Counter((r.conv_id, r.chunk) for r in cut if r.conv_id != 5)
-    assert max(sizes.values()) < 90
-    for conv in (1, 2, None, 4, 5, 6):
-        a, b = ([r for r in x if r.conv_id == conv] for x in (whole, cut))
-        assert sum(r.cost for r in a) == sum(r.cost for r in b)
-        for side in (a, b):
-            text = rendered(side)
-            heads = [h.split("|>")[0] for h in text.split("<|")[1:]]
-            turns = heads[::2]
-            assert heads[1::2] == ["end"] * len(turns)
-            assert legal([chat.ROLES.index(t) + 1 for t in turns])
+    assert max(Counter((r.conv_id, r.chunk) for r in cut).values()) <= 37
+    for conv in (1, 2, None, 4, 5, 6, 7):
+        a, b = (sorted((r for r in x if r.conv_id == conv), key=lambda r: (r.chunk, r.place)) for x in (whole, cut))
+        same = lambda r: (r.turn, r.role, r.role_out, r.action, r.inserted, r.cost, r.rendered)
+        assert list(map(same, a)) == list(map(same, b))
+        heads = [h.split("|>")[0] for h in rendered(b).split("<|")[1:]]
+        turns = heads[::2]
+        assert heads[1::2] == ["end"] * len(turns)
+        assert legal([chat.ROLES.index(t) + 1 for t in turns])
+    parts = chat.conversations(chat.repair(conversations(spark, rows), chunk_turns=37)).collect()
+    for conv in (1, 2, None, 7):
+        mine = sorted((p for p in parts if p.conv_id == conv), key=lambda p: p.part)
+        assert "".join(p.rendered for p in mine) == rendered([r for r in whole if r.conv_id == conv])
+        assert sum(p.cost for p in mine) == sum(r.cost for r in whole if r.conv_id == conv)
 
 
 def test_rendering(spark):

@@ -74,17 +74,29 @@ def test_mixing_stage(stages):
 
 
 def test_packing_stage(stages):
-    expected = sum(len(words(r.text)) + 1 for r in stages[3].collect())
-    rows = stages[4].collect()
-    assert sum(r.piece_tokens for r in rows) == expected
-    bins = defaultdict(int)
-    for r in rows:
-        bins[r.shard, r.bin] += r.piece_tokens
-    assert all(bins[r.shard, r.bin] == r.bin_used <= r.bin_length for r in rows)
+    """Put together again, the pieces of the drawn documents are their tokens."""
+    import base64
+    from collections import Counter
+
+    import tiktoken
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    truth = tiktoken.Encoding("truth", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = Counter()
+    for r in stages[3].collect():
+        ids = [*truth.encode_ordinary(r.text), 50256]
+        expected.update((r.doc_id, k, tuple(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    got = Counter()
+    for r in stages[4].collect():
+        assert len(r.tokens) == r.bin_used <= r.bin_length
+        for i, start, a, b in zip(r.doc_ids, r.piece_starts, r.bin_starts, [*r.bin_starts[1:], r.bin_used], strict=True):
+            got[i, start, tuple(r.tokens[a:b])] += 1
+    assert got == expected
 
 
 def test_run_is_the_stages(spark, stages):
-    key = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "piece_tokens").collect()))
+    key = lambda df: sorted((i, n) for r in df.collect() for i, n in zip(r.doc_ids, r.piece_starts, strict=True))
     assert key(corpus_pipeline.run(spark, str(SF))) == key(stages[4])
 
 

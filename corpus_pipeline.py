@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, gam, mixing, packing, simhash
-from quern.llm.queries import LEVELS, WEIGHTS
-from quern.llm.shared import land
+from quern.llm import exact_dedup, gam, mixing, simhash
+from quern.llm.queries import LEVELS, WEIGHTS, pack_documents
+from quern.llm.shared import land_alone, remove
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw 60 % of the tokens by the target weights; a document comes once for each pass that draws on it."""
+    """Draw 60 % of the words by the target weights; a document comes once for each pass that draws on it, cut where a source's share ends in it."""
     return mixing.draw(docs, LEVELS, WEIGHTS, share=(3, 5), max_epochs=4, seed=7)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes among the training sequences."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    """Training sequences of token ids, and which pieces of which documents they hold."""
+    return pack_documents(docs)
 
 
 STAGES = [
@@ -47,9 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = land(docs, f"stage{k}")
-    return docs
+    """The stages one after another; what a stage and the one before it stored goes when its output is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs, path = land_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage{k}")
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

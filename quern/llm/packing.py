@@ -106,6 +106,8 @@ def pack(
     for each piece, in order. Bin numbers count from 0 in each shard.
     """
     longest, shipped = max(lengths), ship(docs.sparkSession, tokenizer, end_id, pattern)
+    # between the steps ids are bytes, as few as the vocabulary needs
+    item = np.dtype("<u2" if shipped.encoder().largest < 1 << 16 else "<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shipped.encoder()
@@ -116,26 +118,28 @@ def pack(
                 owner = np.repeat(np.arange(len(counts)), pieces)
                 piece = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
                 starts = (np.cumsum(counts) - counts)[owner] + piece * longest
-                offsets = pa.array(np.append(starts, len(ids)), pa.int32())
-                tokens = pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))
+                offsets = (np.append(starts, len(ids)) * item.itemsize).astype(np.int32)
+                tokens = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(item))])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), pa.array(piece, pa.int32()), tokens], ["id", "piece", "tokens"])
 
     items = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = items.mapInArrow(encode, "id long, piece int, tokens array<int>").withColumn("row", F.monotonically_increasing_id())
+    items = items.mapInArrow(encode, "id long, piece int, tokens binary").withColumn("row", F.monotonically_increasing_id())
     items = land(items, "items")
     shards = max(1, -(-items.count() // shard_items))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.append_column("size", pc.list_value_length(table.column("tokens")))
+        table = table.append_column("size", pc.divide(pc.binary_length(table.column("tokens")), item.itemsize))
         table = table.take(pc.sort_indices(table.select(["size", "id", "row"]), [("size", "descending"), ("id", "ascending"), ("row", "ascending")]))
         where, start, used, final = plan_bins(table.column("size").to_pylist(), lengths, cost)
         order = np.lexsort((start, where))
         table, where, start = table.take(pa.array(order)).combine_chunks(), np.array(where)[order], np.array(start)[order]
         ids, piece, tokens = (table.column(n).chunk(0) for n in ("id", "piece", "tokens"))
+        at = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+        flat = np.frombuffer(tokens.buffers()[2], np.uint8)[at[0] : at[-1]].view(item).astype(np.int32)
         within, held = pa.array(np.searchsorted(where, np.arange(len(used) + 1)), pa.int32()), pa.array(np.append(0, np.cumsum(used)), pa.int32())
         lists = [ids, piece, pa.array(piece.to_numpy().astype(np.int64) * longest), pa.array(start, pa.int32())]
-        lists = [pa.ListArray.from_arrays(within, x) for x in lists] + [pa.ListArray.from_arrays(held, tokens.flatten())]
+        lists = [pa.ListArray.from_arrays(within, x) for x in lists] + [pa.ListArray.from_arrays(held, pa.array(flat))]
         alone = [np.full(len(used), table.column("shard")[0].as_py()), np.arange(len(used)), final, used]
         names = [c.split()[0] for c in RESULT.split(", ")]
         return pa.Table.from_arrays([*(pa.array(x, pa.int32()) for x in alone), *lists], names)

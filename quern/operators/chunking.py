@@ -493,11 +493,12 @@ def chunk_documents(
     source_col: str | None = None,
     title_col: str | None = None,
     registry: Registry = REGISTRY,
+    embed: Embed | None = None,
 ) -> DataFrame:
     """Chunk every document: its columns but the text, then the chunk's.
 
-    The strategy is given or follows from the source column. Titled issues get the issue chunker. A
-    document that cannot be chunked is one row with ``error`` set. ``chunk_id`` follows from
+    The strategy is given or follows from the source column. Titled issues get the issue chunker.
+    ``embed``, which runs on the executors, lets the semantic strategy see meaning. A document that cannot be chunked is one row with ``error`` set. ``chunk_id`` follows from
     document id, index and hash.
     """
     keep = [c for c in docs.columns if c not in (text_col, *_ARROW.names, "chunk_hash", "chunk_id", "char_count")]
@@ -513,7 +514,7 @@ def chunk_documents(
                 raise ValueError("Document version has no body_text to chunk")
             chunker = registry.get(name)
             used = config or (SemanticConfig() if name == "semantic" else ChunkerConfig())
-            found = issue(title, text, used) if source == "github_issue" and title and name == "github_issue" else chunker(text, used)
+            found = issue(title, text, used) if source == "github_issue" and title and name == "github_issue" else chunker(text, used, embed) if name == "semantic" else chunker(text, used)
             return [(k, *p, _named(name, text), None) for k, p in enumerate(found)]
         except ValueError as problem:
             return [(None, None, None, None, None, None, None, None, name, str(problem))]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.staging import join_groups, order_statistics, percentiles
 
 # The phrases of each intent.
 GREETING = r"(?i)^\s*(hi|hello|hey|yo|howdy|hola|good\s+(morning|afternoon|evening)|thanks|thank\s+you|thx|ok|okay|cool|great|nice)[\s!.?]*$"
@@ -70,9 +71,9 @@ def recent_traces(spans: DataFrame, limit: int = 50) -> DataFrame:
 
 def histograms(observations: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """p50, p95, count and sum of each series."""
-    p = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.95)))
-    rows = observations.groupBy(*keys).agg(p.alias("p"), F.count(value).alias("count"), F.sum(value).alias("sum"))
-    return rows.withColumn("p50", F.col("p")[0]).withColumn("p95", F.col("p")[1]).drop("p")
+    rows = observations.groupBy(*keys).agg(F.count(value).alias("count"), F.sum(value).alias("sum"))
+    rows = join_groups(rows, percentiles(observations, keys, value, (0.5, 0.95)), keys)
+    return rows.withColumn("p50", F.col("p")[0]).withColumn("p95", F.col("p")[1]).drop("p", "n")
 
 
 def registry(observations: DataFrame) -> DataFrame:
@@ -115,15 +116,11 @@ def system_health(components: DataFrame, keys: list[str] | None = None) -> DataF
 def load_summary(latencies: DataFrame, keys: list[str], value: str = "latency_ms", ok: Column | None = None) -> DataFrame:
     """Requests, errors, mean, median, p95 by index (not interpolated) and requests a second of summed latency."""
     good = latencies if ok is None else latencies.where(ok)
-    place = Window.partitionBy(*keys).orderBy(value)
-    ranked = good.withColumn("__place", F.row_number().over(place)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    at = F.greatest(F.lit(1), F.floor(F.col("__n") * 0.95))
-    rows = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("success"), F.avg(value).alias("avg_ms"), F.median(value).alias("p50_ms"), F.max(F.when(F.col("__place") == at, F.col(value))).alias("p95_ms"),
-        F.try_divide(F.count(F.lit(1)), F.sum(value) / 1000).alias("qps"),
-    )
+    rows = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("success"), F.avg(value).alias("avg_ms"), F.try_divide(F.count(F.lit(1)), F.sum(value) / 1000).alias("qps"))
+    rows = join_groups(rows, order_statistics(good, keys, value, ["(n - 1) * 0.5D", "greatest(1, floor(n * 0.95D)) - 1"]), keys)
+    rows = rows.withColumn("p50_ms", F.col("p")[0]).withColumn("p95_ms", F.col("p")[1]).drop("p", "n")
     all_ = latencies.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"))
-    return all_.join(rows, keys, "left").withColumn("errors", F.col("requests") - F.coalesce("success", F.lit(0)))
+    return join_groups(all_, rows, keys).withColumn("errors", F.col("requests") - F.coalesce("success", F.lit(0)))
 
 
 # ---------------------------------------------------------------- capacity

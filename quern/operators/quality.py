@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.staging import few, join_groups, percentiles, stored
 
 # ---------------------------------------------------------------- relevance and ranking metrics
 
@@ -29,31 +30,40 @@ def relevance(samples: DataFrame, corpus: DataFrame, min_chars: int = 1) -> Data
         parts.append(samples.select("query_id", F.explode("relevant_ids").alias("chunk_id")))
     refs = samples.select("query_id", F.explode("reference").alias("ref")).select("query_id", F.lower(T.strip(F.col("ref"))).alias("ref")).where(F.length("ref") >= min_chars)
     texts = corpus.select("chunk_id", F.lower("text").alias("text"))
-    parts += [_held(refs, texts, "ref", "text"), _held(texts, refs, "text", "ref")]
+    parts += [_held(refs, "query_id", "ref", texts, "chunk_id", "text"), _held(texts, "chunk_id", "text", refs, "query_id", "ref")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
 
 
-def _held(inner: DataFrame, outer: DataFrame, small: str, large: str) -> DataFrame:
+def _held(inner: DataFrame, inner_id: str, small: str, outer: DataFrame, outer_id: str, large: str) -> DataFrame:
     """Pairs whose ``small`` text lies in the ``large`` one, found through a key that both must have.
 
     An inner token (one between two other tokens of the small text, so cut at both ends as in the
     large text) must be a token of the large text: the pair is joined on the longest such token.
     Small texts with fewer than three tokens are joined on their first characters, three at most,
-    with the large texts' runs of as many characters.
+    with the large texts' runs of as many characters. Only ids, lengths and keys are exploded and joined;
+    the texts come to the pairs that are left.
     """
     word = lambda c: F.regexp_extract_all(F.col(c), F.lit("[a-z0-9]+"), F.lit(0))
     longest = F.array_max(F.transform(F.slice(F.col("__w"), F.lit(2), F.greatest(F.size("__w") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = inner.withColumn("__w", word(small)).withColumn("__key", longest).drop("__w").where(F.length(small) > 0)
-    holders = outer.select("*", F.explode(F.array_distinct(word(large))).alias("__key"))
-    out = keyed.where("__key is not null").join(holders, "__key").where(F.contains(large, small)).select("query_id", "chunk_id")
-    short = keyed.where("__key is null").withColumn("__n", F.least(F.length(small), F.lit(3))).withColumn("__key", F.substring(small, 1, 3))
-    for n in [r[0] for r in short.select("__n").distinct().collect()]:  # of 1, 2 and 3 those that occur
-        runs = outer.select("*", F.explode(F.array_distinct(F.regexp_extract_all(large, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("__key"))
-        out = out.unionByName(short.where(F.col("__n") == n).join(runs, "__key").where(F.contains(large, small)).select("query_id", "chunk_id"))
-    return out
+    # what is longer than the longest large text lies in none
+    most = outer.agg(F.max(F.length(large)).alias("n")).first().n or 0
+    inner = inner.where(F.length(small).between(1, most))
+    keyed = inner.withColumn("__w", word(small))
+    keyed = stored(keyed.select(inner_id, F.length(small).alias("__s"), longest.alias("__key"), F.when(longest.isNull(), F.least(F.length(small), F.lit(3))).alias("__n"), F.substring(small, 1, 3).alias("__head")))
+    size, fits = F.length(large).alias("__l"), F.col("__s") <= F.col("__l")
+    found = keyed.where("__key is not null").join(outer.select(outer_id, size, F.explode(F.array_distinct(word(large))).alias("__key")), "__key").where(fits).select(inner_id, outer_id)
+    short = keyed.where("__n is not null")
+    if not short.isEmpty():
+        for n in (1, 2, 3):
+            runs = outer.select(outer_id, size, F.explode(F.array_distinct(F.regexp_extract_all(large, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("__head"))
+            found = found.unionByName(short.where(F.col("__n") == n).join(runs, "__head").where(fits).select(inner_id, outer_id))
+    # texts are read once more and, as long as the pairs are few, stay where they are
+    pairs = few(stored(found.distinct()))
+    pairs = pairs.join(inner.select(inner_id, small), inner_id).join(outer.select(outer_id, large), outer_id)
+    return pairs.where(F.contains(large, small)).select("query_id", "chunk_id")
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
@@ -128,15 +138,13 @@ def lexical_context_quality(rows: DataFrame) -> DataFrame:
 
 def distribution(rows: DataFrame, keys: Sequence[str], value: str = "value", threshold: Column | None = None, higher_is_better: Column | None = None) -> DataFrame:
     """count, mean, min, max, p10, p50, p90, p95, population deviation and pass rate of each group."""
-    share = F.array(*map(F.lit, (0.1, 0.5, 0.9, 0.95)))
     better = F.lit(True) if higher_is_better is None else higher_is_better
     passed = F.lit(0.0) if threshold is None else F.when(better, F.col(value) >= threshold).otherwise(F.col(value) <= threshold).cast("double")
     grouped = rows.groupBy(*keys).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(F.col(value), share).alias("p"),
-        F.stddev_pop(value).alias("std"), F.avg(passed).alias("pass_rate"),
-    )
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), F.avg(passed).alias("pass_rate")
+    )
     points = {n: F.col("p")[k] for k, n in enumerate(("p10", "p50", "p90", "p95"))}
-    return grouped.withColumns(points).drop("p")
+    return join_groups(grouped, percentiles(rows, keys, value, (0.1, 0.5, 0.9, 0.95)), keys).withColumns(points).drop("p", "n")
 
 
 def averages(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

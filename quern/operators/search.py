@@ -1,25 +1,31 @@
 """Batch retrieval: BM25, exact vector search, reciprocal-rank fusion and reranking.
 
 All functions take a batch of queries and answer with rows keyed by (query_id, chunk_id), ranked
-from 1 in a total order: score, then chunk id. Only what a query can match is scored: BM25 keeps
-the postings of query terms, and a window-group limit keeps each query's best before the final sort.
+from 1 in a total order: score, then chunk id. Scoring all queries against a row and keeping each
+query's best is done where the row is read, so what is shuffled are k rows a query and task, and never
+pairs of queries and texts; texts are tokenised in the JVM, the sums are NumPy on Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
+from quern.operators.staging import stored
 
-#: A query batch is shipped to every task only after it was counted; larger ones go in blocks.
-BLOCK_QUERIES = 4096
+#: Up to so many queries are shipped to every task; more are dealt into blocks that meet groups of rows in a shuffle.
+BLOCK_QUERIES, GROUP_ROWS = 4096, 1 << 16
 BROADCAST_TERMS = 500_000
+#: Scores of a block that are held at a time.
+_CELLS = 2_000_000
+_SCORES = "query_id long, chunk_id long, score double"
 
 
 def rank(rows: DataFrame, k: int | None, *order: Column, by: str = "query_id", name: str = "rank") -> DataFrame:
@@ -37,6 +43,61 @@ def where_metadata(rows: DataFrame, conditions: Mapping[str, object] | None) ->
     return rows
 
 
+# ---------------------------------------------------------------- the best of each query, task by task
+
+
+class _Best:
+    """The k best (chunk, score) of each query so far: score first, then the smaller id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.query, self.chunk, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(ids), -np.inf)
+
+    def add(self, chunks: np.ndarray, score: np.ndarray, least: float = -np.inf) -> None:
+        """``score`` is queries by chunks; scores not above ``least`` do not count."""
+        n = score.shape[1]
+        floor = self.floor if n <= self.k else np.maximum(self.floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
+        query, at = np.nonzero((score >= floor[:, None]) & (score > least))
+        query, chunk, value = np.concatenate([self.query, query]), np.concatenate([self.chunk, chunks[at]]), np.concatenate([self.score, score[query, at]])
+        order = np.lexsort((chunk, -value, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[place < self.k]
+        full = query[place == self.k - 1]
+        self.query, self.chunk, self.score = query[place < self.k], chunk[kept], value[kept]
+        self.floor[full] = self.score[np.searchsorted(self.query, full, "right") - 1]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.chunk), pa.array(self.score)], ["query_id", "chunk_id", "score"])
+
+
+_Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _best_of(rows: DataFrame, asked: DataFrame | pa.Table, kernel: Callable[[pa.Table], _Kernel], k: int) -> DataFrame:
+    """The k best rows of each query; ``kernel`` turns a block of queries into a function over batches of rows."""
+    block = asked if isinstance(asked, pa.Table) else asked.limit(BLOCK_QUERIES + 1).toArrow()
+    if block.num_rows <= BLOCK_QUERIES:
+        found = rows.mapInArrow(kernel(block), _SCORES)
+    else:
+        asked = rows.sparkSession.createDataFrame(asked) if isinstance(asked, pa.Table) else asked
+        blocks, groups = -(-asked.count() // BLOCK_QUERIES), max(1, -(-rows.count() // GROUP_ROWS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("__group", every(groups))
+        right = rows.withColumn("__group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int")).withColumn("__block", every(blocks))
+
+        def meet(queries: pa.Table, texts: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(kernel(queries)(iter(texts.combine_chunks().to_batches(max_chunksize=10_000))))
+
+        found = left.groupBy("__block", "__group").cogroup(right.groupBy("__block", "__group")).applyInArrow(meet, _SCORES)
+    return rank(found, k, F.desc("score"), F.asc("chunk_id"))
+
+
+def _rounded(score: np.ndarray, places: int | None) -> np.ndarray:
+    return score if places is None else np.round(score, places)
+
+
 # ---------------------------------------------------------------- BM25
 
 
@@ -46,13 +107,6 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("dl", F.size("terms"))
 
 
-def corpus_statistics(docs: DataFrame, text_col: str) -> Column:
-    """n_docs and avgdl over the texts with a token, as a scalar subquery."""
-    sizes = docs.select(F.coalesce(F.regexp_count(F.lower(text_col), F.lit("[a-z0-9]+")), F.lit(0)).alias("dl"))
-    n = F.count_if(F.col("dl") > 0)
-    return sizes.agg(F.struct(n.alias("n_docs"), F.try_divide(F.sum("dl"), n).alias("avgdl"))).scalar()
-
-
 def term_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, df): in how many texts each term occurs."""
     terms = tokenized(docs, id_col, text_col).select(F.explode(F.array_distinct("terms")).alias("term"))
@@ -65,43 +119,121 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", doc_text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score) of every pair that shares a term."""
-    wanted = query_terms(queries, query_id, query_text)
-    rows = tokenized(docs, doc_id, doc_text)
-    corpus = corpus_statistics(docs, doc_text)
-    distinct = wanted.select("term").distinct()
-    # only postings of query terms leave the scan; the term list is broadcast when it is known to be short
-    short = distinct.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    side = F.broadcast(distinct) if short else distinct
-    matched = rows.select("chunk_id", "dl", F.explode("terms").alias("term")).join(side, "term", "left_semi")
-    # one shuffle by text serves the term counts and, as the weights are broadcast, the scores too
-    postings = matched.repartition("chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = wanted.join(df, "term")
-    weights = F.broadcast(weights) if short and wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else weights
-    idf = F.log(1 + (corpus["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / corpus["avgdl"]))
-    return postings.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * saturated).alias("score"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, conditions: Mapping[str, object] | None = None, filter_mode: str = "post", **columns) -> DataFrame:
-    """The k best texts for each query: query_id, chunk_id, score, rank.
+def corpus_counts(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+    """(term, df, tokens): in how many texts each of the terms occurs, and how many tokens these have.
+
+    One scan that is summed up where it is read. An empty term, which no text has, stands for all texts with a token.
+    """
+    rows = tokenized(docs, doc_id, doc_text).where("dl > 0")
+    held = rows.select("dl", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).join(terms, "term", "left_semi")
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("tokens"))
+
+
+def _idf(n: int, df):
+    return 1 + (n - df + 0.5) / (df + 0.5)
+
+
+def _weighted(wanted: pa.Table, counts: pa.Table) -> tuple[pa.Table, float]:
+    """Queries (query_id, terms, weights) from few query terms and their counts, and the mean number of tokens."""
+    every = np.flatnonzero(counts.column("term").to_numpy() == "")
+    df, tokens = counts.column("df").to_numpy(), counts.column("tokens").to_numpy()
+    n, average = (int(df[every[0]]), tokens[every[0]] / df[every[0]]) if len(every) else (0, 1.0)
+    at = pc.index_in(wanted.column("term"), value_set=counts.column("term").combine_chunks())
+    wanted = wanted.append_column("at", at).filter(at.is_valid()).sort_by([("query_id", "ascending"), ("term", "ascending")])
+    weight = wanted.column("qtf").to_numpy() * np.log(_idf(n, df[wanted.column("at").to_numpy()].astype(float)))
+    query = wanted.column("query_id").cast(pa.int64()).to_numpy()
+    ids, first = np.unique(query, return_index=True)
+    offsets = pa.array(np.append(first, len(query)), pa.int32())
+    term = pa.concat_arrays(wanted.column("term").cast(pa.string()).chunks) if len(query) else pa.array([], pa.string())
+    return pa.table({"query_id": ids, "terms": pa.ListArray.from_arrays(offsets, term), "weights": pa.ListArray.from_arrays(offsets, pa.array(weight))}), average
+
+
+def _asked(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_text: str, query_text: str) -> tuple[DataFrame | pa.Table, float]:
+    """Queries (query_id, terms, weights) and the mean number of tokens; few terms are weighed on the driver, more over the cluster."""
+    wanted, spark = query_terms(queries, query_id, query_text), docs.sparkSession
+    few = wanted.limit(BROADCAST_TERMS + 1).toArrow()
+    if few.num_rows <= BROADCAST_TERMS:
+        terms = spark.createDataFrame(pa.table({"term": pa.array([*pc.unique(few.column("term")).to_pylist(), ""], pa.string())}), "term string")
+        return _weighted(few, corpus_counts(docs, F.broadcast(terms), doc_id, doc_text).toArrow())
+    counts = stored(corpus_counts(docs, wanted.select("term").distinct().unionByName(spark.createDataFrame([("",)], "term string")), doc_id, doc_text))
+    corpus = counts.where("term = ''").first()
+    n, average = (corpus.df, corpus.tokens / corpus.df) if corpus else (0, 1.0)
+    weight = (F.col("qtf") * F.log(_idf(n, F.col("df")))).alias("weight")
+    rows = wanted.join(counts, "term").select(F.col("query_id").cast("long").alias("query_id"), F.struct("term", weight).alias("t")).groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return rows.select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), average
+
+
+def _text_scorer(average: float | None, k: int, places: int | None, k1: float = 1.5, b: float = 0.75) -> Callable[[pa.Table], _Kernel]:
+    """BM25 with a mean text length, or without one the Jaccard overlap of distinct words."""
+
+    def kernel(queries: pa.Table) -> _Kernel:
+        ids, lists = queries.column("query_id").to_numpy(), queries.column("terms").combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = pc.dictionary_encode(lists.flatten())
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        term = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        # the queries of term t, and their weights, are at start[t] .. start[t + 1]
+        start = np.searchsorted(term[order], np.arange(len(coded.dictionary) + 1))
+        owner, weight = owner[order], queries.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)[order]
+        held = np.bincount(owner, minlength=len(ids))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, step = _Best(ids, k), max(1, _CELLS // max(len(ids), 1))
+            for batch in batches:
+                for a in range(0, batch.num_rows if len(ids) else 0, step):
+                    part = batch.slice(a, step)
+                    words = part.column("terms")
+                    size = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    at = pc.index_in(words.flatten(), value_set=coded.dictionary)
+                    known = at.is_valid().to_numpy(zero_copy_only=False)
+                    text = np.repeat(np.arange(len(size)), size)[known]
+                    # one entry for each text and query term in it, in order
+                    cells, tf = np.unique(text * len(coded.dictionary) + at.drop_null().to_numpy(), return_counts=True)
+                    text, found = np.divmod(cells, max(len(coded.dictionary), 1))
+                    each = start[found + 1] - start[found]
+                    entry = np.repeat(np.arange(len(found)), each)
+                    use = np.arange(len(entry)) - np.repeat(np.cumsum(each) - each, each) + start[found][entry]
+                    value = weight[use] if average is None else weight[use] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[text] / average)))[entry]
+                    score = np.bincount(owner[use] * len(size) + text[entry], value, len(ids) * len(size)).reshape(len(ids), len(size))
+                    if average is None:
+                        score /= np.maximum(held[:, None] + size[None, :] - score, 1)
+                    best.add(part.column("chunk_id").to_numpy(), _rounded(score, places), 0.0)
+            yield best.rows()
+
+        return run
+
+    return kernel
+
+
+def bm25(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    conditions: Mapping[str, object] | None = None,
+    filter_mode: str = "post",
+    doc_id: str = "doc_id",
+    query_id: str = "query_id",
+    doc_text: str = "text",
+    query_text: str = "text",
+    places: int | None = None,
+) -> DataFrame:
+    """The k best texts for each query: query_id, chunk_id, score, rank; texts without a term of the query are none of them.
 
     ``filter_mode`` "post" ranks the whole corpus, keeps 4 k candidates and filters those (a query
-    may get fewer than k); "pre" filters first. Statistics are always those of the whole corpus.
+    may get fewer than k); "pre" filters first. Statistics are always those of the whole corpus. With
+    ``places`` scores are rounded before they are ranked, so that the order of additions decides nothing.
     """
-    doc_id = columns.get("doc_id", "doc_id")
-    scores = bm25_scores(docs, queries, **columns)
-    order = (F.desc("score"), F.asc("chunk_id"))
-    if conditions:
-        allowed = where_metadata(docs, conditions).select(F.col(doc_id).alias("chunk_id"))
-        if filter_mode == "post":
-            scores = rank(scores, 4 * k, *order).drop("rank")
-        elif filter_mode != "pre":
-            raise ValueError("filter_mode is pre or post")
-        scores = scores.join(allowed, "chunk_id", "left_semi")
-    return rank(scores, k, *order)
+    if filter_mode not in ("pre", "post"):
+        raise ValueError("filter_mode is pre or post")
+    asked, average = _asked(docs, queries, doc_id, query_id, doc_text, query_text)
+    post = bool(conditions) and filter_mode == "post"
+    rows = tokenized(where_metadata(docs, None if post else conditions), doc_id, doc_text).select(F.col("chunk_id").cast("long").alias("chunk_id"), "terms")
+    found = _best_of(rows, asked, _text_scorer(average, 4 * k if post else k, places), 4 * k if post else k)
+    if not post:
+        return found
+    allowed = where_metadata(docs, conditions).select(F.col(doc_id).cast("long").alias("chunk_id"))
+    return rank(found.drop("rank").join(allowed, "chunk_id", "left_semi"), k, F.desc("score"), F.asc("chunk_id"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -116,26 +248,17 @@ def vector_topk(
     vector_id: str = "vec_id",
     query_id: str = "query_id",
     embedding: str = "embedding",
+    places: int | None = None,
 ) -> DataFrame:
     """Exact search: query_id, chunk_id, score, rank; the score is cosine similarity, inner product, or minus squared distance.
 
-    Every task multiplies its vectors with the query block and keeps k for each query; k rows for each
-    query and task are shuffled. Queries beyond ``BLOCK_QUERIES`` are worked off in blocks.
+    Rows and queries without a vector take no part. ``places`` as in ``bm25``.
     """
     if metric not in ("cosine", "ip", "l2"):
         raise ValueError(f"unknown metric {metric}")
-    rows = where_metadata(vectors, conditions).select(F.col(vector_id).cast("long").alias("chunk_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    found = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        table = part.toArrow()
-        ids = table.column("query_id").to_numpy()
-        matrix = np.array(table.column("embedding").to_pylist(), float).reshape(len(ids), -1 if len(ids) else 0)
-        best = rows.mapInArrow(_matcher(ids, matrix, k, metric), "query_id long, chunk_id long, score double")
-        found = best if found is None else found.unionByName(best)
-    return rank(found, k, F.desc("score"), F.asc("chunk_id"))
+    given = lambda df, i, name: df.where(F.col(embedding).isNotNull()).select(F.col(i).cast("long").alias(name), F.col(embedding).cast("array<double>").alias("embedding"))
+    rows, asked = given(where_metadata(vectors, conditions), vector_id, "chunk_id"), given(queries, query_id, "query_id")
+    return _best_of(rows, asked, _vector_scorer(k, metric, places), k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -143,40 +266,42 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _matcher(ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
-    wide = queries.shape[1] if len(ids) else 0
-    asked = _unit(queries) if metric == "cosine" else queries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score, best_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            if not len(ids) or not batch.num_rows:
-                continue
-            lists = batch.column("embedding")
-            if not (lists.is_valid().to_numpy(zero_copy_only=False).all() and set(lists.value_lengths().to_pylist()) == {wide}):
-                raise ValueError(f"vectors must have {wide} dimensions like the queries")
-            m = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
-            score = asked @ (_unit(m) if metric == "cosine" else m).T
-            if metric == "l2":
-                score = 2 * score - (m * m).sum(1)[None, :] - (queries * queries).sum(1)[:, None]
-            new = np.broadcast_to(batch.column("chunk_id").to_numpy(), score.shape)
-            score, new = np.concatenate([best_score, score], 1), np.concatenate([best_id, new], 1)
-            order = np.lexsort((new, -score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(new, order, 1)
-        n = best_id.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "chunk_id", "score"])
-
-    return run
-
-
-def lexical_overlap(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", query_id: str = "query_id", doc_text: str = "text", query_text: str = "text") -> DataFrame:
+def _matrix(lists: pa.ListArray, wide: int) -> np.ndarray:
+    if set(pc.unique(pc.list_value_length(lists)).to_pylist()) - {wide}:
+        raise ValueError(f"vectors must have {wide} dimensions like the queries")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+
+
+def _vector_scorer(k: int, metric: str, places: int | None) -> Callable[[pa.Table], _Kernel]:
+    def kernel(queries: pa.Table) -> _Kernel:
+        ids, lists = queries.column("query_id").to_numpy(), queries.column("embedding").combine_chunks()
+        wide = len(lists[0]) if len(ids) else 0
+        given = _matrix(lists, wide) if len(ids) else np.zeros((0, 0))
+        asked = _unit(given) if metric == "cosine" else given
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, step = _Best(ids, k), max(1, _CELLS // max(len(ids), 1))
+            for batch in batches:
+                for a in range(0, batch.num_rows if len(ids) else 0, step):
+                    part = batch.slice(a, step)
+                    m = _matrix(part.column("embedding"), wide)
+                    score = asked @ (_unit(m) if metric == "cosine" else m).T
+                    if metric == "l2":
+                        score = 2 * score - (m * m).sum(1)[None, :] - (given * given).sum(1)[:, None]
+                    best.add(part.column("chunk_id").to_numpy(), _rounded(score, places))
+            yield best.rows()
+
+        return run
+
+    return kernel
+
+
+def lexical_overlap(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", query_id: str = "query_id", doc_text: str = "text", query_text: str = "text", places: int | None = None) -> DataFrame:
     """Ranking by Jaccard overlap of white-space words, for when there are no vectors; pairs without a common word have score 0 and are left out."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(T.strip(F.col(c))), r"\s+"), lambda w: w != ""))
-    held = docs.select(F.col(doc_id).alias("chunk_id"), words(doc_text).alias("w")).withColumn("nd", F.size("w"))
-    asked = queries.select(F.col(query_id).alias("query_id"), words(query_text).alias("w")).withColumn("nq", F.size("w"))
-    pairs = held.select("chunk_id", "nd", F.explode("w").alias("word")).join(asked.select("query_id", "nq", F.explode("w").alias("word")), "word")
-    both = pairs.groupBy("query_id", "chunk_id", "nd", "nq").agg(F.count(F.lit(1)).alias("both"))
-    return rank(both.select("query_id", "chunk_id", (F.col("both") / (F.col("nd") + F.col("nq") - F.col("both"))).alias("score")), k, F.desc("score"), F.asc("chunk_id"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(T.strip(F.col(c))), r"\s+"), lambda w: w != "")).alias("terms")
+    rows = docs.select(F.col(doc_id).cast("long").alias("chunk_id"), words(doc_text))
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), words(query_text)).withColumn("weights", F.transform("terms", lambda w: F.lit(1.0)))
+    return _best_of(rows, asked.where(F.size("terms") > 0), _text_scorer(None, k, places), k)
 
 
 # ---------------------------------------------------------------- fusion and reranking
@@ -228,17 +353,18 @@ def pass_through(candidates: DataFrame, k: int = 5) -> DataFrame:
 class RetrievalService:
     """The three retrieval modes over one corpus, and retrieve-then-rerank.
 
-    ``chunks`` has chunk_id, text and vectors in ``embedding``; queries have query_id, query and ``embedding``.
+    ``chunks`` has chunk_id, text and vectors in ``embedding``; queries have query_id, query and ``embedding``. What
+    has no vector is found by keywords alone.
     """
 
-    def __init__(self, chunks: DataFrame, filter_mode: str = "post"):
-        self.chunks, self.filter_mode = chunks, filter_mode
+    def __init__(self, chunks: DataFrame, filter_mode: str = "post", places: int | None = None):
+        self.chunks, self.filter_mode, self.places = chunks, filter_mode, places
 
     def retrieve(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, conditions: Mapping[str, object] | None = None) -> DataFrame:
         if mode == "dense":
-            return vector_topk(self.chunks, queries, k, conditions=conditions, vector_id="chunk_id")
+            return vector_topk(self.chunks, queries, k, conditions=conditions, vector_id="chunk_id", places=self.places)
         if mode == "keyword":
-            return bm25(self.chunks, queries, k, conditions, self.filter_mode, doc_id="chunk_id", query_text="query")
+            return bm25(self.chunks, queries, k, conditions, self.filter_mode, doc_id="chunk_id", query_text="query", places=self.places)
         if mode == "hybrid":
             sides = [self.retrieve(queries, m, 2 * k, conditions) for m in ("dense", "keyword")]
             return reciprocal_rank_fusion(*sides, k=k)

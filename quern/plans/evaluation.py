@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import context, quality, search
 from quern.plans.common import Catalog, rounded, table
-from quern.plans.search import _RERANK, bm25_ctes, candidates, ranked, top
+from quern.plans.search import _RERANK, bm25, bm25_ctes, candidates, top
 
 EVALUATION = Catalog()
 
@@ -46,7 +46,7 @@ def _metrics(spark, sf_dir, found):
 @EVALUATION.add(f"WITH {_RELEVANT}, {bm25_ctes()}, few AS ({top('bm25', 10)}), {_metrics_sql('few')} SELECT {_ROUND} FROM metric")
 def recall_precision_mrr_ndcg(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = ranked(search.bm25_scores(table(spark, sf_dir, "documents"), asked), 10)
+    found = bm25(table(spark, sf_dir, "documents"), asked, 10)
     rows = _metrics(spark, sf_dir, found)
     return rows.select("query_id", *(rounded(m).alias(m) for m in ("recall", "precision", "mrr", "ndcg")))
 
@@ -57,7 +57,7 @@ def recall_precision_mrr_ndcg(spark, sf_dir):
 )
 def retrieval_benchmark(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = ranked(search.bm25_scores(table(spark, sf_dir, "documents"), asked), 10)
+    found = bm25(table(spark, sf_dir, "documents"), asked, 10)
     names = ("recall", "precision", "mrr", "ndcg")
     rows = quality.averages(_metrics(spark, sf_dir, found), [], names)
     return rows.select("n_queries", *(rounded(m).alias(m) for m in names))

@@ -37,32 +37,26 @@ def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"), F.col("text").alias("query"))
 
 
-def ranked(scores, k):
+def bm25(docs, asked, k, *filters, **columns):
     """Scores are rounded before ranking, as sums of doubles differ in their last digits by order of addition."""
-    return search.rank(scores.withColumn("score", rounded("score")), k, F.desc("score"), F.asc("chunk_id"))
+    return search.bm25(docs, asked, k, *filters, places=6, **columns)
 
 
 @SEARCH.add(f"WITH {bm25_ctes()} {top('bm25', 5)}")
 def bm25_topk(spark, sf_dir):
-    return ranked(search.bm25_scores(table(spark, sf_dir, "documents"), _asked(spark, sf_dir)), 5)
+    return bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 5)
 
 
 @SEARCH.add(f"WITH {bm25_ctes()}, allowed AS (SELECT b.* FROM bm25 b JOIN documents d ON d.doc_id = b.chunk_id WHERE d.lang = 'en') {top('allowed', 5)}")
 def bm25_filtered_pre(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    scores = search.bm25_scores(docs, _asked(spark, sf_dir))
-    allowed = search.where_metadata(docs, {"lang": "en"}).select(F.col("doc_id").alias("chunk_id"))
-    return ranked(scores.join(allowed, "chunk_id", "left_semi"), 5)
+    return bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 5, {"lang": "en"}, "pre")
 
 
 @SEARCH.add(
     f"WITH {bm25_ctes()}, few AS ({top('bm25', 20)}), allowed AS (SELECT f.* EXCLUDE (rank) FROM few f JOIN documents d ON d.doc_id = f.chunk_id WHERE d.lang = 'en') {top('allowed', 5)}"
 )
 def bm25_filtered_post(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    few = ranked(search.bm25_scores(docs, _asked(spark, sf_dir)), 20).drop("rank")
-    allowed = search.where_metadata(docs, {"lang": "en"}).select(F.col("doc_id").alias("chunk_id"))
-    return ranked(few.join(allowed, "chunk_id", "left_semi"), 5)
+    return bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 5, {"lang": "en"}, "post")
 
 
 @SEARCH.add(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term")
@@ -107,8 +101,7 @@ def _vector_sql(score: str, where: str = "TRUE") -> str:
 def _vectors(spark, sf_dir, metric="cosine", conditions=None):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = search.vector_topk(rows, asked, 12, metric, conditions)
-    return ranked(found.drop("rank"), 10)
+    return search.vector_topk(rows, asked, 10, metric, conditions, places=6)
 
 
 @SEARCH.add(_vector_sql("list_cosine_similarity({q}, {v})"))
@@ -142,11 +135,12 @@ def truncated_vectors(spark, sf_dir):
 
 
 @SEARCH.add(
-    """SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS DOUBLE[])), 6) AS next_similarity FROM embeddings"""
+    """SELECT vec_id, vec_id // 25 AS document, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(lead(embedding) OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) AS DOUBLE[])), 6) AS next_similarity FROM embeddings"""
 )
 def adjacent_similarity(spark, sf_dir):
-    rows = search.adjacent_similarity(table(spark, sf_dir, "embeddings"), "label", "vec_id")
-    return rows.select("vec_id", "label", rounded("next_similarity").alias("next_similarity"))
+    """Runs of 25 vectors stand for the chunks of a document."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("document", F.expr("vec_id div 25"))
+    return search.adjacent_similarity(rows, "document", "vec_id").select("vec_id", "document", rounded("next_similarity").alias("next_similarity"))
 
 
 @SEARCH.add("SELECT conv_id, turn, sha256(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS digest FROM conversations")
@@ -158,22 +152,19 @@ def neighbour_buffers(spark, sf_dir):
 # ---------------------------------------------------------------- hybrid and reranking
 
 
-def _hybrid(spark, sf_dir, k=10):
-    """Documents and passages that have a vector of the same number."""
+def _service(spark, sf_dir):
+    """All documents and passages; those with a vector of the same number have it."""
     vectors = table(spark, sf_dir, "embeddings")
-    docs = table(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = _asked(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-    dense = search.vector_topk(docs, asked, 2 * k + 2, vector_id="doc_id")
-    dense = ranked(dense.drop("rank"), 2 * k)
-    keyword = ranked(search.bm25_scores(docs, asked), 2 * k)
-    return docs, asked, dense, keyword
+    docs = table(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").withColumnRenamed("doc_id", "chunk_id")
+    asked = _asked(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    return search.RetrievalService(docs, places=6), asked
 
 
 def _hybrid_ctes(k: int = 10) -> str:
     return f"""vd AS (SELECT d.doc_id, d.text, CAST(e.embedding AS DOUBLE[]) AS e FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
     vq AS (SELECT b.item_id, b.text, CAST(e.embedding AS DOUBLE[]) AS e FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
     pair AS (SELECT q.item_id AS query_id, v.doc_id AS chunk_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM vq q, vd v),
-    dense AS ({top('pair', 2 * k)}), {bm25_ctes('vd', 'vq')}, keyword AS ({top('bm25', 2 * k)}),
+    dense AS ({top('pair', 2 * k)}), {bm25_ctes()}, keyword AS ({top('bm25', 2 * k)}),
     part AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS p, rank AS d, NULL::INTEGER AS w FROM dense UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank), NULL, rank FROM keyword),
     fused AS (SELECT query_id, chunk_id, sum(p) AS s, min(d) AS dense_rank, min(w) AS keyword_rank FROM part GROUP BY ALL),
     hybrid AS (SELECT query_id, chunk_id, s, dense_rank, keyword_rank, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, dense_rank NULLS LAST, keyword_rank NULLS LAST, chunk_id)::INTEGER AS rank FROM fused QUALIFY rank <= {k})"""
@@ -181,8 +172,8 @@ def _hybrid_ctes(k: int = 10) -> str:
 
 @SEARCH.add(f"WITH {_hybrid_ctes()} SELECT query_id, chunk_id, round(s, 6) AS score, coalesce(dense_rank, 0) AS dense_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank FROM hybrid")
 def hybrid_rrf_topk(spark, sf_dir):
-    _, _, dense, keyword = _hybrid(spark, sf_dir)
-    return search.reciprocal_rank_fusion(dense, keyword).withColumn("score", rounded("score")).fillna(0, ["dense_rank", "keyword_rank"])
+    service, asked = _service(spark, sf_dir)
+    return service.retrieve(asked, "hybrid", 10).withColumn("score", rounded("score")).fillna(0, ["dense_rank", "keyword_rank"])
 
 
 def jaccard_sql(a: str, b: str) -> str:
@@ -200,7 +191,7 @@ def candidates(spark, sf_dir, k=20):
     """Passages with their best documents by BM25: query_id, query, chunk_id, text, score, rank."""
     docs = table(spark, sf_dir, "documents")
     asked = _asked(spark, sf_dir)
-    found = ranked(search.bm25_scores(docs, asked), k)
+    found = bm25(docs, asked, k)
     return found.join(asked.select("query_id", "query"), "query_id").join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
 
 
@@ -215,7 +206,7 @@ def lexical_rerank(spark, sf_dir):
     SELECT query_id, chunk_id, rank, round(CASE WHEN n = 1 THEN score WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS score FROM w"""
 )
 def minmax_normalize(spark, sf_dir):
-    found = ranked(search.bm25_scores(table(spark, sf_dir, "documents"), _asked(spark, sf_dir)), 10)
+    found = bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 10)
     return search.min_max(found).select("query_id", "chunk_id", "rank", rounded("score").alias("score"))
 
 
@@ -229,8 +220,7 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), la
     {top('pair', 5)}"""
 )
 def lexical_overlap(spark, sf_dir):
-    found = search.lexical_overlap(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), None)
-    return ranked(found.drop("rank"), 5)
+    return search.lexical_overlap(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 5, places=6)
 
 
 # ---------------------------------------------------------------- the collection

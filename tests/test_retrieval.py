@@ -27,7 +27,7 @@ DOCS = "doc_id long, text string"
 
 def test_bm25_is_the_formula(spark):
     queries = [(1, "scheduling on nodes nodes"), (2, ""), (3, "漢字"), (4, "loop")]
-    got = S.bm25_scores(spark.createDataFrame(CORPUS, DOCS), spark.createDataFrame(queries, "query_id long, text string")).collect()
+    got = S.bm25(spark.createDataFrame(CORPUS, DOCS), spark.createDataFrame(queries, "query_id long, text string"), 10).collect()
     tokens = {i: X._TOKEN.findall(t.lower()) for i, t in CORPUS}
     tokens = {i: t for i, t in tokens.items() if t}
     n, avgdl = len(tokens), sum(map(len, tokens.values())) / len(tokens)
@@ -80,6 +80,14 @@ def test_vector_search_in_blocks_and_wrong_dimension(spark, monkeypatch):
     whole = sorted(map(tuple, S.vector_topk(rows, asked, 3).select("query_id", "rank", "chunk_id").collect()))
     monkeypatch.setattr(S, "BLOCK_QUERIES", 7)
     assert sorted(map(tuple, S.vector_topk(rows, asked, 3).select("query_id", "rank", "chunk_id").collect())) == whole
+    docs = spark.createDataFrame(CORPUS, DOCS)
+    asked_texts = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(CORPUS * 3)], "query_id long, text string")
+    ranking = lambda: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in S.bm25(docs, asked_texts, 3).collect())
+    blocks = ranking()
+    monkeypatch.setattr(S, "BLOCK_QUERIES", 4096)
+    assert ranking() == blocks
+    monkeypatch.setattr(S, "BROADCAST_TERMS", 2)
+    assert ranking() == blocks
     bad = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="dimensions"):
         S.vector_topk(rows.unionByName(bad), asked, 3).collect()

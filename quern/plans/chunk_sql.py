@@ -147,7 +147,7 @@ def split_sentences(p: str, source: str) -> str:
 def by_meaning(p: str, threshold: float, apart: int, vector: str) -> str:
     """``p_topic``: sentences grouped between breaks, where ``vector`` (of ``txt``) turns from one sentence to the next; texts of fewer than three sentences whole."""
     return f"""{p}_vector AS (SELECT k, pos, txt, {vector} AS e, count(*) OVER (PARTITION BY k) AS m FROM {p}_sentence),
-    {p}_turn AS MATERIALIZED (SELECT k, pos, txt, m, pos < m AND m >= 3 AND coalesce(list_cosine_similarity(e, lead(e) OVER (PARTITION BY k ORDER BY pos)), 0) < {threshold} AS low FROM {p}_vector),
+    {p}_turn AS MATERIALIZED (SELECT k, pos, txt, m, pos < m AND m >= 3 AND coalesce(nullif(list_cosine_similarity(e, lead(e) OVER (PARTITION BY k ORDER BY pos)), 'nan'::DOUBLE), 0) < {threshold} AS low FROM {p}_vector),
     {p}_fold AS (
         SELECT k, pos, 1::BIGINT AS grp, CASE WHEN low AND pos >= {apart} THEN pos ELSE 0 END AS cut FROM {p}_turn WHERE pos = 1
         UNION ALL SELECT s.k, s.pos, CASE WHEN w.cut = w.pos THEN w.grp + 1 ELSE w.grp END, CASE WHEN s.low AND s.pos - w.cut >= {apart} THEN s.pos ELSE w.cut END FROM {p}_fold w JOIN {p}_turn s ON s.k = w.k AND s.pos = w.pos + 1

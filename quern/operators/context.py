@@ -239,3 +239,13 @@ def similar_classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = rows.where(F.size(words) > 0).select(F.col(id_col).alias("id"), F.sha2(F.array_join(words, " "), 256).alias("digest"))
     classes = sets.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return sets.join(classes, "digest").select("id", "class_id", "class_size")
+
+
+def similar_documents(rows: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, class_size, links) for each row with tokens: how many other rows overlap it by the threshold at least."""
+    classes = similar_classes(rows, id_col, text_col)
+    sizes = classes.select("class_id", "class_size").distinct()
+    pairs = similar_pairs(rows, threshold, id_col, text_col)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.toDF("b", "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("near"))
+    return classes.join(near, "class_id", "left").select("id", "class_id", "class_size", (F.col("class_size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))

@@ -30,7 +30,9 @@ def _checks(comment: bool) -> list[tuple[str, str, Column]]:
     too_long = lambda c, n: (c, "too_long", F.length(c) > n)
     late = lambda c: F.length(c) - F.length(F.regexp_replace(F.substring(F.col(c), 11, 1 << 20), "-", "")) > F.least(F.length(c), F.lit(10))
     stamp = lambda c: (c, "value_error", (F.col(c) == "") | ~(F.endswith(F.col(c), F.lit("Z")) | F.contains(F.col(c), F.lit("+")) | late(c)))
-    out = [missing("id"), ("id", "greater_than", F.col("id") <= 0), missing("html_url"), too_long("html_url", MAX_URL), ("html_url", "value_error", ~F.contains(F.lower("html_url"), F.lit("github")))]
+    # an id that came as text must be a whole number
+    whole_number = F.regexp_replace(F.col("id").cast("string"), r"^[+-]?\d{1,18}$", "") == ""
+    out = [missing("id"), ("id", "type", ~whole_number), ("id", "greater_than", F.col("id").try_cast("long") <= 0), missing("html_url"), too_long("html_url", MAX_URL), ("html_url", "value_error", ~F.contains(F.lower("html_url"), F.lit("github")))]
     out += [] if comment else [too_long("title", MAX_TITLE)]
     out += [too_long("body", MAX_BODY), missing("created_at"), stamp("created_at"), missing("updated_at"), stamp("updated_at")]
     out += [missing("user"), ("user.login", "missing", F.col("user.login").isNull()), ("user.login", "too_short", F.length("user.login") < 1), too_long("user.login", MAX_LOGIN)]
@@ -264,6 +266,11 @@ def chunks_of_document(chunks: DataFrame, versions: DataFrame, document_id: str,
     return rows.orderBy("version_id", "chunk_index")
 
 
+def active_chunks(chunks: DataFrame, versions: DataFrame) -> DataFrame:
+    """The chunks of all active versions."""
+    return chunks.join(versions.where("is_active").select("version_id"), "version_id", "left_semi")
+
+
 def delete_version_chunks(chunks: DataFrame, version_id: str) -> DataFrame:
     return chunks.where(~F.col("version_id").eqNullSafe(F.lit(version_id)))
 

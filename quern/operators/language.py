@@ -39,8 +39,8 @@ def answer_with(queries: DataFrame, contexts: DataFrame, chunks: DataFrame, make
     return answers.finish(generate(prompts, make).select("query_id", "query", "answer"), chunks)
 
 
-def judge(make: Callable[[], Client], source_chars: int = 1500) -> Callable[[Column, Column], Column]:
-    """A judge for ``answers.judge_claims``; what the client fails to label is judged by word overlap."""
+def judge(make: Callable[[], Client], source_chars: int | None = None) -> Callable[[Column, Column], Column]:
+    """A judge for ``answers.judge_claims``; what the client fails to label is judged by word overlap. ``source_chars`` cuts sources for a client that takes no more."""
 
     def decide(claim: Column, source: Column) -> Column:
         @F.pandas_udf("string")

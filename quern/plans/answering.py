@@ -98,32 +98,39 @@ for _name in ("dedup_only", "mmr", "budget", "full", "full_compressed"):
     ANSWERING.add(_GREEDY.get(_name))(_strategy(_name))
 
 
-@ANSWERING.add(
-    f"""WITH word AS (SELECT doc_id, unnest(ws) AS w, len(ws) AS n FROM (SELECT min(doc_id) AS doc_id, ws FROM (SELECT doc_id, list_sort({token_set_sql('text')}) AS ws FROM documents) GROUP BY ws)),
-    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM word a JOIN word b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT a, b, round(shared::DOUBLE / (na + nb - shared), 6) AS similarity FROM pair WHERE shared::DOUBLE / (na + nb - shared) >= 0.85"""
-)
+_SETS = f"""own AS (SELECT doc_id, list_sort({token_set_sql('text')}) AS ws FROM documents), class AS (SELECT ws, min(doc_id) AS class_id, count(*) AS class_size FROM own WHERE len(ws) > 0 GROUP BY ws),
+    word AS (SELECT class_id, unnest(ws) AS w, len(ws) AS n FROM class), pair AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM word a JOIN word b ON a.w = b.w AND a.class_id < b.class_id GROUP BY ALL),
+    near AS (SELECT a, b, round(shared::DOUBLE / (na + nb - shared), 6) AS similarity FROM pair WHERE shared::DOUBLE / (na + nb - shared) >= 0.85)"""
+
+
+@ANSWERING.add(f"WITH {_SETS} SELECT a, b, similarity, x.class_size AS size_a, y.class_size AS size_b FROM near JOIN class x ON x.class_id = a JOIN class y ON y.class_id = b")
 def pairwise_jaccard_near_dups(spark, sf_dir):
-    return context.similar_pairs(table(spark, sf_dir, "documents")).withColumn("similarity", rounded("similarity"))
+    """Pairs of classes of documents with equal token sets, with their sizes; pairwise_jaccard_classes says who is in them."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = context.similar_classes(docs).select("class_id", "class_size").distinct()
+    rows = context.similar_pairs(docs).join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    return rows.withColumn("similarity", rounded("similarity"))
 
 
 @ANSWERING.add(
-    f"""SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size FROM (SELECT doc_id, list_sort({token_set_sql('text')}) AS ws FROM documents) WHERE len(ws) > 0 WINDOW w AS (PARTITION BY ws)"""
+    f"""WITH {_SETS}, other AS (SELECT c, sum(class_size)::BIGINT AS n FROM (SELECT a AS c, b AS d FROM near UNION ALL SELECT b, a FROM near) JOIN class ON class_id = d GROUP BY c)
+    SELECT doc_id, class_id, class_size, class_size - 1 + coalesce(n, 0) AS links FROM own JOIN class USING (ws) LEFT JOIN other ON c = class_id"""
 )
 def pairwise_jaccard_classes(spark, sf_dir):
-    """For every document the representative under which the pairs above name it."""
-    return context.similar_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """For every document with a token its class (the smallest id with the same token set), the class' size, and how many other documents are near it."""
+    return context.similar_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 # ---------------------------------------------------------------- answers made up from the passages
 
-_ANSWER_SQL = "substr(text, 1, 80) || '. [1] ' || substr(text, 81, 80) || '. [source 2] [Source 9]. This is not true [Source 1].' || chr(10) || chr(10) || chr(10) || chr(10) || '[Source 3] # Heading'"
+_ANSWER_SQL = "left(text, length(text) // 2) || '. [1] ' || substr(text, length(text) // 2 + 1) || '. [source 2] [Source 9]. This is not true [Source 1].' || chr(10) || chr(10) || chr(10) || chr(10) || '[Source 3] # Heading'"
 
 
 def made_answers(spark, sf_dir):
-    """For each passage an answer that cites well, wrongly, barely and not at all."""
+    """For each passage an answer, of its two halves, that cites well, wrongly, barely and not at all."""
     tail = "\n\n\n\n[Source 3] # Heading"
-    text = F.concat(F.substring("text", 1, 80), F.lit(". [1] "), F.substring("text", 81, 80), F.lit(". [source 2] [Source 9]. This is not true [Source 1]." + tail))
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.substring("text", F.lit(1), half), F.lit(". [1] "), F.substring("text", half + 1, F.length("text")), F.lit(". [source 2] [Source 9]. This is not true [Source 1]." + tail))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), text.alias("answer"))
 
 
@@ -233,10 +240,22 @@ def extractive_answer(spark, sf_dir):
     return found.select("query_id", F.sha2("answer", 256).alias("digest"), answers.is_refusal(F.col("answer")).alias("refused"))
 
 
-@ANSWERING.add("SELECT item_id AS query_id, length('Sources:' || chr(10) || '[Source 1]' || chr(10) || 'abc' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer with a complete, readable response and inline citations:') AS user_chars FROM benchmark")
+def _prompt_sql() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    styles = ", ".join(f"({text(n)}, sha256({text(r.replace('{prefix}', 'Source'))}))" for n, r in answers.PROMPT_RULES.items())
+    user = "'Sources:' || chr(10) || '[Source 1]' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer with a complete, readable response and inline citations:'"
+    return f"SELECT item_id AS query_id, style, system_sha256, sha256({user}) AS user_sha256 FROM benchmark, (VALUES {styles}) s(style, system_sha256)"
+
+
+@ANSWERING.add(_prompt_sql())
 def prompts(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), answers.messages(F.lit("[Source 1]\nabc"), F.col("text")).alias("m"))
-    return rows.select("query_id", F.length(F.col("m")[1]["content"]).alias("user_chars"))
+    """Both messages of every style."""
+    asked, out = table(spark, sf_dir, "benchmark"), None
+    for style in answers.PROMPT_RULES:
+        rows = asked.select(F.col("item_id").alias("query_id"), F.lit(style).alias("style"), answers.messages(F.concat(F.lit("[Source 1]\n"), "text"), F.col("text"), style).alias("m"))
+        rows = rows.select("query_id", "style", F.sha2(F.col("m")[0]["content"], 256).alias("system_sha256"), F.sha2(F.col("m")[1]["content"], 256).alias("user_sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 _CANARY = "list_filter(['dns misconfiguration', 'coredns', 'kube-dns', 'dns cache', 'flushing the dns'], lambda w: contains(lower(answer), w))"

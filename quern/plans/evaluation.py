@@ -237,11 +237,12 @@ def task_failures(spark, sf_dir):
 
 
 @EVALUATION.add(
-    """WITH f AS (SELECT doc_id, left(text, 40) AS question, (doc_id % 10) / 10.0::DOUBLE AS failure_score FROM documents), known AS (SELECT left(text, 40) AS question FROM documents WHERE doc_id % 4 = 0)
+    """WITH f AS (SELECT doc_id, text AS question, (doc_id % 10) / 10.0::DOUBLE AS failure_score FROM documents), known AS (SELECT text AS question FROM documents WHERE doc_id % 4 = 0)
     SELECT doc_id FROM f WHERE failure_score < 0.5 AND question NOT IN (SELECT question FROM known) QUALIFY row_number() OVER (PARTITION BY question ORDER BY doc_id) = 1"""
 )
 def failure_promotion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("question", F.substring("text", 1, 40))
+    """Every document's text is a question; of equal ones one is promoted, and none that the dataset has."""
+    docs = table(spark, sf_dir, "documents").withColumn("question", F.col("text"))
     feed = docs.select("doc_id", "question", (F.col("doc_id") % 10 / 10.0).alias("failure_score"), F.lit(False).alias("promoted"), F.col("doc_id").alias("recorded_at"), F.col("doc_id").alias("record_id"))
     return quality.promote_failures(feed, docs.where("doc_id % 4 = 0").select("question")).select("doc_id")
 

@@ -15,42 +15,49 @@ OPERATIONS = Catalog()
 
 
 def payloads(spark, sf_dir):
-    """Issue payloads made from the documents, a few of them bad in each way."""
-    k = F.col("doc_id") % 12
+    """Issue payloads made from the documents, titled by their first lines, a few of them bad in each way."""
+    k = F.col("doc_id") % 13
     null = F.lit(None).cast("string")
     return table(spark, sf_dir, "documents").select(
-        F.when(k == 1, null.cast("long")).when(k == 2, -1).otherwise(F.col("doc_id") + 1).alias("id"),
+        F.when(k == 1, null).when(k == 2, "-1").when(k == 11, "12x").otherwise((F.col("doc_id") + 1).cast("string")).alias("id"),
         F.when(k == 3, "https://example.org/1").otherwise(F.concat(F.lit("https://github.com/o/r/issues/"), F.col("doc_id").cast("string"))).alias("html_url"),
-        F.when(k == 4, F.repeat(F.lit("t"), 257)).otherwise(F.substring("text", 1, 60)).alias("title"), F.col("text").alias("body"),
+        F.when(k == 4, F.repeat(F.lit("t"), 257)).otherwise(F.substring_index("text", "\n", 1)).alias("title"), F.col("text").alias("body"),
         F.when(k == 5, "2024-01-02 10:00").otherwise("2024-01-02T10:00:00Z").alias("created_at"), F.when(k == 6, "").otherwise("2024-01-03T10:00:00+00:00").alias("updated_at"),
         F.struct(F.when(k == 7, F.repeat(F.lit("u"), 40)).when(k == 8, null).otherwise(F.col("source")).alias("login")).alias("user"), F.array(F.struct(F.col("lang").alias("name"))).alias("labels"),
         F.lit("https://api/r").alias("repository_url"), F.when(k == 9, 0).otherwise(5).alias("number"), F.when(k == 10, "merged").otherwise("open").alias("state"), null.alias("pull_request"), null.alias("issue_url"), "doc_id",
     )
 
 
-_ERROR = """CASE doc_id % 12 WHEN 1 THEN 'validation_missing_required_field' WHEN 2 THEN 'validation_schema_mismatch' WHEN 3 THEN 'validation_field_constraint' WHEN 4 THEN 'validation_payload_too_large'
-    WHEN 5 THEN 'validation_field_constraint' WHEN 6 THEN 'validation_field_constraint' WHEN 7 THEN 'validation_payload_too_large' WHEN 8 THEN 'validation_missing_required_field' WHEN 9 THEN 'validation_schema_mismatch'
-    WHEN 10 THEN 'validation_schema_mismatch' ELSE '' END"""
+_STAMP = "({0} = '' OR NOT ({0} LIKE '%Z' OR contains({0}, '+') OR contains(substr({0}, 11), '-')))"
+#: The same payloads, and what the rules for their fields say of them, in the order of the fields.
+_PAYLOADS = f"""payload AS (SELECT doc_id, lang, source, text AS body, CASE k WHEN 1 THEN NULL WHEN 2 THEN '-1' WHEN 11 THEN '12x' ELSE (doc_id + 1)::VARCHAR END AS id,
+        CASE k WHEN 3 THEN 'https://example.org/1' ELSE 'https://github.com/o/r/issues/' || doc_id END AS html_url, CASE k WHEN 4 THEN repeat('t', 257) ELSE string_split(text, chr(10))[1] END AS title,
+        CASE k WHEN 5 THEN '2024-01-02 10:00' ELSE '2024-01-02T10:00:00Z' END AS created_at, CASE k WHEN 6 THEN '' ELSE '2024-01-03T10:00:00+00:00' END AS updated_at,
+        CASE k WHEN 7 THEN repeat('u', 40) WHEN 8 THEN NULL ELSE source END AS login, CASE k WHEN 9 THEN 0 ELSE 5 END AS number, CASE k WHEN 10 THEN 'merged' ELSE 'open' END AS state FROM (SELECT *, doc_id % 13 AS k FROM documents)),
+    checked AS (SELECT *, CASE WHEN id IS NULL THEN 'validation_missing_required_field' WHEN NOT regexp_full_match(id, '[+-]?[0-9]{{1,18}}') THEN 'validation_invalid_field_type' WHEN id::BIGINT <= 0 THEN 'validation_schema_mismatch'
+        WHEN length(html_url) > 2048 THEN 'validation_payload_too_large' WHEN NOT contains(lower(html_url), 'github') THEN 'validation_field_constraint' WHEN length(title) > 256 OR length(body) > 65535 THEN 'validation_payload_too_large'
+        WHEN {_STAMP.format('created_at')} OR {_STAMP.format('updated_at')} THEN 'validation_field_constraint' WHEN login IS NULL THEN 'validation_missing_required_field' WHEN length(login) < 1 THEN 'validation_schema_mismatch'
+        WHEN length(login) > 39 THEN 'validation_payload_too_large' WHEN number <= 0 OR state NOT IN ('open', 'closed') THEN 'validation_schema_mismatch' ELSE '' END AS error_code FROM payload)"""
 
 
-@OPERATIONS.add(f"SELECT doc_id, {_ERROR} AS error_code, CASE WHEN {_ERROR} = '' THEN '' ELSE 'validation' END AS error_category FROM documents")
+@OPERATIONS.add(f"WITH {_PAYLOADS} SELECT doc_id, error_code, CASE WHEN error_code = '' THEN '' ELSE split_part(error_code, '_', 1) END AS error_category FROM checked")
 def validate_payloads(spark, sf_dir):
     return ingest.validate(payloads(spark, sf_dir)).select("doc_id", F.coalesce("error_code", F.lit("")).alias("error_code"), F.coalesce("error_category", F.lit("")).alias("error_category"))
 
 
-@OPERATIONS.add(f"SELECT error_code, count(*) AS n FROM (SELECT {_ERROR} AS error_code FROM documents) WHERE error_code <> '' GROUP BY error_code")
+@OPERATIONS.add(f"WITH {_PAYLOADS} SELECT error_code, count(*) AS n FROM checked WHERE error_code <> '' GROUP BY error_code")
 def error_category_counts(spark, sf_dir):
     _, bad = ingest.split_valid(ingest.validate(payloads(spark, sf_dir)))
     return ingest.count_by(bad, "error_code")
 
 
 @OPERATIONS.add(
-    f"SELECT doc_id + 1 AS external_id, sha256(left(text, 65000)) AS hash_content, source AS owner, lang AS label, timestamp '2024-01-02 10:00:00' AS created_at, 'received' AS lifecycle_state FROM documents WHERE {_ERROR} = ''"
+    f"WITH {_PAYLOADS} SELECT id::BIGINT AS external_id, sha256(body) AS hash_content, title, html_url AS source_uri, login AS owner, lang AS label, timestamp '2024-01-02 10:00:00' AS created_at, 'received' AS lifecycle_state FROM checked WHERE error_code = ''"
 )
 def payload_documents(spark, sf_dir):
     good, _ = ingest.split_valid(ingest.validate(payloads(spark, sf_dir)))
     rows = ingest.to_documents(good, "github_issue", now=F.lit("2025-01-01 00:00:00").cast("timestamp"))
-    return rows.select(F.col("external_id").cast("long").alias("external_id"), "hash_content", F.col("owners")[0].alias("owner"), F.col("labels")[0].alias("label"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "lifecycle_state")
+    return rows.select(F.col("external_id").cast("long").alias("external_id"), "hash_content", "title", "source_uri", F.col("owners")[0].alias("owner"), F.col("labels")[0].alias("label"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "lifecycle_state")
 
 
 @OPERATIONS.add(
@@ -74,27 +81,63 @@ def _versions(spark, sf_dir):
     return old, ingest.detect_changes(new, old)
 
 
-@OPERATIONS.add("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'skipped_no_change' WHEN 1 THEN 'changed' ELSE 'new' END AS outcome FROM documents")
+#: Two thirds of the documents have a version already; a second delivery brings all, some of them changed.
+_DELIVERED = """old AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 < 2), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 1 THEN text || '!' ELSE text END) AS hash FROM documents),
+    found AS (SELECT n.doc_id, n.hash, o.hash AS before, CASE WHEN o.hash IS NULL THEN 'new' WHEN o.hash = n.hash THEN 'skipped_no_change' ELSE 'changed' END AS outcome FROM new n LEFT JOIN old o USING (doc_id)),
+    version AS (SELECT o.doc_id, 1 AS version_index, f.outcome <> 'changed' AS is_active, f.outcome = 'changed' AS closed, o.hash FROM old o JOIN found f USING (doc_id)
+        UNION ALL SELECT doc_id, CASE WHEN before IS NULL THEN 1 ELSE 2 END, true, false, hash FROM found WHERE outcome <> 'skipped_no_change')"""
+
+
+@OPERATIONS.add(f"WITH {_DELIVERED} SELECT doc_id, outcome FROM found")
 def change_detection_skip(spark, sf_dir):
     return _versions(spark, sf_dir)[1].select(F.col("document_id").cast("long").alias("doc_id"), "outcome")
 
 
-@OPERATIONS.add(
-    """SELECT doc_id, 1 AS version_index, doc_id % 3 = 0 AS is_active, doc_id % 3 = 1 AS closed FROM documents WHERE doc_id % 3 < 2
-    UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 2 ELSE 1 END, true, false FROM documents WHERE doc_id % 3 > 0"""
-)
+@OPERATIONS.add(f"WITH {_DELIVERED} SELECT doc_id, version_index, is_active, closed, hash FROM version")
 def version_table_after_batch(spark, sf_dir):
     rows = ingest.apply_changes(*_versions(spark, sf_dir))
-    return rows.select(F.col("document_id").cast("long").alias("doc_id"), "version_index", "is_active", F.col("valid_to").isNotNull().alias("closed"))
+    return rows.select(F.col("document_id").cast("long").alias("doc_id"), "version_index", "is_active", F.col("valid_to").isNotNull().alias("closed"), F.col("hash_payload").alias("hash"))
+
+
+def _version_chunks(spark, sf_dir):
+    """The version table and a chunk for each line of each version."""
+    versions = ingest.apply_changes(*_versions(spark, sf_dir))
+    return versions, versions.select("document_id", "version_id", "version_index", F.posexplode(F.split("body_text", "\n")).alias("chunk_index", "chunk_text"))
+
+
+_LINES = "line AS (SELECT doc_id, version_index, is_active, unnest(l) AS chunk, generate_subscripts(l, 1) - 1 AS chunk_index FROM (SELECT v.*, string_split(CASE WHEN version_index = 2 OR (version_index = 1 AND doc_id NOT IN (SELECT doc_id FROM old) AND doc_id % 3 = 1) THEN text || '!' ELSE text END, chr(10)) AS l FROM version v JOIN documents USING (doc_id)))"
+
+
+@OPERATIONS.add(f"WITH {_DELIVERED}, {_LINES} SELECT doc_id, version_index, count(*) AS chunks, sha256(string_agg(chunk, '|' ORDER BY chunk_index)) AS digest FROM line WHERE is_active GROUP BY ALL")
+def chunks_of_active_versions(spark, sf_dir):
+    versions, chunks = _version_chunks(spark, sf_dir)
+    rows = ingest.active_chunks(chunks, versions).groupBy(F.col("document_id").cast("long").alias("doc_id"), "version_index")
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda c: c["chunk_text"]), "|")
+    return rows.agg(F.count(F.lit(1)).alias("chunks"), F.sha2(ordered, 256).alias("digest"))
+
+
+@OPERATIONS.add(f"WITH {_DELIVERED}, {_LINES} SELECT version_index, chunk_index::INTEGER AS chunk_index, sha256(chunk) AS digest FROM line WHERE doc_id = 4 AND is_active ORDER BY chunk_index")
+def chunks_of_one_document(spark, sf_dir):
+    """A look-up: the chunks of document 4's active version, in order."""
+    versions, chunks = _version_chunks(spark, sf_dir)
+    return ingest.chunks_of_document(chunks, versions, "4").select("version_index", "chunk_index", F.sha2("chunk_text", 256).alias("digest"))
+
+
+@OPERATIONS.add(f"WITH {_DELIVERED}, {_LINES} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM line WHERE NOT (doc_id = 4 AND version_index = 1)")
+def version_chunks_deleted(spark, sf_dir):
+    """What is left when the chunks of document 4's first version go."""
+    rows = ingest.delete_version_chunks(_version_chunks(spark, sf_dir)[1], "v4")
+    return rows.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("document_id").alias("documents"))
 
 
 @OPERATIONS.add(
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '+' ELSE source END AS source, lang FROM documents WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, source || '+', 'xx' FROM documents WHERE doc_id % 5 = 0 AND doc_id % 2 = 0"""
+    """WITH current AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 5 > 0), incoming AS (SELECT doc_id, source || '+' AS source FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 0)
+    SELECT doc_id, coalesce(i.source, c.source) AS source, CASE WHEN c.doc_id IS NULL THEN 'xx' ELSE c.lang END AS lang FROM current c FULL JOIN incoming i USING (doc_id)"""
 )
 def upsert_documents(spark, sf_dir):
-    """Every second document arrives again with another source; every fifth is new. The language of known ones is kept."""
+    """Every second document arrives again with another source, every fifth for the first time. The language of known ones is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    incoming = docs.where("doc_id % 2 = 0").select("doc_id", F.concat("source", F.lit("+")).alias("source"), F.lit("xx").alias("lang"))
+    incoming = docs.where("doc_id % 2 = 0 OR doc_id % 5 = 0").select("doc_id", F.concat("source", F.lit("+")).alias("source"), F.lit("xx").alias("lang"))
     return ingest.upsert(docs.where("doc_id % 5 > 0"), incoming, "doc_id", keep=("lang",))
 
 
@@ -105,16 +148,12 @@ def insert_if_new(spark, sf_dir):
     return docs.join(new, "hash").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
 
 
-@OPERATIONS.add("SELECT vec_id, vec_id % 4 = 0 AS embedded FROM embeddings")
+@OPERATIONS.add("SELECT v.vec_id, b.item_id IS NOT NULL AS embedded, coalesce(b.item_id IS NOT NULL AND v.label < 3, false) AS indexed FROM embeddings v LEFT JOIN benchmark b ON b.item_id = v.vec_id")
 def mark_embedded(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id").withColumn("embedded", F.lit(False))
-    return ingest.mark(rows, rows.where("vec_id % 4 = 0"), "vec_id", {"embedded": F.lit(True)})
-
-
-@OPERATIONS.add("SELECT d.doc_id, v.vec_id FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id WHERE v.label < 5")
-def chunks_of_active_versions(spark, sf_dir):
-    versions = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 5).alias("is_active"))
-    return table(spark, sf_dir, "documents").join(versions.where("is_active"), F.col("doc_id") == F.col("vec_id")).select("doc_id", "vec_id")
+    """Chunks are marked embedded where a passage has their number, and those of three labels then indexed."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label").withColumns({"embedded": F.lit(False), "indexed": F.lit(False)})
+    rows = ingest.mark(rows, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", {"embedded": F.lit(True)})
+    return ingest.mark(rows, rows.where("embedded AND label < 3"), "vec_id", {"indexed": F.lit(True)}).select("vec_id", "embedded", "indexed")
 
 
 # ---------------------------------------------------------------- runs

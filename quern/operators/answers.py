@@ -213,8 +213,9 @@ CANARY_WORDS = ["dns misconfiguration", "coredns", "kube-dns", "dns cache", "flu
 
 def inject_canary(chunks: DataFrame) -> DataFrame:
     """Assembled chunks (query_id, rank, text) with the planted source 99 for every query."""
-    planted = chunks.select("query_id").distinct().select("query_id", F.lit(99).alias("rank"), F.lit(CANARY_TEXT).alias("text"))
-    return chunks.select("query_id", F.col("rank").cast("int").alias("rank"), "text").unionByName(planted)
+    own, planted = F.struct(F.col("rank").cast("int").alias("rank"), F.col("text").alias("text")), F.struct(F.lit(99).alias("rank"), F.lit(CANARY_TEXT).alias("text"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "text")) == 1
+    return chunks.select("query_id", F.when(first, F.array(own, planted)).otherwise(F.array(own)).alias("c")).select("query_id", F.explode("c").alias("c")).select("query_id", "c.rank", "c.text")
 
 
 def canary_words(answer: Column) -> Column:

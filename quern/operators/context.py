@@ -104,24 +104,22 @@ def pack(found: Sequence[Candidate], most: int, least: int) -> tuple[list[Candid
 
 
 def compress(text: str, query: str, most: int, keep_headers: bool = True) -> tuple[str, bool]:
-    """Headings, then the sentences that share most words with the query while they fit, in their order."""
+    """Headings, and of the sentences in their order those that share most words with the query and fit; the text's beginning if none does."""
     if estimate(text) <= most:
         return text, False
     lines = text.split("\n")
-    heads = [x for x in lines if keep_headers and re.match(r"#{1,6}\s+", x.strip())]
-    body = "\n".join(x for x in lines if not (keep_headers and re.match(r"#{1,6}\s+", x.strip())))
-    found = [s.strip() for s in _SENTENCE.split(body) if s.strip()]
-    head = "\n".join(heads)
-    if not found:
-        return (head if estimate(head) <= most else text[: most * 4]), True
-    asked, used, chosen = token_set(query), estimate(head), []
-    for k in sorted(range(len(found)), key=lambda k: (-len(asked & token_set(found[k])), k)):
-        if used + estimate(found[k]) <= most:
-            used += estimate(found[k])
-            chosen.append(k)
-    if not chosen:
+    heading = [keep_headers and bool(re.match(r"#{1,6}\s+", x.strip())) for x in lines]
+    heads = [x for x, h in zip(lines, heading, strict=True) if h]
+    said = [s.strip() for s in _SENTENCE.split("\n".join(x for x, h in zip(lines, heading, strict=True) if not h)) if s.strip()]
+    asked, room, taken = token_set(query), most - estimate("\n".join(heads)), []
+    for k in sorted(range(len(said)), key=lambda k: (-len(asked & token_set(said[k])), k)):
+        cost = estimate(said[k])
+        if cost <= room:
+            room -= cost
+            taken.append(k)
+    if not taken and (said or room < 0):
         return text[: most * 4], True
-    return "\n".join([*heads, " ".join(found[k] for k in sorted(chosen))]).strip(), True
+    return "\n".join([*heads, *([" ".join(said[k] for k in sorted(taken))] if taken else [])]).strip(), True
 
 
 def choose(found: Sequence[Candidate], query: str, config: AssemblyConfig) -> tuple[list[Candidate], int, int]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import answers, context
+from quern.operators.staging import stored
 from quern.plans.common import BLANKS, Catalog, coverage_sql, rounded, table, token_set_sql
-from quern.plans.search import bm25_ctes, candidates, top
+from quern.plans.search import bm25_ctes, candidates, jaccard_sql, top
 
 ANSWERING = Catalog()
 
@@ -44,7 +45,11 @@ def _strategy(name, **config):
     return run
 
 
-_TWENTY = f"{bm25_ctes()}, few AS ({top('bm25', 20)}), cand AS MATERIALIZED (SELECT f.*, {token_set_sql('d.text')} AS ws, CASE WHEN length(d.text) = 0 THEN 0 ELSE greatest(1, length(d.text) // 4) END::INTEGER AS t FROM few f JOIN documents d ON d.doc_id = f.chunk_id)"
+_CANDIDATE = f"SELECT f.*, {token_set_sql('d.text')} AS ws, CASE WHEN length(d.text) = 0 THEN 0 ELSE greatest(1, length(d.text) // 4) END::INTEGER AS t FROM few f JOIN documents d ON d.doc_id = f.chunk_id"
+_TWENTY = f"{bm25_ctes()}, few AS ({top('bm25', 20)}), cand AS MATERIALIZED ({_CANDIDATE})"
+#: The five best after reranking, scored by their overlap with the question.
+_FIVE = f"""{bm25_ctes()}, first AS ({top('bm25', 20)}), compared AS (SELECT f.query_id, f.chunk_id, f.rank AS original_rank, {jaccard_sql('b.text', 'd.text')} AS overlap, f.score AS keyword FROM first f JOIN documents d ON d.doc_id = f.chunk_id JOIN benchmark b ON b.item_id = f.query_id),
+    few AS (SELECT query_id, chunk_id, coalesce(nullif(overlap, 0), 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, original_rank, chunk_id)::INTEGER AS rank FROM compared QUALIFY rank <= 5), cand AS MATERIALIZED ({_CANDIDATE})"""
 
 
 def _alike(a: str, b: str) -> str:
@@ -52,7 +57,7 @@ def _alike(a: str, b: str) -> str:
     return f"coalesce({both}::DOUBLE / nullif(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len({a}) + len({b}) - {both} END, 0), 0)"
 
 
-_DEDUP = f"""{_TWENTY}, alike AS (
+_ALIKE = f"""alike AS MATERIALIZED (
         SELECT a.query_id, a.rank, list(b.rank) FILTER (WHERE {_alike("a.ws", "b.ws")} >= 0.85) AS near FROM cand a LEFT JOIN cand b ON a.query_id = b.query_id AND b.rank < a.rank GROUP BY ALL
     ), walk AS (
         SELECT DISTINCT query_id, 0 AS pos, []::INTEGER[] AS kept FROM cand
@@ -62,12 +67,12 @@ _DEDUP = f"""{_TWENTY}, alike AS (
 _VALUES = "list_transform(range(1, len(base) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN NULL ELSE base[i] - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda j: m[i][j])), 0) END)"
 
 
-def _mmr_sql(k: int) -> str:
-    return f"""WITH RECURSIVE {_DEDUP}, item AS MATERIALIZED (
+def _mmr_sql(k: int, found: str = _TWENTY) -> str:
+    return f"""WITH RECURSIVE {found}, {_ALIKE}, item AS MATERIALIZED (
         SELECT c.*, list_position(l.kept, c.rank) AS i, l.pos - len(l.kept) AS removed, {_alike("q.ws", "c.ws")} AS asked FROM cand c JOIN last l ON l.query_id = c.query_id AND list_contains(l.kept, c.rank) JOIN (SELECT item_id, {token_set_sql("text")} AS ws FROM benchmark) q ON q.item_id = c.query_id
-    ), base AS (SELECT query_id, list(0.7::DOUBLE * (0.5::DOUBLE * score + 0.5::DOUBLE * asked) ORDER BY i) AS base FROM item GROUP BY query_id
+    ), base AS MATERIALIZED (SELECT query_id, list(0.7::DOUBLE * (0.5::DOUBLE * score + 0.5::DOUBLE * asked) ORDER BY i) AS base FROM item GROUP BY query_id
     ), likeness AS (SELECT a.query_id, a.i, list({_alike("a.ws", "b.ws")} ORDER BY b.i) AS s FROM item a JOIN item b ON a.query_id = b.query_id GROUP BY ALL
-    ), matrix AS (SELECT query_id, list(s ORDER BY i) AS m FROM likeness GROUP BY query_id
+    ), matrix AS MATERIALIZED (SELECT query_id, list(s ORDER BY i) AS m FROM likeness GROUP BY query_id
     ), pick AS (
         SELECT query_id, []::BIGINT[] AS chosen, base, m FROM base JOIN matrix USING (query_id)
         UNION ALL SELECT query_id, list_append(chosen, list_position({_VALUES}, list_max({_VALUES}))), base, m FROM pick WHERE len(chosen) < least(len(base), {k})
@@ -75,27 +80,53 @@ def _mmr_sql(k: int) -> str:
     ), picked AS (SELECT i.*, list_position(b.chosen, i.i) AS place FROM item i JOIN best b ON b.query_id = i.query_id AND list_contains(b.chosen, i.i))"""
 
 
-def _budget_sql(source: str, place: str) -> str:
-    return f"""fit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score / t DESC, {place}) AS p FROM {source} WHERE t >= 20),
+def _budget_sql(source: str, place: str, most: int = 2048) -> str:
+    return f"""fit AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score / t DESC, {place}) AS p FROM {source} WHERE t >= 20),
     fill AS (
         SELECT DISTINCT query_id, 0::BIGINT AS p, 0 AS used, false AS taken FROM fit
-        UNION ALL SELECT w.query_id, f.p, w.used + CASE WHEN w.used + f.t <= 2048 THEN f.t ELSE 0 END, w.used + f.t <= 2048 FROM fill w JOIN fit f ON f.query_id = w.query_id AND f.p = w.p + 1
+        UNION ALL SELECT w.query_id, f.p, w.used + CASE WHEN w.used + f.t <= {most} THEN f.t ELSE 0 END, w.used + f.t <= {most} FROM fill w JOIN fit f ON f.query_id = w.query_id AND f.p = w.p + 1
     ), dropped AS (SELECT query_id, count(*) FILTER (WHERE NOT taken AND p > 0) AS n FROM fill GROUP BY query_id)
     SELECT f.query_id, f.chunk_id, row_number() OVER (PARTITION BY f.query_id ORDER BY f.p)::INTEGER AS rank, f.score, f.t AS token_count, false AS was_compressed, f.removed::INTEGER AS duplicates_removed, d.n::INTEGER AS dropped_budget
     FROM fit f JOIN fill w ON w.query_id = f.query_id AND w.p = f.p AND w.taken JOIN dropped d ON d.query_id = f.query_id"""
 
 
-#: The greedy steps as recursion over each query's candidates in order.
-_GREEDY = {
-    "dedup_only": f"""WITH RECURSIVE {_DEDUP}
-    SELECT c.query_id, c.chunk_id, list_position(l.kept, c.rank)::INTEGER AS rank, c.score, c.t AS token_count, false AS was_compressed, (l.pos - len(l.kept))::INTEGER AS duplicates_removed, 0 AS dropped_budget
-    FROM cand c JOIN last l ON l.query_id = c.query_id AND list_contains(l.kept, c.rank) AND list_position(l.kept, c.rank) <= 10""",
-    "budget": f"WITH RECURSIVE {_TWENTY}, all_of AS (SELECT *, 0 AS removed FROM cand), {_budget_sql('all_of', 'rank')}",
-    "mmr": f"{_mmr_sql(10)} SELECT query_id, chunk_id, place::INTEGER AS rank, score, t AS token_count, false AS was_compressed, removed::INTEGER AS duplicates_removed, 0 AS dropped_budget FROM picked",
-    "full": f"{_mmr_sql(20)}, {_budget_sql('picked', 'place')}",
-}
-for _name in ("dedup_only", "mmr", "budget", "full", "full_compressed"):
-    ANSWERING.add(_GREEDY.get(_name))(_strategy(_name))
+_FIELDS = "query_id, chunk_id, rank, score, token_count, was_compressed, duplicates_removed, dropped_budget"
+
+
+def _compressed(chosen: str) -> str:
+    """The chosen chunks, those beyond 512 tokens cut to headings and the sentences nearest to the question."""
+    size = lambda x: f"(CASE WHEN length({x}) = 0 THEN 0 ELSE greatest(1, length({x}) // 4) END)"
+    heading = r"regexp_matches(trim(x, {b}), '^#{{1,6}}\s+')".format(b=BLANKS)
+    return rf"""WITH RECURSIVE chosen AS MATERIALIZED ({chosen}), long AS (SELECT c.query_id, c.chunk_id, d.text, {token_set_sql('b.text')} AS asked, string_split(d.text, chr(10)) AS l FROM chosen c JOIN documents d ON d.doc_id = c.chunk_id JOIN benchmark b ON b.item_id = c.query_id WHERE c.token_count > 512),
+    apart AS MATERIALIZED (SELECT query_id, chunk_id, text, asked, list_filter(l, lambda x: {heading}) AS heads, list_filter(list_transform(string_split(regexp_replace(array_to_string(list_filter(l, lambda x: NOT {heading}), chr(10)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS said FROM long),
+    sentence AS (SELECT query_id, chunk_id, asked, unnest(said) AS s, generate_subscripts(said, 1) AS i FROM apart),
+    turn AS MATERIALIZED (SELECT query_id, chunk_id, s, i, {size('s')} AS n, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY len(list_intersect(asked, {token_set_sql('s')})) DESC, i) AS o FROM sentence),
+    room AS (SELECT query_id, chunk_id, 0::BIGINT AS o, 512 - {size("array_to_string(heads, chr(10))")} AS left_over, false AS taken FROM apart
+        UNION ALL SELECT t.query_id, t.chunk_id, t.o, CASE WHEN t.n <= r.left_over THEN r.left_over - t.n ELSE r.left_over END, t.n <= r.left_over FROM room r JOIN turn t ON t.query_id = r.query_id AND t.chunk_id = r.chunk_id AND t.o = r.o + 1),
+    kept AS (SELECT query_id, chunk_id, string_agg(s, ' ' ORDER BY i) AS body FROM room JOIN turn USING (query_id, chunk_id, o) WHERE taken GROUP BY ALL),
+    short AS (SELECT a.query_id, a.chunk_id, CASE WHEN body IS NOT NULL THEN trim(array_to_string(list_append(heads, body), chr(10)), {BLANKS}) WHEN len(said) > 0 OR {size("array_to_string(heads, chr(10))")} > 512 THEN left(text, 2048) ELSE trim(array_to_string(heads, chr(10)), {BLANKS}) END AS text FROM apart a LEFT JOIN kept USING (query_id, chunk_id))
+    SELECT c.query_id, c.chunk_id, c.rank, c.score, CASE WHEN s.text IS NULL THEN c.token_count ELSE {size('s.text')} END::INTEGER AS token_count, s.text IS NOT NULL AS was_compressed, c.duplicates_removed, c.dropped_budget, s.text AS text FROM chosen c LEFT JOIN short s USING (query_id, chunk_id)"""
+
+
+def _strategy_sql(name: str, most: int = 2048, found: str = _TWENTY) -> str:
+    """The greedy steps as recursion over each query's candidates in order."""
+    plain = "false AS was_compressed"
+    if name == "top_k":
+        return f"WITH {found} SELECT query_id, chunk_id, rank, score, t AS token_count, {plain}, 0 AS duplicates_removed, 0 AS dropped_budget FROM cand WHERE rank <= 10"
+    if name == "dedup_only":
+        return f"""WITH RECURSIVE {found}, {_ALIKE} SELECT c.query_id, c.chunk_id, list_position(l.kept, c.rank)::INTEGER AS rank, c.score, c.t AS token_count, {plain}, (l.pos - len(l.kept))::INTEGER AS duplicates_removed, 0 AS dropped_budget
+            FROM cand c JOIN last l ON l.query_id = c.query_id AND list_contains(l.kept, c.rank) AND list_position(l.kept, c.rank) <= 10"""
+    if name == "budget":
+        return f"WITH RECURSIVE {found}, all_of AS (SELECT *, 0 AS removed FROM cand), {_budget_sql('all_of', 'rank', most)}"
+    if name == "mmr":
+        return f"{_mmr_sql(10, found)} SELECT query_id, chunk_id, place::INTEGER AS rank, score, t AS token_count, {plain}, removed::INTEGER AS duplicates_removed, 0 AS dropped_budget FROM picked"
+    full = f"{_mmr_sql(20, found)}, {_budget_sql('picked', 'place', most)}"
+    return full if name == "full" else _compressed(full)
+
+
+for _name in ("dedup_only", "mmr", "budget", "full"):
+    ANSWERING.add(_strategy_sql(_name))(_strategy(_name))
+ANSWERING.add(f"SELECT {_FIELDS} FROM ({_strategy_sql('full_compressed')})")(_strategy("full_compressed"))
 
 
 _SETS = f"""own AS (SELECT doc_id, list_sort({token_set_sql('text')}) AS ws FROM documents), class AS (SELECT ws, min(doc_id) AS class_id, count(*) AS class_size FROM own WHERE len(ws) > 0 GROUP BY ws),
@@ -271,23 +302,43 @@ def canary_detection(spark, sf_dir):
     return answers.probe_results(rows).withColumn("matched", F.array_join("matched", ","))
 
 
-@ANSWERING.add()
+_PLANTED = "CASE WHEN item_id % 3 = 0 THEN 'What was the root cause of the DNS misconfiguration in the CoreDNS deployment, and how was it resolved?' ELSE text END"
+_PROBED = _EXTRACT.replace("FROM chunk c JOIN benchmark b", f"FROM probed c JOIN (SELECT item_id, {_PLANTED} AS text FROM benchmark) b")
+
+
+@ANSWERING.add(
+    f"""{_TOP}, probed AS (SELECT query_id, rank, text FROM chunk UNION ALL SELECT DISTINCT query_id, 99, '{answers.CANARY_TEXT.replace("'", "''")}' FROM chunk), {_PROBED}, reply AS (SELECT DISTINCT c.query_id, coalesce(p.answer, '') AS answer FROM chunk c LEFT JOIN pick p USING (query_id))
+    SELECT query_id, array_to_string({_CANARY}, ',') AS matched, len({_CANARY}) > 0 AS canary_detected, len({_CANARY}) = 0 AS passed FROM reply"""
+)
 def canary_probe(spark, sf_dir):
-    """The planted source among each passage's chunks, and whether the extractive answer uses it."""
+    """A source planted among each passage's chunks; every third question is one that it answers."""
     rows = candidates(spark, sf_dir, 5)
-    asked = rows.select("query_id", "query").distinct()
-    return answers.probe_results(answers.extract_answers(asked, answers.inject_canary(rows.select("query_id", "rank", "text"))))
+    planted = F.when(F.col("query_id") % 3 == 0, "What was the root cause of the DNS misconfiguration in the CoreDNS deployment, and how was it resolved?").otherwise(F.col("query"))
+    asked = rows.select("query_id", planted.alias("query")).distinct()
+    found = answers.probe_results(answers.extract_answers(asked, answers.inject_canary(rows.select("query_id", "rank", "text"))))
+    return found.withColumn("matched", F.array_join("matched", ","))
+
+
+_RATIOS = ("faithfulness", "citation_precision", "citation_recall", "hallucination_rate", "citation_coverage", "answer_relevancy", "unsupported_claim_rate")
 
 
-@ANSWERING.add()
+@ANSWERING.add(
+    f"""WITH picked_up AS MATERIALIZED ({_strategy_sql('full', 2048, _FIVE)}), chunk AS MATERIALIZED (SELECT p.query_id, p.chunk_id, p.rank, d.text FROM picked_up p JOIN documents d ON d.doc_id = p.chunk_id), {_EXTRACT},
+    answers AS (SELECT item_id AS query_id, text AS query, coalesce(answer, '{answers.REFUSAL}') AS answer FROM benchmark LEFT JOIN pick ON query_id = item_id), every AS MATERIALIZED (SELECT query_id, query, {_NORMAL} AS answer FROM answers),
+    normal AS (SELECT * FROM every WHERE NOT contains(lower(answer), lower('{answers.REFUSAL}'))), {_JUDGED}, {_LINKED.format(entailment=entailment_sql("i.claim", "k.text"))},
+    c AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE label = 'SUPPORTS') AS yes, count(*) FILTER (WHERE label = 'NO_CITATION') AS none, count(*) FILTER (WHERE label = 'NEUTRAL') AS open, sum(n_citations) AS cites FROM judged GROUP BY query_id),
+    r AS (SELECT e.*, contains(lower(e.answer), lower('{answers.REFUSAL}')) AS refused, coalesce(n, 0) AS n, coalesce(yes, 0) AS yes, coalesce(none, 0) AS none, coalesce(open, 0) AS open, coalesce(cites, 0) AS cites FROM every e LEFT JOIN c USING (query_id))
+    SELECT query_id, sha256(answer) AS answer_sha256, refused, n AS total_claims, yes AS supported_claims, round(CASE WHEN refused THEN 1 WHEN n = 0 THEN 0 ELSE yes / n END, 6) AS faithfulness, round(CASE WHEN refused THEN 1 WHEN n = 0 THEN 0 ELSE coalesce(yes / nullif(cites, 0), 0) END, 6) AS citation_precision,
+        round(CASE WHEN refused THEN 1 WHEN n = 0 THEN 0 ELSE yes / n END, 6) AS citation_recall, round(CASE WHEN refused THEN 0 WHEN n = 0 THEN 1 ELSE (n - yes) / n END, 6) AS hallucination_rate, round(CASE WHEN refused OR n = 0 THEN 0 ELSE (n - none) / n END, 6) AS citation_coverage,
+        round(CASE WHEN refused THEN 0 ELSE {coverage_sql('query', 'answer')} END, 6) AS answer_relevancy, round(CASE WHEN refused OR n = 0 THEN 0 ELSE (none + open) / n END, 6) AS unsupported_claim_rate FROM r"""
+)
 def grounded_answers(spark, sf_dir):
-    """The whole way: retrieve, rerank, assemble, answer, judge."""
+    """The whole way: retrieve, rerank, assemble, answer, judge. The chosen chunks, which three steps read, are stored."""
     from quern.operators import search
 
     reranked = search.lexical_rerank(candidates(spark, sf_dir, 20), 5)
-    chosen = context.select_chunks(reranked)
+    chosen = stored(context.select_chunks(reranked).select("query_id", "chunk_id", "rank", "text", "score"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    answered = answers.finish(answers.extract_answers(asked, chosen), chosen)
-    return answers.faithfulness(answered.select("query_id", "query", "answer"), answers.judge_claims(answered, chosen))
-
-
+    answered = stored(answers.finish(answers.extract_answers(asked, chosen), chosen).select("query_id", "query", "answer"))
+    rows = answers.faithfulness(answered, answers.judge_claims(answered, chosen)).join(answered.select("query_id", F.sha2("answer", 256).alias("answer_sha256")), "query_id")
+    return rows.select("query_id", "answer_sha256", "refused", "total_claims", "supported_claims", *(rounded(c).alias(c) for c in _RATIOS))

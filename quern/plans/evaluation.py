@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import context, quality, search
-from quern.plans.common import Catalog, rounded, table
+from quern.operators.staging import stored
+from quern.plans.answering import _TWENTY, _strategy_sql
+from quern.plans.common import Catalog, coverage_sql, rounded, table, token_set_sql
 from quern.plans.search import _RERANK, bm25, bm25_ctes, candidates, top
 
 EVALUATION = Catalog()
@@ -74,18 +76,50 @@ def rerank_lift(spark, sf_dir):
     return effect.withColumn("displacement", rounded("displacement"))
 
 
-@EVALUATION.add()
-def context_benchmark(spark, sf_dir):
-    """Context quality of every strategy."""
-    found = candidates(spark, sf_dir, 20)
-    relevant = quality.relevance(_samples(spark, sf_dir), _corpus(spark, sf_dir))
+_CONTEXT = ("context_precision", "context_recall", "token_efficiency", "dedup_rate", "budget_utilization", "compression_ratio")
+
+
+def _context_sql(runs: list[tuple[str, str, int]], key: str) -> str:
+    """Averages of context quality for runs of (key value, strategy, budget)."""
+    parts = " UNION ALL ".join(
+        f"SELECT {v} AS {key}, {most} AS most, query_id, chunk_id, rank, token_count, duplicates_removed, {'text' if name == 'full_compressed' else 'NULL::VARCHAR'} AS short FROM ({_strategy_sql(name, most)})" for v, name, most in runs
+    )
+    return f"""WITH {_RELEVANT}, hit AS (SELECT DISTINCT query_id, chunk_id FROM relevant), given AS (SELECT query_id, count(*) AS chunks_in, sum(t) AS tokens_in FROM (WITH {_TWENTY} SELECT query_id, t FROM cand) GROUP BY query_id),
+    chosen AS MATERIALIZED (SELECT r.*, coalesce(short, d.text) AS text FROM ({parts}) r JOIN documents d ON d.doc_id = r.chunk_id),
+    held AS (SELECT c.{key}, c.query_id, any_value(most) AS most, sum(token_count) AS tokens_out, max(duplicates_removed) AS removed, coalesce(sum(CASE WHEN h.chunk_id IS NOT NULL THEN token_count END), 0) AS hits, string_agg('[Source ' || rank || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS t
+        FROM chosen c LEFT JOIN hit h ON h.query_id = c.query_id AND h.chunk_id = c.chunk_id GROUP BY c.{key}, c.query_id),
+    m AS (SELECT {key}, h.hits / nullif(h.tokens_out, 0) AS p, CASE WHEN len({token_set_sql("lower(trim(b.text))")}) > 0 AND ({coverage_sql("lower(trim(b.text))", "h.t")} >= 0.5 OR contains(lower(h.t), lower(trim(b.text)))) THEN 1.0 ELSE 0.0 END AS r,
+        tokens_out / most AS used, removed / chunks_in AS dedup, CASE WHEN tokens_out > 0 THEN tokens_in / tokens_out ELSE 1 END AS ratio FROM held h JOIN given USING (query_id) JOIN benchmark b ON b.item_id = h.query_id)
+    SELECT {key}, count(*) AS n_queries, round(avg(coalesce(p, 0)), 6) AS context_precision, round(avg(r), 6) AS context_recall, round(avg(coalesce(p, 0) * r / greatest(used, 0.01)), 6) AS token_efficiency, round(avg(dedup), 6) AS dedup_rate, round(avg(used), 6) AS budget_utilization, round(avg(ratio), 6) AS compression_ratio FROM m GROUP BY {key}"""
+
+
+def _context_quality(spark, sf_dir, runs, key):
+    """The candidates, which all runs share, are stored."""
+    found = stored(candidates(spark, sf_dir, 20))
+    relevant = stored(quality.relevance(_samples(spark, sf_dir), _corpus(spark, sf_dir)))
     out = None
-    for name in context.STRATEGIES:
-        config = context.AssemblyConfig(strategy=name, max_tokens=1024)
-        chosen = context.select_chunks(found, config)
-        rows = quality.context_metrics(chosen, _samples(spark, sf_dir), relevant, context.assemble(chosen, config)).withColumn("strategy", F.lit(name))
+    for value, name, most in runs:
+        config = context.AssemblyConfig(strategy=name, max_tokens=most)
+        chosen = stored(context.select_chunks(found, config))
+        rows = quality.context_metrics(chosen, _samples(spark, sf_dir), relevant, context.assemble(chosen, config)).withColumn(key, F.lit(value))
         out = rows if out is None else out.unionByName(rows)
-    return quality.averages(out, ["strategy"], ["context_precision", "context_recall", "token_efficiency", "dedup_rate", "budget_utilization", "compression_ratio"])
+    rows = quality.averages(out, [key], _CONTEXT)
+    return rows.select(key, "n_queries", *(rounded(c).alias(c) for c in _CONTEXT))
+
+
+@EVALUATION.add(_context_sql([(f"'{name}'", name, 1024) for name in context.STRATEGIES], "strategy"))
+def context_benchmark(spark, sf_dir):
+    """Context quality of every strategy."""
+    return _context_quality(spark, sf_dir, [(name, name, 1024) for name in context.STRATEGIES], "strategy")
+
+
+_BUDGETS = (512, 1024, 2048, 4096)
+
+
+@EVALUATION.add(_context_sql([(str(most), "full", most) for most in _BUDGETS], "budget"))
+def context_budget_sweep(spark, sf_dir):
+    """Context quality of the full strategy under several token budgets."""
+    return _context_quality(spark, sf_dir, [(most, "full", most) for most in _BUDGETS], "budget")
 
 
 _WS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"

@@ -7,12 +7,14 @@ ablations and task slices are further keys of the same long table.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import answers, context, quality, search
+from quern.operators import answers, chunking, context, quality, search
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,8 @@ class Setup:
     k: int = 5
     top_n: int = 20
     max_tokens: int = 2048
+    #: decimal places that retrieval scores are rounded to before they are ranked
+    places: int | None = None
 
 
 #: The configurations an ablation compares.
@@ -40,6 +44,8 @@ class Evaluation:
     answers: DataFrame
     probes: DataFrame
     held: tuple[DataFrame, ...] = ()
+    #: (config, layer, milliseconds a question) of the layers, each timed while its rows were made
+    timings: tuple[tuple[str, str, float], ...] = ()
 
     def release(self) -> None:
         for frame in self.held:
@@ -48,7 +54,14 @@ class Evaluation:
     def averages(self) -> DataFrame:
         passed = self.probes.groupBy("config").agg(F.avg(F.col("passed").cast("double")).alias("value")).withColumn("metric", F.lit("adversarial_pass_rate"))
         means = self.metrics.groupBy("config", "metric").agg(F.avg("value").alias("value"))
-        return means.unionByName(passed.select("config", "metric", "value"))
+        return means.unionByName(passed.select("config", "metric", "value")).unionByName(self.latencies())
+
+    def latencies(self) -> DataFrame:
+        """(config, metric, value): milliseconds a question of each layer, and of all of them. A batch has no tail, so the whole stands for its 95th percentile too."""
+        rows = [(c, f"{layer}_latency_ms", ms) for c, layer, ms in self.timings]
+        for config in dict.fromkeys(c for c, _, _ in self.timings):
+            rows.append((config, "e2e_latency_p95_ms", sum(ms for c, _, ms in self.timings if c == config)))
+        return self.metrics.sparkSession.createDataFrame(rows, "config string, metric string, value double")
 
     def distributions(self) -> DataFrame:
         return quality.distribution(self.metrics, ["config", "metric"])
@@ -70,17 +83,28 @@ def evaluate(chunks: DataFrame, samples: DataFrame, setup: Setup = Setup()) -> E
     """Run one configuration.
 
     ``chunks`` has chunk_id, text and, for dense and hybrid retrieval, embedding; ``samples`` has
-    query_id, query, reference (array<string>) and, likewise, embedding.
+    query_id, query, reference (array<string>) and, likewise, embedding. Where both have a
+    document_id, a question that has one is answered from its document alone.
     """
-    service = search.RetrievalService(chunks)
+    scope = "document_id" if "document_id" in chunks.columns and "document_id" in samples.columns else None
+    service = search.RetrievalService(chunks, places=setup.places, scope=scope)
     asked = samples.withColumn("text", F.col("query"))
-    relevant = quality.relevance(samples, chunks.select("chunk_id", "text")).persist()
-    found = service.candidates(samples, service.retrieve(asked, setup.mode, setup.top_n)).drop("dense_rank", "keyword_rank").persist()
+    n, clock = max(samples.count(), 1), {}
+
+    def timed(layer: str, frame: DataFrame) -> DataFrame:
+        start = time.perf_counter()
+        frame.persist().count()
+        clock[layer] = (time.perf_counter() - start) * 1000 / n
+        return frame
+
+    relevant = quality.relevance(samples, chunks.select("chunk_id", "text", *([scope] if scope else []))).persist()
+    found = timed("retrieval", service.candidates(samples, service.retrieve(asked, setup.mode, setup.top_n)).drop("dense_rank", "keyword_rank"))
     order = search.lexical_rerank(found, setup.k) if setup.rerank else search.pass_through(found, setup.k)
+    order = timed("rerank", order)
     config = context.AssemblyConfig(strategy=setup.strategy, max_tokens=setup.max_tokens)
-    chosen = context.select_chunks(order, config).persist()
+    chosen = timed("context", context.select_chunks(order, config))
     questions = samples.select("query_id", "query")
-    answered = answers.finish(answers.extract_answers(questions, chosen), chosen).select("query_id", "query", "answer").persist()
+    answered = timed("generation", answers.finish(answers.extract_answers(questions, chosen), chosen).select("query_id", "query", "answer"))
 
     before = quality.ranking_metrics(found, relevant, setup.k, questions)
     after = quality.ranking_metrics(order, relevant, setup.k, questions)
@@ -98,7 +122,7 @@ def evaluate(chunks: DataFrame, samples: DataFrame, setup: Setup = Setup()) -> E
     metrics = metrics.withColumn("config", F.lit(setup.name)).persist()
     probes = answers.probe_results(answers.extract_answers(questions, answers.inject_canary(chosen.select("query_id", "rank", "text"))))
     tag = lambda df: df.withColumn("config", F.lit(setup.name))
-    return Evaluation(metrics, tag(answered), tag(probes), (metrics, answered, chosen, found, relevant))
+    return Evaluation(metrics, tag(answered), tag(probes), (metrics, answered, chosen, order, found, relevant), tuple((setup.name, layer, ms) for layer, ms in clock.items()))
 
 
 def _lift(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -109,7 +133,32 @@ def _lift(before: DataFrame, after: DataFrame) -> DataFrame:
 def ablation(chunks: DataFrame, samples: DataFrame, setups: tuple[Setup, ...] = ABLATION) -> Evaluation:
     """All configurations in one evaluation."""
     runs = [evaluate(chunks, samples, s) for s in setups]
-    return Evaluation(*(_all([getattr(r, part) for r in runs]) for part in ("metrics", "answers", "probes")), tuple(f for r in runs for f in r.held))
+    return Evaluation(*(_all([getattr(r, part) for r in runs]) for part in ("metrics", "answers", "probes")), tuple(f for r in runs for f in r.held), tuple(t for r in runs for t in r.timings))
+
+
+def chunking_benchmark(samples: DataFrame, configs: Sequence[tuple[str, int, int]], k: int = 5, min_chunk_size: int = 100, places: int | None = None) -> DataFrame:
+    """A row for each configuration (strategy, chunk size, overlap): lexical context precision, recall and F1 of what its chunks of the inferred sources bring back, and the chunks' sizes.
+
+    ``samples`` has query_id, query, ground_truth, reference (array<string>) and document_id. The k chunks that
+    share most words with a question are its context. Overlaps not below the size are left out.
+    """
+    sources, out = quality.infer_sources(samples), None
+    for strategy, size, overlap in configs:
+        if overlap >= size:
+            continue
+        config = chunking.ChunkerConfig(size, overlap, min(min_chunk_size, size), max(size, 2 * size))
+        chunks = chunking.chunk_documents(sources, strategy, config, id_col="document_id").where("error is null")
+        number = F.coalesce(F.col("document_id").try_cast("long") * 100_000 + F.col("chunk_index"), F.xxhash64("document_id", "chunk_index"))
+        chunks = chunks.select(number.alias("chunk_id"), F.col("chunk_text").alias("text"), "token_count").persist()
+        found = search.lexical_overlap(chunks, samples.select("query_id", F.col("query").alias("text")), k, doc_id="chunk_id", places=places)
+        held = found.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("query_id").agg(F.collect_list("text").alias("contexts"))
+        rows = samples.select("query_id", "ground_truth").join(held, "query_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+        score = quality.lexical_context_quality(rows).agg(F.avg("context_precision").alias("context_precision"), F.avg("context_recall").alias("context_recall"))
+        sizes = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.avg("token_count").alias("avg_chunk_tokens"), F.min("token_count").alias("min_chunk_tokens"), F.max("token_count").alias("max_chunk_tokens"))
+        row = score.crossJoin(sizes).select(F.lit(strategy).alias("strategy"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"), "*")
+        row = row.withColumn("f1", quality.f1(F.col("context_precision"), F.col("context_recall")))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ Metrics are long tables (keys..., metric, value), so one aggregation serves any
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -313,6 +313,30 @@ def best_config(results: DataFrame, score: str, order: Sequence[str]) -> DataFra
     return results.withColumn("place", F.row_number().over(w)).withColumn("margin", F.first(score).over(w) - F.col(score))
 
 
+def rerank_grid(found: dict[str, DataFrame], rerankers: dict[str, Callable[[DataFrame], DataFrame]], relevant: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(mode, reranker, n_queries, mrr, ndcg, mrr_lift, ndcg_lift, top1_change_rate, displacement): every reranker on the candidates of every retrieval mode."""
+    out = None
+    for mode, candidates in found.items():
+        before = ranking_metrics(candidates, relevant, k, queries).select("query_id", F.col("mrr").alias("old_mrr"), F.col("ndcg").alias("old_ndcg"))
+        for name, rerank in rerankers.items():
+            after = rerank(candidates)
+            rows = ranking_metrics(after, relevant, k, queries).join(before, "query_id").join(rerank_effect(candidates, after, k), "query_id", "left")
+            rows = rows.agg(
+                F.count(F.lit(1)).alias("n_queries"), F.avg("mrr").alias("mrr"), F.avg("ndcg").alias("ndcg"), F.avg(F.col("mrr") - F.col("old_mrr")).alias("mrr_lift"), F.avg(F.col("ndcg") - F.col("old_ndcg")).alias("ndcg_lift"),
+                F.avg(F.coalesce("top1_changed", F.lit(False)).cast("double")).alias("top1_change_rate"), F.avg(F.coalesce("displacement", F.lit(0.0))).alias("displacement"),
+            ).select(F.lit(mode).alias("mode"), F.lit(name).alias("reranker"), "*")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def infer_sources(samples: DataFrame) -> DataFrame:
+    """(document_id, text): the source of each document put together from the references of its samples, in order of their ids."""
+    text = F.concat(F.array_join("reference", "\n\n"), F.lit("\n\n")).alias("text")
+    rows = samples.select(F.coalesce("document_id", F.lit("default")).alias("document_id"), "query_id", text)
+    parts = F.array_sort(F.collect_list(F.struct("query_id", "text")))
+    return rows.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+
+
 def f1(precision: Column, recall: Column) -> Column:
     return T.ratio(2 * precision * recall, precision + recall)
 

@@ -58,7 +58,7 @@ class _Best:
         """``score`` is queries by chunks; scores not above ``least`` do not count."""
         n = score.shape[1]
         floor = self.floor if n <= self.k else np.maximum(self.floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
-        query, at = np.nonzero((score >= floor[:, None]) & (score > least))
+        query, at = np.nonzero((score >= floor[:, None]) & (score > least))  # minus infinity is never above
         query, chunk, value = np.concatenate([self.query, query]), np.concatenate([self.chunk, chunks[at]]), np.concatenate([self.score, score[query, at]])
         order = np.lexsort((chunk, -value, query))
         query = query[order]
@@ -98,6 +98,17 @@ def _rounded(score: np.ndarray, places: int | None) -> np.ndarray:
     return score if places is None else np.round(score, places)
 
 
+def _scoped(queries: pa.Table, rows: pa.RecordBatch) -> np.ndarray | None:
+    """Which rows are in the scope of which queries (a query without a scope sees all); None if nothing is scoped."""
+    if "scope" not in queries.column_names:
+        return None
+    asked = queries.column("scope").combine_chunks().cast(pa.string())
+    known = pc.unique(asked.drop_null())
+    code = lambda a, none: pc.fill_null(pc.index_in(a, value_set=known), -1).to_numpy(zero_copy_only=False) if len(known) else np.full(len(a), none)
+    wanted, given = code(asked, -1), code(rows.column("scope").cast(pa.string()), -1)
+    return (wanted[:, None] == given[None, :]) | asked.is_null().to_numpy(zero_copy_only=False)[:, None]
+
+
 # ---------------------------------------------------------------- BM25
 
 
@@ -198,7 +209,8 @@ def _text_scorer(average: float | None, k: int, places: int | None, k1: float =
                     score = np.bincount(owner[use] * len(size) + text[entry], value, len(ids) * len(size)).reshape(len(ids), len(size))
                     if average is None:
                         score /= np.maximum(held[:, None] + size[None, :] - score, 1)
-                    best.add(part.column("chunk_id").to_numpy(), _rounded(score, places), 0.0)
+                    score, seen = _rounded(score, places), _scoped(queries, part)
+                    best.add(part.column("chunk_id").to_numpy(), score if seen is None else np.where(seen, score, 0.0), 0.0)
             yield best.rows()
 
         return run
@@ -217,18 +229,24 @@ def bm25(
     doc_text: str = "text",
     query_text: str = "text",
     places: int | None = None,
+    scope: str | None = None,
 ) -> DataFrame:
     """The k best texts for each query: query_id, chunk_id, score, rank; texts without a term of the query are none of them.
 
     ``filter_mode`` "post" ranks the whole corpus, keeps 4 k candidates and filters those (a query
     may get fewer than k); "pre" filters first. Statistics are always those of the whole corpus. With
-    ``places`` scores are rounded before they are ranked, so that the order of additions decides nothing.
+    ``places`` scores are rounded before they are ranked, so that the order of additions decides nothing. ``scope``
+    names a column of both sides: a query that has a value sees only texts with that value (filtered first).
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode is pre or post")
     asked, average = _asked(docs, queries, doc_id, query_id, doc_text, query_text)
     post = bool(conditions) and filter_mode == "post"
-    rows = tokenized(where_metadata(docs, None if post else conditions), doc_id, doc_text).select(F.col("chunk_id").cast("long").alias("chunk_id"), "terms")
+    given = where_metadata(docs, None if post else conditions)
+    rows = given.select(F.col(doc_id).cast("long").alias("chunk_id"), T.tokens(F.col(doc_text)).alias("terms"), *_scope(scope))
+    if scope:
+        asked = docs.sparkSession.createDataFrame(asked) if isinstance(asked, pa.Table) else asked
+        asked = asked.join(queries.select(F.col(query_id).cast("long").alias("query_id"), *_scope(scope)), "query_id")
     found = _best_of(rows, asked, _text_scorer(average, 4 * k if post else k, places), 4 * k if post else k)
     if not post:
         return found
@@ -236,6 +254,10 @@ def bm25(
     return rank(found.drop("rank").join(allowed, "chunk_id", "left_semi"), k, F.desc("score"), F.asc("chunk_id"))
 
 
+def _scope(column: str | None) -> list[Column]:
+    return [F.col(column).cast("string").alias("scope")] if column else []
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -249,14 +271,15 @@ def vector_topk(
     query_id: str = "query_id",
     embedding: str = "embedding",
     places: int | None = None,
+    scope: str | None = None,
 ) -> DataFrame:
     """Exact search: query_id, chunk_id, score, rank; the score is cosine similarity, inner product, or minus squared distance.
 
-    Rows and queries without a vector take no part. ``places`` as in ``bm25``.
+    Rows and queries without a vector take no part. ``places`` and ``scope`` as in ``bm25``.
     """
     if metric not in ("cosine", "ip", "l2"):
         raise ValueError(f"unknown metric {metric}")
-    given = lambda df, i, name: df.where(F.col(embedding).isNotNull()).select(F.col(i).cast("long").alias(name), F.col(embedding).cast("array<double>").alias("embedding"))
+    given = lambda df, i, name: df.where(F.col(embedding).isNotNull()).select(F.col(i).cast("long").alias(name), F.col(embedding).cast("array<double>").alias("embedding"), *_scope(scope))
     rows, asked = given(where_metadata(vectors, conditions), vector_id, "chunk_id"), given(queries, query_id, "query_id")
     return _best_of(rows, asked, _vector_scorer(k, metric, places), k)
 
@@ -288,7 +311,8 @@ def _vector_scorer(k: int, metric: str, places: int | None) -> Callable[[pa.Tabl
                     score = asked @ (_unit(m) if metric == "cosine" else m).T
                     if metric == "l2":
                         score = 2 * score - (m * m).sum(1)[None, :] - (given * given).sum(1)[:, None]
-                    best.add(part.column("chunk_id").to_numpy(), _rounded(score, places))
+                    score, seen = _rounded(score, places), _scoped(queries, part)
+                    best.add(part.column("chunk_id").to_numpy(), score if seen is None else np.where(seen, score, -np.inf))
             yield best.rows()
 
         return run
@@ -354,17 +378,18 @@ class RetrievalService:
     """The three retrieval modes over one corpus, and retrieve-then-rerank.
 
     ``chunks`` has chunk_id, text and vectors in ``embedding``; queries have query_id, query and ``embedding``. What
-    has no vector is found by keywords alone.
+    has no vector is found by keywords alone. With ``scope``, a column of both, a query that has a value
+    (the document it asks about) sees only chunks with it.
     """
 
-    def __init__(self, chunks: DataFrame, filter_mode: str = "post", places: int | None = None):
-        self.chunks, self.filter_mode, self.places = chunks, filter_mode, places
+    def __init__(self, chunks: DataFrame, filter_mode: str = "post", places: int | None = None, scope: str | None = None):
+        self.chunks, self.filter_mode, self.places, self.scope = chunks, filter_mode, places, scope
 
     def retrieve(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, conditions: Mapping[str, object] | None = None) -> DataFrame:
         if mode == "dense":
-            return vector_topk(self.chunks, queries, k, conditions=conditions, vector_id="chunk_id", places=self.places)
+            return vector_topk(self.chunks, queries, k, conditions=conditions, vector_id="chunk_id", places=self.places, scope=self.scope)
         if mode == "keyword":
-            return bm25(self.chunks, queries, k, conditions, self.filter_mode, doc_id="chunk_id", query_text="query", places=self.places)
+            return bm25(self.chunks, queries, k, conditions, self.filter_mode, doc_id="chunk_id", query_text="query", places=self.places, scope=self.scope)
         if mode == "hybrid":
             sides = [self.retrieve(queries, m, 2 * k, conditions) for m in ("dense", "keyword")]
             return reciprocal_rank_fusion(*sides, k=k)
@@ -372,7 +397,7 @@ class RetrievalService:
 
     def candidates(self, queries: DataFrame, found: DataFrame) -> DataFrame:
         """Retrieved rows with query and chunk text."""
-        return found.join(queries.select("query_id", "query"), "query_id").join(self.chunks.drop("embedding"), "chunk_id")
+        return found.join(queries.select("query_id", "query"), "query_id").join(self.chunks.select([c for c in self.chunks.columns if c not in ("embedding", "query")]), "chunk_id")
 
     def retrieve_and_rerank(self, queries: DataFrame, mode: str = "hybrid", top_n: int = 50, k: int = 5, conditions: Mapping[str, object] | None = None) -> DataFrame:
         return lexical_rerank(self.candidates(queries, self.retrieve(queries, mode, top_n, conditions)).drop("dense_rank", "keyword_rank"), k)

@@ -77,3 +77,11 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return left.join(other, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def scratch_folder(spark, tag: str) -> str:
+    """A new folder's path beside the stored tables."""
+    import uuid
+
+    stored(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{tag}-{uuid.uuid4().hex}"

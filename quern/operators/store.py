@@ -6,13 +6,15 @@ returns the next; ``SnapshotTable`` keeps the versions on disk.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from quern.operators.embedding import Backend, EmbeddingModel, embed
 from quern.operators.search import where_metadata
+from quern.operators.staging import stored
 
 
 def check_dimensions(records: DataFrame, dimensions: int, embedding: str = "embedding") -> DataFrame:
@@ -51,6 +53,33 @@ def replace_documents(current: DataFrame, incoming: DataFrame, document: str = "
     return current.join(incoming.select(document).distinct(), document, "left_anti").unionByName(incoming)
 
 
+def index_documents(current: DataFrame, chunks: DataFrame, model: EmbeddingModel, make: Callable[[], Backend] | None = None, metadata: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Index documents: embed their chunks, replace their records, mark the chunks; returns the next collection, the marked chunks and the counts.
+
+    ``chunks`` has document_id, chunk_id and text. All three tables follow from the same rows and nothing is written
+    here, so a job that fails anywhere leaves the old snapshots. The counts are a row (indexed, replaced).
+    """
+    embedded = stored(check_dimensions(embed(chunks, model, make), model.dimensions))
+    payload = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in ("document_id", *metadata))), lambda e: e["value"].isNotNull()))
+    records = embedded.select(F.col("chunk_id").alias("id"), "embedding", payload.alias("metadata"), F.col("text").alias("document"), "document_id")
+    old = current.withColumn("document_id", F.col("metadata")["document_id"])
+    gone = old.join(chunks.select("document_id").distinct(), "document_id", "left_semi").agg(F.count(F.lit(1)).alias("replaced"))
+    counts = embedded.agg(F.count(F.lit(1)).alias("indexed")).crossJoin(gone)
+    return replace_documents(old, records).drop("document_id"), embedded.withColumns({"embedded": F.lit(True), "indexed": F.lit(True), "embedding_model": F.lit(model.name)}).drop("embedding"), counts
+
+
+def remove_documents(current: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The collection without the documents (document_id), and how many records went, a row (removed)."""
+    held = current.withColumn("document_id", F.col("metadata")["document_id"])
+    gone = held.join(documents.select("document_id").distinct(), "document_id", "left_semi").agg(F.count(F.lit(1)).alias("removed"))
+    return held.join(documents.select("document_id").distinct(), "document_id", "left_anti").drop("document_id"), gone
+
+
+def statistics(current: DataFrame) -> DataFrame:
+    """A row of (records, documents, dimensions) of a collection."""
+    return current.agg(F.count(F.lit(1)).alias("records"), F.count_distinct(F.col("metadata")["document_id"]).alias("documents"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimensions"))
+
+
 def flatten_metadata(rows: DataFrame, metadata: str = "metadata") -> DataFrame:
     """(other columns, metadata map<string,string>): null leaves out, lists joined by commas, structs one level deep."""
     parts: list[tuple[str, Column]] = []
@@ -126,4 +155,4 @@ def resolve_document(metadata: Column, chunk_id: Column, known: list[str]) -> Co
     return F.coalesce(direct, named, F.lit(""))
 
 
-__all__ = ["check_dimensions", "upsert_vectors", "delete_vectors", "by_document", "replace_documents", "flatten_metadata", "vector_payload", "SnapshotTable", "resolve_document"]
+__all__ = ["check_dimensions", "upsert_vectors", "delete_vectors", "by_document", "replace_documents", "index_documents", "remove_documents", "statistics", "flatten_metadata", "vector_payload", "SnapshotTable", "resolve_document"]

@@ -275,11 +275,15 @@ _INTENT = f"""CASE WHEN t = '' THEN 'capability' WHEN regexp_matches(t, '{_sql_t
 
 @OPERATIONS.add(f"SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT conv_id, turn, t, regexp_extract_all(lower(t), '[a-z0-9]+') AS k FROM (SELECT conv_id, turn, trim({_QUESTION}, {BLANKS}) AS t FROM conversations))")
 def intent_classify(spark, sf_dir):
+    return _guided(spark, sf_dir).select("conv_id", "turn", "intent")
+
+
+def _guided(spark, sf_dir):
     texts = ["Hello!", "what else can you do for me", "tell me a joke", "hey bot", " ", "Thanks..."]
     question = F.col("text")
     for k, t in enumerate(texts):
         question = F.when(F.col("turn") % 8 == k, F.lit(t)).otherwise(question)
-    return ops.guide(table(spark, sf_dir, "conversations").withColumn("query", question)).select("conv_id", "turn", "intent")
+    return ops.guide(table(spark, sf_dir, "conversations").withColumn("query", question))
 
 
 @OPERATIONS.add(

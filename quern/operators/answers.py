@@ -19,6 +19,7 @@ PROMPT_RULES = {
     "detailed": "Answer fully from the sources alone: a direct answer, then detail, each claim cited as [{prefix} N]. Without an answer reply exactly: \"" + REFUSAL + "\"",
 }
 
+# How citations and the ends of sentences are written.
 _CITED = r"(?i)\[Source\s+(\d+)\]"
 _SENTENCES = r"(?<=[.!?])\s+"
 

@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -23,6 +23,7 @@ from quern.functions import text as T
 # Separators from the largest unit of meaning to the smallest.
 SEPARATORS = ("\n# ", "\n## ", "\n### ", "\n#### ", "\n---", "\n\n", "\n```", "\n- ", "\n* ", "\n1. ", "\n", ". ", "; ", ", ", " ")
 
+# How headings, code fences and the ends of sentences are written.
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)$")
 _OPENING = re.compile(r"(#{1,6})\s+(.+?)(?:\n|$)")
 _FENCE = re.compile(r"```[\s\S]*?```|~~~[\s\S]*?~~~")
@@ -47,11 +48,11 @@ class ChunkerConfig:
 
     def __post_init__(self):
         checks = [
-            (self.chunk_size > 0, "chunk_size must be positive"),
-            (self.chunk_overlap >= 0, "chunk_overlap cannot be negative"),
-            (self.chunk_overlap < self.chunk_size, "chunk_overlap must be less than chunk_size"),
-            (self.min_chunk_size >= 0, "min_chunk_size cannot be negative"),
-            (self.max_chunk_size >= self.chunk_size, "max_chunk_size must be >= chunk_size"),
+            (self.chunk_size > 0, "a chunk needs a size of one token at least"),
+            (self.chunk_overlap >= 0, "an overlap is not below zero"),
+            (self.chunk_overlap < self.chunk_size, "the overlap has to be smaller than the chunk"),
+            (self.min_chunk_size >= 0, "the smallest size is not below zero"),
+            (self.max_chunk_size >= self.chunk_size, "the largest size has to reach the chunk size"),
         ]
         for good, message in checks:
             if not good:
@@ -117,6 +118,7 @@ def code_ranges(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _FENCE.finditer(text)]
 
 
+# Lists are blocks of lines that start with a number and a dot, or with a dash or an asterisk.
 def numbered_ranges(text: str) -> list[tuple[int, int]]:
     return ranges(r"(?:^|\n)((?:\d+\.\s+.+\n?)+)", text, 1)
 
@@ -218,7 +220,7 @@ def recursive(text: str, config: ChunkerConfig = ChunkerConfig()) -> list[Piece]
 
 def _given(text: str) -> str:
     if not text or not text.strip():
-        raise ValueError("Text cannot be empty")
+        raise ValueError("there is no text to cut: it is empty")
     return text
 
 
@@ -316,12 +318,12 @@ def by_structure(text: str, config: ChunkerConfig = ChunkerConfig()) -> list[Pie
 def issue(title: str | None, body: str | None, config: ChunkerConfig = ChunkerConfig(), code_in_body: bool = False) -> list[Piece]:
     """An issue: its title with the first paragraph as the summary chunk, the rest by structure."""
     if not title and not body:
-        raise ValueError("Both title and body cannot be empty")
+        raise ValueError("an issue needs a title or a body; both are empty")
     head = f"# {title}" if title else ""
     summary = lambda t, end: Piece(t.strip(), estimate(t), 0, end, None, code_in_body, True)
     if not body or not body.strip():
         if not head.strip():
-            raise ValueError("Cannot create chunk from empty content")
+            raise ValueError("the issue is empty but for blanks")
         return [summary(head, len(head))]
     first, _, rest = tidy(body).partition(JOINT)
     size, both = config.chunk_size * 4, f"{head}{JOINT}{first}" if head else first
@@ -340,12 +342,16 @@ class Comment(NamedTuple):
     created_at: str | None = None
 
 
+# What stands between merged comments, and the line that heads a comment's chunks.
+COMMENT_JOINT, COMMENT_HEAD = "\n\n---\n\n", "**Comment by @{author}:**\n\n"
+
+
 def merge_comments(comments: Sequence[Comment], most_chars: int) -> list[Comment]:
     """Join an author's consecutive comments under the first one's id while they stay within the cap."""
     out: list[Comment] = []
     for c in comments:
         if out and out[-1].author == c.author and len(out[-1].body) + len(c.body) + 10 <= most_chars:
-            out[-1] = out[-1]._replace(body=f"{out[-1].body}\n\n---\n\n{c.body}")
+            out[-1] = out[-1]._replace(body=out[-1].body + COMMENT_JOINT + c.body)
         else:
             out.append(c)
     return out
@@ -356,7 +362,7 @@ def thread(comments: Sequence[Comment], config: ChunkerConfig = ChunkerConfig(),
     merged = merge_comments(comments, config.max_chunk_size * 4) if merge_same_author else list(comments)
     out = []
     for c in merged:
-        head = f"**Comment by @{c.author}:**\n\n"
+        head = COMMENT_HEAD.format(author=c.author)
         texts = [head + c.body] if len(head) + len(c.body) <= config.chunk_size * 4 else [head + p.text for p in by_structure(c.body, config)]
         out += [(c, Piece(t.strip(), estimate(t), None, None, f"Comment by @{c.author}", "```" in c.body, False)) for t in texts]
     return out
@@ -511,7 +517,7 @@ def chunk_documents(
         name = strategy or registry.strategy_for(source)
         try:
             if not text:
-                raise ValueError("Document version has no body_text to chunk")
+                raise ValueError("the document has no text")
             chunker = registry.get(name)
             used = config or (SemanticConfig() if name == "semantic" else ChunkerConfig())
             found = issue(title, text, used) if source == "github_issue" and title and name == "github_issue" else chunker(text, used, embed) if name == "semantic" else chunker(text, used)
@@ -600,3 +606,18 @@ def summarize(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return good.groupBy(id_col).agg(F.count(F.lit(1)).alias("total_chunks"), F.sum("token_count").alias("total_tokens"), F.sum("char_count").alias("total_chars"))
 
 
+
+
+class ChunkText:
+    """The chunkers as a table function: ``chunk_text(text, strategy, chunk_size, chunk_overlap)`` gives (chunk_index, chunk_text, token_count, section_header)."""
+
+    def eval(self, text: str, strategy: str, chunk_size: int, chunk_overlap: int):
+        if text and text.strip():
+            config = ChunkerConfig(chunk_size, chunk_overlap, min(100, chunk_size), 2 * chunk_size)
+            for k, p in enumerate(REGISTRY.get(strategy)(text, config)):
+                yield k, p.text, p.token_count, p.section_header
+
+
+def register_sql(spark: SparkSession, name: str = "chunk_text") -> None:
+    """Make the chunkers callable from SQL: ``SELECT ... FROM docs, LATERAL chunk_text(text, 'recursive', 512, 50)``."""
+    spark.udtf.register(name, F.udtf(ChunkText, returnType="chunk_index int, chunk_text string, token_count int, section_header string"))

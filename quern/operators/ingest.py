@@ -76,6 +76,22 @@ def is_retryable(code: Column) -> Column:
     return error_category(code) == "transient"
 
 
+def hmac_sha256(message: Column, secret: str) -> Column:
+    """Hexadecimal HMAC-SHA-256 of a text's UTF-8 bytes."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda byte: F.lit(bytes(k ^ byte for k in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "utf-8")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def signature_ok(message: Column, signature: Column, secret: str | None) -> Column:
+    """Is a payload signed (``sha256=`` and the HMAC) with the secret? Without a secret everything is."""
+    if not secret:
+        return F.lit(True)
+    return F.coalesce(F.lower(signature) == F.concat(F.lit("sha256="), hmac_sha256(message, secret)), F.lit(False))
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined)."""
     errors = ["error_field", "error_kind", "error_code", "error_category"]
@@ -86,12 +102,12 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sorted_json_hash(column: Column) -> Column:
-    """SHA-256 of a JSON text rewritten with sorted keys."""
+    """SHA-256 of a JSON text rewritten with sorted keys; keys are sorted at every level, which column expressions cannot do for unknown fields."""
 
     @F.pandas_udf("string")
     def run(payload: pd.Series) -> pd.Series:
-        canonical = lambda p: json.dumps(json.loads(p), sort_keys=True).encode()
-        return payload.map(lambda p: None if p is None else hashlib.sha256(canonical(p)).hexdigest())
+        distinct = {p: hashlib.sha256(json.dumps(json.loads(p), sort_keys=True).encode()).hexdigest() for p in payload.dropna().unique()}
+        return payload.map(distinct)
 
     return run(column)
 

@@ -277,6 +277,7 @@ COMPOSITE_WEIGHTS = {
 def task_type(explicit: Column, route: Column, kind: Column, topic: Column, question: Column) -> Column:
     """The task of a sample: named, else inferred from route, document type and topic."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    # fixed values: the words that tell a resolution, and those of routes, kinds and topics
     fixes = T.contains_any(low(question), ["resolved", "resolution", "fix", "mitigation", "implement"])
     inferred = (
         F.when((low(route) == "incident") & fixes, "incident_resolution")

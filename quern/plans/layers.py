@@ -364,3 +364,44 @@ def metrics_page(spark, sf_dir):
 def guide_answers(spark, sf_dir):
     """The canned answers to what is no question about the corpus."""
     return _guided(spark, sf_dir).select("conv_id", "turn", F.coalesce("guide_answer", F.lit("")).alias("answer"))
+
+
+_SECRET = "a secret of the service"
+
+
+def _hmac_sql(text: str) -> str:
+    key = _SECRET.encode().ljust(64, b"\0")
+    pad = lambda byte: "unhex('" + bytes(k ^ byte for k in key).hex() + "')"
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({text}))))"
+
+
+@LAYERS.add(f"SELECT doc_id, doc_id % 4 > 1 AS genuine, 'sha256=' || {_hmac_sql('text')} AS expected FROM documents")
+def signed_payloads(spark, sf_dir):
+    """Payloads of which every other pair is signed, the others wrongly or not at all."""
+    docs, right = table(spark, sf_dir, "documents"), F.concat(F.lit("sha256="), ingest.hmac_sha256(F.col("text"), _SECRET))
+    given = F.when(F.col("doc_id") % 4 > 1, right).when(F.col("doc_id") % 4 == 1, F.lit("sha256=00"))
+    return docs.select("doc_id", ingest.signature_ok(F.col("text"), given, _SECRET).alias("genuine"), right.alias("expected"))
+
+
+@LAYERS.add(f"WITH RECURSIVE plain AS (SELECT doc_id AS k, text AS t FROM documents WHERE trim(text) <> ''), {S.recursive('r', 'plain', chunking.ChunkerConfig(256, 20, 100, 512))} SELECT k AS doc_id, pos - 1 AS chunk_index, {S.estimate('length(t)')}::INTEGER AS token_count, sha256(trim(t, {BLANKS})) AS digest FROM r_chunk")
+def chunks_by_table_function(spark, sf_dir):
+    """The chunkers called from SQL."""
+    chunking.register_sql(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("chunk_source")
+    return spark.sql("SELECT doc_id, chunk_index, token_count, sha2(chunk_text, 256) AS digest FROM chunk_source, LATERAL chunk_text(text, 'recursive', 256, 20)")
+
+
+@LAYERS.add(
+    f"""WITH {_RELEVANT}, held AS (SELECT DISTINCT query_id, chunk_id FROM relevant), best AS (SELECT query_id, list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM held GROUP BY query_id), {_MODES},
+    before AS (SELECT mode AS run, query_id, chunk_id, rank FROM found), {_mode_metrics('old', 'before')} SELECT run AS model, count(*) AS n_queries, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM old GROUP BY run"""
+)
+def retriever_comparison(spark, sf_dir):
+    """MRR and NDCG of every retrieval mode."""
+    service, asked = _service(spark, sf_dir)
+    relevant = stored(quality.relevance(_samples(spark, sf_dir), _corpus(spark, sf_dir)))
+    out = None
+    for mode in ("dense", "keyword", "hybrid"):
+        rows = quality.ranking_metrics(service.retrieve(asked, mode, 10), relevant, 5, _samples(spark, sf_dir)).withColumn("model", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    rows = quality.averages(stored(out), ["model"], ["mrr", "ndcg"])
+    return rows.select("model", "n_queries", rounded("mrr").alias("mrr"), rounded("ndcg").alias("ndcg"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
@@ -88,6 +89,7 @@ def read_failures(spark: SparkSession, root: str) -> DataFrame:
 def synthetic_corpus(spark: SparkSession, count: int) -> DataFrame:
     """``count`` templated incident documents."""
     i = F.col("id")
+    # fixed values: the template and the title
     body = F.format_string(
         "# Incident %d\n\nService degradation observed in region-%d. Root cause: memory pressure on node pool %d. Resolution: scale replicas and apply resource quotas.", i, i % 10, i % 50
     )
@@ -104,10 +106,37 @@ def sample_corpus(spark: SparkSession) -> DataFrame:
 
 
 def sample_questions(spark: SparkSession) -> DataFrame:
+    """Ten questions on the two documents, three of causes, two of fixes and five of how to do things."""
+    incident, guide = "cluster-incident", "async-guide"
+    short, quotas = "Free memory was spread over many nodes in small pieces.", "Quotas were set, priorities given to critical pods, and workloads bound to suitable nodes."
+    loop, gather = "Start the event loop once, from the program's entry point.", "Gather tasks so that one failure does not cancel the others, and set timeouts."
     rows = [
-        ("q1", "Why did new pods stay pending?", "Free memory was spread over many nodes.", ["Free memory was spread over many nodes in small pieces."], "cluster-incident", {"task_type": "incident_rca"}),
-        ("q2", "How were the pending pods fixed?", "Quotas, priorities and node binding.", ["Quotas were set, priorities given to critical pods"], "cluster-incident", {"route": "incident"}),
-        ("q3", "How should the event loop be started?", "Once, from the entry point.", ["Start the event loop once"], "async-guide", {"route": "async"}),
+        ("q1", "Why did new pods stay pending?", "Free memory was spread over many nodes.", [short], incident, {"task_type": "incident_rca"}),
+        ("q2", "Did the cluster lack room in total?", "No, it had room in total.", ["New pods stayed pending although the cluster had room in total."], incident, {"task_type": "incident_rca"}),
+        ("q3", "How was the free memory spread?", "In small pieces over many nodes.", [short], incident, {"task_type": "incident_rca"}),
+        ("q4", "How were the pending pods fixed?", "Quotas, priorities and node binding.", [quotas], incident, {"task_type": "incident_resolution"}),
+        ("q5", "Which pods were given priorities?", "The critical ones.", [quotas], incident, {"task_type": "incident_resolution"}),
+        ("q6", "How should the event loop be started?", "Once, from the entry point.", [loop], guide, {"task_type": "how_to"}),
+        ("q7", "How many client sessions should be kept?", "One, whose connections are reused.", ["Keep one client session and reuse its connections."], guide, {"task_type": "how_to"}),
+        ("q8", "How are tasks gathered safely?", "So that one failure does not cancel the others.", [gather], guide, {"task_type": "how_to"}),
+        ("q9", "What should be set besides gathering tasks?", "Timeouts.", [gather], guide, {"task_type": "how_to"}),
+        ("q10", "Where does the event loop start?", "At the program's entry point.", [loop], guide, {"task_type": "how_to"}),
+    ]
+    return spark.createDataFrame(rows, schemas.SAMPLE)
+
+
+def chunking_questions(spark: SparkSession) -> DataFrame:
+    """Nine questions whose answers lie in different places of a text, to compare chunkings by."""
+    rows = [
+        ("c1", "What did the team see first?", "Requests timed out.", ["Requests timed out in the evening.", "The queue grew for an hour."], "outage", {}),
+        ("c2", "How long did the queue grow?", "For an hour.", ["The queue grew for an hour."], "outage", {}),
+        ("c3", "What caused the time-outs?", "A connection pool that was too small.", ["The connection pool was too small for the evening's load."], "outage", {}),
+        ("c4", "What was changed?", "The pool was doubled and a limit set.", ["The pool was doubled, and a limit was set for waiting requests."], "outage", {}),
+        ("c5", "How is a release built?", "By tagging a commit.", ["A release is built by tagging a commit."], "release", {}),
+        ("c6", "Who approves a release?", "Two reviewers.", ["Two reviewers approve the tag before it is published."], "release", {}),
+        ("c7", "How is a release undone?", "By publishing the tag before it.", ["To undo a release, publish the tag before it."], "release", {}),
+        ("c8", "Which tests run before a release?", "The whole suite and a load test.", ["The whole suite and a load test run first."], "release", {}),
+        ("c9", "When are releases made?", "On Tuesdays.", ["Releases are made on Tuesdays."], "release", {}),
     ]
     return spark.createDataFrame(rows, schemas.SAMPLE)
 
@@ -137,6 +166,13 @@ def rate_limit_wait(headers, now: float) -> float:
     return max(0.0, float(headers.get("X-RateLimit-Reset", now)) - now)
 
 
+def retry_wait(status: int, headers, now: float, attempt: int, most: int = 5) -> float | None:
+    """Seconds until a refused request (403 or 429) is tried again, None if it is not: as the headers say, else doubling from a second."""
+    if status not in (403, 429) or attempt >= most or (status == 403 and headers.get("X-RateLimit-Remaining") != "0" and not headers.get("Retry-After")):
+        return None
+    return float(headers.get("Retry-After") or 0) or rate_limit_wait(headers, now) or float(2**attempt)
+
+
 class _Pages(DataSourceReader):
     def __init__(self, options):
         self.urls = [u for u in options.get("urls", options.get("path", "")).split(" ") if u]
@@ -146,10 +182,20 @@ class _Pages(DataSourceReader):
         return [InputPartition(u) for u in self.urls]
 
     def read(self, partition) -> Iterator[tuple]:
-        url = partition.value
+        url, attempt = partition.value, 0
         while url:
             request = urllib.request.Request(url, headers={"Authorization": f"Bearer {self.token}"} if self.token else {})
-            with urllib.request.urlopen(request, timeout=60) as reply:  # noqa: S310  the address is the user's own
+            try:
+                reply = urllib.request.urlopen(request, timeout=60)  # noqa: S310  the address is the user's own
+            except urllib.error.HTTPError as refused:
+                wait = retry_wait(refused.code, refused.headers, time.time(), attempt)
+                if wait is None:
+                    raise
+                attempt += 1
+                time.sleep(wait)
+                continue
+            attempt = 0
+            with reply:
                 for item in json.load(reply):
                     if "pull_request" not in item:
                         yield (json.dumps(item),)

@@ -140,7 +140,7 @@ def test_evaluation_files(spark, tmp_path):
     samples = readers.sample_questions(spark)
     readers.write_samples(samples, f"file://{tmp_path}/set", "golden")
     back = readers.read_samples(spark, f"file://{tmp_path}/set")
-    assert back.count() == 3 and back.where("sample_id = 'q1'").first().metadata == {"task_type": "incident_rca"}
+    assert back.count() == 10 and back.where("sample_id = 'q1'").first().metadata == {"task_type": "incident_rca"}
     metrics = spark.createDataFrame([("a", 0.5), ("b", 1.0)], "metric string, value double")
     readers.write_metrics(metrics, f"file://{tmp_path}/m", "base")
     assert {tuple(r) for r in readers.read_metrics(spark, f"file://{tmp_path}/m").collect()} == {("a", 0.5), ("b", 1.0)}
@@ -206,9 +206,9 @@ def test_operations(spark):
 def test_payload_queries_see_whole_texts(spark, tmp_path):
     from quern.plans import operations
 
-    texts = {0: "a" * 65100 + "b", 12: "a" * 65100 + "c", 24: "d" * 65536}
+    texts = {0: "t\n" + "a" * 65100 + "b", 12: "t\n" + "a" * 65100 + "c", 26: "t\n" + "d" * 65536}
     spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.external_id - 1: r.hash_content for r in operations.payload_documents(spark, str(tmp_path)).collect()}
     assert found == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in (0, 12)}
-    assert {r.doc_id: r.error_code for r in operations.validate_payloads(spark, str(tmp_path)).collect()} == {0: "", 12: "", 24: "validation_payload_too_large"}
+    assert {r.doc_id: r.error_code for r in operations.validate_payloads(spark, str(tmp_path)).collect()} == {0: "", 12: "", 26: "validation_payload_too_large"}
     assert [tuple(r) for r in operations.error_category_counts(spark, str(tmp_path)).collect()] == [("validation_payload_too_large", 1)]

@@ -136,3 +136,24 @@ def test_configs(spark):
     assert spark.range(1).select(Q.f1(F.lit(0.0), F.lit(0.0)).alias("z"), Q.f1(F.lit(0.5), F.lit(1.0)).alias("f")).first().f == pytest.approx(2 / 3)
     lists = Q.columnar(spark.createDataFrame([(2, "q2", ["x"], "g2"), (1, "q1", ["y", "z"], "g1")], "query_id long, question string, contexts array<string>, ground_truth string")).first()
     assert lists.question == ["q1", "q2"] and lists.contexts == [["y", "z"], ["x"]]
+
+
+def test_order_statistics_by_ranges(spark):
+    """Percentiles of groups, null ones too, against numpy, with many partitions."""
+    import numpy as np
+
+    from quern.operators.staging import order_statistics, percentiles
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.integers(0, 9, 200).astype(float), None: rng.normal(size=57), "one": np.array([3.5]), "hot": np.full(400, 7.0)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r.g: (r.n, r.p) for r in percentiles(df, ["g"], "v", (0.1, 0.5, 0.95)).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert got[g][0] == len(values) and got[g][1] == pytest.approx(np.quantile(values, [0.1, 0.5, 0.95]).tolist())
+    whole = order_statistics(df, [], "v", ["0", "n - 1", "floor(n / 2)"]).first().p
+    every = np.sort(np.concatenate(list(groups.values())))
+    assert whole == [every[0], every[-1], every[len(every) // 2]]
+    assert percentiles(df.limit(0), ["g"], "v", (0.5,)).count() == 0
+    assert {r.g: r["count"] for r in Q.distribution(df, ["g"], "v").collect()} == {g: len(v) for g, v in groups.items()} | {"empty": 0}

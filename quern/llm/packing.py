@@ -144,7 +144,8 @@ def pack(
         names = [c.split()[0] for c in RESULT.split(", ")]
         return pa.Table.from_arrays([*(pa.array(x, pa.int32()) for x in alone), *lists], names)
 
-    return dealt.groupBy("shard").applyInArrow(run, RESULT)
+    # one task a shard: shard numbers are the tasks' numbers
+    return dealt.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(run, RESULT)
 
 
 def placements(packed: DataFrame) -> DataFrame:

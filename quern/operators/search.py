@@ -95,7 +95,8 @@ def _best_of(rows: DataFrame, asked: DataFrame | pa.Table, kernel: Callable[[pa.
 
 
 def _rounded(score: np.ndarray, places: int | None) -> np.ndarray:
-    return score if places is None else np.round(score, places)
+    """Halves away from zero, as SQL rounds."""
+    return score if places is None else np.sign(score) * np.floor(np.abs(score) * 10**places + 0.5) / 10**places
 
 
 def _scoped(queries: pa.Table, rows: pa.RecordBatch) -> np.ndarray | None:

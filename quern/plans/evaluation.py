@@ -135,7 +135,7 @@ def lexical_context_quality(spark, sf_dir):
     return quality.lexical_context_quality(rows).select("query_id", rounded("context_precision").alias("context_precision"), rounded("context_recall").alias("context_recall"))
 
 
-# ---------------------------------------------------------------- distributions, gates, baselines over the events' values
+# ---------------------------------------------------------------- distributions over the events' values; gates, baselines and tasks over the passages' metrics
 
 
 @EVALUATION.add(
@@ -147,19 +147,23 @@ def metric_distribution(spark, sf_dir):
     return rows.select("event_type", "count", rounded("mean").alias("mean"), "min", "max", *(rounded(c).alias(c) for c in ("p10", "p50", "p90", "p95", "std", "pass_rate")))
 
 
-_NAMES = "CASE event_id % 12 " + " ".join(f"WHEN {k} THEN '{m[0]}'" for k, m in enumerate(quality.THRESHOLDS)) + " END"
+_LEXICAL = f"""words AS (SELECT f.query_id, {_WS.format('b.text')} AS g, {_WS.format('d.text')} AS w FROM few f JOIN documents d ON d.doc_id = f.chunk_id JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 5),
+    lexical AS (SELECT query_id, avg(CASE WHEN len(list_intersect(g, w))::DOUBLE / greatest(len(g), 1) > 0.1 THEN 1.0 ELSE 0.0 END) AS context_precision, len(list_intersect(any_value(g), flatten(list(w))))::DOUBLE / greatest(len(any_value(g)), 1) AS context_recall FROM words GROUP BY query_id)"""
 
 
 def _run_metrics(spark, sf_dir):
-    """Values of twelve metrics for each user, made from the events."""
-    name = F.lit(None).cast("string")
-    for k, m in enumerate(quality.THRESHOLDS):
-        name = F.when(F.col("event_id") % 12 == k, F.lit(m[0])).otherwise(name)
-    value = F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0
-    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 5).alias("run"), name.alias("metric"), value.alias("value"))
-
-
-_RUN = f"sample AS (SELECT event_id, event_id % 5 AS run, {_NAMES} AS metric, ((event_id * 37) % 101) / 100.0::DOUBLE AS value FROM events)"
+    """Five metrics of each passage's retrieval and context; the passages make up five runs."""
+    found = stored(candidates(spark, sf_dir, 10))
+    ranking = _metrics(spark, sf_dir, found).withColumnsRenamed({m: f"retrieval_{m}" for m in ("recall", "precision", "mrr")})
+    contexts = found.where("rank <= 5").groupBy("query_id").agg(F.collect_list("text").alias("contexts"), F.first("query").alias("ground_truth"))
+    lexical = quality.lexical_context_quality(contexts)
+    rows = quality.long_form(ranking, ["query_id"], ["retrieval_recall", "retrieval_precision", "retrieval_mrr"]).unionByName(quality.long_form(lexical, ["query_id"], ["context_precision", "context_recall"]))
+    return stored(rows.select("query_id", (F.col("query_id") % 5).alias("run"), "metric", "value"))
+
+
+_RUN = f"""{_RELEVANT}, {bm25_ctes()}, few AS ({top('bm25', 10)}), {_metrics_sql('few')}, {_LEXICAL}, sample AS MATERIALIZED (SELECT query_id, query_id % 5 AS run, metric, value FROM (
+    UNPIVOT (SELECT query_id, recall::DOUBLE AS retrieval_recall, precision::DOUBLE AS retrieval_precision, mrr::DOUBLE AS retrieval_mrr FROM metric) ON retrieval_recall, retrieval_precision, retrieval_mrr INTO NAME metric VALUE value)
+    UNION ALL SELECT query_id, query_id % 5, metric, value FROM (UNPIVOT (SELECT query_id, context_precision::DOUBLE AS context_precision, context_recall::DOUBLE AS context_recall FROM lexical) ON context_precision, context_recall INTO NAME metric VALUE value))"""
 _LIMITS = "limits(metric, good, warning, critical, higher) AS (VALUES " + ", ".join(f"('{m}', {g}::DOUBLE, {w}::DOUBLE, {c}::DOUBLE, {str(h).lower()})" for m, g, w, c, h in quality.THRESHOLDS) + ")"
 _LEVEL = "CASE WHEN {v} IS NULL THEN NULL WHEN (higher AND {v} >= good) OR (NOT higher AND {v} <= good) THEN 'good' WHEN (higher AND {v} >= warning) OR (NOT higher AND {v} <= warning) THEN 'warning' ELSE 'critical' END"
 
@@ -189,9 +193,10 @@ def gate_verdicts(spark, sf_dir):
 _TWO = f"WITH {_RUN}, cur AS (SELECT metric, round(avg(value), 6) AS value FROM sample WHERE run < 2 GROUP BY metric), base AS (SELECT metric, round(avg(value), 6) AS baseline FROM sample WHERE run >= 2 GROUP BY metric)"
 
 
-def _runs(spark, sf_dir, current):
+def _runs(spark, sf_dir):
     """The first two runs are the current ones, the rest the baseline."""
-    return _run_metrics(spark, sf_dir).where((F.col("run") < 2) == current).groupBy("metric").agg(rounded(F.avg("value")).alias("value"))
+    rows = _run_metrics(spark, sf_dir)
+    return (rows.where((F.col("run") < 2) == now).groupBy("metric").agg(rounded(F.avg("value")).alias("value")) for now in (True, False))
 
 
 @EVALUATION.add(
@@ -199,7 +204,7 @@ def _runs(spark, sf_dir, current):
     CASE WHEN abs(value - baseline) < 0.01 THEN 'stable' WHEN (value > baseline) <> (metric = 'hallucination_rate') THEN 'improved' ELSE 'degraded' END AS direction FROM cur JOIN base USING (metric)"""
 )
 def baseline_delta(spark, sf_dir):
-    rows = quality.baseline_delta(_runs(spark, sf_dir, True), _runs(spark, sf_dir, False))
+    rows = quality.baseline_delta(*_runs(spark, sf_dir))
     return rows.select("metric", "current", "baseline", rounded("delta").alias("delta"), rounded("delta_pct", 4).alias("delta_pct"), "direction")
 
 
@@ -212,7 +217,7 @@ _UP = ", ".join(f"'{m}'" for m in quality.HIGHER_BETTER)
     count(*) FILTER (WHERE d < -0.001 AND NOT (metric = 'e2e_latency_p95_ms' AND value < 100)) = 0 AND count(*) FILTER (WHERE d > 0.001) >= 3 AS passed FROM d"""
 )
 def release_gate(spark, sf_dir):
-    return quality.release_gate(_runs(spark, sf_dir, True), _runs(spark, sf_dir, False))
+    return quality.release_gate(*_runs(spark, sf_dir))
 
 
 @EVALUATION.add(

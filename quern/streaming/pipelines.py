@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +29,51 @@ class IngestionStream:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
     def _batch(self, payloads: DataFrame, number: int) -> None:
+        clock = {"received": time.time()}
         payloads.persist()
         good, bad = ingest.split_valid(ingest.validate(payloads, self.source_type != "github_issue"))
         bad.write.mode("overwrite").json(f"{self.root}/quarantine/batch={number}")
+        clock["validated"] = clock["failed"] = time.time()
         documents = ingest.to_documents(ingest.not_corrupt(good), self.source_type)
         # of several deliveries of a document in a batch the newest counts
         last = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("updated_at"), F.desc("hash_payload")))
         documents = documents.withColumn("__turn", last).where("__turn = 1").drop("__turn")
-        changed = ingest.detect_changes(documents, self.versions.read() if number == 0 else self.versions.read(number)).persist()
-        self.versions.write(ingest.apply_changes(self.versions.read() if number == 0 else self.versions.read(number), changed), number + 1)
+        before = self.versions.read() if number == 0 else self.versions.read(number)
+        changed = ingest.detect_changes(documents, before).persist()
+        changed.count()
+        clock["dedupe_checked"] = clock["skipped_no_change"] = time.time()
+        self.versions.write(ingest.apply_changes(before, changed), number + 1)
+        clock["raw_stored"] = time.time()
         fresh = changed.where("outcome <> 'skipped_no_change'").select("document_id", "title", "source_type", F.col("body_text").alias("text"))
         chunks = chunking.chunk_documents(fresh, id_col="document_id", source_col="source_type", title_col="title", config=chunking.ChunkerConfig(512, 25, 100, 768))
         chunks.write.mode("overwrite").parquet(f"{self.root}/chunks/batch={number}")
-        events = changed.select(F.lit(number).alias("batch"), "document_id", F.when(F.col("outcome") == "skipped_no_change", "skipped_no_change").otherwise("registered").alias("status"), F.current_timestamp().alias("event_ts"))
-        events.write.mode("overwrite").json(f"{self.root}/events/batch={number}")
+        clock["registered"] = time.time()
+        self._events(changed, bad, number, clock).write.mode("overwrite").json(f"{self.root}/events/batch={number}")
         changed.unpersist()
         payloads.unpersist()
 
+    @staticmethod
+    def _events(changed: DataFrame, bad: DataFrame, number: int, clock: dict[str, float]) -> DataFrame:
+        """An event for each status that a delivery goes through, with the time at which the batch reached it; failures say whether they are tried again."""
+        steps = lambda *names: F.array(*(F.struct(F.lit(n).alias("status"), F.lit(clock[n]).alias("at")) for n in names))
+        start = ("received", "validated", "dedupe_checked")
+        path = F.when(F.col("outcome") == "skipped_no_change", steps(*start, "skipped_no_change")).otherwise(steps(*start, "raw_stored", "registered"))
+        none = F.lit(None).cast("string")
+        rows = changed.select("document_id", F.explode(path).alias("s"), none.alias("error_code"))
+        lost = bad.select(none.alias("document_id"), F.explode(steps("received", "failed")).alias("s"), "error_code")
+        rows = rows.unionByName(lost).select(F.lit(number).alias("batch"), "document_id", "s.status", F.timestamp_micros((F.col("s.at") * 1_000_000).cast("long")).alias("event_ts"), F.when(F.col("s.status") == "failed", F.col("error_code")).alias("error_code"))
+        return rows.withColumn("retry_after_seconds", ingest.retry_after(F.col("error_code"), F.lit(0)))
+
+    def events(self) -> DataFrame:
+        """The event log of all batches."""
+        return self.spark.read.schema("batch int, document_id string, status string, event_ts timestamp, error_code string, retry_after_seconds int").json(f"{self.root}/events")
+
+    def durations(self) -> DataFrame:
+        """How long each document of a batch was between two statuses."""
+        order = F.element_at(F.create_map(*(x for k, n in enumerate(("received", "validated", "dedupe_checked", "skipped_no_change", "raw_stored", "registered")) for x in (F.lit(n), F.lit(k)))), F.col("status"))
+        rows = self.events().where("document_id is not null").withColumns({"run_id": F.concat_ws(":", F.col("batch").cast("string"), "document_id"), "step": order})
+        return ingest.transitions(rows, tie="step").drop("step")
+
 
 def windowed_latency(events: DataFrame, window: str = "5 minutes", delay: str = "10 minutes", key: str = "event_type", at: str = "ts", value: str = "value") -> DataFrame:
     """Count, mean, maximum and sum of a value for each key and time window; late rows count until the watermark passes."""

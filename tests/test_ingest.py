@@ -108,7 +108,10 @@ def test_streaming_ingestion(spark, tmp_path):
     bad = spark.read.json(f"{root}/quarantine")
     assert bad.count() == 2
     events = {r.status: r["count"] for r in spark.read.json(f"{root}/events").groupBy("status").count().collect()}
-    assert events == {"registered": 3, "skipped_no_change": 2}
+    assert events == {"received": 7, "validated": 5, "dedupe_checked": 5, "raw_stored": 3, "registered": 3, "skipped_no_change": 2, "failed": 2}
+    steps = stream.durations().collect()
+    assert len(steps) == 23 and all((r.previous_status is None) == (r.status == "received") and (r.duration_since_previous_ms or 0) >= 0 for r in steps)
+    assert stream.events().where("status = 'failed'").where("retry_after_seconds is null").count() == 2
     assert spark.read.parquet(f"{root}/chunks").where("error is null").count() == 3
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators.staging import stored
+from quern.operators.staging import few, stored
 
 #: Up to so many queries are shipped to every task; more are dealt into blocks that meet groups of rows in a shuffle.
 BLOCK_QUERIES, GROUP_ROWS = 4096, 1 << 16
@@ -163,10 +163,10 @@ def _weighted(wanted: pa.Table, counts: pa.Table) -> tuple[pa.Table, float]:
 def _asked(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_text: str, query_text: str) -> tuple[DataFrame | pa.Table, float]:
     """Queries (query_id, terms, weights) and the mean number of tokens; few terms are weighed on the driver, more over the cluster."""
     wanted, spark = query_terms(queries, query_id, query_text), docs.sparkSession
-    few = wanted.limit(BROADCAST_TERMS + 1).toArrow()
-    if few.num_rows <= BROADCAST_TERMS:
-        terms = spark.createDataFrame(pa.table({"term": pa.array([*pc.unique(few.column("term")).to_pylist(), ""], pa.string())}), "term string")
-        return _weighted(few, corpus_counts(docs, F.broadcast(terms), doc_id, doc_text).toArrow())
+    short = wanted.limit(BROADCAST_TERMS + 1).toArrow()
+    if short.num_rows <= BROADCAST_TERMS:
+        terms = spark.createDataFrame(pa.table({"term": pa.array([*pc.unique(short.column("term")).to_pylist(), ""], pa.string())}), "term string")
+        return _weighted(short, corpus_counts(docs, F.broadcast(terms), doc_id, doc_text).toArrow())
     counts = stored(corpus_counts(docs, wanted.select("term").distinct().unionByName(spark.createDataFrame([("",)], "term string")), doc_id, doc_text))
     corpus = counts.where("term = ''").first()
     n, average = (corpus.df, corpus.tokens / corpus.df) if corpus else (0, 1.0)
@@ -347,11 +347,12 @@ def _as_candidates(rows: DataFrame) -> DataFrame:
 
 def lexical_rerank(candidates: DataFrame, k: int = 5) -> DataFrame:
     """Rerank (query_id, query, chunk_id, text, score, rank) by Jaccard overlap; a query without tokens keeps its order."""
-    q, c = T.token_set(F.col("query")), T.token_set(F.col("text"))
-    kept = _as_candidates(candidates)
-    kept = kept.withColumn("score", F.when(F.size(q) == 0, F.col("original_score")).otherwise(T.jaccard(q, c))).withColumn("rerank_score", F.col("score"))
-    kept = kept.withColumn("__by", F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.col("score")))
-    return rank(kept, k, F.desc("__by"), F.asc("original_rank"), F.asc("chunk_id")).drop("__by")
+    # the word sets are columns of their own, so each text is tokenised once
+    kept = _as_candidates(candidates).withColumns({"__q": T.token_set(F.col("query")), "__c": T.token_set(F.col("text"))})
+    kept = kept.withColumn("__o", T.jaccard(F.col("__q"), F.col("__c"))).withColumn("__n", F.size("__q")).drop("__q", "__c")
+    kept = kept.withColumn("score", F.when(F.col("__n") == 0, F.col("original_score")).otherwise(F.col("__o"))).withColumn("rerank_score", F.col("score"))
+    kept = kept.withColumn("__by", F.when(F.col("__n") == 0, F.lit(0.0)).otherwise(F.col("score")))
+    return rank(kept, k, F.desc("__by"), F.asc("original_rank"), F.asc("chunk_id")).drop("__by", "__o", "__n")
 
 
 def scored_rerank(candidates: DataFrame, scorer, k: int = 5, normalize: bool = True) -> DataFrame:
@@ -375,6 +376,12 @@ def pass_through(candidates: DataFrame, k: int = 5) -> DataFrame:
     return kept.where(F.col("rank") <= k)
 
 
+def with_texts(found: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Retrieved rows with query and chunk columns. The rows, a few for each query, go to the chunks, which stay where they are."""
+    found = few(stored(found.join(queries.select("query_id", "query"), "query_id")))
+    return chunks.join(found, "chunk_id")
+
+
 class RetrievalService:
     """The three retrieval modes over one corpus, and retrieve-then-rerank.
 
@@ -398,7 +405,7 @@ class RetrievalService:
 
     def candidates(self, queries: DataFrame, found: DataFrame) -> DataFrame:
         """Retrieved rows with query and chunk text."""
-        return found.join(queries.select("query_id", "query"), "query_id").join(self.chunks.select([c for c in self.chunks.columns if c not in ("embedding", "query")]), "chunk_id")
+        return with_texts(found, queries, self.chunks.select([c for c in self.chunks.columns if c not in ("embedding", "query")]))
 
     def retrieve_and_rerank(self, queries: DataFrame, mode: str = "hybrid", top_n: int = 50, k: int = 5, conditions: Mapping[str, object] | None = None) -> DataFrame:
         return lexical_rerank(self.candidates(queries, self.retrieve(queries, mode, top_n, conditions)).drop("dense_rank", "keyword_rank"), k)

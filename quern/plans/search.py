@@ -191,8 +191,7 @@ def candidates(spark, sf_dir, k=20):
     """Passages with their best documents by BM25: query_id, query, chunk_id, text, score, rank."""
     docs = table(spark, sf_dir, "documents")
     asked = _asked(spark, sf_dir)
-    found = bm25(docs, asked, k)
-    return found.join(asked.select("query_id", "query"), "query_id").join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    return search.with_texts(bm25(docs, asked, k), asked, docs.select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 @SEARCH.add(f"WITH {bm25_ctes()}, {_RERANK} SELECT query_id, chunk_id, original_rank, score, rank FROM reranked")

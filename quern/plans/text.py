@@ -181,7 +181,9 @@ def sentence_packed_chunks(spark, sf_dir):
 
 
 _LETTERS = "etaoinshr"
-_MEANING = chunking.SemanticConfig(128, 20, 30, 256, similarity_threshold=0.9, min_sentences_per_chunk=2)
+#: A threshold that no cosine of small counts equals, as there the last bit of a double would decide.
+_TURN = 0.9013
+_MEANING = chunking.SemanticConfig(128, 20, 30, 256, similarity_threshold=_TURN, min_sentences_per_chunk=2)
 
 
 def _letters(texts):
@@ -195,7 +197,7 @@ _COUNTS = f"list_transform(string_split('{_LETTERS}', ''), lambda c: (length(txt
 
 
 @TEXT.add(
-    f"""WITH RECURSIVE {_TEXT}, {S.split_sentences('m', 'plain')}, {S.by_meaning('m', 0.9, 2, _COUNTS)}, many AS MATERIALIZED (SELECT * FROM m_topic WHERE k IN (SELECT k FROM m_turn WHERE m >= 3)),
+    f"""WITH RECURSIVE {_TEXT}, {S.split_sentences('m', 'plain')}, {S.by_meaning('m', _TURN, 2, _COUNTS)}, many AS MATERIALIZED (SELECT * FROM m_topic WHERE k IN (SELECT k FROM m_turn WHERE m >= 3)),
     {S.joined('j', 'many', 30, 256)}, {S.overlapped('j', 'j_join', 20)}, few AS (SELECT k, 1::BIGINT AS pos, '' AS span, {S.tidy('t')} AS t FROM plain WHERE k NOT IN (SELECT k FROM many))
     {_chunk_rows('j_chunk', 'semantic')} UNION ALL {_chunk_rows('few', 'semantic')}"""
 )

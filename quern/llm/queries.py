@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables, with their production parameters."""
+"""The registered queries of the operators, over whole tables, with their production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash, token_files
+from quern.llm import chat, decontamination, exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash, token_files
 from quern.llm.shared import scratch_path
 
 
@@ -104,6 +104,12 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "role_out", "action", "inserted", "cost", digest)
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_items, digest = F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_hit", n_items, digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": mixing_query,
     "op2_line_dedup": line_dedup_query,
@@ -115,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup_query,
     "op9_quality_classifier": quality_classifier_query,
     "op10_chat_formatting": chat_query,
+    "op13_decontamination": decontamination_query,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontamination, exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash, token_files
+from quern.llm import alignment, chat, decontamination, exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash, token_files
 from quern.llm.shared import scratch_path
 
 
@@ -104,6 +104,16 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "role_out", "action", "inserted", "cost", digest)
 
 
+def alignment_query(spark: SparkSession, sf_dir: str, byte_json: str | None = None, piece_model: str | None = None) -> DataFrame:
+    """``byte_json``, ``piece_model``: paths of both tokenizers' files; by default the public ones of the contract."""
+    import public_tokenizers
+
+    both = str(byte_json or public_tokenizers.path("byte_bpe_50k.json")), str(piece_model or public_tokenizers.path("piece_bpe_32k.model"))
+    rows = alignment.link_statistics(_table(spark, sf_dir, "documents"), alignment.tokenizers(spark, *both, public_tokenizers.PATTERN))
+    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.coalesce(F.lower(F.hex("digest")), F.lit("")).alias("groups_sha256"))
+
+
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_items, digest = F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
@@ -121,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup_query,
     "op9_quality_classifier": quality_classifier_query,
     "op10_chat_formatting": chat_query,
+    "op11_tokenizer_alignment": alignment_query,
     "op13_decontamination": decontamination_query,
 }

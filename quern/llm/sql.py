@@ -126,17 +126,17 @@ DECONTAMINATION = f"""
 WITH item AS (
     SELECT item_id, words, least(len(words), 10) AS t FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0
 ), iw AS (
-    SELECT DISTINCT item_id::VARCHAR AS item, t, array_to_string(words[at:at + t - 1], ' ') AS w
-    FROM (SELECT *, unnest(range(1, len(words) - t + 2)) AS at FROM item)
+    SELECT DISTINCT item_id::VARCHAR AS item, t, array_to_string(words[k:k + t - 1], ' ') AS w
+    FROM (SELECT *, unnest(range(1, len(words) - t + 2)) AS k FROM item)
 ), doc AS (
     SELECT doc_id, {_WORDS} AS words FROM documents
 ), dw AS (
-    SELECT doc_id, t, at, array_to_string(words[at:at + t - 1], ' ') AS w
-    FROM (SELECT doc_id, words, t, unnest(range(1, len(words) - t + 2)) AS at FROM doc JOIN (SELECT DISTINCT t FROM iw) ON len(words) >= t)
+    SELECT doc_id, t, k, array_to_string(words[k:k + t - 1], ' ') AS w
+    FROM (SELECT doc_id, words, t, unnest(range(1, len(words) - t + 2)) AS k FROM doc JOIN (SELECT DISTINCT t FROM iw) ON len(words) >= t)
 ), hit AS (
     SELECT * FROM dw WHERE (t, w) IN (SELECT (t, w) FROM iw)
 ), n AS (
-    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + t)) AS place FROM hit) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + t)) AS place FROM hit) GROUP BY doc_id
 ), named AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
     FROM (SELECT DISTINCT doc_id, item FROM hit JOIN iw USING (t, w)) GROUP BY doc_id

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import alignment, chat, decontamination, exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash, token_files
+from quern.llm import alignment, chat, collocations, decontamination, exact_dedup, gam, isolation, line_dedup, mixing, packing, sharding, simhash, token_files
 from quern.llm.shared import scratch_path
 
 
@@ -114,6 +114,11 @@ def alignment_query(spark: SparkSession, sf_dir: str, byte_json: str | None = No
     return rows.select(F.col("id").alias("doc_id"), *counts, F.coalesce(F.lower(F.hex("digest")), F.lit("")).alias("groups_sha256"))
 
 
+def collocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collocations.collocations(_table(spark, sf_dir, "documents"))
+    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_items, digest = F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
@@ -132,5 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": quality_classifier_query,
     "op10_chat_formatting": chat_query,
     "op11_tokenizer_alignment": alignment_query,
+    "op12_phrase_collocations": collocation_query,
     "op13_decontamination": decontamination_query,
 }

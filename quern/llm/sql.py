@@ -146,10 +146,38 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+COLLOCATIONS = f"""
+WITH piece AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_FOLD}), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)
+), total AS (
+    SELECT lang, sum(len(words))::BIGINT AS n FROM piece GROUP BY lang
+), gram AS (
+    SELECT lang, m, array_to_string(words[k:k + m - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS k FROM piece, (SELECT unnest(range(1, 6)) AS m) WHERE len(words) >= m)
+    GROUP BY ALL HAVING count(*) >= 100
+), kept AS (
+    SELECT * FROM gram g WHERE m > 1 AND NOT EXISTS (
+        SELECT 1 FROM gram o WHERE o.lang = g.lang AND o.m > g.m AND 100 * o.f >= 100 * g.f AND contains(' ' || o.phrase || ' ', ' ' || g.phrase || ' '))
+), cut AS (
+    SELECT lang, phrase, f, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two
+    FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM kept)
+), scored AS (
+    SELECT c.lang, c.phrase, c.f AS a, p.f AS l, q.f AS r, n, (1000::HUGEINT * c.f * n // (p.f::HUGEINT * q.f))::BIGINT AS score, k
+    FROM cut c JOIN gram p ON p.lang = c.lang AND p.phrase = c.one JOIN gram q ON q.lang = c.lang AND q.phrase = c.two JOIN total t ON t.lang = c.lang
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
 SQL: dict[str, str] = {
     "op1_source_mixing": MIXING,
     "op2_line_dedup": LINE_DEDUP,
     "op7_sharding": SHARDING,
     "op8_exact_dedup": EXACT_DEDUP,
+    "op12_phrase_collocations": COLLOCATIONS,
     "op13_decontamination": DECONTAMINATION,
 }

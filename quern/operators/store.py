@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from quern.operators.embedding import Backend, EmbeddingModel, embed
 from quern.operators.search import where_metadata
+from quern.operators.snapshots import Conflict, Snapshots, SnapshotTable
 from quern.operators.staging import stored
 
 
@@ -109,43 +110,6 @@ def vector_payload(chunks: DataFrame, model: str, dimensions: int) -> DataFrame:
     return out.withColumn("embedding_model", F.lit(model)).withColumn("embedding_dimensions", F.lit(dimensions))
 
 
-class SnapshotTable:
-    """A table kept as numbered Parquet snapshots; readers see the newest one with a success mark."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(x.getPath().getParent().getName()) for x in found or [])
-
-    def read(self, version: int | None = None) -> DataFrame:
-        known = self._versions()
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{known[-1] if version is None else version:09d}")
-
-    def write(self, rows: DataFrame, version: int | None = None) -> int:
-        """Write the next snapshot; a batch that is replayed under its own number overwrites it."""
-        number = (self._versions() or [0])[-1] + 1 if version is None else version
-        fields = [f.split(" ", 1)[0] for f in _top_level(self.schema)]
-        rows.select(*fields).write.mode("overwrite").parquet(f"{self.root}/{number:09d}")
-        return number
-
-
-def _top_level(schema: str) -> list[str]:
-    out, depth, now = [], 0, ""
-    for ch in schema:
-        depth += (ch in "<(") - (ch in ">)")
-        if ch == "," and not depth:
-            out.append(now.strip())
-            now = ""
-        else:
-            now += ch
-    return [*out, now.strip()]
-
-
 def resolve_document(metadata: Column, chunk_id: Column, known: list[str]) -> Column:
     """A known document id from metadata keys, else one named anywhere in chunk id or metadata, else empty."""
     keys = ("source_doc_id", "external_id", "document_key", "doc_id")
@@ -155,4 +119,4 @@ def resolve_document(metadata: Column, chunk_id: Column, known: list[str]) -> Co
     return F.coalesce(direct, named, F.lit(""))
 
 
-__all__ = ["check_dimensions", "upsert_vectors", "delete_vectors", "by_document", "replace_documents", "index_documents", "remove_documents", "statistics", "flatten_metadata", "vector_payload", "SnapshotTable", "resolve_document"]
+__all__ = ["check_dimensions", "upsert_vectors", "delete_vectors", "by_document", "replace_documents", "index_documents", "remove_documents", "statistics", "flatten_metadata", "vector_payload", "Conflict", "Snapshots", "SnapshotTable", "resolve_document"]

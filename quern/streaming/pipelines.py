@@ -15,8 +15,9 @@ from quern.operators.store import SnapshotTable
 class IngestionStream:
     """JSON payloads landing in a folder become document versions, chunks and run events.
 
-    Every micro-batch writes its tables under its own number, so a replayed batch overwrites what it
-    wrote before; its input is compared with the snapshot of the batch before it.
+    Micro-batch n compares its input with version n of the version table (nothing for the first) and publishes version n + 1, which is never
+    written twice. Its other tables go under its own number before that, so a batch that is replayed, the first included,
+    either finds its version published and all of it done, or does all of it again over what it left.
     """
 
     def __init__(self, spark: SparkSession, landing: str, root: str, source_type: str = "github_issue", max_files: int = 1000):
@@ -29,6 +30,11 @@ class IngestionStream:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
     def _batch(self, payloads: DataFrame, number: int) -> None:
+        published = self.versions.version()
+        if published > number:
+            return
+        if published < number:
+            raise ValueError(f"the checkpoint is at batch {number}, the version table at {published}: one of them is not of this stream")
         clock = {"received": time.time()}
         payloads.persist()
         good, bad = ingest.split_valid(ingest.validate(payloads, self.source_type != "github_issue"))
@@ -38,17 +44,17 @@ class IngestionStream:
         # of several deliveries of a document in a batch the newest counts
         last = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("updated_at"), F.desc("hash_payload")))
         documents = documents.withColumn("__turn", last).where("__turn = 1").drop("__turn")
-        before = self.versions.read() if number == 0 else self.versions.read(number)
+        before = self.versions.read(number)
         changed = ingest.detect_changes(documents, before).persist()
         changed.count()
         clock["dedupe_checked"] = clock["skipped_no_change"] = time.time()
-        self.versions.write(ingest.apply_changes(before, changed), number + 1)
         clock["raw_stored"] = time.time()
         fresh = changed.where("outcome <> 'skipped_no_change'").select("document_id", "title", "source_type", F.col("body_text").alias("text"))
         chunks = chunking.chunk_documents(fresh, id_col="document_id", source_col="source_type", title_col="title", config=chunking.ChunkerConfig(512, 25, 100, 768))
         chunks.write.mode("overwrite").parquet(f"{self.root}/chunks/batch={number}")
         clock["registered"] = time.time()
         self._events(changed, bad, number, clock).write.mode("overwrite").json(f"{self.root}/events/batch={number}")
+        self.versions.write(ingest.apply_changes(before, changed), number + 1)
         changed.unpersist()
         payloads.unpersist()
 

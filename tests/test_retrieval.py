@@ -252,7 +252,10 @@ def test_collection(spark, tmp_path):
     assert table.read().count() == 0
     assert table.write(now) == 1 and table.write(after) == 2
     assert table.read().count() == 3 and table.read(1).count() == 2
-    assert table.write(now, 2) == 2 and table.read().count() == 2
+    # a version that is there is not written again
+    with pytest.raises(store.Conflict):
+        table.write(now, 2)
+    assert table.read().count() == 3 and table.version() == 2
 
 
 def test_metadata_flattening(spark):

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.plans.answering import ANSWERING
 from quern.plans.evaluation import EVALUATION
+from quern.plans.indexes import INDEXES
 from quern.plans.layers import LAYERS
 from quern.plans.operations import OPERATIONS
 from quern.plans.search import SEARCH
 from quern.plans.text import TEXT
 
-_ALL = (TEXT, SEARCH, ANSWERING, EVALUATION, OPERATIONS, LAYERS)
+_ALL = (TEXT, SEARCH, ANSWERING, EVALUATION, OPERATIONS, LAYERS, INDEXES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

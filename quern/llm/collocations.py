@@ -6,10 +6,10 @@ its neighbouring pairs may be frequent: two bit arrays of fixed size hold the fr
 counters reach the threshold; they let some more pass and never fewer. What remains of each occurrence, up to
 ``longest`` words, is the pointer projected onto its first word. Equal pointers of a task are one row with a count.
 
-Prefixes are dealt over tasks, each to one, with all its pointers, and grown there to the right, depth first: pointers are
-sorted, so those of each longer prefix are a range of them. A prefix with more than ``MOST`` occurrences is not mined at
-once: its extensions by one word are counted by a combined aggregation and become prefixes of their own, again and again
-while they are too frequent, so a task's pointers are bounded whatever a language's most frequent word is.
+Prefixes of two words are counted by a combined aggregation and dealt over tasks, each to one, with all its pointers, and grown there
+to the right, depth first: pointers are sorted, so those of each longer prefix are a range of them. A prefix with more than ``MOST``
+occurrences is not mined at once: its extensions by one word are counted in the same way and become prefixes of their own, again and again
+while they are too frequent, so a task's pointers are bounded whatever a language's most frequent words are.
 
 Scores compare a phrase with the parts of each cut; parts that very many phrases have in common are joined apart.
 Products are decimals of 38 digits, divided without a remainder.
@@ -255,24 +255,21 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     pairs = spark.sparkContext.broadcast(_frequent_pairs(rows, known, seed, least))
     pointers = land(_pointers(rows, known, pairs, seed, longest), "pointers")
     path = scratch_path(spark, "phrases")
-    prefixes = words.where(F.col("n") >= least).select("lang", F.col("h").alias("w1"), "n")
-    for depth in range(1, longest):
+    for depth in range(2, longest + 1):
         names = [f"w{k + 1}" for k in range(depth)]
-        heavy = land(prefixes.where(F.col("n") > most).select("lang", *names, "n"), "heavy")
+        # prefixes of this length: of all pointers at first, then of those of prefixes too frequent for one task
+        prefixes = land(pointers.groupBy("lang", *names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "prefixes")
+        prefixes.select("lang", F.array(*names).alias("w"), "n").write.mode("append").parquet(path)
+        if depth == longest:
+            break
+        pointers = pointers.where(F.col(f"w{depth + 1}") != 0)
+        heavy = prefixes.where(F.col("n") > most).withColumnRenamed("n", "held")
         last = heavy.isEmpty()
-        if last:
-            light = pointers
-        else:
-            light = pointers.join(small_enough(heavy.select("lang", *names), 24 + 8 * depth), ["lang", *names], "left_anti")
-            pointers = land(join_spread(pointers, heavy.withColumnRenamed("n", "held"), ["lang", *names], "held").where(F.col(f"w{depth + 1}") != 0), "pointers")
-        tasks = int(light.count() // dealt) + 1
-        _grown(light, depth, least, longest, tasks).write.mode("append").parquet(path)
+        light = pointers if last else pointers.join(small_enough(heavy.drop("held"), 24 + 8 * depth), ["lang", *names], "left_anti")
+        _grown(light, depth, least, longest, int(light.count() // dealt) + 1).write.mode("append").parquet(path)
         if last:
             break
-        # the extensions of what is too frequent for one task
-        names = [*names, f"w{depth + 1}"]
-        prefixes = land(pointers.groupBy("lang", *names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "prefixes")
-        prefixes.select("lang", F.array(*names).alias("w"), "n").write.mode("append").parquet(path)
+        pointers = land(join_spread(pointers, heavy, ["lang", *names], "held"), "pointers")
     return spark.read.schema("lang string, w array<long>, n long").parquet(path), words
 
 

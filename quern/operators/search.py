@@ -377,9 +377,8 @@ def pass_through(candidates: DataFrame, k: int = 5) -> DataFrame:
 
 
 def with_texts(found: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Retrieved rows with query and chunk columns. The rows, a few for each query, go to the chunks, which stay where they are."""
-    found = few(stored(found.join(queries.select("query_id", "query"), "query_id")))
-    return chunks.join(found, "chunk_id")
+    """Retrieved rows with query and chunk columns. The rows, a few for each query, go to the chunks, which stay where they are, and so do the questions."""
+    return chunks.join(few(stored(found)), "chunk_id").join(few(stored(queries.select("query_id", "query"))), "query_id")
 
 
 class RetrievalService:

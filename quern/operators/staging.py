@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -25,9 +26,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def few(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """A stored table of narrow rows, marked for broadcast if it was counted and has at most so many."""
-    return F.broadcast(df) if df.count() <= most else df
+#: A stored table is broadcast only if its values were summed up and take at most so many bytes.
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(field: StructField) -> Column:
+    """About what a value takes in memory."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType)):
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 24
+    if isinstance(kind, (ArrayType, StructType, MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 64
+    return F.lit(8)
+
+
+def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast if its values were measured and take at most ``limit`` bytes."""
+    size = df.agg(F.sum(sum((_bytes(f) for f in df.schema.fields), F.lit(16)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def order_statistics(rows: DataFrame, keys: Sequence[str], value: str, places: Sequence[str]) -> DataFrame:

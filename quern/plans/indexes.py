@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quern.operators.keyword_index import KeywordIndex
 from quern.operators.staging import scratch_folder
+from quern.operators.vector_index import VectorIndex
 from quern.plans.common import Catalog, table, tokens_sql
-from quern.plans.search import bm25_ctes, top
+from quern.plans.search import SEARCH, bm25_ctes, top
 
 INDEXES = Catalog()
 
@@ -56,3 +57,48 @@ def keyword_index_statistics(spark, sf_dir):
     found, counts = index.explain(asked, 1, places=6)
     row = [F.lit(numbers[c]).cast("int" if c == "segments" else "long").alias(c) for c in ("segments", "texts", "tokens")]
     return counts.select(*row, (F.col("read") < F.col("asked")).alias("skipped"), (F.col("asked") < F.col("blocks")).alias("only_asked"))
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def vector_index(spark, sf_dir) -> VectorIndex:
+    """All vectors: those of even ids at first, the odd ones as an arrival."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, scratch_folder(spark, "vectors"))
+    index.build(rows.where("vec_id % 2 = 0"))
+    index.append(rows.where("vec_id % 2 <> 0"))
+    return index
+
+
+def _nearest_to(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@INDEXES.add(SEARCH.sql["dense_cosine_topk"])
+def vector_index_exact_topk(spark, sf_dir):
+    """All lists: what the exact search finds."""
+    return vector_index(spark, sf_dir).search(_nearest_to(spark, sf_dir), 10, exact=True, places=6)
+
+
+@INDEXES.add("SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS queries, count(*) AS indexed, true AS recall_reached, true AS lists_skipped FROM embeddings WHERE embedding IS NOT NULL")
+def vector_index_recall(spark, sf_dir):
+    """Recall at 10 of every twentieth vector among all, measured against the exact search, with the fewest probes that reach 0.92; and whether that left lists out."""
+    index = vector_index(spark, sf_dir)
+    queries = _nearest_to(spark, sf_dir)
+    probes, share = index.calibrate(queries, 10, 0.92)
+    lists = index.tables.read("model").select("lists")
+    numbers = queries.agg(F.count(F.lit(1)).alias("queries")).crossJoin(index.live().agg(F.count(F.lit(1)).alias("indexed")))
+    return numbers.crossJoin(lists).select("queries", "indexed", F.lit(share >= 0.9).alias("recall_reached"), (F.lit(probes) < F.col("lists")).alias("lists_skipped"))
+
+
+@INDEXES.add(
+    f"""WITH live AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 9 <> 4),
+    pair AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), v.e), 6) AS score
+        FROM embeddings q, live v WHERE q.vec_id % 20 = 0) {top('pair', 3)}"""
+)
+def vector_index_after_deletes(spark, sf_dir):
+    """Every ninth vector is deleted: the best three of the others, by the codes of all lists and rescored."""
+    index = vector_index(spark, sf_dir)
+    index.delete(table(spark, sf_dir, "embeddings").where("vec_id % 9 = 4").select("vec_id"))
+    return index.search(_nearest_to(spark, sf_dir), 3, probes=1 << 20, rescore=1 << 20, places=6)

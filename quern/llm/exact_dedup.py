@@ -13,15 +13,20 @@ Everything is DataFrame code; the stream's sink only writes a table.
 Edge cases: a null text counts as empty; null ids take part, and lose to any other id; repeated
 rows are separate rows of one group, of which one stays; an empty input gives an empty result;
 other columns are not looked at, whatever their names. Files of earlier arrivals must stay where
-they were.
+they were. An arrival that is given again under its name, as after a failure anywhere, is the same arrival: what it left
+is used or written anew, and it counts once (give it again before the next one). Several writers get arrivals of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import LOCATOR, drop_rows, exists, file_hash, join_spread, land, located, locator, scratch_path, small_enough, whole
+from quern.llm.shared import LOCATOR, _file_system, drop_rows, exists, file_hash, join_spread, land, located, locator, remove, scratch_path, small_enough, whole
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = {
@@ -37,8 +42,8 @@ _STORE = {
 _LOG = f"id long, digest binary, arrival int, locator {LOCATOR}"
 _KEEP = f"struct<id:bigint,arrival:int,locator:{LOCATOR}>"
 #: The texts behind a digest that stands for several: one row a text.
-_APART = f"digest binary, bytes string, n long, keep {_KEEP}, arrival int"
-_FILES = "arrival int, file long, path string, text_col string"
+_APART = f"digest binary, text string, n long, keep {_KEEP}, arrival int"
+_FILES = "file long, path string, text_col string, arrival int"
 
 
 def sha256(text: Column) -> Column:
@@ -64,20 +69,75 @@ class DedupLog:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def _file(self, inside: str):
+        return _file_system(self.spark, f"{self.root}/{inside}")
+
+    def _claim(self, inside: str, content: str) -> bool:
+        """Create a small file; False if it is there already."""
+        where, fs = self._file(inside)
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(content.encode())
+        out.close()
+        return True
+
+    def _number(self, name: str) -> int:
+        """The arrival's number: the one its name has already, or the next that no writer has."""
+        known = f"arrivals/{hashlib.sha256(name.encode()).hexdigest()}"
+        where, fs = self._file(known)
+        if not fs.exists(where):
+            pattern, _ = self._file("numbers/*")
+            number = max((int(x.getPath().getName()) for x in fs.globStatus(pattern) or []), default=0) + 1
+            while not self._claim(f"numbers/{number:09d}", name):
+                number += 1
+            if self._claim(known, str(number)):
+                return number
+        stream = fs.open(where)
+        try:
+            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def log(self, arrival: int | None = None) -> DataFrame:
-        rows = self._read("log", _LOG)
-        return rows if arrival is None else rows.where(F.col("arrival") == arrival)
+        """The rows of an arrival, or of all of them."""
+        inside = "log" if arrival is None else f"log/{arrival:09d}"
+        if not exists(self.spark, f"{self.root}/{inside}"):
+            return self.spark.createDataFrame([], _LOG)
+        return self.spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(f"{self.root}/{inside}")
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, str, int]:
-        """Log an arrival (``row_col``: one that ``located`` returned); returns it as ``located`` does, and its number."""
-        arrival = (self.log().agg(F.max("arrival")).first()[0] or 0) + 1
-        docs, row = (docs, row_col) if row_col else located(docs, f"{self.root}/content/{arrival}")
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, name: str | None = None) -> tuple[DataFrame, str, int]:
+        """Log an arrival (``row_col``: one that ``located`` returned); returns it as ``located`` does, and its number.
+
+        ``name`` tells arrivals apart, so that one given again counts once; without a name every call is an arrival of its own.
+        """
+        arrival = self._number(name or uuid.uuid4().hex)
+        logged, content = exists(self.spark, f"{self.root}/log/{arrival:09d}"), f"{self.root}/content/{arrival}"
+        if row_col:
+            row = row_col
+        elif logged and exists(self.spark, content):
+            docs, row = located(self.spark.read.schema(docs.schema).parquet(content))
+        else:
+            if exists(self.spark, content):
+                remove(self.spark, content)
+            docs, row = located(docs, content)
+        if logged:
+            return docs, row, arrival
         jvm = self.spark._jvm
-        files = [(arrival, address, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(address)).toString(), text_col) for address in docs.inputFiles()]
-        files = self.spark.createDataFrame(files, "arrival int, address string, path string, text_col string").withColumn("file", file_hash(F.col("address")))
-        files.select("arrival", "file", "path", "text_col").coalesce(1).write.mode("append").parquet(f"{self.root}/files")
+        files = [(address, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(address)).toString(), text_col) for address in docs.inputFiles()]
+        files = self.spark.createDataFrame(files, "address string, path string, text_col string").withColumn("file", file_hash(F.col("address")))
+        files.select("file", "path", "text_col").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/files/arrival={arrival}")
         rows = docs.select(F.col(id_col).cast("long").alias("id"), self.digest(whole(text_col)).alias("digest"), F.lit(arrival).alias("arrival"), F.col(row).alias("locator"))
-        rows.write.mode("append").parquet(f"{self.root}/log")
+        aside, final = f"{self.root}/aside/{uuid.uuid4().hex}", f"{self.root}/log/{arrival:09d}"
+        rows.write.parquet(aside)
+        # the stream sees an arrival as a whole or not at all
+        (source, _), (target, fs) = _file_system(self.spark, aside), _file_system(self.spark, final)
+        fs.mkdirs(target.getParent())
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, plain)
         return docs, row, arrival
 
     def update(self) -> None:
@@ -87,7 +147,7 @@ class DedupLog:
         try:
             for k, v in _STORE.items():
                 conf.set(k, v)
-            arrivals = self.spark.readStream.schema(_LOG).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.root}/log")
+            arrivals = self.spark.readStream.schema(_LOG).option("maxFilesPerTrigger", self.files_per_batch).option("recursiveFileLookup", "true").parquet(f"{self.root}/log")
             state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
             query = (
                 state.writeStream.outputMode("update")
@@ -120,31 +180,32 @@ class DedupLog:
         return out if out is not None else kept.withColumn("text", F.lit(""))
 
     def clashes(self, docs: DataFrame, arrival: int, row: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Compare the full bytes behind every digest that this arrival hit; the rows of ``_APART`` where they differ.
+        """Compare the full texts behind every digest that this arrival hit; the rows of ``_APART`` where they differ.
 
-        Grouping by the text itself combines copies before the shuffle, so a hot group costs one row
-        a task. Of earlier arrivals one text stands for a digest, or each of its texts if they were
+        Grouping by the text itself compares its bytes and combines copies before the shuffle, so a hot group costs one row
+        a task. Of earlier arrivals one text stands for a digest, fetched by its locator, or each of its texts if they were
         found to differ before.
         """
         hits = land(self.state().where("n > 1").select("digest"), "hits")
         rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"), F.lit(arrival).alias("arrival"), F.col(row).alias("locator"))
         rows = rows.withColumn("digest", self.digest(F.col("text"))).join(small_enough(hits, 64), "digest", "left_semi")
         groups = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), _best())
-        groups = groups.select("digest", F.sha2("text", 512).alias("bytes"), "n", "keep")
         if arrival > 1:
             now = self.log(arrival).select("digest").distinct()
             known = self._read("apart", _APART).where(F.col("arrival") < arrival)
             newest = known.groupBy("digest").agg(F.max("arrival").alias("arrival"))
-            known = land(known.join(newest, ["digest", "arrival"]).select("digest", "bytes", "n", "keep"), "apart")
+            known = land(known.join(newest, ["digest", "arrival"]).select("digest", "text", "n", "keep"), "apart")
             before = self.log().where(F.col("arrival") < arrival).join(small_enough(hits, 64), "digest", "left_semi").join(now, "digest", "left_semi")
             before = before.join(known.select("digest").distinct(), "digest", "left_anti").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
-            before = self.fetch(land(before, "before")).select("digest", F.sha2("text", 512).alias("bytes"), "n", "keep")
+            before = self.fetch(land(before, "before")).select("digest", "text", "n", "keep")
             groups = groups.unionByName(before).unionByName(known.join(now, "digest", "left_semi"))
-        groups = land(groups.groupBy("digest", "bytes").agg(F.sum("n").alias("n"), F.max("keep").alias("keep")), "groups")
-        several = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-        apart = land(groups.join(several.select("digest"), "digest", "left_semi").withColumn("arrival", F.lit(arrival)), "apart")
-        if not apart.isEmpty():
-            apart.write.mode("append").parquet(f"{self.root}/apart")
+            groups = groups.groupBy("digest", "text").agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))
+        # one text a digest, but for clashes: the texts themselves are stored only then
+        several = land(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "several")
+        if several.isEmpty():
+            return self.spark.createDataFrame([], _APART)
+        apart = land(groups.join(several, "digest", "left_semi").withColumn("arrival", F.lit(arrival)), "apart")
+        apart.drop("arrival").write.mode("overwrite").parquet(f"{self.root}/apart/arrival={arrival}")
         return apart
 
 
@@ -156,14 +217,15 @@ def exact_groups(
     digest=sha256,
     root: str | None = None,
     row_col: str | None = None,
+    name: str | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, digest, keep_id, group_size, kept; of ``located`` rows also locator.
 
     Of rows with equal text the one with the largest id stays (of repeated rows of that id, one). With
-    a ``root`` that has seen arrivals before, groups and the rows that stay count these too.
+    a ``root`` that has seen arrivals before, groups and the rows that stay count these too; ``name`` as in ``DedupLog.append``.
     """
     log = DedupLog(docs.sparkSession, root or scratch_path(docs.sparkSession, "exact"), files_per_batch, digest)
-    docs, row, arrival = log.append(docs, id_col, text_col, row_col)
+    docs, row, arrival = log.append(docs, id_col, text_col, row_col, name)
     log.update()
     place = ["locator"] if row_col else []
     stays = F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.struct("arrival", "locator") == F.struct("keep.arrival", "keep.locator")).alias("kept")
@@ -173,8 +235,8 @@ def exact_groups(
         return rows
     # Digests that stand for several texts: decide these rows by their bytes.
     digests = apart.select("digest").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), digest(whole(text_col)).alias("digest"), F.sha2(whole(text_col), 512).alias("bytes"), F.lit(arrival).alias("arrival"), F.col(row).alias("locator"))
-    told = texts.join(apart.drop("arrival"), ["digest", "bytes"]).select("id", "digest", *stays, *place)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), digest(whole(text_col)).alias("digest"), whole(text_col).alias("text"), F.lit(arrival).alias("arrival"), F.col(row).alias("locator"))
+    told = texts.join(apart.drop("arrival"), ["digest", "text"]).select("id", "digest", *stays, *place)
     return rows.join(digests, "digest", "left_anti").select(*told.columns).unionByName(told)
 
 

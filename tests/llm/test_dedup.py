@@ -80,6 +80,29 @@ def test_exact_bytes_are_compared_over_arrivals(spark, tmp_path, weak):
         assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == sorted((i, max(by[t or ""]), len(by[t or ""]), i == max(by[t or ""])) for i, t in rows)
 
 
+@pytest.mark.parametrize("scan", [False, True])
+def test_exact_an_arrival_given_again_counts_once(spark, tmp_path, scan):
+    """After a failure before the update, after it, and after everything."""
+    root = f"file://{tmp_path}/log"
+    docs = documents(spark, [(1, "a"), (2, "b")])
+    if scan:
+        docs.write.parquet(f"file://{tmp_path}/docs")
+        docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    log = exact_dedup.DedupLog(spark, root)
+    log.append(docs, name="monday")
+    for _ in range(2):
+        rows = exact_dedup.exact_groups(docs, root=root, name="monday").collect()
+        assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in rows) == [(1, 1, 1, True), (2, 2, 1, True)]
+    # what a failed writer left behind is written anew: its number is taken, its log is not there
+    log._number("tuesday")
+    (tmp_path / "log" / "content" / "2").mkdir(parents=True)
+    rows = exact_dedup.exact_groups(documents(spark, [(7, "a"), (8, None)]), root=root, name="tuesday").collect()
+    assert sorted((r.id, r.keep_id, r.group_size) for r in rows) == [(7, 7, 2), (8, 8, 1)]
+    assert log._number("monday") == 1 and log._number("tuesday") == 2 and log._number("wednesday") == 3
+    # two writers that saw the same newest number
+    assert not log._claim("numbers/000000003", "late")
+
+
 def test_exact_drop_keeps_columns_and_texts(spark):
     rows = corpus()
     docs = documents(spark, rows)

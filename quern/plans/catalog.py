@@ -12,9 +12,10 @@ from quern.plans.indexes import INDEXES
 from quern.plans.layers import LAYERS
 from quern.plans.operations import OPERATIONS
 from quern.plans.search import SEARCH
+from quern.plans.streams import STREAMS
 from quern.plans.text import TEXT
 
-_ALL = (TEXT, SEARCH, ANSWERING, EVALUATION, OPERATIONS, LAYERS, INDEXES)
+_ALL = (TEXT, SEARCH, ANSWERING, EVALUATION, OPERATIONS, LAYERS, INDEXES, STREAMS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +24,18 @@ def stored(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = tempfile.mkdtemp(prefix="quern-")
         context.setCheckpointDir(shared)
+        _gone_at_exit(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint()
 
 
+def _gone_at_exit(spark, path: str) -> None:
+    """The file system deletes the folder when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+
+
 #: A stored table is broadcast only if its values were summed up and take at most so many bytes.
 BROADCAST_BYTES = 16 << 20
 
@@ -98,8 +108,6 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def scratch_folder(spark, tag: str) -> str:
-    """A new folder's path beside the stored tables."""
-    import uuid
-
+    """A new folder's path beside the stored tables, deleted with them."""
     stored(spark.range(0))
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -179,16 +179,16 @@ def _letters():
 
 
 def _collection(spark, sf_dir):
-    """Half of the documents' lines as an indexed collection, and all lines of every third document to index."""
+    """The lines of all documents but odd multiples of three as an indexed collection, and those of all multiples of three to index: half of them are new."""
     docs = table(spark, sf_dir, "documents").withColumn("line", F.explode(F.split("text", "\n")))
     lines = docs.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("line", 256)).alias("chunk_id"), F.col("line").alias("text"))
     model = embedding.EmbeddingModel("letters", _DIMENSIONS, 1 << 30)
-    old = embedding.embed(lines.where(F.col("document_id").cast("long") % 2 == 0), model, _letters)
+    old = embedding.embed(lines.where(F.col("document_id").cast("long") % 6 != 3), model, _letters)
     current = old.select(F.col("chunk_id").alias("id"), "embedding", F.create_map(F.lit("document_id"), F.col("document_id")).alias("metadata"), F.col("text").alias("document"))
     return stored(current), lines.where(F.col("document_id").cast("long") % 3 == 0), model
 
 
-_INDEXED = "line AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), kept AS (SELECT * FROM line WHERE doc_id % 2 = 0 AND doc_id % 3 > 0), fresh AS (SELECT * FROM line WHERE doc_id % 3 = 0)"
+_INDEXED = "line AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), kept AS (SELECT * FROM line WHERE doc_id % 3 > 0), fresh AS (SELECT * FROM line WHERE doc_id % 3 = 0)"
 
 
 @LAYERS.add(
@@ -202,7 +202,7 @@ def index_documents(spark, sf_dir):
     return store.statistics(after).crossJoin(counts).crossJoin(marked.where("embedded AND indexed").agg(F.count(F.lit(1)).alias("marked")))
 
 
-@LAYERS.add("WITH line AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 2 = 0) SELECT count(*) AS records, count(DISTINCT doc_id) AS documents, (SELECT count(*) FROM line WHERE doc_id % 5 = 0) AS removed FROM line WHERE doc_id % 5 > 0")
+@LAYERS.add("WITH line AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 6 <> 3) SELECT count(*) AS records, count(DISTINCT doc_id) AS documents, (SELECT count(*) FROM line WHERE doc_id % 5 = 0) AS removed FROM line WHERE doc_id % 5 > 0")
 def remove_documents(spark, sf_dir):
     current, _, _ = _collection(spark, sf_dir)
     gone = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("document_id"))
@@ -326,16 +326,20 @@ def retry_schedule(spark, sf_dir):
     SELECT external_id, 1 AS version_index, doc_id % 2 = 1 AS is_active FROM good UNION ALL SELECT external_id, 2, true FROM good WHERE doc_id % 2 = 0"""
 )
 def ingestion_stream(spark, sf_dir):
-    """The stream over three deliveries: all payloads, the same again, and every second one edited. Only edits make versions."""
+    """The stream over three deliveries: all payloads, the same again, and every second one edited. Only edits make versions; bad payloads, some
+    of them with an id that is no number, are quarantined by the stream."""
     landing, root = scratch_folder(spark, "landing"), scratch_folder(spark, "stream")
-    rows = payloads(spark, sf_dir).where("id rlike '^[0-9-]+$' or id is null").withColumn("id", F.col("id").cast("long"))
+    rows = payloads(spark, sf_dir)
     edited = rows.where("doc_id % 2 = 0").withColumn("body", F.concat("body", F.lit(" edited")))
     stream = IngestionStream(spark, landing, root)
     for delivery in (rows, rows, edited):
-        delivery.drop("doc_id").write.mode("append").json(landing)
+        plain = [c for c in delivery.columns if c not in ("doc_id", "id")]
+        lines = F.when(F.col("id").rlike("^-?[0-9]+$"), F.to_json(F.struct(F.col("id").try_cast("long").alias("id"), *plain))).otherwise(F.to_json(F.struct("id", *plain)))
+        delivery.select(lines.alias("value")).write.mode("append").text(landing)
         stream.start().awaitTermination()
     # document ids are derived from the external ones
-    ids = ingest.to_documents(ingest.split_valid(ingest.validate(rows))[0], "github_issue").select("document_id", F.col("external_id").cast("long").alias("external_id"))
+    good = ingest.split_valid(ingest.validate(rows))[0].withColumn("id", F.col("id").cast("long"))
+    ids = ingest.to_documents(good, "github_issue").select("document_id", F.col("external_id").cast("long").alias("external_id"))
     return stream.versions.read().join(ids, "document_id").select("external_id", "version_index", "is_active")
 
 
@@ -343,12 +347,12 @@ def ingestion_stream(spark, sf_dir):
 
 
 @LAYERS.add(
-    f"""WITH RECURSIVE plain AS (SELECT doc_id AS k, text AS t FROM documents WHERE doc_id % 3 = 2 AND trim(text) <> ''), {S.recursive('r', 'plain', chunking.ChunkerConfig(128, 20, 40, 192))}, issue AS (SELECT doc_id AS k, text AS t FROM documents WHERE doc_id % 3 = 0 AND trim(text) <> ''), {S.structured('s', 'issue', chunking.ChunkerConfig(128, 20, 40, 192))}
+    f"""WITH RECURSIVE plain AS (SELECT doc_id AS k, text AS t FROM documents WHERE doc_id % 3 <> 0 AND trim(text) <> ''), {S.recursive('r', 'plain', chunking.ChunkerConfig(128, 20, 40, 192))}, issue AS (SELECT doc_id AS k, text AS t FROM documents WHERE doc_id % 3 = 0 AND trim(text) <> ''), {S.structured('s', 'issue', chunking.ChunkerConfig(128, 20, 40, 192))}
     SELECT k AS doc_id, pos - 1 AS chunk_index, 'recursive' AS strategy, sha256(trim(t, {BLANKS})) AS digest, lang FROM r_chunk JOIN documents ON doc_id = k UNION ALL SELECT k, pos - 1, 'github_issue', sha256(trim(t, {BLANKS})), lang FROM s_chunk JOIN documents ON doc_id = k"""
 )
 def chunks_by_source(spark, sf_dir):
     """The strategy follows from the source: comments by structure, what is unknown by separators; other columns come along."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 1").withColumn("kind", F.when(F.col("doc_id") % 3 == 0, "github_issue_comment").otherwise("wiki"))
+    docs = table(spark, sf_dir, "documents").withColumn("kind", F.when(F.col("doc_id") % 3 == 0, "github_issue_comment").otherwise("wiki"))
     rows = chunking.chunk_documents(docs, None, chunking.ChunkerConfig(128, 20, 40, 192), source_col="kind")
     return rows.where("error is null").select("doc_id", "chunk_index", "strategy", F.col("chunk_hash").alias("digest"), "lang")
 

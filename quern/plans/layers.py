@@ -329,18 +329,27 @@ def ingestion_stream(spark, sf_dir):
     """The stream over three deliveries: all payloads, the same again, and every second one edited. Only edits make versions; bad payloads, some
     of them with an id that is no number, are quarantined by the stream."""
     landing, root = scratch_folder(spark, "landing"), scratch_folder(spark, "stream")
-    rows = payloads(spark, sf_dir)
-    edited = rows.where("doc_id % 2 = 0").withColumn("body", F.concat("body", F.lit(" edited")))
+    rows, deliveries = payload_deliveries(spark, sf_dir)
     stream = IngestionStream(spark, landing, root)
-    for delivery in (rows, rows, edited):
-        plain = [c for c in delivery.columns if c not in ("doc_id", "id")]
-        lines = F.when(F.col("id").rlike("^-?[0-9]+$"), F.to_json(F.struct(F.col("id").try_cast("long").alias("id"), *plain))).otherwise(F.to_json(F.struct("id", *plain)))
-        delivery.select(lines.alias("value")).write.mode("append").text(landing)
+    for lines in deliveries:
+        lines.write.mode("append").text(landing)
         stream.start().awaitTermination()
-    # document ids are derived from the external ones
+    return stream.versions.read().join(external_ids(rows), "document_id").select("external_id", "version_index", "is_active")
+
+
+def external_ids(rows):
+    """(document_id, external_id) of valid payloads."""
     good = ingest.split_valid(ingest.validate(rows))[0].withColumn("id", F.col("id").cast("long"))
-    ids = ingest.to_documents(good, "github_issue").select("document_id", F.col("external_id").cast("long").alias("external_id"))
-    return stream.versions.read().join(ids, "document_id").select("external_id", "version_index", "is_active")
+    return ingest.to_documents(good, "github_issue").select("document_id", F.col("external_id").cast("long").alias("external_id"))
+
+
+def payload_deliveries(spark, sf_dir):
+    """The payloads, and three deliveries of them as JSON lines: all, the same again, and every second one edited."""
+    rows = payloads(spark, sf_dir)
+    edited = rows.where("doc_id % 2 = 0").withColumn("body", F.concat("body", F.lit(" edited")))
+    plain = [c for c in rows.columns if c not in ("doc_id", "id")]
+    line = F.when(F.col("id").rlike("^-?[0-9]+$"), F.to_json(F.struct(F.col("id").try_cast("long").alias("id"), *plain))).otherwise(F.to_json(F.struct("id", *plain)))
+    return rows, [d.select(line.alias("value")) for d in (rows, rows, edited)]
 
 
 # ---------------------------------------------------------------- chunking service and operations

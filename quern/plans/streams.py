@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from quern.operators.staging import scratch_folder
 from quern.plans.common import Catalog, table
+from quern.plans.layers import LAYERS, external_ids, payload_deliveries
 from quern.plans.operations import OPERATIONS
 from quern.streaming.stateful import WorkQueue, status_changes
+from quern.streaming.versions import VersionStream
 
 STREAMS = Catalog()
 
@@ -58,3 +60,15 @@ def ingestion_events(spark, sf_dir):
         query.awaitTermination()
     found = spark.read.parquet(f"{root}/out").where("key <> '-1'")
     return found.select(F.col("tie").alias("event_id"), F.col("key").cast("long").alias("user_id"), F.col("status").alias("event_type"), F.coalesce("previous_status", F.lit("")).alias("previous_status"), F.coalesce("duration_since_previous_ms", F.lit(-1)).cast("long").alias("duration_since_previous_ms"))
+
+
+@STREAMS.add(LAYERS.sql["ingestion_stream"])
+def version_stream(spark, sf_dir):
+    """Versions by keyed state, over the same deliveries as ``ingestion_stream``; the last one is taken in twice, as after a failure."""
+    landing, root = scratch_folder(spark, "landing"), scratch_folder(spark, "versions")
+    rows, deliveries = payload_deliveries(spark, sf_dir)
+    stream = VersionStream(spark, landing, root)
+    for lines in [*deliveries, deliveries[-1]]:
+        lines.write.mode("append").text(landing)
+        stream.run()
+    return stream.versions().join(external_ids(rows), "document_id").select("external_id", "version_index", "is_active")

@@ -12,13 +12,22 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Conflict(RuntimeError):
     """The version exists already: another writer was faster, or the same batch was committed before."""
 
 
+def _count(observation: Observation, name: str) -> int:
+    """What a job has counted; a plan that is known to have no rows counts nothing."""
+    try:
+        return observation.get[name]
+    except (Py4JJavaError, KeyError):
+        return 0
+
+
 class Snapshots:
     """Versions of a set of tables (name: schema) in one folder. A part is a folder of a table, with facts about it that the writer gave."""
 
@@ -63,9 +72,37 @@ class Snapshots:
     def put(self, name: str, rows: DataFrame, partition_by: Sequence[str] = (), options: Mapping[str, str] | None = None, **facts) -> dict:
         """Write rows as a part that no version has yet; all parts of a table are partitioned by the same columns."""
         folder = f"data/{name}/part={uuid.uuid4().hex}"
-        writer = rows.select(*self._columns(name)).write.options(**(options or {}))
+        counted = Observation()
+        writer = rows.select(*self._columns(name)).observe(counted, F.count(F.lit(1)).alias("rows")).write.options(**(options or {}))
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{folder}")
-        return {"folder": folder, **facts}
+        return {"folder": folder, "rows": _count(counted, "rows"), **facts}
+
+    # ------------------------------------------------------------ changes that say what they did
+
+    def insert(self, name: str, incoming: DataFrame, keys: Sequence[str]) -> dict[str, int]:
+        """Publish incoming rows whose key the table does not have, each key once; returns version, inserted and skipped, counted by the job that writes."""
+        base = self.version()
+        parts, offered = self.parts(base)[name], Observation()
+        seen = incoming.observe(offered, F.count(F.lit(1)).alias("n"))
+        fresh = seen.dropDuplicates(list(keys)).join(self.scan(name, parts).select(*keys), list(keys), "left_anti")
+        part = self.put(name, fresh)
+        version = self.commit(base, {name: [*parts, part]})
+        return {"version": version, "inserted": part["rows"], "skipped": _count(offered, "n") - part["rows"]}
+
+    def delete(self, name: str, gone: DataFrame, keys: Sequence[str]) -> dict[str, int]:
+        """Publish the table without the rows of these keys; returns version and deleted. Only parts that hold such rows are written anew."""
+        base = self.version()
+        parts, deleted = self.parts(base)[name], 0
+        out = []
+        for part in parts:
+            rows = self.scan(name, [part])
+            if rows.join(gone.select(*keys), list(keys), "left_semi").isEmpty():
+                out.append(part)
+                continue
+            left = self.put(name, rows.join(gone.select(*keys), list(keys), "left_anti"))
+            deleted += part["rows"] - left["rows"]
+            out.append({**part, **left})
+        return {"version": self.commit(base, {name: out}), "deleted": deleted}
 
     def commit(self, base: int, tables: Mapping[str, Sequence[dict]]) -> int:
         """Publish the version after ``base`` with these parts; tables that are not named keep those of ``base``."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators.keyword_index import KeywordIndex
+from quern.operators.snapshots import Snapshots
 from quern.operators.staging import scratch_folder
 from quern.operators.vector_index import VectorIndex
 from quern.plans.common import Catalog, table, tokens_sql
@@ -102,3 +103,21 @@ def vector_index_after_deletes(spark, sf_dir):
     index = vector_index(spark, sf_dir)
     index.delete(table(spark, sf_dir, "embeddings").where("vec_id % 9 = 4").select("vec_id"))
     return index.search(_nearest_to(spark, sf_dir), 3, probes=1 << 20, rescore=1 << 20, places=6)
+
+
+@INDEXES.add(
+    """SELECT 'odd' AS step, count(*) FILTER (WHERE doc_id % 2 = 1) AS inserted, 0 AS skipped, 0 AS deleted FROM documents
+    UNION ALL SELECT 'all', count(*) FILTER (WHERE doc_id % 2 = 0), count(*) FILTER (WHERE doc_id % 2 = 1), 0 FROM documents
+    UNION ALL SELECT 'sevenths', 0, 0, count(*) FILTER (WHERE doc_id % 7 = 0) FROM documents
+    UNION ALL SELECT 'left', count(*) FILTER (WHERE doc_id % 7 <> 0), 0, 0 FROM documents"""
+)
+def counted_writes(spark, sf_dir):
+    """Inserts that leave known keys alone, and a deletion, each with what the writing job itself has counted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = Snapshots(spark, scratch_folder(spark, "writes"), {"documents": "doc_id long, text string"})
+    odd = kept.insert("documents", docs.where("doc_id % 2 = 1"), ["doc_id"])
+    every = kept.insert("documents", docs, ["doc_id"])
+    gone = kept.delete("documents", docs.where("doc_id % 7 = 0"), ["doc_id"])
+    rows = [("odd", odd["inserted"], odd["skipped"], 0), ("all", every["inserted"], every["skipped"], 0), ("sevenths", 0, 0, gone["deleted"])]
+    left = kept.read("documents").agg(F.lit("left").alias("step"), F.count(F.lit(1)).alias("inserted"), F.lit(0).cast("long").alias("skipped"), F.lit(0).cast("long").alias("deleted"))
+    return spark.createDataFrame(rows, "step string, inserted long, skipped long, deleted long").unionByName(left)

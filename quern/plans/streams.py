@@ -10,6 +10,7 @@ from quern.operators.staging import scratch_folder
 from quern.plans.common import Catalog, table
 from quern.plans.layers import LAYERS, external_ids, payload_deliveries
 from quern.plans.operations import OPERATIONS
+from quern.streaming.pipelines import merged_sketches, sketch_quantiles, windowed_sketches
 from quern.streaming.stateful import WorkQueue, status_changes
 from quern.streaming.versions import VersionStream
 
@@ -72,3 +73,18 @@ def version_stream(spark, sf_dir):
         lines.write.mode("append").text(landing)
         stream.run()
     return stream.versions().join(external_ids(rows), "document_id").select("external_id", "version_index", "is_active")
+
+
+@STREAMS.add("SELECT event_type, count(value) AS n, true AS median_close, true AS p95_close FROM events GROUP BY event_type")
+def sketched_percentiles(spark, sf_dir):
+    """Median and 95th percentile of each type from the merged sketches of a stream's windows; close: the exact rank is off by 2 % at most."""
+    events = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    landing, root = scratch_folder(spark, "landing"), scratch_folder(spark, "sketches")
+    events.write.parquet(landing)
+    live = windowed_sketches(spark.readStream.schema(events.schema).parquet(landing), "1 day", size=400)
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out")  # noqa: E731  the whole result each time
+    live.writeStream.foreachBatch(sink).outputMode("complete").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
+    found = sketch_quantiles(merged_sketches(spark.read.parquet(f"{root}/out"), "event_type"), [0.5, 0.95])
+    below = lambda k: F.count_if(F.col("value") <= F.col("quantiles")[k]) / F.count("value")
+    rows = events.join(F.broadcast(found.select("event_type", "n", "quantiles")), "event_type").groupBy("event_type", "n").agg((F.abs(below(0) - 0.5) <= 0.02).alias("median_close"), (F.abs(below(1) - 0.95) <= 0.02).alias("p95_close"))
+    return rows.select("event_type", "n", "median_close", "p95_close")

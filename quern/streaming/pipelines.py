@@ -93,3 +93,28 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour",
     rows = events.withWatermark(at, delay) if events.isStreaming else events
     grouped = rows.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+# ---------------------------------------------------------------- distributions
+
+
+def windowed_sketches(events: DataFrame, window: str = "5 minutes", delay: str = "10 minutes", key: str = "event_type", at: str = "ts", value: str = "value", size: int = 200) -> DataFrame:
+    """(window_start, window_end, key, n, sketch): a mergeable quantile sketch of a value for each key and time window.
+
+    A window's state is its sketch, whose size depends on ``size`` and hardly on the number of values; no buckets are fixed
+    beforehand. With the default size a quantile's rank is off by about 1.7 % at most, with 800 by about 0.5 %. Null values do not count.
+    """
+    rows = events.withWatermark(at, delay) if events.isStreaming else events
+    found = rows.where(F.col(value).isNotNull()).groupBy(F.window(at, window).alias("w"), key)
+    found = found.agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch"))
+    return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "sketch")
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., n, sketch): the sketches of several windows, or series, as one."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: list[float], name: str = "quantiles") -> DataFrame:
+    """The sketches with an array of the values at the given shares."""
+    return sketches.withColumn(name, F.array(*(F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))) for s in shares)))

@@ -242,3 +242,24 @@ def test_payload_queries_see_whole_texts(spark, tmp_path):
     assert found == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in (0, 12)}
     assert {r.doc_id: r.error_code for r in operations.validate_payloads(spark, str(tmp_path)).collect()} == {0: "", 12: "", 26: "validation_payload_too_large"}
     assert [tuple(r) for r in operations.error_category_counts(spark, str(tmp_path)).collect()] == [("validation_payload_too_large", 1)]
+
+
+def test_sketches_of_windows_merge_to_the_whole(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    values = sorted((rng.expovariate(1 / 50), k) for k in range(4000))
+    rows = [("a" if k % 3 else "b", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), v) for v, k in values] + [("a", dt.datetime(2024, 1, 1), None)]
+    schema = "event_type string, ts timestamp, value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/in")
+    live = pipelines.windowed_sketches(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"))
+    query = live.writeStream.format("memory").queryName("sketches").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    windows = spark.table("sketches")
+    assert windows.count() > 20
+    merged = pipelines.sketch_quantiles(pipelines.merged_sketches(windows, "event_type"), [0.5, 0.95]).collect()
+    for r in merged:
+        own = sorted(v for t, _, v in rows if t == r.event_type and v is not None)
+        assert r.n == len(own)
+        for share, value in zip((0.5, 0.95), r.quantiles, strict=True):
+            assert abs(sum(v <= value for v in own) / len(own) - share) < 0.025

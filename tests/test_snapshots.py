@@ -36,3 +36,17 @@ def test_tables_change_together_or_not_at_all(spark, tmp_path):
     lost = one.put("vectors", rows(5, 6, 7))
     assert one.vacuum() == 3 and lost["folder"] not in str(one.parts())
     assert {r.id for r in one.read("vectors").collect()} == {4} and one.read("marks").count() == 3
+
+
+def test_writes_say_what_they_did(spark, tmp_path):
+    table = Snapshots(spark, f"file://{tmp_path}/set", TABLES)
+    rows = lambda *ids: spark.createDataFrame([(i, float(i)) for i in ids], TABLES["vectors"])
+    assert table.insert("vectors", rows(1, 2, 2, 3), ["id"]) == {"version": 1, "inserted": 3, "skipped": 1}
+    assert table.insert("vectors", rows(3, 4), ["id"]) == {"version": 2, "inserted": 1, "skipped": 1}
+    assert table.insert("vectors", rows(), ["id"]) == {"version": 3, "inserted": 0, "skipped": 0}
+    before = table.parts()["vectors"]
+    assert table.delete("vectors", rows(4, 99), ["id"]) == {"version": 4, "deleted": 1}
+    # parts without such rows stay as they are
+    assert table.parts()["vectors"][0] == before[0]
+    assert table.delete("vectors", rows(77), ["id"]) == {"version": 5, "deleted": 0}
+    assert {r.id for r in table.read("vectors").collect()} == {1, 2, 3}

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quern import schemas
 
@@ -182,30 +182,71 @@ class _Pages(DataSourceReader):
         return [InputPartition(u) for u in self.urls]
 
     def read(self, partition) -> Iterator[tuple]:
-        url, attempt = partition.value, 0
-        while url:
-            request = urllib.request.Request(url, headers={"Authorization": f"Bearer {self.token}"} if self.token else {})
-            try:
-                reply = urllib.request.urlopen(request, timeout=60)  # noqa: S310  the address is the user's own
-            except urllib.error.HTTPError as refused:
-                wait = retry_wait(refused.code, refused.headers, time.time(), attempt)
-                if wait is None:
-                    raise
-                attempt += 1
-                time.sleep(wait)
-                continue
-            attempt = 0
-            with reply:
-                for item in json.load(reply):
-                    if "pull_request" not in item:
-                        yield (json.dumps(item),)
-                url, wait = next_link(reply.headers.get("Link")), rate_limit_wait(reply.headers, time.time())
-            if url and wait:
-                time.sleep(wait)
+        for item in _items(partition.value, self.token):
+            yield (json.dumps(item),)
+
+
+def _items(url: str | None, token: str | None) -> Iterator[dict]:
+    """The items of a listing's pages but pull requests; limits are waited for, refused requests made again."""
+    attempt = 0
+    while url:
+        request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
+        try:
+            reply = urllib.request.urlopen(request, timeout=60)  # noqa: S310  the address is the user's own
+        except urllib.error.HTTPError as refused:
+            wait = retry_wait(refused.code, refused.headers, time.time(), attempt)
+            if wait is None:
+                raise
+            attempt += 1
+            time.sleep(wait)
+            continue
+        attempt = 0
+        with reply:
+            for item in json.load(reply):
+                if "pull_request" not in item:
+                    yield item
+            url, wait = next_link(reply.headers.get("Link")), rate_limit_wait(reply.headers, time.time())
+        if url and wait:
+            time.sleep(wait)
+
+
+class _NewPages(DataSourceStreamReader):
+    """The items of each listing by the time of their last change: a batch is a span of time, its start included, and a partition a listing.
+
+    A replayed batch asks for the same span. ``lag`` seconds keep the end of a span behind the clock, so that what the server
+    stamps meanwhile belongs to the next; items without a time come with the first span.
+    """
+
+    def __init__(self, options):
+        self.pages = _Pages(options)
+        self.since, self.lag, self.changed = options.get("since", ""), float(options.get("lag", "60")), options.get("changed", "updated_at")
+
+    def initialOffset(self) -> dict:
+        return {"until": self.since}
+
+    def latestOffset(self) -> dict:
+        return {"until": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(time.time() - self.lag))}
+
+    def partitions(self, start: dict, end: dict):
+        return [InputPartition((url, start["until"], end["until"])) for url in self.pages.urls] if start["until"] < end["until"] else []
+
+    def read(self, partition) -> Iterator[tuple]:
+        url, start, end = partition.value
+        if start:
+            url += ("&" if "?" in url else "?") + "since=" + start
+        for item in _items(url, self.pages.token):
+            if start <= (item.get(self.changed) or "") < end:
+                yield (json.dumps(item),)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class PagedJson(DataSource):
-    """``spark.read.format("paged_json").option("urls", "...")``: a row of JSON text for each item of a paged REST listing."""
+    """``spark.read.format("paged_json").option("urls", "...")``: a row of JSON text for each item of a paged REST listing.
+
+    With ``spark.readStream`` each run fetches what was changed since the one before (``since``, ``lag``, ``changed``: see ``_NewPages``).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -217,6 +258,9 @@ class PagedJson(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Pages(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _NewPages(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedJson)

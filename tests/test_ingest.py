@@ -7,6 +7,7 @@ import hashlib
 import http.server
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +264,44 @@ def test_sketches_of_windows_merge_to_the_whole(spark, tmp_path):
         assert r.n == len(own)
         for share, value in zip((0.5, 0.95), r.quantiles, strict=True):
             assert abs(sum(v <= value for v in own) / len(own) - share) < 0.025
+
+
+def test_paged_source_as_a_stream_fetches_what_is_new(spark, tmp_path):
+    items = [{"id": k, "updated_at": f"2024-01-0{k}T00:00:00Z"} for k in range(1, 6)] + [{"id": 90}, {"id": 91, "updated_at": "2024-01-02T00:00:00Z", "pull_request": {}}]
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            query = dict(x.split("=", 1) for x in self.path.split("?")[1].split("&"))
+            asked.append(query)
+            found = [x for x in items if x.get("updated_at", "") >= query.get("since", "")]
+            at = int(query.get("page", 0))
+            self.send_response(200)
+            if len(found) > at + 2:
+                self.send_header("Link", f'<http://127.0.0.1:{self.server.server_port}/i?page={at + 2}&since={query.get("since", "")}>; rel="next"')
+            self.end_headers()
+            self.wfile.write(json.dumps(found[at : at + 2]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    readers.register(spark)
+
+    def run():
+        rows = spark.readStream.format("paged_json").option("urls", f"http://127.0.0.1:{server.server_port}/i?page=0").option("lag", "0").load()
+        query = rows.writeStream.format("json").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(json.loads(r.payload)["id"] for r in spark.read.schema("payload string").json(f"file://{tmp_path}/out").collect())
+
+    assert run() == [1, 2, 3, 4, 5, 90] and not any("since" in q and q["since"] for q in asked)
+    # a change after the first run, and one that is in the future still
+    stamp = dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    items[2] = {"id": 3, "updated_at": stamp}
+    items.append({"id": 7, "updated_at": "2999-01-01T00:00:00Z"})
+    time.sleep(1.1)
+    asked.clear()
+    assert run() == [1, 2, 3, 3, 4, 5, 90]
+    assert asked and all(q["since"] > "2024-02" for q in asked)
+    server.shutdown()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.chunking import estimate
+from quern.operators.staging import stored
 
 #: Candidates a query may bring; more is an error, as retrieval is to bound them.
 MOST_CANDIDATES = 4096
@@ -202,15 +203,29 @@ def exact_keep_best(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("__turn", F.row_number().over(same)).where("__turn = 1").drop("__turn")
 
 
-def similar_pairs(rows: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows with tokens (id, digest of the token set), and the classes of equal sets (class_id: the smallest id, digest, class_size, words).
+
+    Every text is tokenised once; what follows from the sets reads the two tables, which are stored. Copies are combined by digest before
+    their words move.
+    """
+    words = F.array_sort(T.token_set(F.col(text_col))).alias("words")
+    sets = stored(rows.select(F.col(id_col).alias("id"), words)).where(F.size("words") > 0)
+    # tokens hold no blanks, so the joined words stand for the set
+    sets = sets.withColumn("digest", F.unhex(F.sha2(F.array_join("words", " "), 256)))
+    classes = sets.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.any_value("words").alias("words"))
+    return sets.select("id", "digest"), stored(classes)
+
+
+def similar_pairs(rows: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of all texts whose token sets overlap by the threshold at least, by prefix filtering.
 
     A pair at the threshold shares one of the rarest tokens of each side's prefix, so only those are
     joined; equal token sets are one row while pairs are sought, represented by their smallest id.
-    ``similar_classes`` says which documents each representative stands for.
+    ``similar_classes`` says which documents each representative stands for. ``classes``: of ``token_classes``, if they are known.
     """
-    sets = rows.select(F.col(id_col).alias("id"), F.array_sort(T.token_set(F.col(text_col))).alias("words")).where(F.size("words") > 0)
-    sets = sets.groupBy("words").agg(F.min("id").alias("id"))
+    classes = token_classes(rows, id_col, text_col)[1] if classes is None else classes
+    sets = classes.select(F.col("class_id").alias("id"), "words")
     df = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ranked = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).join(df, "word")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
@@ -232,18 +247,18 @@ def similar_classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Every two rows of a class have similarity 1, and each row has the pairs of its class.
     """
-    words = F.array_sort(T.token_set(F.col(text_col)))
-    # tokens hold no blanks, so the joined words stand for the set
-    sets = rows.where(F.size(words) > 0).select(F.col(id_col).alias("id"), F.sha2(F.array_join(words, " "), 256).alias("digest"))
-    classes = sets.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return sets.join(classes, "digest").select("id", "class_id", "class_size")
+    return _members(*token_classes(rows, id_col, text_col))
+
+
+def _members(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    return sets.join(classes.select("digest", "class_id", "class_size"), "digest").select("id", "class_id", "class_size")
 
 
 def similar_documents(rows: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, class_size, links) for each row with tokens: how many other rows overlap it by the threshold at least."""
-    classes = similar_classes(rows, id_col, text_col)
-    sizes = classes.select("class_id", "class_size").distinct()
-    pairs = similar_pairs(rows, threshold, id_col, text_col)
+    sets, known = token_classes(rows, id_col, text_col)
+    classes, sizes = _members(sets, known), known.select("class_id", "class_size")
+    pairs = stored(similar_pairs(rows, threshold, id_col, text_col, known))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(sizes.toDF("b", "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("near"))
     return classes.join(near, "class_id", "left").select("id", "class_id", "class_size", (F.col("class_size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))

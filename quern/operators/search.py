@@ -386,13 +386,25 @@ class RetrievalService:
 
     ``chunks`` has chunk_id, text and vectors in ``embedding``; queries have query_id, query and ``embedding``. What
     has no vector is found by keywords alone. With ``scope``, a column of both, a query that has a value
-    (the document it asks about) sees only chunks with it.
+    (the document it asks about) sees only chunks with it. With ``keep`` the dense and the keyword ranking of a batch of queries without
+    conditions are computed once, ``keep`` rows deep at least, and stored; the modes are cut from them or fuse them.
     """
 
-    def __init__(self, chunks: DataFrame, filter_mode: str = "post", places: int | None = None, scope: str | None = None):
-        self.chunks, self.filter_mode, self.places, self.scope = chunks, filter_mode, places, scope
+    def __init__(self, chunks: DataFrame, filter_mode: str = "post", places: int | None = None, scope: str | None = None, keep: int = 0):
+        self.chunks, self.filter_mode, self.places, self.scope, self.keep = chunks, filter_mode, places, scope, keep
+        self._kept: dict[tuple, tuple[DataFrame, DataFrame, int]] = {}
 
     def retrieve(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, conditions: Mapping[str, object] | None = None) -> DataFrame:
+        if mode == "hybrid" or conditions or not self.keep:
+            return self._retrieve(queries, mode, k, conditions)
+        own, ranking, depth = self._kept.get((id(queries), mode), (None, None, 0))
+        if own is not queries or depth < k:
+            depth = max(k, self.keep)
+            ranking = stored(self._retrieve(queries, mode, depth, None))
+            self._kept[(id(queries), mode)] = queries, ranking, depth
+        return ranking.where(F.col("rank") <= k)
+
+    def _retrieve(self, queries: DataFrame, mode: str, k: int, conditions: Mapping[str, object] | None) -> DataFrame:
         if mode == "dense":
             return vector_topk(self.chunks, queries, k, conditions=conditions, vector_id="chunk_id", places=self.places, scope=self.scope)
         if mode == "keyword":
@@ -413,14 +425,20 @@ class RetrievalService:
 # ---------------------------------------------------------------- TF-IDF vectors
 
 
-def tfidf_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 768) -> DataFrame:
-    """(term, df, bucket, idf): the bucket is the term's place in sorted order modulo the dimensions, the idf smoothed.
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(chunk_id, term, tf) of every text."""
+    return tokenized(docs, id_col, text_col).select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 768, counted: DataFrame | None = None) -> DataFrame:
+    """(term, df, bucket, idf): the bucket is the term's place in sorted order modulo the dimensions, the idf smoothed; ``counted``: of ``term_counts``, if they are known.
 
     The global place needs no global sort: terms are counted by their first three characters, of
     which there are 47,988 at most, and numbered inside such a group.
     """
     n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    terms = term_statistics(docs, id_col, text_col).withColumn("head", F.substring("term", 1, 3))
+    terms = term_statistics(docs, id_col, text_col) if counted is None else counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = terms.withColumn("head", F.substring("term", 1, 3))
     before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     starts = terms.groupBy("head").agg(F.count(F.lit(1)).alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("head").orderBy("term")) - 1
@@ -429,9 +447,9 @@ def tfidf_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return placed.select("term", "df", F.pmod(F.col("start") + F.col("place"), F.lit(dimensions)).cast("int").alias("bucket"), idf.alias("idf"))
 
 
-def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 768) -> DataFrame:
+def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 768, counted: DataFrame | None = None) -> DataFrame:
     """(chunk_id, bucket, weight): unit-length sparse vectors; an unknown term hashes to a bucket with idf 1."""
-    terms = tokenized(docs, id_col, text_col).select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = term_counts(docs, id_col, text_col) if counted is None else counted
     found = terms.join(vocabulary.select("term", "bucket", "idf"), "term", "left")
     bucket = F.coalesce("bucket", F.pmod(F.xxhash64("term"), F.lit(dimensions)).cast("int"))
     sums = found.groupBy("chunk_id", bucket.alias("bucket")).agg(F.sum(F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("weight"))

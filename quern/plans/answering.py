@@ -138,8 +138,9 @@ _SETS = f"""own AS (SELECT doc_id, list_sort({token_set_sql('text')}) AS ws FROM
 def pairwise_jaccard_near_dups(spark, sf_dir):
     """Pairs of classes of documents with equal token sets, with their sizes; pairwise_jaccard_classes says who is in them."""
     docs = table(spark, sf_dir, "documents")
-    sizes = context.similar_classes(docs).select("class_id", "class_size").distinct()
-    rows = context.similar_pairs(docs).join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    classes = context.token_classes(docs)[1]
+    sizes = classes.select("class_id", "class_size")
+    rows = context.similar_pairs(docs, classes=classes).join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
     return rows.withColumn("similarity", rounded("similarity"))
 
 

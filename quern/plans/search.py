@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import search, store
+from quern.operators.staging import few, stored
 from quern.plans.common import Catalog, rounded, table, token_set_sql, tokens_sql
 
 SEARCH = Catalog()
@@ -80,10 +81,11 @@ def tfidf_vocabulary(spark, sf_dir):
 )
 def tfidf_norms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    vocabulary = search.tfidf_vocabulary(docs)
-    sizes = search.tokenized(docs, "doc_id", "text").select("chunk_id", F.explode("terms").alias("term")).join(vocabulary, "term")
-    sizes = sizes.groupBy("chunk_id", "bucket").agg(F.sum("idf").alias("w")).groupBy("chunk_id").agg(rounded(F.sqrt(F.sum(F.col("w") * F.col("w"))), 4).alias("size"))
-    unit = search.tfidf_vectors(docs, vocabulary).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("buckets"), rounded(F.max("weight")).alias("largest"))
+    counted = stored(search.term_counts(docs))
+    vocabulary = few(stored(search.tfidf_vocabulary(docs, counted=counted)))
+    sizes = counted.join(vocabulary, "term").groupBy("chunk_id", "bucket").agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
+    sizes = sizes.groupBy("chunk_id").agg(rounded(F.sqrt(F.sum(F.col("w") * F.col("w"))), 4).alias("size"))
+    unit = search.tfidf_vectors(docs, vocabulary, counted=counted).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("buckets"), rounded(F.max("weight")).alias("largest"))
     return unit.join(sizes, "chunk_id")
 
 
@@ -157,7 +159,7 @@ def _service(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").withColumnRenamed("doc_id", "chunk_id")
     asked = _asked(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return search.RetrievalService(docs, places=6), asked
+    return search.RetrievalService(docs, places=6, keep=20), asked
 
 
 def _hybrid_ctes(k: int = 10) -> str:

@@ -17,13 +17,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.search import query_terms, rank
+from quern.operators.search import _CELLS, _Best, _rounded, query_terms, rank
 from quern.operators.snapshots import Snapshots
-from quern.operators.staging import few, stored
+from quern.operators.staging import BROADCAST_BYTES, few, stored
 
 TABLES = {
     "texts": "doc long, segment int, slot long, dl int",
@@ -51,7 +54,7 @@ class KeywordIndex:
 
     def __init__(self, spark: SparkSession, root: str, slot_texts: int = 1024, fan: int = 4, k1: float = 1.5, b: float = 0.75):
         self.spark, self.tables, self.fan, self.k1, self.b = spark, Snapshots(spark, root, TABLES), fan, k1, b
-        self.shift = slot_texts.bit_length() - 1
+        self.shift, self.shipped = slot_texts.bit_length() - 1, BROADCAST_BYTES
 
     # ------------------------------------------------------------ writing
 
@@ -148,13 +151,14 @@ class KeywordIndex:
         return self.explain(queries, k, query_id, query_text, places, allowed, head, version)[0]
 
     def explain(self, queries, k=10, query_id="query_id", query_text="text", places=None, allowed=None, head=2, version=None) -> tuple[DataFrame, DataFrame]:
-        """``search``'s result, and a row of (blocks, asked, read): blocks of the index, of the asked terms, and those whose texts were scored."""
+        """``search``'s result, and a row of (blocks, held, asked, read): blocks of the index, those of asked terms, and the pairs of a query
+        and a block of one of its terms: all of them, and those whose texts were scored."""
         version = self.tables.version() if version is None else version
         numbers = self.statistics(version)
         dead = self.tables.read("dead", version)
         postings = self.tables.read("postings", version)
         if not numbers["texts"]:
-            counts = self.spark.createDataFrame([(0, 0, 0)], "blocks long, asked long, read long")
+            counts = self.spark.createDataFrame([(0, 0, 0, 0)], "blocks long, held long, asked long, read long")
             return self.spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int"), counts
         n, mean = numbers["texts"], numbers["tokens"] / numbers["texts"]
         wanted = stored(query_terms(queries, query_id, query_text))
@@ -183,12 +187,15 @@ class KeywordIndex:
         open_ = bounds.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") + 10.0 ** -(places or 9) >= F.col("floor")))
         rest = stored(open_.join(first.select("query_id", "segment", "slot"), ["query_id", "segment", "slot"], "left_anti").select(*first.columns))
         found = rank(best.drop("rank").unionByName(scored(rest).drop("rank")), k, F.desc("score"), F.asc("chunk_id"))
-        read = first.unionByName(rest).join(weights, "query_id").select("term", "segment", "slot").distinct().join(blocks, ["term", "segment", "slot"], "left_semi")
-        counts = postings.agg(F.count(F.lit(1)).alias("blocks")).crossJoin(blocks.agg(F.count(F.lit(1)).alias("asked"))).crossJoin(read.agg(F.count(F.lit(1)).alias("read")))
-        return found, counts
+        pairs = blocks.select("term", "segment", "slot").join(weights.select("query_id", "term"), "term")
+        read = first.unionByName(rest).select("query_id", "segment", "slot").join(pairs, ["query_id", "segment", "slot"])
+        count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+        return found, count(postings, "blocks").crossJoin(count(blocks, "held")).crossJoin(count(pairs, "asked")).crossJoin(count(read, "read"))
 
     def _scored(self, slots: DataFrame, weights: DataFrame, held: DataFrame, dead: DataFrame, mean: float, places: int | None, allowed: DataFrame | None, k: int, version: int) -> DataFrame:
-        """The k best texts of each query in its slots."""
+        """The k best texts of each query in its slots: a slot at a time if the weights can be shipped, else by joins."""
+        if allowed is None and (weights.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= self.shipped:
+            return self._by_slot(slots, weights.toArrow(), held, dead, mean, places, k)
         wanted = slots.select("query_id", "segment", "slot").join(weights, "query_id")
         rows = held.select("term", "segment", "slot", "docs", "counts", "lengths").join(few(stored(wanted)), ["term", "segment", "slot"])
         rows = rows.select("query_id", "weight", "segment", "slot", F.explode(F.arrays_zip("docs", "counts", "lengths")).alias("e"))
@@ -201,6 +208,54 @@ class KeywordIndex:
         score = F.col("score") if places is None else F.round("score", places)
         return rank(rows.select("query_id", F.col("doc").alias("chunk_id"), score.alias("score")), k, F.desc("score"), F.asc("chunk_id"))
 
+    def _by_slot(self, slots: DataFrame, weights: pa.Table, held: DataFrame, dead: DataFrame, mean: float, places: int | None, k: int) -> DataFrame:
+        """A slot's blocks, its open queries and its dead texts meet; the slot's best of each query go on."""
+        k1, b = self.k1, self.b
+        weights = weights.sort_by([("term", "ascending"), ("query_id", "ascending")])
+        terms = pc.unique(weights.column("term"))
+        code = pc.index_in(weights.column("term"), value_set=terms).to_numpy()
+        ids, owner = np.unique(weights.column("query_id").to_numpy(), return_inverse=True)
+        shipped = self.spark.sparkContext.broadcast((terms, np.searchsorted(code, np.arange(len(terms) + 1)), ids, owner, weights.column("weight").to_numpy()))
+
+        def score(key: tuple, blocks: pa.Table, open_: pa.Table) -> pa.Table:
+            terms, start, ids, owner, weight = shipped.value
+            asked = np.unique(open_.column("query_id").drop_null().to_numpy())
+            best = _Best(asked, k)
+            if len(asked) and len(blocks):
+                flat = lambda c: pc.list_flatten(blocks.column(c)).to_numpy()
+                size = pc.list_value_length(blocks.column("docs")).to_numpy()
+                tf, dl = flat("counts").astype(float), flat("lengths").astype(float)
+                texts, text = np.unique(flat("docs"), return_inverse=True)
+                impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+                term = np.repeat(pc.index_in(blocks.column("term"), value_set=terms).to_numpy(), size)
+                # the open queries of each term
+                place = np.full(len(ids), -1)
+                place[np.searchsorted(ids, asked)] = np.arange(len(asked))
+                open_now = place[owner] >= 0
+                query, value, first = place[owner][open_now], weight[open_now], np.append(0, np.cumsum(open_now))[start]
+                each = first[term + 1] - first[term]
+                total, done = np.cumsum(each), 0
+                found = np.zeros(len(asked) * len(texts))
+                while done < len(term):
+                    end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _CELLS, "right")))
+                    part = each[done:end]
+                    entry = np.repeat(np.arange(done, end), part)
+                    use = np.arange(len(entry)) - np.repeat(np.cumsum(part) - part, part) + first[term[entry]]
+                    found += np.bincount(query[use] * len(texts) + text[entry], value[use] * impact[entry], len(found))
+                    done = end
+                found = found.reshape(len(asked), len(texts))
+                found[:, np.isin(texts, open_.column("doc").drop_null().to_numpy())] = 0
+                best.add(texts, _rounded(found, places), 0.0)
+            return pa.Table.from_batches([best.rows()])
+
+        named = slots.select("query_id", F.lit(None).cast("long").alias("doc"), "segment", "slot")
+        where = few(stored(slots.select("segment", "slot").distinct()))
+        gone = dead.join(where, ["segment", "slot"], "left_semi").select(F.lit(None).cast("long").alias("query_id"), "doc", "segment", "slot")
+        asked = F.broadcast(self.spark.createDataFrame(pa.table({"term": terms}), "term string"))
+        blocks = held.select("term", "segment", "slot", "docs", "counts", "lengths").join(asked, "term", "left_semi").join(where, ["segment", "slot"], "left_semi")
+        found = blocks.groupBy("segment", "slot").cogroup(named.unionByName(gone).groupBy("segment", "slot")).applyInArrow(score, "query_id long, chunk_id long, score double")
+        return rank(found, k, F.desc("score"), F.asc("chunk_id"))
+
 
 def _digits(n: int, base: int) -> list[int]:
     out = []

@@ -16,10 +16,10 @@ INDEXES = Catalog()
 _LIVE = "live AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' amended' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
 
 
-def keyword_index(spark, sf_dir) -> KeywordIndex:
+def keyword_index(spark, sf_dir, slot_texts: int = 256) -> KeywordIndex:
     """Even documents arrive first, then the odd ones with every fifth even one amended; every seventh of all is deleted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = KeywordIndex(spark, scratch_folder(spark, "keywords"), slot_texts=64)
+    index = KeywordIndex(spark, scratch_folder(spark, "keywords"), slot_texts=slot_texts)
     index.append(docs.where("doc_id % 2 = 0"))
     second = docs.where("doc_id % 2 = 1 OR doc_id % 10 = 0")
     index.append(second.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" amended"))).otherwise(F.col("text"))))
@@ -50,14 +50,12 @@ def keyword_index_merged_topk(spark, sf_dir):
     f"WITH {_LIVE}, n AS (SELECT len({tokens_sql('text')}) AS dl FROM live) SELECT 2 AS segments, count(*) AS texts, sum(dl)::BIGINT AS tokens, true AS skipped, true AS only_asked FROM n WHERE dl > 0"
 )
 def keyword_index_statistics(spark, sf_dir):
-    """Numbers of the index, and whether a search for one document's words left blocks of them, and blocks of other words, unread."""
-    index = keyword_index(spark, sf_dir)
+    """Numbers of the index, and whether a search left blocks of a query's words unscored, and blocks of other words unread."""
+    index = keyword_index(spark, sf_dir, 64)
     numbers = index.statistics()
-    # words of single documents: what a search engine is asked for
-    asked = _asked(spark, sf_dir)
-    found, counts = index.explain(asked, 1, places=6)
+    found, counts = index.explain(_asked(spark, sf_dir), 1, places=6)
     row = [F.lit(numbers[c]).cast("int" if c == "segments" else "long").alias(c) for c in ("segments", "texts", "tokens")]
-    return counts.select(*row, (F.col("read") < F.col("asked")).alias("skipped"), (F.col("asked") < F.col("blocks")).alias("only_asked"))
+    return counts.select(*row, (F.col("read") < F.col("asked")).alias("skipped"), (F.col("held") < F.col("blocks")).alias("only_asked"))
 
 
 # ---------------------------------------------------------------- vectors

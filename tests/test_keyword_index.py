@@ -63,9 +63,13 @@ def test_answers_after_arrivals_deletions_and_merges(spark, tmp_path):
     found, counts = index.explain(queries, 3, places=6)
     found.collect()
     counts = counts.first()
-    assert 0 < counts.read < counts.asked < counts.blocks
+    assert 0 < counts.read < counts.asked and counts.held < counts.blocks
     # however many slots are scored at first, the result is the same
     assert sorted(found.collect()) == sorted(index.search(queries, 3, places=6, head=1000).collect())
+    # nor does it matter whether the weights are shipped
+    index.shipped = -1
+    assert sorted((r.query_id, r.rank, r.chunk_id) for r in index.search(queries, 3, places=6).collect()) == sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect())
+    index.shipped = 1 << 24
     # an old version answers as it did
     same(spark, index, list(live.items()), queries, version=before)
     # merging changes what is stored and nothing else

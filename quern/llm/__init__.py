@@ -1,4 +1,4 @@
-"""Corpus preparation for language-model training: ten operators, their queries and SQL.
+"""Corpus preparation for language-model training: thirteen operators, their queries and SQL.
 
 Nothing else in the library imports this subpackage.
 """

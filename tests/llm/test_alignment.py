@@ -132,3 +132,14 @@ def test_the_ranks_of_the_file_split_all_characters_as_its_own_library(libraries
     texts = ["".join(chr(c) + rng.choice(["", "a", "1", " ", ".", "é", "\n"]) for c in points[k : k + 400]) for k in range(0, len(points), 400)]
     theirs = libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False)
     assert [list(x) for x in side.encode(texts)] == [e.ids for e in theirs]
+
+
+def test_the_registered_query_over_its_whole_table(spark, libraries):
+    from quern.llm.queries import QUERIES
+    from tests.conftest import SF
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = QUERIES["op11_tokenizer_alignment"](spark, str(SF))
+    assert got.columns == ["doc_id", *FIELDS[1:], "groups_sha256"]
+    want = [(*(d[f] for f in FIELDS), d["digest"]) for d in truth(rows, libraries)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -107,7 +107,7 @@ def documents(spark):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= names
 
 

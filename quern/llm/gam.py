@@ -9,7 +9,7 @@ is the intercept plus one addition for each table, over whole Arrow batches.
 
 Fitting sees at most about ``max_rows`` labelled rows (a hash sample when there are more), of
 whose ids the fold rule allows learning; scoring covers every row and whole texts. The features
-are thirteen counts and ratios of the text's surface (see ``features``); the model never sees words.
+are fourteen counts and ratios of the text's surface (see ``features``); the model never sees words.
 
 Edge cases: null and empty texts are scored from zero counts; null labels are not used, equal rows
 with equal labels teach once; without labels every score is 0.5, with labels of one class

@@ -7,7 +7,8 @@ under the same centroids; replaced and deleted vectors are addresses in a table
 
 A search looks into the ``probes`` nearest lists of each query, which prunes the others' partitions, keeps each query's ``rescore`` x k best
 by their codes where rows are read, fetches those vectors, and ranks them by the exact cosine. With ``exact=True`` it scores all vectors of all lists, as ``search.vector_topk``.
-``recall`` measures the share of exact neighbours that a search finds, ``calibrate`` looks for the fewest probes with which it is high enough.
+``recall`` measures the share of exact neighbours that a search finds, ``calibrate`` looks for the ``rescore`` and the fewest probes with which it is high enough:
+the codes lose the more neighbours the more rows there are, and probes do not bring those back.
 
 Edge cases: rows without a vector are not indexed; zero vectors have cosine 0 and lie in some list; ids must be longs, distinct within an arrival
 and not null; all vectors have the dimensions of the index; an empty index answers with no rows.
@@ -20,7 +21,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
@@ -67,10 +68,11 @@ def _nearest(x: np.ndarray, centres: np.ndarray, step: int = 4096) -> tuple[np.n
 
 
 class VectorIndex:
-    """An index in one folder. ``lists``: by default the square root of the rows; ``pieces``: bytes of a vector's code."""
+    """An index in one folder. ``lists``: by default the square root of the rows; ``pieces``: bytes of a vector's code; ``rescore``: what searches use that state none."""
 
-    def __init__(self, spark: SparkSession, root: str, lists: int | None = None, pieces: int = 8, rounds: int = 12, seed: int = 7):
+    def __init__(self, spark: SparkSession, root: str, lists: int | None = None, pieces: int = 8, rounds: int = 12, seed: int = 7, rescore: int = 20):
         self.spark, self.tables, self.lists, self.pieces, self.rounds, self.seed = spark, Snapshots(spark, root, TABLES), lists, pieces, rounds, seed
+        self.rescore = rescore
 
     # ------------------------------------------------------------ building
 
@@ -169,9 +171,10 @@ class VectorIndex:
         dead = self.tables.read("dead", version)
         return rows.join(few(stored(dead)), ["id", "part_no"], "left_anti") if self.tables.parts(version)["dead"] else rows
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 8, query_id: str = "query_id", embedding: str = "embedding", exact: bool = False, rescore: int = 20, places: int | None = None, conditions: Mapping[str, object] | None = None, version: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 8, query_id: str = "query_id", embedding: str = "embedding", exact: bool = False, rescore: int | None = None, places: int | None = None, conditions: Mapping[str, object] | None = None, version: int | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank of the k vectors with the largest cosine among the lists looked into (all of them if ``exact``)."""
         version = self.tables.version() if version is None else version
+        rescore = self.rescore if rescore is None else rescore
         if not self.tables.parts(version)["vectors"]:
             return self.spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
         rows = where_metadata(self.live(version), conditions)
@@ -219,22 +222,45 @@ class VectorIndex:
         return stored(self.search(queries, k, exact=True, **options).select("query_id", "chunk_id"))
 
     def calibrate(self, queries: DataFrame, k: int = 10, least: float = 0.95, **options) -> tuple[int, float]:
-        """The fewest probes with at least this recall for the queries, by doubling and halving, and that recall."""
+        """The fewest probes with at least this recall for the queries, by doubling and halving, and that recall.
+
+        Before that ``rescore``, if none is given, is doubled until the codes alone, over all lists, lose at most half of
+        what may be lost, so that the other half is left to the probes; later searches of this object use it.
+        """
         known, shares = self.neighbours(queries, k, **options), {}
 
         def share(probes: int) -> float:
-            if probes not in shares:
-                shares[probes] = self.recall(queries, k, probes, known, **options).first().recall
-            return shares[probes]
-
-        low, high, lists = 0, 1, self._model(self.tables.version())["lists"]
+            if (probes, self.rescore) not in shares:
+                shares[probes, self.rescore] = self.recall(queries, k, probes, known, **options).first().recall
+            return shares[probes, self.rescore]
+
+        lists, rows = self._model(self.tables.version())["lists"], self.live().count()
+        while options.get("rescore") is None and k * self.rescore < rows and share(lists) < (1 + least) / 2:
+            self.rescore *= 2
+        low, step = self._too_few(queries, known, least, lists, **options), 1
+        high = min(low + step, lists)
         while high < lists and share(high) < least:
-            low, high = high, min(2 * high, lists)
+            low, step = high, 2 * step
+            high = min(low + step, lists)
         while high - low > 1:
             middle = (low + high) // 2
             low, high = (low, middle) if share(middle) >= least else (middle, high)
         return high, share(high)
 
+    def _too_few(self, queries: DataFrame, known: DataFrame, least: float, lists: int, query_id: str = "query_id", embedding: str = "embedding", **options) -> int:
+        """The most probes whose lists do not even hold enough of the exact neighbours, from one look at where these lie."""
+        asked = self.probed(queries, lists, self._model(self.tables.version()), query_id, embedding).select("query_id", "lists")
+        near = known.join(self.live().select(F.col("id").alias("chunk_id"), "list"), "chunk_id").join(few(stored(asked)), "query_id")
+        weight = 1 / F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+        near = near.select("query_id", F.array_position("lists", F.col("list")).alias("place"), weight.alias("weight"))
+        held = {r.place: r.held for r in near.groupBy("place").agg(F.sum("weight").alias("held")).collect()}  # at most the lists of the model
+        total, reached = sum(held.values()), 0.0
+        for place in range(1, lists + 1):
+            reached += held.get(place, 0.0)
+            if reached >= (least - 1e-9) * total:
+                return place - 1
+        return lists - 1
+
 
 def _learned(model: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     centres = np.frombuffer(model["centroids"]).reshape(-1, model["dimensions"])

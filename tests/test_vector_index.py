@@ -91,3 +91,16 @@ def test_blocks_of_queries_beyond_the_shipped_ones(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(search, "BLOCK_QUERIES", 2)
     monkeypatch.setattr(search, "GROUP_ROWS", 30)
     assert key(index.search(queries, 5, probes=2, places=5).collect()) == one
+
+
+def test_calibration_rescores_more_where_codes_lose_neighbours(spark, tmp_path):
+    """Vectors without clusters and codes of one byte: no number of probes is enough for the rows that are rescored at first."""
+    x = np.random.default_rng(5).normal(size=(900, 16))
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    queries = frame.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = VectorIndex(spark, f"file://{tmp_path}/index", lists=8, pieces=1, rescore=2)
+    index.build(frame)
+    assert index.recall(queries, 10, 8).first().recall < 0.9
+    probes, share = index.calibrate(queries, 10, 0.9)
+    assert share >= 0.9 and probes <= 8 and index.rescore > 2
+    assert index.recall(queries, 10, probes).first().recall == share

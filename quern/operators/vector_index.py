@@ -178,7 +178,8 @@ class VectorIndex:
         if not self.tables.parts(version)["vectors"]:
             return self.spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
         rows = where_metadata(self.live(version), conditions)
-        if exact:
+        # where all rows are looked at and rescored the codes choose nothing, and would only make pairs of all queries and rows
+        if exact or (probes >= self._model(version)["lists"] and k * rescore >= rows.count()):
             return vector_topk(rows, queries, k, places=places, vector_id="id", query_id=query_id, embedding=embedding)
         model = self._model(version)
         asked = stored(self.probed(queries, probes, model, query_id, embedding))

@@ -104,3 +104,15 @@ def test_calibration_rescores_more_where_codes_lose_neighbours(spark, tmp_path):
     probes, share = index.calibrate(queries, 10, 0.9)
     assert share >= 0.9 and probes <= 8 and index.rescore > 2
     assert index.recall(queries, 10, probes).first().recall == share
+
+
+def test_codes_that_leave_nothing_out_make_no_pairs(spark, tmp_path, monkeypatch):
+    """All lists and as many rescored as there are: the vectors are scored where they are read, not by pairs of all queries and rows."""
+    rows = vectors(200)
+    frame, queries = spark.createDataFrame(rows, ROWS), asked(spark, rows)
+    index = VectorIndex(spark, f"file://{tmp_path}/index", lists=6, pieces=5)
+    index.build(frame)
+    index.delete(frame.where("vec_id % 9 = 4").select("vec_id"))
+    monkeypatch.setattr("quern.operators.vector_index._code_scorer", None)
+    want = search.vector_topk(frame.where("vec_id % 9 <> 4"), queries, 3, places=5).collect()
+    assert key(index.search(queries, 3, probes=1 << 20, rescore=1 << 20, places=5).collect()) == key(want)

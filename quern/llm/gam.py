@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import features
-from quern.llm.shared import LOCATOR, drop_rows, land, located, slices
+from quern.llm.shared import LOCATOR, drop_rows, land, located, slices, small_enough
 
 #: Expected upper bound of the rows a model is fitted on.
 MAX_ROWS = 50_000
@@ -199,6 +199,13 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, label_col: str = "quality
     return counts, rows.column("label").to_numpy()
 
 
+def labelled(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
+    """(id, counts, label) of all labelled rows that may teach, landed; equal rows with equal labels count once."""
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = land(known.where(learnable()).distinct(), "known")
+    return land(stats.select("id", *features.NAMES).join(small_enough(known, 32), "id").distinct(), "labelled")
+
+
 def _sample(rows: DataFrame, mark, most: int) -> DataFrame:
     """Landed rows, thinned by a hash to about ``most`` if they are more."""
     rows = land(rows, "known")

@@ -1,10 +1,11 @@
 """Quality rules: base rules, and an isolation forest on the rules' statistics.
 
-The forest is grown on subsamples of the labelled rows' statistics: every tree splits a random
+The forest is grown on subsamples of the labelled rows' statistics, as the method has it (``sample`` rows a tree; at most as
+many as all trees take together are fetched, by their hash): every tree splits a random
 feature at a random point between the smallest and largest value it meets, until a row stands
 alone or the depth limit is reached. A document that such splits isolate early has a short mean
-path and so a high anomaly score. The score above which a document is refused is calibrated on the
-labelled rows that pass the base rules: the one with the greatest share of poor documents refused
+path and so a high anomaly score. The score above which a document is refused is calibrated on all
+labelled rows that pass the base rules, counted over the cluster: the one with the greatest share of poor documents refused
 less ``loss_weight`` times the share of good ones refused.
 
 The forest sees six of the surface ratios of ``features``. The shares of repeated lines and of words
@@ -24,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from quern.llm import features
-from quern.llm.gam import MAX_ROWS, labelled_rows, text_statistics
+from quern.llm.gam import labelled, text_statistics
 from quern.llm.shared import land
 
 #: The statistics that rules are about.
@@ -104,16 +106,49 @@ def calibrate(score: np.ndarray, good: np.ndarray, loss_weight: float) -> float:
     return float(cuts[np.argmax(above(score[~good]) - loss_weight * above(score[good]))])
 
 
+def drawn(known: DataFrame, most: int) -> np.ndarray:
+    """What the forest sees of about ``most`` rows, or of all if they are fewer, in the order of their ids' hashes."""
+    n, mark = known.count(), F.pmod(F.xxhash64("id", "label", *features.NAMES), F.lit(1 << 31))
+    rows = known if n <= most else known.where(mark < int(most / n * (1 << 31)))
+    rows = rows.orderBy(F.xxhash64("id"), "label", *features.NAMES).toArrow()
+    return features.ratios({k: rows.column(k).to_numpy() for k in features.NAMES})[:, _AT]
+
+
+def calibrated(known: DataFrame, forest: Forest, loss_weight: float) -> float:
+    """``calibrate`` over all labelled rows (label, counts of ``features.NAMES``), by sums over ranges of scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {n: batch.column(n).to_numpy() for n in features.NAMES}
+            passes = ~base_failed(found)
+            good = batch.column("label").to_numpy() == 1
+            score = forest.anomaly(features.ratios(found)[:, _AT])
+            yield pa.RecordBatch.from_arrays([pa.array(score[passes]), pa.array(good[passes].astype(np.int64)), pa.array((~good[passes]).astype(np.int64))], ["score", "good", "poor"])
+
+    kinds = ("good", "poor")
+    sums = lambda prefix="": [F.sum(k).alias(prefix + k) for k in kinds]
+    cuts = known.mapInArrow(run, "score double, good long, poor long").groupBy("score").agg(*sums())
+    cuts = land(cuts.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "cuts")
+    parts = cuts.groupBy("part").agg(*sums()).orderBy("part").collect()  # as many as partitions
+    all_of = {k: sum(r[k] for r in parts) for k in kinds}
+    if not all_of["good"] or not all_of["poor"]:
+        return float("inf")
+    before = [(r["part"], *(sum(q[k] for q in parts[:i]) for k in kinds)) for i, r in enumerate(parts)]
+    below = Window.partitionBy("part").orderBy("score")
+    above = lambda k: 1 - (F.col(f"before_{k}") + F.sum(k).over(below)) / F.lit(float(all_of[k]))
+    placed = cuts.join(F.broadcast(cuts.sparkSession.createDataFrame(before, "part int, before_good long, before_poor long")), "part")
+    return placed.select("score", (above("poor") - loss_weight * above("good")).alias("balance")).orderBy(F.desc("balance"), "score").first().score
+
+
 def judge(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_weight: float = 5.0, max_rows: int = MAX_ROWS, trees: int = 200, sample: int = 512
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_weight: float = 5.0, trees: int = 200, sample: int = 512
 ) -> DataFrame:
     """(id, counts, base_failed, anomaly, threshold, kept) for each row of ``docs``."""
     stats = land(text_statistics(docs, id_col, text_col), "statistics")
-    counts, label = labelled_rows(stats, labels, max_rows=max_rows)
-    x = features.ratios(counts)[:, _AT]
-    passes = ~base_failed(counts)
+    known = labelled(stats, labels)
+    x = drawn(known, trees * sample)
     forest = grow(x, trees, sample) if len(x) else None
-    threshold = calibrate(forest.anomaly(x[passes]), label[passes] == 1, loss_weight) if forest else float("inf")
+    threshold = calibrated(known, forest, loss_weight) if forest else float("inf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -245,3 +245,14 @@ def test_poor_rows_go_by_their_own_score(spark):
     extra = docs.limit(1).select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("doc_id"), F.lit(t).alias("text")) for i, t in ((None, poor), (None, good), (10**9, poor), (10**9, good))))).alias("x")).select("x.*")
     kept = gam.drop_poor(docs.select("doc_id", "text").unionByName(extra), labels).where("doc_id IS NULL OR doc_id = 1000000000").collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, good), (10**9, good)], key=str)
+
+
+def test_threshold_counts_all_labelled_rows(spark):
+    """The cluster's sums against ``calibrate`` over every labelled row, with a forest that was drawn from few of them."""
+    rows = [(i, " ".join(f"{'#' * (i % 7) if i % 4 == 0 else ''}word{i % 13}n{j}{'x' * (j % (2 + i % 9))}" for j in range(60 + i % 5))) for i in range(400)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int")
+    got = isolation.judge(docs, labels, trees=5, sample=8)
+    taught = got.join(labels.withColumnRenamed("doc_id", "id"), "id").where(gam.learnable()).where("not base_failed").toPandas()
+    want = isolation.calibrate(taught["anomaly"].to_numpy(), taught["quality"].to_numpy() == 1, 5.0)
+    assert len(taught) > 100 and got.first().threshold == want

@@ -28,6 +28,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def landed(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` computed once and kept beside the stored tables as compressed columns, of which later scans read what they need: for wide rows."""
+    path = scratch_folder(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _gone_at_exit(spark, path: str) -> None:
     """The file system deletes the folder when the driver's JVM ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -231,6 +231,25 @@ def test_similar_pairs_and_classes_reach_every_document(spark):
     assert linked == {(a, b) for a, x in sets for b, y in sets if a < b and X.overlap(x, y) >= 0.8}
 
 
+def test_similar_pairs_send_words_once_a_bundle(spark, monkeypatch):
+    """Near copies of one text: every two are a pair, and a text's words are sent to the bundles that it is in, not to every pair."""
+    monkeypatch.setattr(X, "CELL", 16)
+    monkeypatch.setattr(X, "BUNDLE", 64)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} extra{i}") for i in range(100)] + [(200 + i, f"other{i} {i}") for i in range(20)]
+    sent, landed = [], X._compared
+
+    def counted(pairs, classes, threshold):
+        found = landed(pairs, classes, threshold)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        sent.append("FlatMapCoGroupsInArrow" in plan)
+        return found
+
+    monkeypatch.setattr(X, "_compared", counted)
+    got = {(r.a, r.b, round(r.similarity, 6)) for r in X.similar_pairs(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(a, b, round(60 / 62, 6)) for a in range(100) for b in range(a + 1, 100)} and sent == [True]
+
+
 # ---------------------------------------------------------------- the collection
 
 VEC = "id long, embedding array<double>, metadata map<string,string>, document string"

@@ -1,12 +1,12 @@
 """Phrases mined by contiguous pattern growth.
 
 Words stand for 64-bit hashes (XXH64; a seed that gives a frequent word the hash of any other word is given up for the next, so
-counts are exact). A phrase is frequent only if its parts are, so an occurrence is followed only while its words and
-its neighbouring pairs may be frequent: two bit arrays of fixed size hold the frequent words, and the pairs whose hashed
-counters reach the threshold; they let some more pass and never fewer. What remains of each occurrence, up to
-``longest`` words, is the pointer projected onto its first word. Equal pointers of a task are one row with a count.
+counts are exact). A phrase is frequent only if its parts are, so pairs of frequent words are counted first, then triples
+of frequent pairs, each by a combined aggregation, and an occurrence is followed only while its triples are frequent. Bit arrays of fixed size
+hold the frequent words, pairs and triples; they let some more pass and never fewer. What remains of each occurrence, up to
+``longest`` words, is the pointer projected onto its first words. Equal pointers of a task are one row with a count.
 
-Prefixes of two words are counted by a combined aggregation and dealt over tasks, each to one, with all its pointers, and grown there
+Prefixes of three words are dealt over tasks, each to one, with all its pointers, and grown there
 to the right, depth first: pointers are sorted, so those of each longer prefix are a range of them. A prefix with more than ``MOST``
 occurrences is not mined at once: its extensions by one word are counted in the same way and become prefixes of their own, again and again
 while they are too frequent, so a task's pointers are bounded whatever a language's most frequent words are.
@@ -35,6 +35,8 @@ from quern.llm.simhash import xxh64
 
 #: Occurrences of a prefix up to which one task grows it, and pointers dealt to a task.
 MOST, DEALT = 1 << 17, 1 << 18
+#: Words of the prefixes that are dealt; shorter phrases, and these, are counted and not grown.
+PREFIX = 3
 #: log2 of the bits of each array of what may be frequent: 8 MB.
 BITS = 26
 #: Distinct rows that a task holds before it hands them on.
@@ -75,7 +77,7 @@ class Pieces:
 
 
 def _slots(lang: str, *words: np.ndarray) -> np.ndarray:
-    """The place of words or pairs of a language in a bit array."""
+    """The place of words, or of runs of words, of a language in a bit array."""
     with np.errstate(over="ignore"):
         h = np.full(len(words[0]), xxhash.xxh64_intdigest(lang, 7), np.uint64)
         for w in words:
@@ -155,52 +157,72 @@ def _bit_array(slots: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _frequent_words(words: DataFrame, least: int) -> np.ndarray:
+def _bits_of(frequent: DataFrame, *names: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in batch.column("lang").unique().to_pylist():
-                h = batch.filter(pc.equal(batch.column("lang"), lang)).column("h").to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(lang, h))], ["slot"])
+                rows = batch.filter(pc.equal(batch.column("lang"), lang))
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(lang, *(rows.column(w).to_numpy().view(np.uint64) for w in names)))], ["slot"])
 
-    return _bit_array(words.where(F.col("n") >= least).select("lang", "h").mapInArrow(run, "slot long"))
+    return _bit_array(frequent.select("lang", *names).mapInArrow(run, "slot long"))
 
 
-def _frequent_pairs(docs: DataFrame, known, seed: int, least: int) -> np.ndarray:
-    """Pairs are counted by their slot, so there are never more counters than bits."""
+def _names(size: int) -> list[str]:
+    return [f"w{k + 1}" for k in range(size)]
+
+
+def _both(x: Pieces, alive: np.ndarray) -> np.ndarray:
+    """For each word, whether the runs that begin there and at the next word of its piece are both alive."""
+    return x.linked & alive & np.append(alive[1:], False)[: len(x)]
+
+
+def _alive(lang: str, x: Pieces, h: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """For each word, whether the run of ``len(bits)`` words that begins there, and its parts, may be frequent."""
+    alive = _held(bits[0], _slots(lang, h))[x.ids]
+    for size in range(2, len(bits) + 1):
+        alive = _both(x, alive)
+        at = np.flatnonzero(alive)
+        alive[at] = _held(bits[size - 1], _slots(lang, *(h[x.ids[at + k]] for k in range(size))))
+    return alive
+
+
+def _runs(docs: DataFrame, known: list, seed: int) -> DataFrame:
+    """(lang, w1 .., n): the occurrences of the runs that are a word longer than the last of ``known`` and have no part that cannot be frequent."""
+    size = len(known) + 1
+    names = _names(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, word_bits = _Sums(["slot"]), known.value
+        sums, bits = _Sums(["lang", *names]), [b.value for b in known]
         for batch in batches:
             for lang, x in _by_language(batch):
                 h = x.hashes(seed)
-                often = _held(word_bits, _slots(lang, h))[x.ids]
-                at = np.flatnonzero(x.linked & often & np.append(often[1:], False))
-                slots, n = np.unique(_slots(lang, h[x.ids[at]], h[x.ids[at + 1]]), return_counts=True)
-                yield from sums.add(pa.array(slots), n=n)
+                at = np.flatnonzero(_both(x, _alive(lang, x, h, bits)))
+                ids, n = [x.ids[at + k] for k in range(size)], np.ones(len(at), np.int64)
+                if size == 2:  # most words have one, so equal ones of a slice are added up first
+                    pairs, n = np.unique(ids[0] * len(h) + ids[1], return_counts=True)
+                    ids = list(np.divmod(pairs, max(1, len(h))))
+                yield from sums.add(pa.array([lang] * len(n), pa.string()), *(pa.array(h[i].view(np.int64)) for i in ids), n=n)
         yield from sums.rest()
 
-    counted = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    return _bit_array(counted.where(F.col("n") >= least).select("slot"))
+    counted = docs.mapInArrow(run, f"lang string, {', '.join(f'{w} long' for w in names)}, n long")
+    return counted.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
-def _pointers(docs: DataFrame, known, pairs, seed: int, longest: int) -> DataFrame:
-    """(lang, w1 .. w<longest>, n): what follows each occurrence, 0 where it ends or cannot be frequent any more."""
-    names = [f"w{k + 1}" for k in range(longest)]
+def _pointers(docs: DataFrame, known: list, seed: int, longest: int) -> DataFrame:
+    """(lang, w1 .. w<longest>, n): what follows each occurrence of a prefix that may be frequent in a longer phrase, 0 where it ends or cannot be frequent any more."""
+    names, size = _names(longest), len(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, word_bits, pair_bits = _Sums(["lang", *names]), known.value, pairs.value
+        sums, bits = _Sums(["lang", *names]), [b.value for b in known]
         for batch in batches:
             for lang, x in _by_language(batch):
                 h = x.hashes(seed)
-                often = _held(word_bits, _slots(lang, h))[x.ids]
-                alive = x.linked & often & np.append(often[1:], False)
-                at = np.flatnonzero(alive)
-                alive[at] = _held(pair_bits, _slots(lang, h[x.ids[at]], h[x.ids[at + 1]]))
-                at = np.flatnonzero(alive)
-                columns, on = [h[x.ids[at]]], np.ones(len(at), bool)
-                for k in range(1, longest):
-                    on = on & np.append(alive, np.zeros(longest, bool))[at + k - 1]
-                    columns.append(np.where(on, h[x.ids[np.minimum(at + k, max(len(x) - 1, 0))]], np.uint64(0)) if len(at) else columns[0])
+                alive = _alive(lang, x, h, bits)
+                at = np.flatnonzero(_both(x, alive))
+                columns, on, alive = [h[x.ids[at + k]] for k in range(size + 1)], np.ones(len(at), bool), np.append(alive, np.zeros(longest, bool))
+                for k in range(size + 1, longest):
+                    on = on & alive[at + k - size + 1]
+                    columns.append(np.where(on, h[x.ids[np.minimum(at + k, len(x) - 1)]], np.uint64(0)) if len(at) else columns[0])
                 yield from sums.add(pa.array([lang] * len(at), pa.string()), *(pa.array(c.view(np.int64)) for c in columns), n=np.ones(len(at), np.int64))
         yield from sums.rest()
 
@@ -221,7 +243,7 @@ def _grow(words: np.ndarray, n: np.ndarray, depth: int, least: int, out: list) -
 
 def _grown(pointers: DataFrame, depth: int, least: int, longest: int, tasks: int) -> DataFrame:
     """(lang, w, n): the phrases that grow from the prefixes of ``depth`` words, all of a prefix in one task."""
-    names = [f"w{k + 1}" for k in range(longest)]
+    names = _names(longest)
 
     def mine(key: tuple, part: pa.Table) -> pa.Table:
         langs, found, of = part.column("lang").combine_chunks().dictionary_encode(), [], []
@@ -251,18 +273,21 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         seed += 1
         words = land(word_counts(docs, text_col, lang_col, seed), "words")
     rows = _rows(docs, text_col, lang_col)
-    known = spark.sparkContext.broadcast(_frequent_words(words, least))
-    pairs = spark.sparkContext.broadcast(_frequent_pairs(rows, known, seed, least))
-    pointers = land(_pointers(rows, known, pairs, seed, longest), "pointers")
-    path = scratch_path(spark, "phrases")
+    path, often = scratch_path(spark, "phrases"), words.where(F.col("n") >= least)
+    known = [spark.sparkContext.broadcast(_bits_of(often, "h"))]
     for depth in range(2, longest + 1):
-        names = [f"w{k + 1}" for k in range(depth)]
-        # prefixes of this length: of all pointers at first, then of those of prefixes too frequent for one task
-        prefixes = land(pointers.groupBy("lang", *names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "prefixes")
+        names = _names(depth)
+        # prefixes of this length: of all texts at first, then of the pointers of prefixes too frequent for one task
+        counted = _runs(rows, known, seed) if depth <= PREFIX else pointers.groupBy("lang", *names).agg(F.sum("n").alias("n"))
+        prefixes = land(counted.where(F.col("n") >= least), "prefixes")
         prefixes.select("lang", F.array(*names).alias("w"), "n").write.mode("append").parquet(path)
         if depth == longest:
             break
-        pointers = pointers.where(F.col(f"w{depth + 1}") != 0)
+        if depth <= PREFIX:
+            known.append(spark.sparkContext.broadcast(_bits_of(prefixes, *names)))
+        if depth < PREFIX:
+            continue
+        pointers = land(_pointers(rows, known, seed, longest), "pointers") if depth == PREFIX else pointers.where(F.col(f"w{depth + 1}") != 0)
         heavy = prefixes.where(F.col("n") > most).withColumnRenamed("n", "held")
         last = heavy.isEmpty()
         light = pointers if last else pointers.join(small_enough(heavy.drop("held"), 24 + 8 * depth), ["lang", *names], "left_anti")

@@ -70,6 +70,16 @@ def test_collocations_against_brute_force(spark, sizes):
     assert len({r[0] for r in want}) == 4 and any(len(r[2].split()) == 5 for r in want)
 
 
+def test_only_frequent_triples_are_followed(spark, monkeypatch):
+    """Pairs that are frequent and overlap make no pointers unless their triple is frequent too."""
+    rows = [("en", f"p{j} m q{k}") for j in range(9) for k in range(9)] + [("en", "P0 m q0\tz")] * 6
+    landed, land = {}, collocations.land
+    monkeypatch.setattr(collocations, "land", lambda df, tag: landed.setdefault(tag, land(df, tag)) if tag == "pointers" else land(df, tag))
+    got = sorted(tuple(r) for r in collocations.collocations(table(spark, rows), least=6).collect())
+    assert got == truth(rows, 6) and {r[2] for r in got} > {"p1 m", "m q1", "p0 m q0", "p0 m q0 z"}
+    assert sum(r.n for r in landed["pointers"].collect()) == 6
+
+
 def test_ties_at_the_last_rank_go_by_the_phrase(spark):
     rows = [("en", f"p{k} q{k}. Ü{k} é{k}. ") for k in range(20) for _ in range(3)]
     got = sorted(tuple(r) for r in collocations.collocations(table(spark, rows), least=3, first=7).collect())

@@ -53,13 +53,21 @@ class _Best:
         self.ids, self.k = ids, k
         self.query, self.chunk, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.floor = np.full(len(ids), -np.inf)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, chunks: np.ndarray, score: np.ndarray, least: float = -np.inf) -> None:
-        """``score`` is queries by chunks; scores not above ``least`` do not count."""
-        n = score.shape[1]
-        floor = self.floor if n <= self.k else np.maximum(self.floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
+    def add(self, chunks: np.ndarray, score: np.ndarray, least: float = -np.inf, who: np.ndarray | None = None) -> None:
+        """``score`` is queries (all, or those at the places ``who``) by chunks; scores not above ``least`` do not count."""
+        n, floor = score.shape[1], self.floor if who is None else self.floor[who]
+        floor = floor if n <= self.k else np.maximum(floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
         query, at = np.nonzero((score >= floor[:, None]) & (score > least))  # minus infinity is never above
-        query, chunk, value = np.concatenate([self.query, query]), np.concatenate([self.chunk, chunks[at]]), np.concatenate([self.score, score[query, at]])
+        self.new.append((query if who is None else who[query], chunks[at], score[query, at]))
+        if sum(len(x[0]) for x in self.new) >= self.k * len(self.ids):
+            self._merge()
+
+    def _merge(self) -> None:
+        parts = [(self.query, self.chunk, self.score), *self.new]
+        query, chunk, value = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        self.new = []
         order = np.lexsort((chunk, -value, query))
         query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -69,6 +77,7 @@ class _Best:
         self.floor[full] = self.score[np.searchsorted(self.query, full, "right") - 1]
 
     def rows(self) -> pa.RecordBatch:
+        self._merge()
         return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.chunk), pa.array(self.score)], ["query_id", "chunk_id", "score"])
 
 
@@ -77,21 +86,26 @@ _Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def _best_of(rows: DataFrame, asked: DataFrame | pa.Table, kernel: Callable[[pa.Table], _Kernel], k: int) -> DataFrame:
     """The k best rows of each query; ``kernel`` turns a block of queries into a function over batches of rows."""
+    return rank(_met(rows, asked, kernel, _SCORES), k, F.desc("score"), F.asc("chunk_id"))
+
+
+def _met(rows: DataFrame, asked: DataFrame | pa.Table, kernel: Callable[[pa.Table], _Kernel], schema: str) -> DataFrame:
+    """What ``kernel`` makes of each block of queries and each task's or group's rows."""
     block = asked if isinstance(asked, pa.Table) else asked.limit(BLOCK_QUERIES + 1).toArrow()
     if block.num_rows <= BLOCK_QUERIES:
-        found = rows.mapInArrow(kernel(block), _SCORES)
-    else:
-        asked = rows.sparkSession.createDataFrame(asked) if isinstance(asked, pa.Table) else asked
-        blocks, groups = -(-asked.count() // BLOCK_QUERIES), max(1, -(-rows.count() // GROUP_ROWS))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = asked.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("__group", every(groups))
-        right = rows.withColumn("__group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int")).withColumn("__block", every(blocks))
-
-        def meet(queries: pa.Table, texts: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(kernel(queries)(iter(texts.combine_chunks().to_batches(max_chunksize=10_000))))
-
-        found = left.groupBy("__block", "__group").cogroup(right.groupBy("__block", "__group")).applyInArrow(meet, _SCORES)
-    return rank(found, k, F.desc("score"), F.asc("chunk_id"))
+        return rows.mapInArrow(kernel(block), schema)
+    asked = rows.sparkSession.createDataFrame(asked) if isinstance(asked, pa.Table) else asked
+    blocks = -(-asked.count() // BLOCK_QUERIES)
+    # no more rows than a group may have, and groups for all cores
+    groups = max(-(-rows.count() // GROUP_ROWS), -(-2 * rows.sparkSession.sparkContext.defaultParallelism // blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("__group", every(groups))
+    right = rows.withColumn("__group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int")).withColumn("__block", every(blocks))
+
+    def meet(queries: pa.Table, texts: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(kernel(queries)(iter(texts.combine_chunks().to_batches(max_chunksize=10_000))))
+
+    return left.groupBy("__block", "__group").cogroup(right.groupBy("__block", "__group")).applyInArrow(meet, schema)
 
 
 def _rounded(score: np.ndarray, places: int | None) -> np.ndarray:

@@ -5,10 +5,12 @@ to 256 entries for each of ``pieces`` parts of what a vector differs from its ce
 centroid and stored there, list by list as partitions, with its codes and the vector itself. Arrivals are parts of one manifest
 under the same centroids; replaced and deleted vectors are addresses in a table of the dead.
 
-A search looks into the ``probes`` nearest lists of each query, which prunes the others' partitions, keeps each query's ``rescore`` x k best
-by their codes where rows are read, fetches those vectors, and ranks them by the exact cosine. With ``exact=True`` it scores all vectors of all lists, as ``search.vector_topk``.
+A search looks into the ``probes`` nearest lists of each query, which prunes the others' partitions. It counts the scores of rows by their codes, in steps of 1/256, takes the highest
+step down to which a query has ``rescore`` x k rows, and ranks all rows from that step on by the exact cosine, where they are read: at least the ``rescore`` x k best by
+the codes, the same ones however rows lie in tasks. With ``exact=True`` it scores all vectors of all lists, as ``search.vector_topk``.
 ``recall`` measures the share of exact neighbours that a search finds, ``calibrate`` looks for the ``rescore`` and the fewest probes with which it is high enough:
-the codes lose the more neighbours the more rows there are, and probes do not bring those back.
+the codes lose the more neighbours the more rows there are, and probes do not bring those back. It searches once, at the end: what a search with
+other numbers would find follows from how many rows are in higher steps than each exact neighbour.
 
 Edge cases: rows without a vector are not indexed; zero vectors have cosine 0 and lie in some list; ids must be longs, distinct within an arrival
 and not null; all vectors have the dimensions of the index; an empty index answers with no rows.
@@ -24,13 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import vectors as V
-from quern.operators.search import _Best, _best_of, _Kernel, _matrix, _unit, rank, vector_topk, where_metadata
+from quern.operators.search import _CELLS, _Best, _best_of, _Kernel, _matrix, _met, _rounded, _unit, vector_topk, where_metadata
 from quern.operators.snapshots import Snapshots
 from quern.operators.staging import few, stored
 
 #: Rows that centroids and code books are learned from, at most about so many.
 SAMPLE = 50_000
+#: Scores by codes are counted in so many steps for 1, from -2 to 2.
+STEPS = 256
+#: Numbers of probes that calibration tries in one look.
+CUTS = 32
+#: Decimals in which recall compares scores: those of equal vectors differ in the last bits, by where they lie in a matrix, and which of them are nearest is to follow from their ids.
+PLACES = 10
 TABLES = {
     "model": "lists int, dimensions int, pieces int, centroids binary, books binary, facts string",
     "vectors": "id long, part_no int, codes binary, embedding array<float>, metadata map<string,string>, list int",
@@ -185,13 +192,14 @@ class VectorIndex:
         asked = stored(self.probed(queries, probes, model, query_id, embedding))
         looked = sorted(r.list for r in asked.select(F.explode("lists").alias("list")).distinct().collect())  # at most the lists of the model
         rows = rows.where(F.col("list").isin(looked))
-        near = stored(_best_of(rows.select(F.col("id").alias("chunk_id"), "codes", "list"), asked, _code_scorer(model, k * rescore), k * rescore))
-        near = near.select("query_id", "chunk_id").join(few(asked.select("query_id", F.col("embedding").alias("asked"))), "query_id")
-        found = rows.select(F.col("id").alias("chunk_id"), "embedding").join(few(stored(near.drop("asked"))), "chunk_id")
-        found = found.join(few(asked.select("query_id", F.col("embedding").alias("asked"))), "query_id")
-        score = V.cosine(F.col("asked"), F.col("embedding"))
-        score = score if places is None else F.round(score, places)
-        return rank(found.select("query_id", "chunk_id", score.alias("score")), k, F.desc("score"), F.asc("chunk_id"))
+        counts = _met(self._coded(rows), asked, _code_scorer(model, k * rescore), "query_id long, step int, n long").groupBy("query_id", "step").agg(F.sum("n").alias("n"))
+        down = counts.withColumn("n", F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("step"))))
+        lowest = down.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("n") >= k * rescore, F.col("step"))), F.lit(0)).alias("lowest"))
+        return _best_of(self._coded(rows, "embedding"), stored(asked.join(lowest, "query_id")), _rescorer(model, k, places), k)
+
+    def _coded(self, rows: DataFrame, *more: str) -> DataFrame:
+        """Rows as the kernels read them; a task has what a block of queries takes to prepare, and answers for all queries, so tasks are not more than keep all cores busy."""
+        return rows.select(F.col("id").alias("chunk_id"), "codes", "list", *more).coalesce(2 * self.spark.sparkContext.defaultParallelism)
 
     def probed(self, queries: DataFrame, probes: int, model: dict, query_id: str = "query_id", embedding: str = "embedding") -> DataFrame:
         """(query_id, embedding, lists): the lists whose centroids are nearest to each query."""
@@ -214,53 +222,61 @@ class VectorIndex:
         ``known``: the exact neighbours, (query_id, chunk_id), if they were computed before.
         """
         exact = self.neighbours(queries, k, **options) if known is None else known
-        found = self.search(queries, k, probes, **options).select("query_id", "chunk_id").withColumn("hit", F.lit(1))
+        found = self.search(queries, k, probes, **({"places": PLACES} | options)).select("query_id", "chunk_id").withColumn("hit", F.lit(1))
         each = exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
         return each.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.avg("share"), F.lit(1.0)).alias("recall"))
 
     def neighbours(self, queries: DataFrame, k: int, **options) -> DataFrame:
         """(query_id, chunk_id) of the exact neighbours, stored."""
-        return stored(self.search(queries, k, exact=True, **options).select("query_id", "chunk_id"))
+        return stored(self.search(queries, k, exact=True, **({"places": PLACES} | options)).select("query_id", "chunk_id"))
 
     def calibrate(self, queries: DataFrame, k: int = 10, least: float = 0.95, **options) -> tuple[int, float]:
-        """The fewest probes with at least this recall for the queries, by doubling and halving, and that recall.
+        """The fewest probes with at least this recall for the queries, and that recall, measured by a search.
 
         Before that ``rescore``, if none is given, is doubled until the codes alone, over all lists, lose at most half of
         what may be lost, so that the other half is left to the probes; later searches of this object use it.
         """
-        known, shares = self.neighbours(queries, k, **options), {}
-
-        def share(probes: int) -> float:
-            if (probes, self.rescore) not in shares:
-                shares[probes, self.rescore] = self.recall(queries, k, probes, known, **options).first().recall
-            return shares[probes, self.rescore]
-
-        lists, rows = self._model(self.tables.version())["lists"], self.live().count()
-        while options.get("rescore") is None and k * self.rescore < rows and share(lists) < (1 + least) / 2:
-            self.rescore *= 2
-        low, step = self._too_few(queries, known, least, lists, **options), 1
-        high = min(low + step, lists)
-        while high < lists and share(high) < least:
-            low, step = high, 2 * step
-            high = min(low + step, lists)
+        version = options.get("version") or self.tables.version()
+        known, model = self.neighbours(queries, k, **options), self._model(version)
+        live, lists = where_metadata(self.live(version), options.get("conditions")), model["lists"]
+        asked, n = stored(self.probed(queries, lists, model, options.get("query_id", "query_id"), options.get("embedding", "embedding"))), live.count()
+        aims = known.join(live.select(F.col("id").alias("chunk_id"), "codes", "list"), "chunk_id").join(few(stored(asked.select("query_id", "lists"))), "query_id")
+        aims = aims.withColumn("place", F.array_position("lists", F.col("list")).cast("int")).withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+        aims, rows = stored(aims.drop("lists")), self._coded(live)
+        aims = stored(self._above(rows, asked, aims, [lists], model).drop("cut"))
+        total = aims.agg(F.sum("weight")).first()[0] or 0.0
+        enough = lambda held, share=least: held >= (share - 1e-9) * total
+        rescore = self.rescore if options.get("rescore") is None else options["rescore"]
+        if options.get("rescore") is None:
+            tried = [rescore << i for i in range(64) if i == 0 or k * rescore << (i - 1) < n]
+            held = aims.agg(*(F.sum(F.when(F.col("above") < k * r, F.col("weight")).otherwise(0.0)) for r in tried)).first()
+            rescore = self.rescore = next((r for r, x in zip(tried, held, strict=True) if k * r >= n or enough(x or 0.0, (1 + least) / 2)), tried[-1])
+        found = F.when(F.col("above") < k * rescore, F.col("weight")).otherwise(0.0)
+        by_place = {r.place: r for r in aims.groupBy("place").agg(F.sum("weight").alias("held"), F.sum(found).alias("found")).collect()}  # at most the lists of the model
+        sums = np.cumsum([[0.0, 0.0], *((by_place[p].held, by_place[p].found) if p in by_place else (0.0, 0.0) for p in range(1, lists + 1))], axis=0)
+        # fewer lists do not even hold enough of the neighbours; with so many, the codes lose few enough even if they choose among all lists
+        low = max(0, min(int(np.argmax(enough(sums[:, 0]))), lists) - 1)
+        high = int(np.argmax(enough(sums[:, 1]))) if enough(sums[-1, 1]) else lists
+        high, lost = max(high, low + 1), aims.where(F.col("above") >= k * rescore).drop("above")
         while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (low, middle) if share(middle) >= least else (middle, high)
-        return high, share(high)
-
-    def _too_few(self, queries: DataFrame, known: DataFrame, least: float, lists: int, query_id: str = "query_id", embedding: str = "embedding", **options) -> int:
-        """The most probes whose lists do not even hold enough of the exact neighbours, from one look at where these lie."""
-        asked = self.probed(queries, lists, self._model(self.tables.version()), query_id, embedding).select("query_id", "lists")
-        near = known.join(self.live().select(F.col("id").alias("chunk_id"), "list"), "chunk_id").join(few(stored(asked)), "query_id")
-        weight = 1 / F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-        near = near.select("query_id", F.array_position("lists", F.col("list")).alias("place"), weight.alias("weight"))
-        held = {r.place: r.held for r in near.groupBy("place").agg(F.sum("weight").alias("held")).collect()}  # at most the lists of the model
-        total, reached = sum(held.values()), 0.0
-        for place in range(1, lists + 1):
-            reached += held.get(place, 0.0)
-            if reached >= (least - 1e-9) * total:
-                return place - 1
-        return lists - 1
+            cuts = sorted({low + (high - low) * i // (CUTS + 1) for i in range(1, CUTS + 1)} - {low})
+            passed = self._above(rows, asked, lost.where(F.col("place") <= cuts[-1]), cuts, model)
+            back = {r["cut"]: r.found for r in passed.where(F.col("above") < k * rescore).groupBy("cut").agg(F.sum("weight").alias("found")).collect()}
+            reach = [c for c in cuts if enough(sums[c, 1] + back.get(c, 0.0))]
+            high, low = (reach[0], max([c for c in cuts if c < reach[0]], default=low)) if reach else (high, cuts[-1])
+        share, step = self.recall(queries, k, high, known, **options).first().recall, 1
+        while share < least and high < lists:  # a row at the very edge of a step may have changed sides
+            high, step = min(high + step, lists), 2 * step
+            share = self.recall(queries, k, high, known, **options).first().recall
+        return high, share
+
+    def _above(self, rows: DataFrame, asked: DataFrame, aims: DataFrame, cuts: list[int], model: dict) -> DataFrame:
+        """The aims (query_id, chunk_id, place, ...) once for each number of probes (cut) that looks into their list, with how many rows of those lists are in higher steps (above)."""
+        each = aims.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "list", "codes")).alias("aims"))
+        higher = _met(rows, stored(asked.join(each, "query_id")), _rows_above(model, cuts), "query_id long, chunk_id long, cut int, above long")
+        higher = higher.groupBy("query_id", "chunk_id", "cut").agg(F.sum("above").alias("above"))
+        looks = aims.withColumn("cut", F.explode(F.lit(cuts).cast("array<int>"))).where("place <= cut")
+        return looks.join(higher, ["query_id", "chunk_id", "cut"], "left").na.fill(0, ["above"])
 
 
 def _learned(model: dict) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -272,28 +288,73 @@ def _learned(model: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     return centres, books
 
 
-def _code_scorer(model: dict, k: int):
-    """The cosine of queries with what the codes of a row stand for, for the rows of the lists that a query looks into."""
+class _Block:
+    """A block of queries, and the steps of what the codes of rows stand for."""
+
+    def __init__(self, queries: pa.Table, model: dict, probes: int | None = None):
+        self.centres, self.books = _learned(model)
+        self.ids = queries.column("query_id").to_numpy()
+        self.x = _unit(_matrix(queries.column("embedding").combine_chunks(), self.centres.shape[1])) if len(self.ids) else np.zeros((0, self.centres.shape[1]))
+        #: the place of each list in each query's order, 0 if the query does not look into it
+        self.place = np.zeros((len(self.ids), len(self.centres)), np.int32)
+        if len(self.ids):
+            lists = queries.column("lists").combine_chunks()
+            size = lists.value_lengths().to_numpy()
+            place = 1 + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            self.place[np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()] = np.where(place <= (probes or len(self.centres)), place, 0)
+
+    def meets(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+        """A batch list by list: the list, the queries that look into it, and its rows, few enough to be scored at once."""
+        held = batch.column("list").to_numpy()
+        order = np.argsort(held, kind="stable")
+        lists, first = np.unique(held[order], return_index=True)
+        for at, rows in zip(lists, np.split(order, first[1:]), strict=True):
+            who = np.flatnonzero(self.place[:, at])
+            for a in range(0, len(rows) if len(who) else 0, step := max(1, _CELLS // max(len(who), 1))):
+                yield at, who, batch.take(pa.array(rows[a : a + step]))
+
+    def decoded(self, lists: np.ndarray, codes: list[bytes]) -> np.ndarray:
+        codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(lists), -1)
+        return self.centres[lists] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
+
+    def steps(self, who: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+        return _steps(self.x[who] @ self.decoded(rows.column("list").to_numpy(), rows.column("codes").to_pylist()).T)
+
+
+def _steps(score: np.ndarray) -> np.ndarray:
+    return np.clip((score + 2) * STEPS, 0, 4 * STEPS - 1).astype(np.int32)
+
+
+def _code_scorer(model: dict, most: int):
+    """(query_id, step, n): how many rows of the lists that a query looks into are in a step, down to where there are ``most``."""
 
     def kernel(queries: pa.Table) -> _Kernel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres, books = _learned(model)
-            ids = queries.column("query_id").to_numpy()
-            best = _Best(ids, k)
-            if len(ids):
-                x = _unit(_matrix(queries.column("embedding").combine_chunks(), centres.shape[1]))
-                lists = queries.column("lists").combine_chunks()
-                looks = np.zeros((len(ids), len(centres)), bool)
-                looks[np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
-                whole = x @ centres.T
-                parts = [part @ book.T for part, book in zip(np.array_split(x, len(books), axis=1), books, strict=True)]
+            block = _Block(queries, model)
+            counts = np.zeros((len(block.ids), 4 * STEPS), np.int32)
             for batch in batches:
-                for a in range(0, batch.num_rows if len(ids) else 0, step := max(1, 2_000_000 // max(len(ids), 1))):
-                    rows = batch.slice(a, step)
-                    held = rows.column("list").to_numpy()
-                    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(held), -1)
-                    score = whole[:, held] + sum(part[:, codes[:, j]] for j, part in enumerate(parts))
-                    best.add(rows.column("chunk_id").to_numpy(), np.where(looks[:, held], score, -np.inf))
+                for _, who, rows in block.meets(batch):
+                    np.add.at(counts.reshape(-1), (who[:, None] * counts.shape[1] + block.steps(who, rows)).ravel(), 1)
+            over = np.cumsum(counts[:, ::-1], axis=1, dtype=np.int64)[:, ::-1] - counts
+            query, step = np.nonzero((counts > 0) & (over < most))
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[query]), pa.array(step.astype(np.int32)), pa.array(counts[query, step].astype(np.int64))], ["query_id", "step", "n"])
+
+        return run
+
+    return kernel
+
+
+def _rescorer(model: dict, k: int, places: int | None):
+    """The cosine of queries with the rows of the lists that they look into, from each query's lowest step on."""
+
+    def kernel(queries: pa.Table) -> _Kernel:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = _Block(queries, model)
+            best, lowest = _Best(block.ids, k), queries.column("lowest").to_numpy()
+            for batch in batches:
+                for _, who, rows in block.meets(batch):
+                    score = block.x[who] @ _unit(_matrix(rows.column("embedding"), block.x.shape[1]).astype(np.float64)).T
+                    best.add(rows.column("chunk_id").to_numpy(), np.where(block.steps(who, rows) >= lowest[who, None], _rounded(score, places), -np.inf), who=who)
             yield best.rows()
 
         return run
@@ -301,4 +362,41 @@ def _code_scorer(model: dict, k: int):
     return kernel
 
 
+def _rows_above(model: dict, cuts: list[int]):
+    """(query_id, chunk_id, cut, above): how many rows of a query's first ``cut`` lists are in higher steps than each of its aims."""
+
+    def kernel(queries: pa.Table) -> _Kernel:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = _Block(queries, model, max(cuts))
+            aims = queries.column("aims").combine_chunks()
+            size, flat = aims.value_lengths().to_numpy(), aims.flatten()
+            owner = np.repeat(np.arange(len(size)), size)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            # aims that a query does not have are in the highest step, above which there is nothing
+            chunk, aim = np.zeros((len(size), size.max(initial=0)), np.int64), np.full((len(size), size.max(initial=0)), 4 * STEPS, np.int32)
+            if len(owner):
+                chunk[owner, nth] = flat.field("chunk_id").to_numpy()
+                aim[owner, nth] = _steps((block.x[owner] * block.decoded(flat.field("list").to_numpy(), flat.field("codes").to_pylist())).sum(1))
+            lowest, above = aim.min(axis=1, initial=4 * STEPS), np.zeros((len(cuts), *aim.shape), np.int64)
+            for batch in batches:
+                for at, who, rows in block.meets(batch):
+                    step = block.steps(who, rows)
+                    query, row = np.nonzero(step > lowest[who, None])
+                    if not len(query):
+                        continue
+                    kinds, first = np.unique(query, return_index=True)
+                    passed = np.add.reduceat(step[query, row, None] > aim[who[query]], first, axis=0, dtype=np.int64)
+                    for i, cut in enumerate(cuts):
+                        near = block.place[who[kinds], at] <= cut
+                        above[i, who[kinds[near]]] += passed[near]
+            cut, query, nth = np.nonzero(above)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.ids[query]), pa.array(chunk[query, nth]), pa.array(np.array(cuts, np.int32)[cut]), pa.array(above[cut, query, nth])], ["query_id", "chunk_id", "cut", "above"]
+            )
+
+        return run
+
+    return kernel
+
+
 __all__ = ["VectorIndex", "lloyd", "TABLES", "SAMPLE"]

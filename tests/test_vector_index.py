@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import search
+from quern.operators import search, vector_index
 from quern.operators.vector_index import VectorIndex, lloyd
 
 ROWS = "vec_id long, embedding array<float>, metadata map<string,string>"
@@ -116,3 +117,71 @@ def test_codes_that_leave_nothing_out_make_no_pairs(spark, tmp_path, monkeypatch
     monkeypatch.setattr("quern.operators.vector_index._code_scorer", None)
     want = search.vector_topk(frame.where("vec_id % 9 <> 4"), queries, 3, places=5).collect()
     assert key(index.search(queries, 3, probes=1 << 20, rescore=1 << 20, places=5).collect()) == key(want)
+
+
+def test_calibration_searches_once_and_finds_the_fewest_probes(spark, tmp_path, monkeypatch):
+    """One search for the exact neighbours and one for the answer's recall: a search for each number that is tried took too long at 1 GB."""
+    x = np.random.default_rng(9).normal(size=(900, 16))
+    x[300:400] = x[:100] + 0.01  # near copies, many in the step of another
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    queries = frame.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = VectorIndex(spark, f"file://{tmp_path}/index", lists=10, pieces=4, rescore=1)
+    index.build(frame.where("vec_id % 2 = 0"))
+    index.append(frame.where("vec_id % 2 = 1"))
+    searched, search_of = [], VectorIndex.search
+    monkeypatch.setattr(VectorIndex, "search", lambda self, *a, **options: searched.append(options.get("exact", False)) or search_of(self, *a, **options))
+    probes, share = index.calibrate(queries, 10, 0.9)
+    assert searched == [True, False]
+    recall = lambda p, rescore=None: index.recall(queries, 10, p, rescore=rescore).first().recall
+    assert 1 < probes < 10 and share == pytest.approx(recall(probes)) and share >= 0.9 > recall(probes - 1)
+    # rescore: the first doubling of 1 with which the codes, over all lists, lose at most half of what may be lost
+    assert index.rescore > 1 and recall(10) >= 0.95 > recall(10, index.rescore // 2)
+
+
+@pytest.mark.parametrize("shipped", [True, False])
+def test_search_ranks_the_best_by_codes_whatever_the_tasks(spark, tmp_path, monkeypatch, shipped):
+    rows = vectors(500)
+    queries = asked(spark, rows)
+    index = VectorIndex(spark, f"file://{tmp_path}/index", lists=9, pieces=2)
+    index.build(spark.createDataFrame(rows, ROWS))
+    if not shipped:
+        monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+    centres, books = vector_index._learned(index._model(1))
+    held = index.live().orderBy("id").collect()
+    x, lists = search._unit(np.array([r.embedding for r in held])), np.array([r.list for r in held])
+    codes = np.array([list(r.codes) for r in held])
+    meant = centres[lists] + np.concatenate([b[codes[:, j]] for j, b in enumerate(books)], axis=1)
+    want = []
+    for q in range(0, 500, 20):
+        looked = np.isin(lists, np.argsort(-(centres @ x[q]), kind="stable")[:4])
+        step = np.where(looked, np.floor((meant @ x[q] + 2) * vector_index.STEPS), -1)
+        chosen = np.flatnonzero(looked & (step >= np.sort(step)[::-1][4 * 3 - 1]))
+        best = chosen[np.lexsort((chosen, -np.round(x[chosen] @ x[q], 5)))][:4]
+        want += [(q, i + 1, int(c), round(float(x[c] @ x[q]), 5)) for i, c in enumerate(best)]
+    assert key(index.search(queries, 4, probes=4, rescore=3, places=5).collect()) == want
+
+
+def test_blocks_of_queries_keep_all_cores_busy(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+    queries = spark.range(5).withColumnRenamed("id", "query_id")
+    rows = spark.range(1000).withColumnRenamed("id", "chunk_id")
+    kernel = lambda block: lambda batches: iter([pa.RecordBatch.from_pylist([{"queries": block.num_rows, "rows": sum(b.num_rows for b in batches)}])])
+    met = search._met(rows, queries, kernel, "queries long, rows long").collect()
+    assert len(met) >= spark.sparkContext.defaultParallelism
+    assert sum(r.queries * r.rows for r in met) == 5 * 1000
+
+
+@pytest.mark.parametrize("shipped", [True, False])
+def test_which_of_equal_vectors_are_neighbours_follows_from_their_ids(spark, tmp_path, monkeypatch, shipped):
+    """Copies under other ids, more than are asked for: the search and what it is measured against name the same ones."""
+    x = np.random.default_rng(2).normal(size=(37, 64))
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i % 37]]) for i in range(37 * 23)], "vec_id long, embedding array<float>").repartition(5)
+    queries = frame.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = VectorIndex(spark, f"file://{tmp_path}/index", lists=6, pieces=8, rescore=12)
+    index.build(frame)
+    if not shipped:
+        monkeypatch.setattr(search, "BLOCK_QUERIES", 15)
+    known = index.neighbours(queries, 10)
+    assert sorted((r.query_id, r.chunk_id) for r in known.collect()) == sorted((q, q % 37 + 37 * c) for q in range(0, 37 * 23, 20) for c in range(10))
+    assert index.recall(queries, 10, 3, known).first().recall == 1.0
+    assert index.calibrate(queries, 10, 0.95) == (1, 1.0)
